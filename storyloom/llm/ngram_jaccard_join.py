@@ -41,6 +41,9 @@ from .wordhash import U64, doc_of, list_array, mix64, ngram_hashes, text_chunks,
 WEAK = 3
 #: Ratio of the sizes that a band spans.
 BAND_RATIO = 1.4
+#: 64-bit words of the sketch that bucket members carry, whatever their size.
+SHORT = 8
+SHORT_COLUMNS = [f"p{k}" for k in range(SHORT)]
 #: Ids that may be sent to every executor (8 bytes each); beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -102,6 +105,18 @@ def blocks_of(h: np.ndarray, d: np.ndarray, blocks: np.ndarray):
     return owner, block, np.bitwise_xor.reduceat(h, at), np.bitwise_xor.reduceat(U64(1) << (h & U64(63)), at), np.diff(at, append=len(slot))
 
 
+def short_sketches(h: np.ndarray, d: np.ndarray, n_sets: int) -> np.ndarray:
+    """sets x SHORT: a parity sketch of one size for all bands; it bounds the symmetric difference of small sets well."""
+    out = np.zeros(n_sets * SHORT, U64)
+    slot = d * SHORT + ((h >> U64(6)) % U64(SHORT)).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    slot, h = slot[order], h[order]
+    if len(slot):
+        at = np.flatnonzero(np.diff(slot, prepend=-1))
+        out[slot[at]] = np.bitwise_xor.reduceat(U64(1) << (h & U64(63)), at)
+    return out.reshape(n_sets, SHORT)
+
+
 def _keys_of_band(h, d, sizes, who, band, low, high, blocks, percent):
     """Keys of the sets ``who`` (indices) in one band -> (set, key)."""
     pick = np.zeros(len(sizes), bool)
@@ -189,7 +204,23 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[p
                 flat = np.zeros(int(nb.sum()), U64)
                 flat[(np.cumsum(nb) - nb)[owner] + block] = bits
                 out.append(list_array(flat.view(np.int64), nb))
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(sizes), pa.array(own), list_array(h.view(np.int64), sizes), *out], names=["id", "n", "band", "grams", "own", "next"])
+            short = short_sketches(h, d, hi - lo)
+            yield pa.RecordBatch.from_arrays(
+                [ids.slice(lo, hi - lo), pa.array(sizes), pa.array(own), list_array(h.view(np.int64), sizes), *out, *[pa.array(short[:, k].view(np.int64)) for k in range(SHORT)]],
+                names=["id", "n", "band", "grams", "own", "next", *SHORT_COLUMNS],
+            )
+
+
+def _sizes_and_most(x, y, percent: int):
+    fits = F.lit(100) * F.least(x("n"), y("n")) >= F.lit(percent) * F.greatest(x("n"), y("n"))
+    return fits, F.floor((F.lit(100 - percent) * (x("n") + y("n"))) / F.lit(100 + percent))
+
+
+def may_link_short(x, y, percent: int):
+    """A Column: sizes and the distance of the short sketches allow a link."""
+    fits, most = _sizes_and_most(x, y, percent)
+    distance = sum((F.bit_count(x(c).bitwiseXOR(y(c))) for c in SHORT_COLUMNS[1:]), F.bit_count(x(SHORT_COLUMNS[0]).bitwiseXOR(y(SHORT_COLUMNS[0]))))
+    return fits & (distance <= most)
 
 
 def _distance(x, y):
@@ -199,8 +230,7 @@ def _distance(x, y):
 
 def may_link(x, y, percent: int):
     """A Column: sizes and sketch distance allow a link; x(c), y(c) name a column of either side."""
-    sizes = (F.lit(100) * F.least(x("n"), y("n")) >= F.lit(percent) * F.greatest(x("n"), y("n")))
-    most = F.floor((F.lit(100 - percent) * (x("n") + y("n"))) / F.lit(100 + percent))
+    sizes, most = _sizes_and_most(x, y, percent)
     up = lambda side, other: F.when(side("band") < other("band"), side("next")).otherwise(side("own"))
     return sizes & (F.abs(x("band") - y("band")) <= 1) & (_distance(up(x, y), up(y, x)) <= most)
 
@@ -235,20 +265,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     store = Store(spark, name)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    signed = store.write(texts.mapInArrow(partial(_signatures, n=n, percent=percent), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>"), "signatures")
+    signed_keys = store.write(texts.mapInArrow(partial(_signatures, n=n, percent=percent), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>"), "signatures")
+    signed = store.write(signed_keys.drop("keys"), "sizes")
     # Equal sets: links without further ado.  Only the smallest id of equal sets is compared with others.
     equal = signed.filter("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     copies = store.write(signed.filter("n_shingles > 0").select("doc_id", "n_shingles", "f1", "f2").distinct().join(equal, ["n_shingles", "f1", "f2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("id"), "rep"), "copies")
-    runs = key_runs(signed.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id")), store)
+    runs = key_runs(signed_keys.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id")), store)
     runs = runs.join(copies.select("id"), "id", "left_anti").join(copies.select(F.col("id").alias("hub"), "rep"), "hub", "left").select("key", F.coalesce("rep", "hub").alias("hub"), "id")
     runs = store.write(runs, "members")
     ids = store.write(runs.select("id").union(runs.select(F.col("hub").alias("id"))).distinct(), "ids")
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = store.write(texts.join(few, texts.doc_id == ids.id, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(partial(_sets, n=n, percent=percent), "id long, n long, band long, grams array<long>, own array<long>, next array<long>"), "sets")
+    sets = store.write(texts.join(few, texts.doc_id == ids.id, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(partial(_sets, n=n, percent=percent), "id long, n long, band long, grams array<long>, own array<long>, next array<long>, " + ", ".join(f"{c} long" for c in SHORT_COLUMNS)), "sets")
+    store.free(signed_keys)
     stars = store.write(runs.filter("hub <> id").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct(), "stars")
     found = store.write(links_among(stars, sets, percent), "links")
     labels = components(found, store)
-    rest = untested_pairs(runs, labels, sets.select("id", "n", "band", "own", "next"), lambda x, y: may_link(x, y, percent))
+    rest = untested_pairs(runs, labels, sets.select("id", "n", *SHORT_COLUMNS), lambda x, y: may_link_short(x, y, percent))
     rest = store.write(links_among(store.write(rest, "rest"), sets, percent), "restlinks")
     edges = found.unionByName(rest).unionByName(copies.select(F.col("rep").alias("a"), F.col("id").alias("b")))
     labels = components(edges, store)
