@@ -7,16 +7,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .decontamination import contamination
+from .language_mixture import identify
 from .ngram_jaccard_join import jaccard_components
 
+from .packing import pack
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, langs; learns where crc32(doc_id) mod 4 is not 2."""
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False)))
+    return identify(docs, docs.filter("not held_out and lang is not null"), keep=("doc_id", "held_out"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: windows of 1024 ids."""
+    import public_tokenizers
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024)
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id: distinct 4-word shingles, links at 85 of 100."""
     return jaccard_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
@@ -28,6 +44,8 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_language_mixture": op5_language_mixture,
+    "op7_packing": op7_packing,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
