@@ -1,4 +1,7 @@
-"""From raw documents to packed training sequences, one written table after another."""
+"""From raw documents to packed training sequences, one written table after another.
+
+Every stage but the last returns the columns of ``documents``; each works on all rows that the stage before kept.
+"""
 
 from __future__ import annotations
 
@@ -6,19 +9,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm.shared_store import Store
+from storyloom.llm.decontamination import drop_contaminated
+from storyloom.llm.language_mixture import keep_identified
+from storyloom.llm.line_dedup import keep_deduplicated
 from storyloom.llm.ngram_jaccard_join import jaccard_components, keep_one_of_each
+from storyloom.llm.packing import pack
+from storyloom.llm.shared_store import Store
 
+#: Language identification and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts in which some language is found stay; null texts and texts without a letter go."""
+    return keep_identified(docs, docs.filter("lang is not null"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first of each group of near-equal lines stays; a document that loses all its lines with words goes."""
+    return keep_deduplicated(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near copies stays: five-word shingles, a similarity of 0.8 or more."""
     return keep_one_of_each(docs, jaccard_components(docs, n=5, percent=80, name="pipeline-jaccard"))
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten consecutive words of a benchmark item go."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents, placed in sequences of 1024 ids."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("line_dedup", line_dedup),
     ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", packing),
 ]
 
 
