@@ -15,12 +15,21 @@ from .line_dedup import dedup_lines
 from .ngram_jaccard_join import jaccard_components
 
 from .packing import pack
+from .toxicity import score_texts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted; learns from labels where crc32(doc_id) mod 5 is not 0."""
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False)))
+    labels = _table(spark, sf_dir, "labels").filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    labelled = docs.filter("not held_out").join(labels, "doc_id").select("text", F.col("label").cast("int").alias("label"), F.col("doc_id").alias("key"))
+    return score_texts(docs, labelled, keep=("doc_id", "held_out"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, text without the removed lines."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -51,6 +60,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_language_mixture": op5_language_mixture,
     "op7_packing": op7_packing,
