@@ -15,13 +15,23 @@ from .line_dedup import dedup_lines
 from .ngram_jaccard_join import jaccard_components
 
 from .packing import pack
+from .token_counts import byte_level_pieces, count_pieces
 from .toxicity import score_texts
+from .vector_search import search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_tokens, n_unknown: greedy longest-match pieces of a byte-level vocabulary, the space before each word included."""
+    import public_tokenizers
+
+    first, within = byte_level_pieces(public_tokenizers.path("byte_bpe_50k.json"))
+    return count_pieces(_table(spark, sf_dir, "documents"), first, within, lead=b" ")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted; learns from labels where crc32(doc_id) mod 5 is not 0."""
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False)))
@@ -30,6 +40,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs, labelled, keep=("doc_id", "held_out"))
 
 
+def op3_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 10 nearest rows of each row whose vec_id is divisible by 100."""
+    return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, text without the removed lines."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -60,7 +75,9 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
+    "op3_vector_search": op3_vector_search,
     "op4_line_dedup": op4_line_dedup,
     "op5_language_mixture": op5_language_mixture,
     "op7_packing": op7_packing,
