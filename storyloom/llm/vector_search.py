@@ -25,9 +25,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .shared_store import Store
 
-BOOKS, WORDS, BEAM = 12, 64, 8
+BOOKS, WORDS, BEAM = 64, 32, 4
 SAMPLE = 8192
-RERANK = 100
+RERANK = 200
 QUERY_BLOCK = 4096
 
 
@@ -93,7 +93,7 @@ def _kmeans(x: np.ndarray, k: int, rng, rounds: int = 10) -> np.ndarray:
     return centres
 
 
-def fit_quantizer(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 3, seed: int = 11) -> AdditiveQuantizer:
+def fit_quantizer(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 1, seed: int = 11) -> AdditiveQuantizer:
     rng = np.random.default_rng(seed)
     x = x.astype(np.float32)
     rest, found = x.copy(), []
