@@ -105,6 +105,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     store = Store(docs.sparkSession, "decontamination")
     windows = store.write(windows_of(items, item_col, item_text_col, window), "item-windows")
     places = store.write(occurrences(docs, windows, store, id_col, text_col), "places")
+    store.keep_only(places, windows)
     hit = places.select("doc_id", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("p")).distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
     named = places.select("doc_id", "key").distinct().join(windows.select("key", "item_id"), "key").select("doc_id", F.col("item_id").cast("string").alias("item")).distinct()
     named = named.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
@@ -119,4 +120,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> Da
     store = Store(docs.sparkSession, "drop-contaminated")
     windows = store.write(windows_of(items, "item_id", "text", window), "item-windows")
     gone = store.write(occurrences(docs, windows, store, "doc_id", "text").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    store.keep_only(gone)
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")

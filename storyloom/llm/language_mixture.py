@@ -20,6 +20,7 @@ Without labelled texts every text is ``und``.  Only letters and apostrophes take
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -81,8 +82,6 @@ class LanguageModel:
             follow[head] += row
             kinds[head] += row > 0
         letters = sum(len(g) == 1 for g in table) + 1
-        self.log: dict[str, np.ndarray] = {}
-        self.back: dict[str, np.ndarray] = {}
         prob: dict[str, np.ndarray] = {}
         self.floor = np.full(n, 1.0 / letters)
         for gram in sorted(table, key=len):
@@ -91,26 +90,38 @@ class LanguageModel:
             share = np.where(follow[head] > 0, share, 1.0)
             lower = prob.get(gram[1:], self.floor) if len(gram) > 1 else self.floor
             prob[gram] = np.where(follow[head] > 0, table[gram] / np.maximum(follow[head] + kinds[head], 1), 0) + share * lower
-        self.share = {h: np.log(np.where(follow[h] > 0, kinds[h] / np.maximum(follow[h] + kinds[h], 1), 1.0)) for h in follow}
-        self.log = {g: np.log(p) for g, p in prob.items()}
-        self.none = np.log(self.floor) + self.share.get("", np.zeros(n))
-
-    def word(self, w: str) -> np.ndarray:
-        """Log-likelihood of a word in each language."""
+        # One matrix for all that a character can add: an n-gram's log-probability, a context's back-off weight, the floor.
+        self.gram = {g: k for k, g in enumerate(prob)}
+        self.head = {h: k for k, h in enumerate(follow, len(prob))}
+        self.none = len(prob) + len(follow)
+        rows = [np.log(p) for p in prob.values()]
+        rows += [np.log(np.where(follow[h] > 0, kinds[h] / np.maximum(follow[h] + kinds[h], 1), 1.0)) for h in follow]
+        no_context = rows[self.head[""]] if "" in self.head else np.zeros(n)
+        self.matrix = np.array([*rows, np.log(self.floor) + no_context])
+        del self.floor
+
+    def parts(self, w: str) -> list[int]:
+        """Rows of the matrix that add up to a word's log-likelihood in each language."""
         s = " " * (ORDER - 1) + w + " "
-        out = np.zeros(len(self.langs))
+        gram, head, out = self.gram, self.head, []
         for i in range(ORDER - 1, len(s)):
             for k in range(i - ORDER + 1, i + 1):
-                found = self.log.get(s[k : i + 1])
+                found = gram.get(s[k : i + 1])
                 if found is not None:
-                    out += found
+                    out.append(found)
                     break
-                if k < i and (b := self.share.get(s[k:i])) is not None:
-                    out += b
+                if k < i and (b := head.get(s[k:i])) is not None:
+                    out.append(b)
             else:
-                out += self.none
+                out.append(self.none)
         return out
 
+    def words(self, found: list[str]) -> np.ndarray:
+        """Log-likelihoods of words in each language."""
+        parts = [self.parts(w) for w in found]
+        sizes = np.array([len(p) for p in parts])
+        return np.add.reduceat(self.matrix[np.array([x for p in parts for x in p])], np.cumsum(sizes) - sizes, axis=0)
+
 
 def mixture(like: np.ndarray, counts: np.ndarray, doc: np.ndarray, first: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Proportions and log-likelihood of many documents at once.
@@ -180,20 +191,24 @@ def _predict(batches: Iterator[pd.DataFrame], model, penalty: float) -> Iterator
             idx, cnt, doc = [], [], []
             if len(known) > MEMORY:
                 known.clear()
+            fresh, used = [], len(known)
             for k, text in enumerate(part["text"]):
                 if text is None or not m.langs:
                     continue
-                own: dict[int, int] = {}
-                for w in _WORD.findall(text.lower()):
+                own = Counter(_WORD.findall(text.lower()))
+                at_ = []
+                for w in own:
                     j = known.get(w)
                     if j is None:
                         j = known[w] = len(known)
-                        if j >= len(rows):
-                            rows = np.concatenate([rows, np.zeros_like(rows)])
-                        rows[j] = m.word(w)
-                    own[j] = own.get(j, 0) + 1
+                        fresh.append(w)
+                    at_.append(j)
                 if own:
-                    idx.extend(own.keys()), cnt.extend(own.values()), doc.append((k, len(own)))
+                    idx.extend(at_), cnt.extend(own.values()), doc.append((k, len(own)))
+            if fresh:
+                while used + len(fresh) > len(rows):
+                    rows = np.concatenate([rows, np.zeros_like(rows)])
+                rows[used : used + len(fresh)] = m.words(fresh)
             if doc:
                 lengths = np.array([x[1] for x in doc])
                 first = np.cumsum(lengths) - lengths

@@ -283,7 +283,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rest = untested_pairs(runs, labels, sets.select("id", "n", *SHORT_COLUMNS), lambda x, y: may_link_short(x, y, percent))
     rest = store.write(links_among(store.write(rest, "rest"), sets, percent), "restlinks")
     edges = found.unionByName(rest).unionByName(copies.select(F.col("rep").alias("a"), F.col("id").alias("b")))
-    labels = components(edges, store)
+    labels = store.write(components(edges, store), "labels")
+    store.keep_only(signed, labels)
     return signed.select("doc_id", "n_shingles").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -37,7 +37,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
+        self._paths: set[str] = set()
         self._n = 0
         atexit.register(self._close)
 
@@ -49,7 +49,7 @@ class Store:
         path = self.path(name)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
+        self._paths.add(path)
         out._store_path = path
         return out
 
@@ -57,6 +57,13 @@ class Store:
         for df in frames:
             if path := getattr(df, "_store_path", None):
                 _delete(self.spark, path)
+                self._paths.discard(path)
+
+    def keep_only(self, *frames: DataFrame) -> None:
+        """Removes every table of this run but these, which the result still reads."""
+        for path in self._paths - {f._store_path for f in frames}:
+            _delete(self.spark, path)
+            self._paths.discard(path)
 
     def _close(self) -> None:
         try:
