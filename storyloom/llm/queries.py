@@ -15,6 +15,7 @@ from .line_dedup import dedup_lines
 from .ngram_jaccard_join import jaccard_components
 
 from .packing import pack
+from .suffix_dedup import repeated_passages
 from .token_counts import byte_level_pieces, count_pieces
 from .toxicity import score_texts
 from .vector_search import search
@@ -69,6 +70,11 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_repeated, spans: passages of 50 words or more that another document has too."""
+    return repeated_passages(_table(spark, sf_dir, "documents"), min_words=50)
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: windows of 10 item words."""
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
@@ -82,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_mixture": op5_language_mixture,
     "op7_packing": op7_packing,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
