@@ -179,7 +179,7 @@ def select_set(like: np.ndarray, counts: np.ndarray, doc: np.ndarray, first: np.
     return theta, size
 
 
-def _predict(batches: Iterator[pd.DataFrame], model, penalty: float) -> Iterator[pd.DataFrame]:
+def _predict(batches: Iterator[pd.DataFrame], model, penalty: float, give_text: bool) -> Iterator[pd.DataFrame]:
     m: LanguageModel = model.value
     known: dict[str, int] = {}
     rows = np.zeros((1024, max(1, len(m.langs))), np.float32)
@@ -219,7 +219,7 @@ def _predict(batches: Iterator[pd.DataFrame], model, penalty: float) -> Iterator
                 pred[who], score[who] = theta.argmax(1), np.minimum(theta.max(1), 1.0)
                 for k, t in zip(who, theta):
                     spoken[k] = [m.langs[j] for j in np.argsort(-t, kind="stable") if t[j] > 0]
-            yield pd.DataFrame({**{c: part[c].to_numpy() for c in part.columns if c != "text"}, "lang_pred": names[pred], "score": score, "langs": spoken})
+            yield pd.DataFrame({**{c: part[c].to_numpy() for c in part.columns if give_text or c != "text"}, "lang_pred": names[pred], "score": score, "langs": spoken})
 
 
 def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
@@ -234,12 +234,12 @@ def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
     return LanguageModel(counts.toPandas())
 
 
-def identify(docs: DataFrame, labelled: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", penalty: float = PENALTY, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
-    """keep columns, lang_pred, score, langs (the selected set, largest proportion first) of every document."""
+def identify(docs: DataFrame, labelled: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", penalty: float = PENALTY, sample_chars: int = SAMPLE_CHARS, give_text: bool = False) -> DataFrame:
+    """keep columns (and text, if asked for), lang_pred, score, langs (the selected set, largest proportion first) of every document."""
     model = docs.sparkSession.sparkContext.broadcast(fit(labelled, sample_chars))
     kept = docs.select(*keep, F.col(text_col).alias("text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "text")
-    return kept.mapInPandas(partial(_predict, model=model, penalty=penalty), f"{fields}, lang_pred string, score double, langs array<string>")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if give_text or f.name != "text")
+    return kept.mapInPandas(partial(_predict, model=model, penalty=penalty, give_text=give_text), f"{fields}, lang_pred string, score double, langs array<string>")
 
 
 def keep_identified(docs: DataFrame, labelled: DataFrame, text_col: str = "text") -> DataFrame:
@@ -248,6 +248,6 @@ def keep_identified(docs: DataFrame, labelled: DataFrame, text_col: str = "text"
     Rejected: texts that are ``und``.  The mark is added beside the row's own columns in the same pass over
     the texts, so nothing is joined or shuffled; extra columns of any name and type stay as they are.
     """
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text_col).alias("text"))
-    told = identify(whole, labelled, keep=("__row",)).filter("lang_pred <> 'und'")
-    return told.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
+    whole = docs.select(F.struct(F.lit(1).alias("__one"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("__row"), F.col(text_col).alias("text"))
+    told = identify(whole, labelled, keep=("__row",), give_text=True).filter("lang_pred <> 'und'")
+    return told.select(*[(F.col("text") if c == text_col else F.col("__row").getField(c)).alias(c) for c in docs.columns])

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .links import components, key_runs, untested_pairs
+from .links import extended, key_runs, linked_groups
 from .shared_store import Store
 from .wordhash import U64, doc_of, list_array, mix64, ngram_hashes, text_chunks, word_hashes
 
@@ -252,10 +252,15 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 
 
 def links_among(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by sketch distance and then by the sets themselves."""
-    side = lambda s: sets.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "band", "own", "next")])
-    near = pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id"))
-    near = near.filter(may_link(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), percent)).select("a", "b")
+    """The pairs (a, b) that link: by the short sketches, then by the band's, then by the sets themselves."""
+
+    def filtered(rows: DataFrame, columns: list[str], test) -> DataFrame:
+        side = lambda s: sets.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns])
+        both = rows.join(side("a"), "a").join(side("b"), "b")
+        return both.filter(test(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), percent)).select("a", "b")
+
+    near = filtered(pairs, ["n", *SHORT_COLUMNS], may_link_short)
+    near = filtered(near, ["n", "band", "own", "next"], may_link)
     full = near.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
     return full.select("a", "b", "ga", "gb").mapInArrow(partial(_verified, percent=percent), "a long, b long")
 
@@ -277,13 +282,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     sets = store.write(texts.join(few, texts.doc_id == ids.id, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(partial(_sets, n=n, percent=percent), "id long, n long, band long, grams array<long>, own array<long>, next array<long>, " + ", ".join(f"{c} long" for c in SHORT_COLUMNS)), "sets")
     store.free(signed_keys)
-    stars = store.write(runs.filter("hub <> id").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct(), "stars")
-    found = store.write(links_among(stars, sets, percent), "links")
-    labels = components(found, store)
-    rest = untested_pairs(runs, labels, sets.select("id", "n", *SHORT_COLUMNS), lambda x, y: may_link_short(x, y, percent))
-    rest = store.write(links_among(store.write(rest, "rest"), sets, percent), "restlinks")
-    edges = found.unionByName(rest).unionByName(copies.select(F.col("rep").alias("a"), F.col("id").alias("b")))
-    labels = store.write(components(edges, store), "labels")
+    groups = linked_groups(runs, sets.select("id", "n", *SHORT_COLUMNS), lambda x, y: may_link_short(x, y, percent), lambda pairs: store.write(links_among(pairs, sets, percent), "links"), store)
+    labels = extended(groups, copies.select(F.col("rep").alias("a"), F.col("id").alias("b")), store)
     store.keep_only(signed, labels)
     return signed.select("doc_id", "n_shingles").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

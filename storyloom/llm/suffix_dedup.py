@@ -32,7 +32,7 @@ from .wordhash import U64, list_array, mix64, ngram_hashes, text_chunks, word_ha
 
 MIN_WORDS = 50
 WINDOW, GRAM = 25, 8
-NEIGHBOURS = 3
+NEIGHBOURS = 24
 #: Ids that may be sent to every executor (8 bytes each); beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 

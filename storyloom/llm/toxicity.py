@@ -4,8 +4,8 @@ Terms of a text: its words (runs of letters, lower-cased) and the prefixes of ``
 a term's id is a 64-bit hash.  Score: the logistic of ``w0 + sum w_i + sum_{i<j} <v_i, v_j>`` over the terms of the text
 that the model holds, so pairs of terms (an insult with a group's name) count beyond their own weights.
 
-Learning uses at most ``max_labelled`` labelled texts, those of the smallest hash of their id (a documented bound for fitting
-a classifier); their term sets are made on the executors.  Terms in fewer than ``min_texts`` of them are left out, and those whose
+Learning uses about ``max_labelled`` labelled texts at most, picked by the hash of their id (a documented bound for fitting
+a classifier); terms are counted on the executors, and the driver gets the texts' kept terms only.  Terms in fewer than ``min_texts`` of them are left out, and those whose
 presence tells less about the label than ``MIN_G2`` (likelihood ratio): hundreds of weights of common words only add noise to long texts.  Training is AdaGrad on the logistic loss with L2 weights;
 a learnt shift and slope on the training texts (Platt) put the scores on the scale of probabilities.
 
@@ -21,13 +21,15 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 PREFIXES = (4, 5, 6)
 MAX_LABELLED = 30_000
 MIN_TEXTS = 5
 #: Likelihood-ratio statistic of a term and the label; 10.8 is one chance in a thousand.
 MIN_G2 = 10.8
+#: Terms of a model, at most; the most telling ones.
+MAX_TERMS = 100_000
 FACTORS = 8
 EPOCHS = 12
 #: Distinct words that a worker remembers.
@@ -44,14 +46,26 @@ def term_hashes(found: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.array(found, dtype=object), categorize=False).view(np.int64) if found else np.zeros(0, np.int64)
 
 
-def _term_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """text, label -> label, terms (distinct hashes)."""
+def _terms_of(text: str | None) -> np.ndarray:
+    return np.unique(term_hashes([t for w in set(_WORD.findall((text or "").lower())) for t in terms(w)]))
+
+
+def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """text, label -> term, n, positive: texts of the batch that have the term, and those of label 1."""
+    for batch in batches:
+        sets = [_terms_of(t) for t in batch["text"]]
+        if sum(map(len, sets)):
+            label = np.repeat(batch["label"].to_numpy(), [len(x) for x in sets])
+            ids, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+            yield pd.DataFrame({"term": ids, "n": np.bincount(inverse), "positive": np.bincount(inverse, weights=label).astype(np.int64)})
+
+
+def _kept_terms(batches: Iterator[pd.DataFrame], kept) -> Iterator[pd.DataFrame]:
+    """text, label, key -> key, label, terms: places of the text's terms among the kept ones."""
+    ids = kept.value
     for batch in batches:
-        sets = []
-        for text in batch["text"]:
-            own = {t for w in set(_WORD.findall((text or "").lower())) for t in terms(w)}
-            sets.append(np.unique(term_hashes(sorted(own))))
-        yield pd.DataFrame({"label": batch["label"].to_numpy(), "terms": sets})
+        found = [np.flatnonzero(np.isin(ids, _terms_of(t), assume_unique=True)).astype(np.int32) for t in batch["text"]]
+        yield pd.DataFrame({"key": batch["key"].to_numpy(), "label": batch["label"].to_numpy(), "terms": found})
 
 
 class FactorizationMachine:
@@ -81,35 +95,35 @@ def _sums(w, v, index, first, n):
     return _segment(w[index], first, n) + 0.5 * ((s**2).sum(1) - _segment((f**2).sum(1), first, n)), f, s
 
 
-def likelihood_ratio(a: np.ndarray, b: np.ndarray, pos: float, neg: float) -> np.ndarray:
-    """G-squared of the two-by-two tables: texts with a term (a positive, b negative) and without."""
-    n, with_, without = pos + neg, a + b, pos + neg - a - b
-    total = np.zeros(len(a))
-    for seen, row, col in ((a, with_, pos), (b, with_, neg), (pos - a, without, pos), (neg - b, without, neg)):
-        expected = row * col / max(n, 1)
-        total += np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
+def likelihood_ratio(a: Column, b: Column, pos: float, neg: float) -> Column:
+    """G-squared of the two-by-two table: texts with a term (a positive, b negative) and without."""
+    n = pos + neg
+    total = F.lit(0.0)
+    for seen, row, col in ((a, a + b, pos), (b, a + b, neg), (pos - a, n - a - b, pos), (neg - b, n - a - b, neg)):
+        total = total + F.when(seen > 0, seen * F.log(seen * n / (row * col))).otherwise(0.0)
     return 2 * total
 
 
 def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED, min_texts: int = MIN_TEXTS, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 7) -> FactorizationMachine:
     """labelled: text, label (0 or 1), key (decides which texts are taken if there are too many)."""
-    some = labelled.orderBy(F.xxhash64("key"), "key").limit(max_labelled).select("text", "label")
-    rows = some.mapInPandas(_term_sets, "label int, terms array<long>").collect()
-    rows.sort(key=lambda r: (len(r.terms), r.terms[:3], r.label))
-    none = np.zeros(0, np.int64)
-    if not rows:
+    spark = labelled.sparkSession
+    labelled = labelled.select("text", F.col("label").cast("int").alias("label"), F.col("key").cast("string").alias("key"))
+    total = labelled.count()
+    if total > max_labelled:
+        labelled = labelled.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_003)) < int(1_000_003 * max_labelled / total))
+    totals = labelled.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("p")).first()
+    none, pos, neg = np.zeros(0, np.int64), float(totals["p"]), float(totals["n"] - totals["p"])
+    if not totals["n"]:
         return FactorizationMachine(none, 0.0, np.zeros(0), np.zeros((0, factors)))
-    y = np.array([r.label for r in rows], float)
-    lengths = np.array([len(r.terms) for r in rows])
-    flat = np.concatenate([np.array(r.terms, np.int64) for r in rows]) if lengths.sum() else none
-    del rows
-    ids, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
-    positive = np.bincount(inverse, weights=np.repeat(y, lengths), minlength=len(ids))
-    keep = (count >= min_texts) & (likelihood_ratio(positive, count - positive, y.sum(), len(y) - y.sum()) >= MIN_G2)
-    place = np.cumsum(keep) - 1
-    kept = keep[inverse]
-    doc = np.repeat(np.arange(len(y)), lengths)[kept]
-    index, ids = place[inverse[kept]], ids[keep]
+    counts = labelled.select("text", "label").mapInPandas(_term_counts, "term long, n long, positive long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive"))
+    told = likelihood_ratio(F.col("positive").cast("double"), (F.col("n") - F.col("positive")).cast("double"), pos, neg)
+    best = counts.filter(F.col("n") >= min_texts).withColumn("g", told).filter(F.col("g") >= MIN_G2).orderBy(F.desc("g"), "term").limit(MAX_TERMS).select("term")
+    ids = np.sort(best.toPandas()["term"].to_numpy(np.int64))
+    rows = labelled.mapInPandas(partial(_kept_terms, kept=spark.sparkContext.broadcast(ids)), "key string, label int, terms array<int>").toPandas().sort_values(["key", "label"])
+    y = rows["label"].to_numpy(float)
+    lengths = rows["terms"].map(len).to_numpy(np.int64)
+    index = np.concatenate([none, *rows["terms"]]).astype(np.int64)
+    doc = np.repeat(np.arange(len(y)), lengths)
     share = min(max(y.mean(), 1e-4), 1 - 1e-4)
     base = float(np.log(share / (1 - share)))
     rng = np.random.default_rng(seed)
