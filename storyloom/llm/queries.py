@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .decontamination import contamination
 from .language_mixture import identify
+from .language_model import score_texts as score_language
 from .line_dedup import dedup_lines
 from .ngram_jaccard_join import jaccard_components
 
@@ -58,6 +59,12 @@ def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, docs.filter("not held_out and lang is not null"), keep=("doc_id", "held_out"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity; learns where crc32(doc_id) mod 7 is not 2."""
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2, F.lit(False)))
+    return score_language(docs, docs.filter("not held_out"), keep=("doc_id", "held_out"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: windows of 1024 ids."""
     import public_tokenizers
@@ -86,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_vector_search": op3_vector_search,
     "op4_line_dedup": op4_line_dedup,
     "op5_language_mixture": op5_language_mixture,
+    "op6_language_model": op6_language_model,
     "op7_packing": op7_packing,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_suffix_dedup": op9_suffix_dedup,
