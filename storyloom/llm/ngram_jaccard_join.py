@@ -45,7 +45,7 @@ BAND_RATIO = 1.4
 SHORT = 8
 SHORT_COLUMNS = [f"p{k}" for k in range(SHORT)]
 #: Ids that may be sent to every executor (8 bytes each); beyond it the texts are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 
 
 def most_different(sizes, percent: int):

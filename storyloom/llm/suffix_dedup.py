@@ -34,7 +34,7 @@ MIN_WORDS = 50
 WINDOW, GRAM = 25, 8
 NEIGHBOURS = 24
 #: Ids that may be sent to every executor (8 bytes each); beyond it the texts are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 
 
 def selected_places(words: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
@@ -189,7 +189,6 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     suffixes = places.filter("doc_id is not null").select("doc_id", F.explode(F.arrays_zip("at", "keys")).alias("x")).select("doc_id", F.col("x.at").alias("at"), F.col("x.keys").alias("key"))
     repeated = suffixes.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("key")
     repeated = store.write(repeated, "repeated")
-    repeated = F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS else repeated
     kept = store.write(suffixes.join(repeated, "key", "left_semi").select("doc_id", "at").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("at")).alias("at")), "kept")
     held = kept.select("doc_id")
     held = F.broadcast(held) if kept.count() <= BROADCAST_IDS else held
