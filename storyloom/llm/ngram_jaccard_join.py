@@ -251,18 +251,26 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
 
-def links_among(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def links_among(pairs: DataFrame, sets: DataFrame, percent: int, store: Store) -> DataFrame:
     """The pairs (a, b) that link: by the short sketches, then by the band's, then by the sets themselves."""
 
-    def filtered(rows: DataFrame, columns: list[str], test) -> DataFrame:
-        side = lambda s: sets.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns])
-        both = rows.join(side("a"), "a").join(side("b"), "b")
-        return both.filter(test(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), percent)).select("a", "b")
+    def with_columns(rows: DataFrame, columns: list[str], narrow: bool) -> DataFrame:
+        """Pairs with columns of either set; wide columns are moved for the sets of the pairs only."""
+        own = sets
+        if not narrow:
+            ids = store.write(rows.select(F.col("a").alias("id")).union(rows.select("b")).distinct(), "pair-ids")
+            own = sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+        side = lambda s: own.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns])
+        return rows.join(side("a"), "a").join(side("b"), "b")
 
-    near = filtered(pairs, ["n", *SHORT_COLUMNS], may_link_short)
-    near = filtered(near, ["n", "band", "own", "next"], may_link)
-    full = near.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
-    return full.select("a", "b", "ga", "gb").mapInArrow(partial(_verified, percent=percent), "a long, b long")
+    def filtered(rows: DataFrame, columns: list[str], test, narrow: bool) -> DataFrame:
+        both = with_columns(rows, columns, narrow).filter(test(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), percent))
+        return store.write(both.select("a", "b"), "near")
+
+    near = filtered(pairs, ["n", *SHORT_COLUMNS], may_link_short, True)
+    near = filtered(near, ["n", "band", "own", "next"], may_link, False)
+    full = with_columns(near, ["grams"], False).select("a", "b", "a_grams", "b_grams")
+    return store.write(full.mapInArrow(partial(_verified, percent=percent), "a long, b long"), "links")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, name: str = "jaccard") -> DataFrame:
@@ -282,7 +290,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     sets = store.write(texts.join(few, texts.doc_id == ids.id, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(partial(_sets, n=n, percent=percent), "id long, n long, band long, grams array<long>, own array<long>, next array<long>, " + ", ".join(f"{c} long" for c in SHORT_COLUMNS)), "sets")
     store.free(signed_keys)
-    groups = linked_groups(runs, sets.select("id", "n", *SHORT_COLUMNS), lambda x, y: may_link_short(x, y, percent), lambda pairs: store.write(links_among(pairs, sets, percent), "links"), store)
+    groups = linked_groups(runs, sets.select("id", "n", *SHORT_COLUMNS), lambda x, y: may_link_short(x, y, percent), lambda pairs: links_among(pairs, sets, percent, store), store)
     labels = extended(groups, copies.select(F.col("rep").alias("a"), F.col("id").alias("b")), store)
     store.keep_only(signed, labels)
     return signed.select("doc_id", "n_shingles").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
