@@ -1 +1 @@
-
+"""Refreshes as micro-batches."""
