@@ -7,6 +7,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from ..constants import ARTICLE_LINKS, BAD_IMAGE_ENDS, BAD_IMAGE_PARTS, BODY_CONTAINERS, HTML_ENTITIES, IMAGE_ATTRIBUTES, NAV_ENDS, NAV_PARTS, NAV_SLASHES, SNIPPET_BYTES
 
@@ -254,11 +255,11 @@ def best_link_pattern(html: str) -> str | None:
     return best
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def body_text(html: pd.Series) -> pd.Series:
     return html.map(lambda x: body_of(x) if x else "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def article_link_pattern(html: pd.Series) -> pd.Series:
     return html.map(lambda x: best_link_pattern(x) if x else None)

@@ -1 +1 @@
-
+"""Registered queries over the driver's tables, each with its SQL."""
