@@ -6,10 +6,10 @@ an empty set).  Two texts link when ``100 * |A & B| >= percent * |A | B|``.
 
 1. Size bands.  Linked sets have sizes within ``percent / 100`` of each other, so each set takes
    part in the band of its own size and in the next one if a larger partner may lie there.
-2. Parity sketch.  In a band, each n-gram hash picks one of ``blocks`` blocks and flips one bit
-   of that block's 64.  Each n-gram in only one of two sets flips one bit of one sketch, so
-   the sketches' Hamming distance is at most the symmetric difference, and so is the number
-   of blocks that hold different n-grams.  Linked sets in the band differ in at most D n-grams.
+2. Parity sketch.  Each n-gram hash flips one bit.  An n-gram in only one of two sets flips one bit of one
+   sketch, so the sketches' Hamming distance is at most the symmetric difference.  In a band, the hash also picks
+   one of ``blocks`` blocks, and blocks that hold different n-grams are at most as many.  Linked sets in the band
+   differ in at most D n-grams.
 3. Pigeonhole.  With more than D blocks, linked sets hold the very same n-grams in at least one
    block.  A block's key is the XOR of its n-grams' 64-bit hashes (equal if the block's n-grams
    are, whatever the width of its bit sketch).  Blocks of fewer than ``WEAK`` n-grams say little; a set
@@ -41,8 +41,8 @@ from .wordhash import U64, doc_of, list_array, mix64, ngram_hashes, text_chunks,
 WEAK = 3
 #: Ratio of the sizes that a band spans.
 BAND_RATIO = 1.4
-#: 64-bit words of the sketch that bucket members carry, whatever their size.
-SHORT = 8
+#: 64-bit words of the sketch that bucket members carry, and of the one that pairs are compared by before the sets are.
+SHORT, WIDE = 8, 32
 SHORT_COLUMNS = [f"p{k}" for k in range(SHORT)]
 #: Ids that may be sent to every executor (8 bytes each); beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 200_000
@@ -105,16 +105,16 @@ def blocks_of(h: np.ndarray, d: np.ndarray, blocks: np.ndarray):
     return owner, block, np.bitwise_xor.reduceat(h, at), np.bitwise_xor.reduceat(U64(1) << (h & U64(63)), at), np.diff(at, append=len(slot))
 
 
-def short_sketches(h: np.ndarray, d: np.ndarray, n_sets: int) -> np.ndarray:
-    """sets x SHORT: a parity sketch of one size for all bands; it bounds the symmetric difference of small sets well."""
-    out = np.zeros(n_sets * SHORT, U64)
-    slot = d * SHORT + ((h >> U64(6)) % U64(SHORT)).astype(np.int64)
+def parity_sketches(h: np.ndarray, d: np.ndarray, n_sets: int, words: int) -> np.ndarray:
+    """sets x words: each n-gram flips one of 64 * words bits, so the Hamming distance is at most the symmetric difference."""
+    out = np.zeros(n_sets * words, U64)
+    slot = d * words + ((h >> U64(6)) % U64(words)).astype(np.int64)
     order = np.argsort(slot, kind="stable")
     slot, h = slot[order], h[order]
     if len(slot):
         at = np.flatnonzero(np.diff(slot, prepend=-1))
         out[slot[at]] = np.bitwise_xor.reduceat(U64(1) << (h & U64(63)), at)
-    return out.reshape(n_sets, SHORT)
+    return out.reshape(n_sets, words)
 
 
 def _keys_of_band(h, d, sizes, who, band, low, high, blocks, percent):
@@ -184,30 +184,17 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iter
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, grams (sorted hashes), lo and hi: the parity sketch in the set's own band and in the next one if it takes part there."""
-    edges = bands(percent)
-    lows = np.array([x[0] for x in edges])
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """id, n, grams (sorted hashes), wide and p0... : parity sketches of two sizes."""
     for batch in batches:
         ids = batch.column(0)
         for lo, hi, raw, offsets in text_chunks(batch.column(1)):
             h, d = distinct_ngrams(raw, offsets, n)
             sizes = np.bincount(d, minlength=hi - lo).astype(np.int64)
-            own = np.maximum(np.searchsorted(lows, sizes, side="right") - 1, 0)
-            out = []
-            for step in (0, 1):
-                nb = np.array([edges[min(k + step, len(edges) - 1)][2] for k in own])
-                if step:
-                    nb = np.where(100 * sizes >= percent * lows[np.minimum(own + 1, len(edges) - 1)], nb, 0)
-                inside = nb[d] > 0
-                owner, block, _, bits, _ = blocks_of(h[inside], d[inside], np.maximum(nb, 1))
-                flat = np.zeros(int(nb.sum()), U64)
-                flat[(np.cumsum(nb) - nb)[owner] + block] = bits
-                out.append(list_array(flat.view(np.int64), nb))
-            short = short_sketches(h, d, hi - lo)
+            short, wide = parity_sketches(h, d, hi - lo, SHORT), parity_sketches(h, d, hi - lo, WIDE)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo), pa.array(sizes), pa.array(own), list_array(h.view(np.int64), sizes), *out, *[pa.array(short[:, k].view(np.int64)) for k in range(SHORT)]],
-                names=["id", "n", "band", "grams", "own", "next", *SHORT_COLUMNS],
+                [ids.slice(lo, hi - lo), pa.array(sizes), list_array(h.view(np.int64), sizes), list_array(wide.ravel().view(np.int64), np.full(hi - lo, WIDE)), *[pa.array(short[:, k].view(np.int64)) for k in range(SHORT)]],
+                names=["id", "n", "grams", "wide", *SHORT_COLUMNS],
             )
 
 
@@ -223,16 +210,11 @@ def may_link_short(x, y, percent: int):
     return fits & (distance <= most)
 
 
-def _distance(x, y):
-    """Hamming distance of two sketches of one length."""
-    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v.cast("int"))
-
-
-def may_link(x, y, percent: int):
-    """A Column: sizes and sketch distance allow a link; x(c), y(c) name a column of either side."""
-    sizes, most = _sizes_and_most(x, y, percent)
-    up = lambda side, other: F.when(side("band") < other("band"), side("next")).otherwise(side("own"))
-    return sizes & (F.abs(x("band") - y("band")) <= 1) & (_distance(up(x, y), up(y, x)) <= most)
+def may_link_wide(x, y, percent: int):
+    """The same by the wide sketches."""
+    fits, most = _sizes_and_most(x, y, percent)
+    flips = F.zip_with(x("wide"), y("wide"), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return fits & (F.aggregate(flips, F.lit(0), lambda s, v: s + v.cast("int")) <= most)
 
 
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -252,24 +234,21 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 
 
 def links_among(pairs: DataFrame, sets: DataFrame, percent: int, store: Store) -> DataFrame:
-    """The pairs (a, b) that link: by the short sketches, then by the band's, then by the sets themselves."""
-
-    def with_columns(rows: DataFrame, columns: list[str], narrow: bool) -> DataFrame:
-        """Pairs with columns of either set; wide columns are moved for the sets of the pairs only."""
-        own = sets
-        if not narrow:
-            ids = store.write(rows.select(F.col("a").alias("id")).union(rows.select("b")).distinct(), "pair-ids")
-            own = sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+    """The pairs (a, b) that link: by the wide sketches, then by the sets themselves."""
+
+    def with_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
+        """Pairs with columns of either set; they are moved for the sets of the pairs only."""
+        ids = store.write(rows.select(F.col("a").alias("id")).union(rows.select("b")).distinct(), "pair-ids")
+        own = sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
         side = lambda s: own.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns])
         return rows.join(side("a"), "a").join(side("b"), "b")
 
-    def filtered(rows: DataFrame, columns: list[str], test, narrow: bool) -> DataFrame:
-        both = with_columns(rows, columns, narrow).filter(test(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), percent))
+    def filtered(rows: DataFrame, columns: list[str], test) -> DataFrame:
+        both = with_columns(rows, columns).filter(test(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), percent))
         return store.write(both.select("a", "b"), "near")
 
-    near = filtered(pairs, ["n", *SHORT_COLUMNS], may_link_short, True)
-    near = filtered(near, ["n", "band", "own", "next"], may_link, False)
-    full = with_columns(near, ["grams"], False).select("a", "b", "a_grams", "b_grams")
+    near = filtered(pairs, ["n", "wide"], may_link_wide)
+    full = with_columns(near, ["grams"]).select("a", "b", "a_grams", "b_grams")
     return store.write(full.mapInArrow(partial(_verified, percent=percent), "a long, b long"), "links")
 
 
@@ -288,7 +267,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     runs = store.write(runs, "members")
     ids = store.write(runs.select("id").union(runs.select(F.col("hub").alias("id"))).distinct(), "ids")
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = store.write(texts.join(few, texts.doc_id == ids.id, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(partial(_sets, n=n, percent=percent), "id long, n long, band long, grams array<long>, own array<long>, next array<long>, " + ", ".join(f"{c} long" for c in SHORT_COLUMNS)), "sets")
+    sets = store.write(texts.join(few, texts.doc_id == ids.id, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(partial(_sets, n=n), "id long, n long, grams array<long>, wide array<long>, " + ", ".join(f"{c} long" for c in SHORT_COLUMNS)), "sets")
     store.free(signed_keys)
     groups = linked_groups(runs, sets.select("id", "n", *SHORT_COLUMNS), lambda x, y: may_link_short(x, y, percent), lambda pairs: links_among(pairs, sets, percent, store), store)
     labels = extended(groups, copies.select(F.col("rep").alias("a"), F.col("id").alias("b")), store)
