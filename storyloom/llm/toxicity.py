@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 PREFIXES = (4, 5, 6)
-MAX_LABELLED = 30_000
+MAX_LABELLED = 20_000
 MIN_TEXTS = 5
 #: Likelihood-ratio statistic of a term and the label; 10.8 is one chance in a thousand.
 MIN_G2 = 10.8
@@ -104,13 +104,15 @@ def likelihood_ratio(a: Column, b: Column, pos: float, neg: float) -> Column:
     return 2 * total
 
 
-def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED, min_texts: int = MIN_TEXTS, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 7) -> FactorizationMachine:
-    """labelled: text, label (0 or 1), key (decides which texts are taken if there are too many)."""
-    spark = labelled.sparkSession
-    labelled = labelled.select("text", F.col("label").cast("int").alias("label"), F.col("key").cast("string").alias("key"))
-    total = labelled.count()
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, min_texts: int = MIN_TEXTS, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 7) -> FactorizationMachine:
+    """labels: id_col, label (0 or 1); one row for each labelled text.  Few enough are picked before the texts are joined, so no text is shuffled."""
+    spark = docs.sparkSession
+    labels = labels.select(F.col(id_col).alias("__id"), F.col("label").cast("int").alias("label")).filter("__id is not null and label is not null")
+    total = labels.count()
     if total > max_labelled:
-        labelled = labelled.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_003)) < int(1_000_003 * max_labelled / total))
+        labels = labels.filter(F.pmod(F.xxhash64("__id"), F.lit(1_000_003)) < int(1_000_003 * max_labelled / total))
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
+    labelled = texts.join(F.broadcast(labels), "__id").select("text", "label", F.col("__id").cast("string").alias("key"))  # about max_labelled rows
     totals = labelled.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("p")).first()
     none, pos, neg = np.zeros(0, np.int64), float(totals["p"]), float(totals["n"] - totals["p"])
     if not totals["n"]:
@@ -203,9 +205,9 @@ def _score(batches: Iterator[pd.DataFrame], model) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({**{c: batch[c].to_numpy() for c in batch.columns if c != "text"}, "score": score, "predicted": (score >= 0.5).astype(np.int32)})
 
 
-def score_texts(docs: DataFrame, labelled: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", **options) -> DataFrame:
+def score_texts(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", **options) -> DataFrame:
     """keep columns, score, predicted of every row of ``docs``."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(labelled, **options))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text_col=text_col, **options))
     kept = docs.select(*keep, F.col(text_col).cast("string").alias("text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "text")
     return kept.mapInPandas(partial(_score, model=model), f"{fields}, score double, predicted int")
