@@ -36,7 +36,7 @@ def feed_articles(files: DataFrame, as_of: Column) -> DataFrame:
     entries = files.select("publisher_id", "language", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?s)(<(?:item|entry)[\s>].*?</(?:item|entry)>)"), F.lit(1))).alias("pos", "x"))
     x = F.col("x")
     date = F.coalesce(*[xml_tag(x, t) for t in ("pubDate", "published", "updated", "dc:date")])
-    when = F.coalesce(F.try_to_timestamp(date), F.try_to_timestamp(date, F.lit("EEE, dd MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(F.regexp_replace(date, "^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss Z")))
+    when = F.coalesce(F.try_to_timestamp(date), F.try_to_timestamp(F.regexp_replace(date, "^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss Z")))
     link = F.coalesce(F.nullif(xml_tag(x, "link"), F.lit("")), attribute(F.regexp_extract(x, r"(?s)(<link\s[^>]*>)", 1), "href"))
     summary = F.coalesce(decode_entities(F.coalesce(xml_tag(x, "description"), xml_tag(x, "summary"))), F.lit(""))
     media = attribute(F.regexp_extract(x, r"(?s)(<media:(?:content|thumbnail)[^>]*>)", 1), "url")
