@@ -41,8 +41,8 @@ from .wordhash import U64, doc_of, list_array, mix64, ngram_hashes, text_chunks,
 WEAK = 3
 #: Ratio of the sizes that a band spans.
 BAND_RATIO = 1.4
-#: 64-bit words of the sketch that bucket members carry, and of the one that pairs are compared by before the sets are.
-SHORT, WIDE = 8, 32
+#: 64-bit words of the sketch that bucket members carry, whatever their size.
+SHORT = 8
 SHORT_COLUMNS = [f"p{k}" for k in range(SHORT)]
 #: Ids that may be sent to every executor (8 bytes each); beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 200_000
@@ -105,16 +105,25 @@ def blocks_of(h: np.ndarray, d: np.ndarray, blocks: np.ndarray):
     return owner, block, np.bitwise_xor.reduceat(h, at), np.bitwise_xor.reduceat(U64(1) << (h & U64(63)), at), np.diff(at, append=len(slot))
 
 
-def parity_sketches(h: np.ndarray, d: np.ndarray, n_sets: int, words: int) -> np.ndarray:
-    """sets x words: each n-gram flips one of 64 * words bits, so the Hamming distance is at most the symmetric difference."""
-    out = np.zeros(n_sets * words, U64)
-    slot = d * words + ((h >> U64(6)) % U64(words)).astype(np.int64)
+def parity_sketches(h: np.ndarray, d: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Sketches of words[k] 64-bit words for each set k, one after another; each n-gram flips one bit.
+
+    The Hamming distance of two sketches is at most the symmetric difference of the sets.  With sizes that are powers of two, the
+    XOR of a sketch's halves is the sketch of half the size.
+    """
+    out = np.zeros(int(words.sum()), U64)
+    slot = (np.cumsum(words) - words)[d] + ((h >> U64(6)) % words[d].astype(U64)).astype(np.int64)
     order = np.argsort(slot, kind="stable")
     slot, h = slot[order], h[order]
     if len(slot):
         at = np.flatnonzero(np.diff(slot, prepend=-1))
         out[slot[at]] = np.bitwise_xor.reduceat(U64(1) << (h & U64(63)), at)
-    return out.reshape(n_sets, words)
+    return out
+
+
+def wide_words(sizes: np.ndarray) -> np.ndarray:
+    """64-bit words of a set's wide sketch: a power of two, about four bits or more for each n-gram."""
+    return (1 << np.ceil(np.log2(np.maximum(sizes, 128) / 16)).astype(np.int64)).astype(np.int64)
 
 
 def _keys_of_band(h, d, sizes, who, band, low, high, blocks, percent):
@@ -191,9 +200,10 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
         for lo, hi, raw, offsets in text_chunks(batch.column(1)):
             h, d = distinct_ngrams(raw, offsets, n)
             sizes = np.bincount(d, minlength=hi - lo).astype(np.int64)
-            short, wide = parity_sketches(h, d, hi - lo, SHORT), parity_sketches(h, d, hi - lo, WIDE)
+            short, width = parity_sketches(h, d, np.full(hi - lo, SHORT)).reshape(-1, SHORT), wide_words(sizes)
+            wide = parity_sketches(h, d, width)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo), pa.array(sizes), list_array(h.view(np.int64), sizes), list_array(wide.ravel().view(np.int64), np.full(hi - lo, WIDE)), *[pa.array(short[:, k].view(np.int64)) for k in range(SHORT)]],
+                [ids.slice(lo, hi - lo), pa.array(sizes), list_array(h.view(np.int64), sizes), list_array(wide.view(np.int64), width), *[pa.array(short[:, k].view(np.int64)) for k in range(SHORT)]],
                 names=["id", "n", "grams", "wide", *SHORT_COLUMNS],
             )
 
@@ -211,9 +221,12 @@ def may_link_short(x, y, percent: int):
 
 
 def may_link_wide(x, y, percent: int):
-    """The same by the wide sketches."""
+    """The same by the wide sketches, whose size follows that of the set; the larger is folded to the smaller."""
     fits, most = _sizes_and_most(x, y, percent)
-    flips = F.zip_with(x("wide"), y("wide"), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    m = F.least(F.size(x("wide")), F.size(y("wide")))
+    halves = lambda v: F.zip_with(F.slice(v, F.lit(1), m), F.slice(v, m + 1, m), lambda p, q: p.bitwiseXOR(q))
+    fitted = lambda v: F.when(F.size(v) == m, v).otherwise(halves(v))  # noqa: E731  sizes that fit differ by one doubling at most
+    flips = F.zip_with(fitted(x("wide")), fitted(y("wide")), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
     return fits & (F.aggregate(flips, F.lit(0), lambda s, v: s + v.cast("int")) <= most)
 
 
