@@ -36,10 +36,12 @@ from .shared_store import Store
 from .wordhash import U64, mix64, text_chunks, word_hashes
 
 #: Characters of training text for one bucket of pairs.
-BUCKET_CHARS = 10_000_000
+BUCKET_CHARS = 5_000_000
 #: Characters of the sample in which common contexts are looked for.
 HOT_SAMPLE = 3_000_000
 _MASK = U64((1 << 48) - 1)
+#: Distinct pairs that a worker holds before it packs them.
+FLUSH = 1_200_000
 END, START = U64(1), U64(2)
 _SIX = np.dtype([("lo", "<u4"), ("hi", "<u2")])
 
@@ -119,7 +121,7 @@ def _partial_counts(batches: Iterator[pa.RecordBatch], buckets: int, hot) -> Ite
             context, token, _ = _tokens(raw, offsets)
             held.append(_summed(context, token, np.ones(len(token), np.int64)))
             size += len(held[-1][0])
-            if size > 4_000_000:
+            if size > FLUSH:
                 yield flush()
                 held, size = [], 0
     if held:
