@@ -133,7 +133,9 @@ def untested_pairs(runs: DataFrame, labels: DataFrame, facts: DataFrame, conditi
     join, so pairs that fail it are never made.  A pair with its run's hub has been tested.
     """
     grouped = runs.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = grouped.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("n > 2 and lo <> hi").select("key")
+    # Every member has been compared with its hub: a pair is left if other members differ, or where a key spans ranges and so has several hubs.
+    own = F.when(F.col("id") != F.col("hub"), F.col("component"))
+    mixed = grouped.groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi"), F.min("hub").alias("h1"), F.max("hub").alias("h2")).filter("lo <> hi or h1 <> h2").select("key")
     members = grouped.join(mixed, "key", "left_semi").join(facts, "id")
     x = members.select(*[F.col(c).alias(f"x_{c}") for c in members.columns])
     y = members.select(*[F.col(c).alias(f"y_{c}") for c in members.columns])

@@ -26,7 +26,7 @@ _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 #: Bytes of text handled at once; a longer text is handled alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -50,7 +50,7 @@ def test_lines(spark, docs):
                 first.setdefault(form(line), (k, n))
     lines = list(first)
     raw = [" ".join(x).encode() for x in lines]
-    _, _, _, sim, a1, a2, _, _ = line_dedup.line_features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    _, _, _, sim, a1, a2, *_ = line_dedup.line_features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
     group = list(range(len(lines)))
 
     def top(x):
