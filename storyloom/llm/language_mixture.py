@@ -40,7 +40,7 @@ ROUNDS, SETTLED = 30, 1e-4
 #: Weight of the penalty on each further language.
 PENALTY = 4.0
 #: Words in a worker's memory of word likelihoods.
-MEMORY = 400_000
+MEMORY = 120_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -185,8 +185,8 @@ def _predict(batches: Iterator[pd.DataFrame], model, penalty: float, give_text:
     rows = np.zeros((1024, max(1, len(m.langs))), np.float32)
     names = np.array([*m.langs, "und"], dtype=object)
     for batch in batches:
-        for at in range(0, len(batch), 512):
-            part = batch.iloc[at : at + 512]
+        for at in range(0, len(batch), 256):
+            part = batch.iloc[at : at + 256]
             pred, score, spoken = np.full(len(part), len(m.langs)), np.zeros(len(part)), [[] for _ in range(len(part))]
             idx, cnt, doc = [], [], []
             if len(known) > MEMORY:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Distinct words that a worker remembers.
-MEMORY = 600_000
+MEMORY = 300_000
 
 
 class PieceAutomaton:

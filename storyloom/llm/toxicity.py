@@ -33,7 +33,7 @@ MAX_TERMS = 100_000
 FACTORS = 8
 EPOCHS = 12
 #: Distinct words that a worker remembers.
-MEMORY = 500_000
+MEMORY = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
