@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .shared_store import Store
+from .shared_store import bounded_batches
 
 ORDER = 4
 #: Characters of labelled text that each language's model is fitted on, at most.
@@ -236,6 +236,7 @@ def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
 
 def identify(docs: DataFrame, labelled: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", penalty: float = PENALTY, sample_chars: int = SAMPLE_CHARS, give_text: bool = False) -> DataFrame:
     """keep columns (and text, if asked for), lang_pred, score, langs (the selected set, largest proportion first) of every document."""
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(labelled, sample_chars))
     kept = docs.select(*keep, F.col(text_col).alias("text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if give_text or f.name != "text")

@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .shared_store import bounded_batches
+
 #: Distinct words that a worker remembers.
 MEMORY = 300_000
 
@@ -120,6 +122,7 @@ def _count(batches: Iterator[pa.RecordBatch], automaton, lead: bytes) -> Iterato
 
 def count_pieces(docs: DataFrame, first: Iterable[bytes], within: Iterable[bytes], lead: bytes = b"", keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """keep columns, n_words, n_tokens, n_unknown of every row; ``lead`` stands before each word."""
+    bounded_batches(docs.sparkSession)
     automaton = docs.sparkSession.sparkContext.broadcast(PieceAutomaton(first, within))  # the vocabulary: its size does not depend on the data
     kept = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "__text")

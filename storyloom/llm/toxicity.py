@@ -23,6 +23,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .shared_store import bounded_batches
+
 PREFIXES = (4, 5, 6)
 MAX_LABELLED = 20_000
 MIN_TEXTS = 5
@@ -207,6 +209,7 @@ def _score(batches: Iterator[pd.DataFrame], model) -> Iterator[pd.DataFrame]:
 
 def score_texts(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", **options) -> DataFrame:
     """keep columns, score, predicted of every row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text_col=text_col, **options))
     kept = docs.select(*keep, F.col(text_col).cast("string").alias("text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "text")
