@@ -434,3 +434,72 @@ def stream_windows(spark, d):
     from ..streaming.refresh import counts_by_window
 
     return counts_by_window(table(spark, d, "events"))
+
+
+@query("q_custom_publishers", f"{AS} SELECT DISTINCT 'own-' || publisher_id AS id, 'https://' || publisher_id AS rss_url FROM art")
+def q_custom_publishers(spark, d):
+    return _art(spark, d).select(F.concat(F.lit("own-"), "publisher_id").alias("id"), F.concat(F.lit("https://"), "publisher_id").alias("rss_url")).distinct().orderBy("id")
+
+
+@query("src_get_publishers", f"{AS} SELECT publisher_id AS id, false AS is_global FROM pub UNION ALL SELECT DISTINCT 'own-' || publisher_id, true FROM art")
+def src_get_publishers(spark, d):
+    own = _art(spark, d).select(F.concat(F.lit("own-"), "publisher_id").alias("id"), F.lit(True).alias("is_global")).distinct()
+    return publishers(spark).select("id", F.lit(False).alias("is_global")).unionByName(own)
+
+
+@query("q_cluster_headlines", f"{AS} SELECT id, headline FROM art WHERE cluster_id = 'c3'")
+def q_cluster_headlines(spark, d):
+    return _art(spark, d).filter("cluster_id = 'c3'").select("id", "headline")
+
+
+@query("q_body_cache", f"{AS} SELECT id, coalesce(nullif(image_url, ''), 'none') AS image_url FROM art WHERE body_text <> ''")
+def q_body_cache(spark, d):
+    return _art(spark, d).filter("body_text <> ''").select("id", X.nonempty(F.col("image_url"), F.lit("none")).alias("image_url"))
+
+
+@query("q_ai_cache", f"{AS}, {CLUSTERS} SELECT id, 'h' AS ai_headline FROM cl WHERE is_blindspot")
+def q_ai_cache(spark, d):
+    c = _clusters(_art(spark, d))
+    return C.cache_summary(c, c.filter("is_blindspot").select("id", F.lit("h").alias("ai_headline"), F.lit("s").alias("ai_summary"))).filter("ai_headline <> ''").select("id", "ai_headline")
+
+
+@query("dml_wipe_all", f"{AS} SELECT id FROM art WHERE false")
+def dml_wipe_all(spark, d):
+    art = _art(spark, d)
+    return C.wipe_all(art, art)[0].select("id")
+
+
+@query("dml_custom_pub_upsert", f"{AS} SELECT DISTINCT publisher_id AS id, CASE WHEN bias = 'church_owned' THEN 'new' ELSE publisher_id END AS rss_url FROM art")
+def dml_custom_pub_upsert(spark, d):
+    own = _art(spark, d).select(F.col("publisher_id").alias("id"), F.col("publisher_id").alias("rss_url"), "bias").distinct()
+    return C.upsert_publisher(own.select("id", "rss_url"), own.filter("bias = 'church_owned'").select("id", F.lit("new").alias("rss_url")))
+
+
+@query("dml_set_cluster", f"{AS} SELECT id, CASE WHEN bias = 'church_owned' THEN 'moved' ELSE cluster_id END AS cluster_id FROM art")
+def dml_set_cluster(spark, d):
+    art = _art(spark, d)
+    return C.set_value(art, art.filter("bias = 'church_owned'").select("id", F.lit("moved").alias("cluster_id")), "cluster_id").select("id", "cluster_id")
+
+
+@query("x_cluster_headline", f"{AS} SELECT cluster_id, coalesce((array_agg(headline ORDER BY published_at, id) FILTER (language = 'mt'))[1], nullif((array_agg(translated_headline ORDER BY published_at, id))[1], ''), (array_agg(headline ORDER BY published_at, id))[1]) AS headline FROM art GROUP BY 1")
+def x_cluster_headline(spark, d):
+    at = F.struct("published_at", "id")
+    native = F.min_by("headline", F.when(F.col("language") == "mt", at))
+    return _art(spark, d).groupBy("cluster_id").agg(F.coalesce(native, F.nullif(F.min_by("translated_headline", at), F.lit("")), F.min_by("headline", at)).alias("headline"))
+
+
+@query("u_summarise", f"{AS} SELECT cluster_id, (array_agg(headline ORDER BY published_at, id))[1] AS headline, coalesce((array_agg(snippet ORDER BY published_at, id) FILTER (snippet <> ''))[1], '') AS summary FROM art GROUP BY 1")
+def u_summarise(spark, d):
+    at = F.struct("published_at", "id")
+    return _art(spark, d).groupBy("cluster_id").agg(F.min_by("headline", at).alias("headline"), F.coalesce(F.min_by("snippet", F.when(F.col("snippet") != "", at)), F.lit("")).alias("summary"))
+
+
+@query("f_category_gate", f"{AS}, {DOMINANT} SELECT id FROM art JOIN dc USING (cluster_id) WHERE dc.category = art.category OR dc.category = 'general' OR art.category = 'general'")
+def f_category_gate(spark, d):
+    art = _art(spark, d)
+    return art.join(R.dominant_category(art).withColumnRenamed("category", "story_category"), "cluster_id").filter(Y.compatible(F.col("story_category"), F.col("category"))).select("id")
+
+
+@query("k_limits", f"{AS} SELECT cluster_id, id FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY published_at, id) AS n FROM art) WHERE n <= 5")
+def k_limits(spark, d):
+    return R.timeline(_art(spark, d)).filter("position <= 5").select("cluster_id", "id")
