@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .shared_store import bounded_batches
+from .shared_store import bounded_batches, release_memory
 
 ORDER = 4
 #: Characters of labelled text that each language's model is fitted on, at most.
@@ -220,6 +220,8 @@ def _predict(batches: Iterator[pd.DataFrame], model, penalty: float, give_text:
                 for k, t in zip(who, theta):
                     spoken[k] = [m.langs[j] for j in np.argsort(-t, kind="stable") if t[j] > 0]
             yield pd.DataFrame({**{c: part[c].to_numpy() for c in part.columns if give_text or c != "text"}, "lang_pred": names[pred], "score": score, "langs": spoken})
+    del known, rows
+    release_memory()
 
 
 def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .links import extended, key_runs, linked_groups
-from .shared_store import Store
+from .shared_store import Store, release_memory
 from .wordhash import U64, doc_of, list_array, mix64, ngram_hashes, text_chunks, word_hashes
 
 #: Blocks with fewer n-grams than this are left out where that loses nothing.
@@ -191,6 +191,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iter
                 [ids.slice(lo, hi - lo), pa.array(sizes), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), list_array(key.view(np.int64), np.bincount(owner, minlength=hi - lo))],
                 names=["doc_id", "n_shingles", "f1", "f2", "keys"],
             )
+    release_memory()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -206,6 +207,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
                 [ids.slice(lo, hi - lo), pa.array(sizes), list_array(h.view(np.int64), sizes), list_array(wide.view(np.int64), width), *[pa.array(short[:, k].view(np.int64)) for k in range(SHORT)]],
                 names=["id", "n", "grams", "wide", *SHORT_COLUMNS],
             )
+    release_memory()
 
 
 def _sizes_and_most(x, y, percent: int):

@@ -20,7 +20,6 @@ Rows: a null or empty text is the end id alone.  Equal rows are packed one by on
 
 from __future__ import annotations
 
-import hashlib
 import json
 import zlib
 from collections.abc import Iterator
@@ -31,12 +30,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared_store import Store
+from .shared_store import Store, release_memory
 from .wordhash import list_array
 
 CAPACITY = 1024
 END_ID = 0
-_LOADED: dict[str, "ByteTokenizer"] = {}
 
 
 def _byte_letters() -> dict[str, int]:
@@ -58,10 +56,7 @@ class ByteTokenizer:
     ODD = regex.compile(r"[^\x00-ɏͰ-ͽΆ-ώЀ-џ‐-‧‰-⁞€ぁ-ゖァ-ヺ一-龥]|[\x85\x1C-\x1F]")
 
     def __init__(self, file: bytes):
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_str(file.decode())
-        self.fast = None
+        self.file, self._slow, self.fast = file, None, None
         said = json.loads(file)
         added = [x["content"] for x in said.get("added_tokens") or []]
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
@@ -77,23 +72,23 @@ class ByteTokenizer:
             ranks = {bytes(letters[c] for c in t): vocab[t] for t in [*letters, *joined] if t in vocab}
             self.fast = tiktoken.Encoding("file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @property
+    def slow(self):
+        """The file's own tokenizer, loaded when a text needs it."""
+        if self._slow is None:
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_str(self.file.decode())
+        return self._slow
+
     def ids(self, text: str) -> np.ndarray:
         if self.fast is not None and not self.ODD.search(text) and not (self.added and self.added.search(text)):
             return np.array(self.fast.encode_ordinary(text), dtype="<u4")
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
-def tokenizer(file: bytes) -> ByteTokenizer:
-    """One tokenizer for each worker process and file."""
-    key = hashlib.sha256(file).hexdigest()
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = ByteTokenizer(file)
-    return _LOADED[key]
-
-
 def _pieces(batches: Iterator[pa.RecordBatch], file, capacity: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    t = tokenizer(file.value)
+    t = ByteTokenizer(file.value)
     end = np.array([end_id], dtype="<u4")
     for batch in batches:
         ids = batch.column(0)
@@ -114,6 +109,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], file, capacity: int, end_id: int,
                 columns.append(list_array(np.concatenate(held).astype(np.int32) if held else np.zeros(0, np.int32), np.array(length, int)))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+    del t
+    release_memory()
 
 
 def padding(length: int, capacity: int) -> int:
