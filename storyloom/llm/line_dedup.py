@@ -3,17 +3,15 @@
 A line is what stands between line feeds.  Its normal form is its words (runs of ASCII letters and digits and of
 characters above U+007F, A-Z lower-cased) joined by single spaces; a line without words is blank.
 
-1. Each text gives, for each line that isn't blank, a 64-bit hash of the normal form, a 64-bit SimHash over its words, and
-   its anchors: the two longest words.  Lines of one normal form are grouped at once, with partial aggregation,
-   to their first occurrence.
-2. Pigeonhole: the SimHash's bits are cut into ``DISTANCE + 1`` blocks, so SimHashes that differ in at most
-   ``DISTANCE`` bits agree on one of them.  A block of few bits alone would fill huge buckets, so a key is an anchor and a
-   block; only anchors that several lines have give keys.  The few lines of an anchor of at most ``COMMON`` lines are all
-   compared by SimHash, as blocks would only repeat them.  Near lines nearly always share one of their longest words,
-   so this allows a distance that finds lines of edit similarity 0.8 (README has the recall measured).
-3. Lines that share a key are compared with the key's most frequent line and linked if the SimHashes are that near and the normal forms'
-   edit similarity over words, ``1 - levenshtein / longer``, is ``similarity`` or more; then pairs across groups are compared.
-   A large bucket is never expanded into all its pairs.
+1. Each text gives, for each line that isn't blank, a 64-bit hash of the normal form, the parities of its words and its
+   prefix keys.  Lines of one normal form are grouped at once, with partial aggregation, to their first occurrence.
+2. Prefixes: lines of n words and edit similarity ``similarity`` over words share all but ``k = (1 - similarity) * n`` words, so
+   in one order of all words their first k + 1 share one and their first k + 2 share two.  The order puts rare words first, by
+   counts of a sample: it decides the time, not the result.  A rare word is a key; words frequent in the sample give a key for
+   each two of them, and in lines of more than about ``LONG`` words a key each.  So no similar pair is left out.
+3. The lines of a key of at most ``COMMON`` lines are all compared.  Those of a larger one are compared with its most frequent line,
+   and then in pairs across groups.  Sizes and parities rule pairs out; the others are linked if the normal forms' edit
+   similarity over words, ``1 - levenshtein / longer``, is ``similarity`` or more.
 4. Of each connected group the first occurrence (smallest doc_id, then line number) is kept.  Kept lines are
    sent to their documents; removed ones, of which a common line may have very many, are not moved at all.
 
@@ -24,6 +22,7 @@ doc_id are one document, and each such row keeps the same lines.  Ties cannot oc
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +30,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from .links import components, extended, key_runs, untested_pairs
 from .shared_store import Store, release_memory
-from .wordhash import U64, hash_spans, mix64, text_chunks
+from .wordhash import U64, hash_spans, list_array, mix64, text_chunks
 
 BITS, DISTANCE = 64, 10
 SIMILARITY = 0.8
-#: Lines of an anchor from which its bucket is split by SimHash blocks.
+#: Lines of a key from which they are first compared with its most frequent line; words expected in so many lines are keys in twos.
 COMMON = 384
+#: Documents are counted for the order of words one in SAMPLE; at most FREQUENT words are told apart.
+SAMPLE, FREQUENT = 8, 1 << 18
+#: Words of a line beyond which frequent words are keys alone, as the twos would be too many.
+LONG = 128
 #: Ids that may be sent to every executor (8 bytes each).
 BROADCAST_IDS = 200_000
 _WORDLESS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -93,23 +96,70 @@ def line_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...
     return text, line[first] - top, h, sims, longest, second, *parity, count.astype(U64)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def prefix_keys(words: np.ndarray, line: np.ndarray, frequent: np.ndarray, often: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key): each line's prefix keys.  frequent: sorted hashes of frequent words, often: their counts."""
+    seen = np.zeros(len(words), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
+        seen = np.where(frequent[at] == words, often[at], 0)
+    order = np.lexsort((words, seen, line))
+    words, line, seen = words[order], line[order], seen[order]
+    nth = np.arange(len(line))
+    new = (np.diff(line, prepend=-1) != 0)
+    first = np.flatnonzero(new)
+    count = np.diff(first, append=len(line))
+    size, pos = np.repeat(count, count), nth - np.repeat(first, count)
+    new[1:] |= words[1:] != words[:-1]
+    again = nth - np.maximum.accumulate(np.where(new, nth, 0))  # a word's second place in a line is a word of its own
+    words = mix64(words + mix64(again.astype(U64)) * (again > 0).astype(U64))
+    k = np.floor((1 - similarity + 1e-9) * size).astype(np.int64)
+    able, hot = size + np.floor((1 / similarity - 1 + 1e-9) * size) > size, seen > 0  # lines that a different line can be similar to
+    alone = able & (pos <= k) & (~hot | (size > similarity * LONG - 1) | (similarity * size < 2))
+    keys, lines = [mix64(words[alone] + hot[alone].astype(U64))], [line[alone]]
+    two = np.flatnonzero(able & hot & (size <= LONG) & (pos <= k + 1))
+    for step in range(1, len(two)):
+        i, j = two[:-step], two[step:]
+        same = line[i] == line[j]
+        if not same.any():
+            break
+        keys.append(mix64(mix64(words[i[same]]) + words[j[same]])), lines.append(line[i[same]])
+    return np.concatenate(lines), np.concatenate(keys)
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, _, raw, offsets in text_chunks(batch.column(0)):
+            word, n = np.unique(line_words(raw, offsets)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+
+
+def frequent_words(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sorted, counts) of the words that a sample of the texts suggests to be in COMMON lines."""
+    some = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
+    counts = some.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = counts.filter(F.col("n") * SAMPLE > COMMON).orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
+    word, n = found["word"].to_numpy().astype(np.int64).view(U64), found["n"].to_numpy().astype(np.int64)
+    order = np.argsort(word)
+    return word[order], n[order]
+
+
+def _features(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, often: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
         for lo, _, raw, offsets in text_chunks(batch.column(1)):
-            text, line, h, *rest = line_features(raw, offsets)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(lo + text)), pa.array(line.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in (h, *rest)]], names=["doc_id", "line", "id", "sim", "a1", "a2", "p0", "p1", "size"])
+            text, line, h, _, _, _, p0, p1, size = line_features(raw, offsets)
+            words, word_line, _, _ = line_words(raw, offsets)
+            of, keys = prefix_keys(words, word_line, frequent, often, similarity)
+            order = np.argsort(of, kind="stable")
+            having = np.unique(word_line)
+            counts = np.bincount(np.searchsorted(having, of), minlength=len(having))
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(lo + text)), pa.array(line.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in (h, p0, p1, size)], list_array(keys[order].view(np.int64), counts)],
+                names=["doc_id", "line", "id", "p0", "p1", "size", "keys"],
+            )
     release_memory()
 
 
-def block_keys(anchor: str, sim: str):
-    """A Column: the array of keys of an anchor and a SimHash, one for each block."""
-    cuts = [round(k * BITS / (DISTANCE + 1)) for k in range(DISTANCE + 2)]
-    masks = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    return F.array(*[F.xxhash64(F.col(anchor), F.lit(k), F.col(sim).bitwiseAND(F.lit(m))) for k, m in enumerate(signed)])
-
-
 def _line_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """text, asked (line, id) -> id, norm: each asked line with a character for each word, by the word's hash.
 
@@ -135,17 +185,17 @@ def similar(a, b, similarity: float):
     return (F.abs(F.length(a) - F.length(b)) <= most) & (F.call_function("levenshtein", a, b, most) >= 0)
 
 
-FACTS = ["sim", "p0", "p1", "size"]
+FACTS = ["p0", "p1", "size"]
 
 
 def near(x, y, similarity: float):
-    """A Column: SimHashes are near, and the words allow the similarity; x(c), y(c) name a column of either line.
+    """A Column: the words allow the similarity; x(c), y(c) name a column of either line.
 
     Each edit of a word changes the parity of two words at most, so more flipped bits rule a pair out before its text is read.
     """
     most = F.floor(F.lit(1 - similarity + 1e-9) * F.greatest(x("size"), y("size")))
     differ = lambda c: F.bit_count(x(c).bitwiseXOR(y(c)))
-    return (differ("sim") <= DISTANCE) & (F.abs(x("size") - y("size")) <= most) & (differ("p0") + differ("p1") <= 2 * most)
+    return (F.abs(x("size") - y("size")) <= most) & (differ("p0") + differ("p1") <= 2 * most)
 
 
 def _sided(df: DataFrame, side: str, *keep: str) -> DataFrame:
@@ -192,21 +242,20 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     spark = docs.sparkSession
     store = Store(spark, "lines")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    found = texts.mapInArrow(_features, "doc_id long, line int, id long, sim long, a1 long, a2 long, p0 long, p1 long, size long")
-    lines = found.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.min(F.struct("sim", "a1", "a2", "p0", "p1", "size")).alias("f"), F.count("*").alias("n"))
+    frequent, often = frequent_words(texts)
+    found = texts.mapInArrow(partial(_features, frequent=frequent, often=often, similarity=similarity), "doc_id long, line int, id long, p0 long, p1 long, size long, keys array<long>")
+    lines = found.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("at"), *[F.first(c).alias(c) for c in (*FACTS, "keys")], F.count("*").alias("n"))
     # The most frequent lines get the smallest ids, so hubs are the lines that others were made from.
     often = F.shiftleft((F.lit(31) - F.floor(F.log2(F.col("n").cast("double")))).cast("long"), 58)
-    lines = store.write(lines.select(often.bitwiseOR(F.col("id").bitwiseAND(F.lit((1 << 58) - 1))).alias("id"), "at", "f.*"), "lines")
-    anchors = lines.select("id", *FACTS, F.explode(F.array_distinct(F.array("a1", "a2"))).alias("anchor")).filter("anchor <> 0")
-    shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
-    hot = F.col("n") > COMMON
-    shared = anchors.join(shared, "anchor").select("id", *FACTS, hot.alias("hot"), F.explode(F.when(hot, block_keys("anchor", "sim")).otherwise(F.array("anchor"))).alias("key"))
-    shared = store.write(shared, "shared")
-    # Few lines: all their near pairs, at most COMMON / 2 for each line.
+    lines = store.write(lines.select(often.bitwiseOR(F.col("id").bitwiseAND(F.lit((1 << 58) - 1))).alias("id"), "at", *FACTS, "keys"), "lines")
+    keyed = lines.select("id", *FACTS, F.explode(F.array_distinct("keys")).alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = store.write(keyed.join(shared, "key").select("id", *FACTS, (F.col("n") > COMMON).alias("hot"), "key"), "shared")
+    # Few lines: all their near pairs, at most COMMON / 2 for each line and key.
     few = shared.filter("not hot")
     both = _sided(few, "a", "key").join(_sided(few, "b", "key"), "key")
     pairs = both.filter((F.col("a") < F.col("b")) & near(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), similarity)).select("a", "b")
-    # Many lines: blocks, links to hubs, and then the pairs across groups.
+    # Many lines: links to hubs, and then the pairs across groups.
     runs = store.write(key_runs(shared.filter("hot").select("key", "id"), store), "members")
     facts = lines.select("id", *FACTS)
     stars = runs.filter("hub <> id").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()

@@ -1,10 +1,12 @@
 """Links of line_dedup that narrower candidate rules lost."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 
-from storyloom.llm import line_dedup
+from storyloom.llm import line_dedup, queries
 
 
 def sims(lines):
@@ -17,6 +19,15 @@ def removed(spark, lines):
     return {r.doc_id for r in got if r["__removed"]}
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def test_one_word_of_ten(spark):
     """A short word of ten is replaced, so similarity is 0.9; SimHashes 9 or 10 bits apart count as near."""
     rng = random.Random(7)
@@ -29,3 +40,63 @@ def test_one_word_of_ten(spark):
             pairs.append((a, b))
     assert len(pairs) > 20
     assert removed(spark, [x for p in pairs for x in p]) == set(range(1, 2 * len(pairs), 2))
+
+
+def test_no_anchor(spark):
+    """Both longest words differ, or more words than SimHashes of 10 bits apart allow."""
+    rng = random.Random(3)
+    lines = []
+    for k in range(60):
+        words = [f"w{rng.randrange(10**6):06d}" for _ in range(10 + k % 7)]
+        lines.append(" ".join([*words, f"firstlongest{k:04d}", f"secondlongest{k:04d}"]))
+        lines.append(" ".join([*words, f"otherlongest{k:04d}", f"differentlongest{k:04d}"]))
+    assert removed(spark, lines) == set(range(1, 120, 2))
+
+
+def test_all_word_pairs(spark, monkeypatch):
+    """Against all pairs of word similarity 0.8, with frequent words, words that repeat and lines beyond LONG."""
+    monkeypatch.setattr(line_dedup, "COMMON", 6)
+    rng = random.Random(5)
+    lines = []
+    for k in range(150):
+        words = [f"v{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.choice((4, 5, 6, 9, 14, 27, 110, 135)))]
+        lines.append(words)
+        for _ in range(rng.randrange(3)):
+            other = list(words)
+            for _ in range(rng.randrange(1, 2 + len(words) // 5)):
+                at = rng.randrange(len(other))
+                rng.choice((lambda: other.pop(at), lambda: other.insert(at, f"v{rng.randrange(60)}"), lambda: other.__setitem__(at, f"x{rng.randrange(999)}")))()
+            lines.append(other)
+
+    group = list(range(len(lines)))
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            most = int(0.2 * max(len(a), len(b)) + 1e-6)
+            if abs(len(a) - len(b)) <= most and group[i] != group[j] and edits(a, b) <= most:
+                group = [group[j] if g == group[i] else g for g in group]
+    expected = {i for i, g in enumerate(group) if g in group[:i]}
+    assert len(expected) > 30 and removed(spark, [" ".join(x) for x in lines]) == expected
+
+
+def test_whole_table(spark):
+    """Against all pairs of word similarity 0.8 of a table; no rule on anchors or SimHashes."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    words = lambda x: tuple(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", x.translate({k: k + 32 for k in range(65, 91)})))
+    first = {}
+    for k in sorted(docs):
+        for n, line in enumerate(docs[k].split("\n")):
+            if words(line):
+                first.setdefault(words(line), (k, n))
+    lines, bags = list(first), [Counter(x) for x in first]
+    group = list(range(len(lines)))
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            most = int(0.2 * max(len(a), len(b)) + 1e-6)
+            if abs(len(a) - len(b)) <= most and group[i] != group[j] and sum((bags[i] & bags[j]).values()) >= max(len(a), len(b)) - most and edits(a, b) <= most:
+                group = [group[j] if g == group[i] else g for g in group]
+    stay = {}
+    for x, g in zip(lines, group):
+        stay[g] = min(stay.get(g, first[x]), first[x])
+    stay = set(stay.values())
+    for r in queries.op4_line_dedup(spark, "/root/testdata/sf0.001").collect():
+        assert r.text == "\n".join(x for n, x in enumerate(docs[r.doc_id].split("\n")) if not words(x) or (r.doc_id, n) in stay)
