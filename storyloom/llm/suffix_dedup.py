@@ -11,6 +11,8 @@ documents is found in both, wherever it stands.
    of their right context, left context, document and place, so a passage that very many documents share is spread over tasks.
 4. Each suffix is compared with its ``NEIGHBOURS`` nearest on either side and matches are extended right and left.  The ends of
    each range are compared again with each other: a few rows a range.  Matches of at least ``min_words`` words count.
+   That is all pairs, as suffixes whose first words start more than ``NEIGHBOURS`` others do not take part in 3 and 4: of these every
+   window of ``min_words`` words around the place is hashed, and windows of two documents count (partial aggregation).
 5. The places covered are merged to spans of each document.
 
 Rows: a null or short text has no spans.  Repeats within one document do not count.  Rows repeated with one doc_id are one
@@ -81,6 +83,23 @@ def _places(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Re
             )
 
 
+def _windows(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, text, at -> a row for each window of min_words words that begins at most WINDOW - 1 words before one of the places."""
+    for batch in batches:
+        ids, at = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+        starts, places = at.offsets.to_numpy(), at.values.to_numpy()
+        for lo, hi, raw, offsets in text_chunks(batch.column(1)):
+            words, first = word_hashes(raw, offsets)
+            runs = run_hashes(words, min_words)
+            for k in range(lo, hi):
+                p = places[starts[k] : starts[k + 1]].astype(np.int64)
+                begin = np.unique(p[:, None] - np.arange(WINDOW))
+                begin = begin[(begin >= 0) & (begin + min_words <= first[k - lo + 1] - first[k - lo])]
+                if len(begin):
+                    hashes = runs[first[k - lo] + begin].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.full(len(begin), ids[k], np.int64)), pa.array(begin.astype(np.int32))], names=["window", "doc_id", "start"])
+
+
 def _contexts(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     """doc_id, text, at -> a row for each place: right and left context, nearest word first."""
     m = min_words
@@ -187,20 +206,28 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     places = store.write(texts.mapInArrow(partial(_places, min_words=min_words), "doc_id long, n_words long, at array<int>, keys array<long>"), "places")
     suffixes = places.filter("doc_id is not null").select("doc_id", F.explode(F.arrays_zip("at", "keys")).alias("x")).select("doc_id", F.col("x.at").alias("at"), F.col("x.keys").alias("key"))
-    repeated = suffixes.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("key")
+    repeated = suffixes.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("key", (F.col("n") > NEIGHBOURS + 1).alias("many"))
     repeated = store.write(repeated, "repeated")
-    kept = store.write(suffixes.join(repeated, "key", "left_semi").select("doc_id", "at").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("at")).alias("at")), "kept")
-    held = kept.select("doc_id")
-    held = F.broadcast(held) if kept.count() <= BROADCAST_IDS else held
-    with_text = texts.join(held, "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(kept, "doc_id").select("doc_id", "text", "at")
-    rows = store.write(with_text.mapInArrow(partial(_contexts, min_words=min_words), "right binary, left binary, doc_id long, at int"), "contexts")
+    at = lambda which: F.array_sort(F.collect_list(F.when(which, F.col("at"))))
+    kept = store.write(suffixes.join(repeated, "key").select("doc_id", "at", "many").distinct().groupBy("doc_id").agg(at(~F.col("many")).alias("few"), at(F.col("many")).alias("many")), "kept")
+
+    def texts_at(which: str) -> DataFrame:
+        own = kept.filter(F.size(which) > 0).select("doc_id", F.col(which).alias("at"))
+        held = F.broadcast(own.select("doc_id")) if own.count() <= BROADCAST_IDS else own.select("doc_id")
+        return texts.join(held, "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(own, "doc_id").select("doc_id", "text", "at")
+
+    windows = store.write(texts_at("many").mapInArrow(partial(_windows, min_words=min_words), "window long, doc_id long, start int"), "windows")
+    common = windows.groupBy("window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("window")
+    common = store.write(windows.join(common, "window", "left_semi").select("doc_id", "start", (F.col("start") + min_words).alias("stop")), "common")
+    store.free(windows)
+    rows = store.write(texts_at("few").mapInArrow(partial(_contexts, min_words=min_words), "right binary, left binary, doc_id long, at int"), "contexts")
     order = ["right", "left", "doc_id", "at"]
     found = rows.repartitionByRange(partitions_for(rows), *order).sortWithinPartitions(*order).mapInArrow(partial(_compare, min_words=min_words, ends=True), _FOUND)
     found = store.write(found, "found")
     store.free(rows)
     ends = found.filter("right is not null").select("right", "left", "doc_id", F.col("start").alias("at")).distinct()
     across = ends.coalesce(1).sortWithinPartitions(*order).mapInArrow(partial(_compare, min_words=min_words, ends=False), _FOUND)  # 2 * NEIGHBOURS rows a range
-    spans = found.filter("right is null").unionByName(across).select("doc_id", "start", "stop").distinct()
+    spans = found.filter("right is null").unionByName(across).select("doc_id", "start", "stop").unionByName(common).distinct()
     own = Window.partitionBy("doc_id").orderBy("start", "stop")
     before = F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("new", F.when(F.coalesce(F.col("start") <= before, F.lit(False)), 0).otherwise(1)).withColumn("island", F.sum("new").over(own))
