@@ -26,7 +26,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .shared_store import bounded_batches, release_memory
 
@@ -225,13 +225,20 @@ def _predict(batches: Iterator[pd.DataFrame], model, penalty: float, give_text:
 
 
 def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
-    """labelled: text, lang -> a model.  Takes each language's texts in the order of their hash up to the bound."""
+    """labelled: text, lang -> a model.  Takes each language's distinct texts in the order of their hash until the bound is reached, and their copies as far as there is room."""
     texts = labelled.filter("text is not null and lang is not null").select("text", "lang", F.xxhash64("text").alias("h"), F.length("text").cast("long").alias("c"))
-    # The hash below which a language's texts hold about sample_chars characters: share of all characters, with a partial aggregate.
-    share = texts.groupBy("lang").agg((F.lit(float(sample_chars)) / F.greatest(F.sum("c"), F.lit(1))).alias("share"))
-    share = share.cache()
-    share = F.broadcast(share) if share.count() <= 10_000 else share  # one row for each language
-    picked = texts.join(share, "lang").filter(F.pmod("h", F.lit(1_000_003)) < F.col("share") * 1_000_003)
+    texts = texts.withColumn("slot", F.pmod("h", F.lit(1_000_003)))
+    # The last slot that is taken, at least each language's first: at most a row for each slot of a language is ordered.
+    slots = texts.groupBy("lang", "slot", "h").agg(F.max("c").alias("c"), F.sum("c").alias("all")).groupBy("lang", "slot").agg(F.sum("c").alias("c"), F.sum("all").alias("all"))
+    before = F.sum("c").over(Window.partitionBy("lang").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
+    taken = F.col("before") < max(sample_chars, 1)
+    last = slots.withColumn("before", F.coalesce(before, F.lit(0))).groupBy("lang").agg(F.max(F.when(taken, F.col("slot"))).alias("last"), F.sum(F.when(taken, F.col("c"))).alias("c"), F.sum("all").alias("all"))
+    room = F.when(F.col("all") <= sample_chars, F.lit(2**31 - 1)).otherwise(F.greatest(F.lit(1), F.floor(F.lit(float(sample_chars)) / F.greatest("c", F.lit(1))))).cast("int")
+    last = last.select("lang", "last", room.alias("room"))
+    last = last.cache()
+    last = F.broadcast(last) if last.count() <= 10_000 else last  # one row for each language
+    picked = texts.join(last, "lang").filter(F.col("slot") <= F.col("last")).groupBy("lang", "h").agg(F.first("text").alias("text"), F.least(F.count("*"), F.first("room")).cast("int").alias("times"))
+    picked = picked.select("lang", "text", F.explode(F.sequence(F.lit(1), "times")))
     counts = picked.select("lang", "text").mapInPandas(_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT)
     return LanguageModel(counts.toPandas())
 
