@@ -3,24 +3,26 @@
 A line is what stands between line feeds.  Its normal form is its words (runs of ASCII letters and digits and of
 characters above U+007F, A-Z lower-cased) joined by single spaces; a line without words is blank.
 
-1. Each text gives, for each line that isn't blank, a 64-bit hash of the normal form, the parities of its words and its
-   prefix keys.  Lines of one normal form are grouped at once, with partial aggregation, to their first occurrence.
-2. Prefixes: lines of n words and edit similarity ``similarity`` over words share all but ``k = (1 - similarity) * n`` words, so
-   in one order of all words their first k + 1 share one and their first k + 2 share two.  The order puts rare words first, by
-   counts of a sample: it decides the time, not the result.  A rare word is a key; words frequent in the sample give a key for
-   each two of them, and in lines of more than about ``LONG`` words a key each.  So no similar pair is left out.
-3. The lines of a key of at most ``COMMON`` lines are all compared.  Those of a larger one are compared with its most frequent line,
-   and then in pairs across groups.  Sizes and parities rule pairs out; the others are linked if the normal forms' edit
-   similarity over words, ``1 - levenshtein / longer``, is ``similarity`` or more.
-4. Of each connected group the first occurrence (smallest doc_id, then line number) is kept.  Kept lines are
+1. Each text gives, for each line that isn't blank, a 64-bit hash of the normal form, its length in characters and its SimHash:
+   each word votes on each bit, words of more than ``SHORT_WORD`` bytes ``HEAVY`` times, as short words are common and say
+   little.  Lines of one normal form are grouped at once, with partial aggregation, to their first occurrence.
+2. The SimHash is cut into blocks; lines that agree in a whole block are candidates (pigeonhole: SimHashes that differ in fewer bits
+   than there are blocks agree in one).  The width of a block follows the logarithm of the number of distinct lines, so buckets
+   do not grow with it, and the number of blocks grows by ``BLOCK_GROWTH`` for each further bit, which holds recall.
+3. Candidates whose lengths fit and whose SimHashes differ in at most ``distance`` of all bits are compared nearest first (``buckets``),
+   and linked if the normal forms' edit similarity, ``1 - levenshtein / longer``, is ``similarity`` or more: over characters, or over
+   words where a line has more than ``LONG`` characters.
+4. Of each connected group the first occurrence (smallest doc_id, then hash of the text, then line number) is kept.  Kept lines are
    sent to their documents; removed ones, of which a common line may have very many, are not moved at all.
 
 Rows: null text stays null, blank lines stay, a row of null doc_id stays whole and takes no part.  Rows repeated with one
-doc_id are one document, and each such row keeps the same lines.  Ties cannot occur between different lines.
+doc_id and text are one document, and each such row keeps the same lines; different texts of one doc_id are documents of their own.
+Ties cannot occur between different lines.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -28,19 +30,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .links import components, extended, key_runs, untested_pairs
+from .buckets import link_buckets
 from .shared_store import Store, release_memory
 from .wordhash import U64, hash_spans, list_array, mix64, text_chunks
 
-BITS, DISTANCE = 64, 10
 SIMILARITY = 0.8
-#: Lines of a key from which they are first compared with its most frequent line; words expected in so many lines are keys in twos.
-COMMON = 384
-#: Documents are counted for the order of words one in SAMPLE; at most FREQUENT words are told apart.
-SAMPLE, FREQUENT = 8, 1 << 18
-#: Words of a line beyond which frequent words are keys alone, as the twos would be too many.
-LONG = 128
-#: Ids that may be sent to every executor (8 bytes each).
+#: Least bits of a block, the number of blocks at that width and the growth of that number with each further bit.
+BLOCK_BITS, BLOCKS, BLOCK_GROWTH = 16, 16, 1.17
+#: Lines that a block's buckets hold on average, at most, as a power of two.
+BUCKET_POWER = 6
+#: Share of the SimHash's bits in which two lines may differ to be compared.
+DISTANCE = 0.29
+#: Bytes up to which a word votes once, and the votes of a longer one.
+SHORT_WORD, HEAVY = 3, 3
+#: Characters of a line beyond which edits are counted over words.
+LONG = 10_000
+#: Blocks that are shuffled together.
+BLOCKS_AT_ONCE = 4
+#: Ids that may be sent to every executor (16 bytes each).
 BROADCAST_IDS = 200_000
 _WORDLESS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _PART = np.ones(256, bool)
@@ -68,157 +75,115 @@ def line_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return hash_spans(raw, begin, end), np.searchsorted(line_at, begin, side="right") - 1, line_at, end - begin
 
 
-def line_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, line number, hash, SimHash, longest word, second longest or 0, parities of the words by hash (two), number of words) of each line that has words."""
+def line_features(raw: np.ndarray, offsets: np.ndarray, words64: int) -> tuple[np.ndarray, ...]:
+    """(text, line number, hash, characters of the normal form, SimHash: a row of ``words64`` 64-bit words) of each line that has words."""
     words, line, line_at, size = line_words(raw, offsets)
     if len(words) == 0:
         none = np.zeros(0, np.int64)
-        return none, none, *[none.astype(U64)] * 7
+        return none, none, none.astype(U64), none, np.zeros((0, words64), U64)
     first = np.flatnonzero(np.diff(line, prepend=-1))
     count = np.diff(first, append=len(line))
     nth = np.arange(len(line)) - np.repeat(first, count)
     h = mix64(np.add.reduceat(mix64(words + mix64(nth.astype(U64))), first) + count.astype(U64))
-    sims = np.empty(len(first), U64)
-    for a in range(0, len(first), 4096):  # bounded: the bits of some thousand lines' words at a time
-        f = first[a : a + 4096]
-        stop = first[a + 4096] if a + 4096 < len(first) else len(words)
-        bits = np.unpackbits(words[f[0] : stop].view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, f - f[0], axis=0, dtype=np.int32)
-        sims[a : a + 4096] = np.packbits(2 * ones > count[a : a + 4096, None], axis=1).view(U64).ravel()
-    weight = np.minimum(size, 255).astype(U64) << U64(56) | words >> U64(8)
-    longest = np.maximum.reduceat(weight, first)
-    weight[weight == np.repeat(longest, count)] = 0
-    second = np.maximum.reduceat(weight, first)
+    characters = np.concatenate([[0], np.cumsum(_PART[raw] & ((raw & 0xC0) != 0x80))])
+    ends = np.append(line_at[1:], len(raw))
+    length = characters[ends[line[first]]] - characters[line_at[line[first]]] + count - 1
+    votes = np.where(size > SHORT_WORD, HEAVY, 1).astype(np.uint8)
+    half = np.add.reduceat(votes, first, dtype=np.int64)
+    sims = np.empty((len(first), words64), U64)
+    for w in range(words64):
+        hashed = words if w == 0 else mix64(words + U64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        a = 0
+        while a < len(first):  # bounded: the bits of some ten thousand words at a time, or of one line
+            z = max(a + 1, int(np.searchsorted(first, first[a] + 65_536)))
+            f, stop = first[a:z], first[z] if z < len(first) else len(words)
+            bits = np.unpackbits(hashed[f[0] : stop].view(np.uint8).reshape(-1, 8), axis=1) * votes[f[0] : stop, None]
+            ones = np.add.reduceat(bits, f - f[0], axis=0, dtype=np.int32)
+            sims[a:z, w] = np.packbits(2 * ones > half[a:z, None], axis=1).view(U64).ravel()
+            a = z
     text = np.searchsorted(offsets, line_at[line[first]], side="right") - 1
     top = np.searchsorted(line_at, offsets[text], side="left")
-    bit, half = U64(1) << (words >> U64(9) & U64(63)), words >> U64(20) & U64(1)
-    parity = [np.bitwise_xor.reduceat(np.where(half == k, bit, U64(0)), first) for k in (0, 1)]
-    return text, line[first] - top, h, sims, longest, second, *parity, count.astype(U64)
+    return text, line[first] - top, h, length, sims
 
 
-def prefix_keys(words: np.ndarray, line: np.ndarray, frequent: np.ndarray, often: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key): each line's prefix keys.  frequent: sorted hashes of frequent words, often: their counts."""
-    seen = np.zeros(len(words), np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
-        seen = np.where(frequent[at] == words, often[at], 0)
-    order = np.lexsort((words, seen, line))
-    words, line, seen = words[order], line[order], seen[order]
-    nth = np.arange(len(line))
-    new = (np.diff(line, prepend=-1) != 0)
-    first = np.flatnonzero(new)
-    count = np.diff(first, append=len(line))
-    size, pos = np.repeat(count, count), nth - np.repeat(first, count)
-    new[1:] |= words[1:] != words[:-1]
-    again = nth - np.maximum.accumulate(np.where(new, nth, 0))  # a word's second place in a line is a word of its own
-    words = mix64(words + mix64(again.astype(U64)) * (again > 0).astype(U64))
-    k = np.floor((1 - similarity + 1e-9) * size).astype(np.int64)
-    able, hot = size + np.floor((1 / similarity - 1 + 1e-9) * size) > size, seen > 0  # lines that a different line can be similar to
-    alone = able & (pos <= k) & (~hot | (size > similarity * LONG - 1) | (similarity * size < 2))
-    keys, lines = [mix64(words[alone] + hot[alone].astype(U64))], [line[alone]]
-    two = np.flatnonzero(able & hot & (size <= LONG) & (pos <= k + 1))
-    for step in range(1, len(two)):
-        i, j = two[:-step], two[step:]
-        same = line[i] == line[j]
-        if not same.any():
-            break
-        keys.append(mix64(mix64(words[i[same]]) + words[j[same]])), lines.append(line[i[same]])
-    return np.concatenate(lines), np.concatenate(keys)
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, _, raw, offsets in text_chunks(batch.column(0)):
-            word, n = np.unique(line_words(raw, offsets)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+def sketch_shape(lines: int) -> tuple[int, int, int]:
+    """(bits of a block, blocks, blocks in each 64-bit word) for so many distinct lines."""
+    bits = min(60, max(BLOCK_BITS, math.ceil(math.log2(max(lines, 1))) - BUCKET_POWER))
+    return bits, math.ceil(BLOCKS * BLOCK_GROWTH ** (bits - BLOCK_BITS)), 64 // bits
 
 
-def frequent_words(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, sorted, counts) of the words that a sample of the texts suggests to be in COMMON lines."""
-    some = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
-    counts = some.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = counts.filter(F.col("n") * SAMPLE > COMMON).orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
-    word, n = found["word"].to_numpy().astype(np.int64).view(U64), found["n"].to_numpy().astype(np.int64)
-    order = np.argsort(word)
-    return word[order], n[order]
-
-
-def _features(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, often: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
+def _features(batches: Iterator[pa.RecordBatch], words64: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0)
-        for lo, _, raw, offsets in text_chunks(batch.column(1)):
-            text, line, h, _, _, _, p0, p1, size = line_features(raw, offsets)
-            words, word_line, _, _ = line_words(raw, offsets)
-            of, keys = prefix_keys(words, word_line, frequent, often, similarity)
-            order = np.argsort(of, kind="stable")
-            having = np.unique(word_line)
-            counts = np.bincount(np.searchsorted(having, of), minlength=len(having))
+        ids, hashes = batch.column(0), batch.column(1)
+        for lo, _, raw, offsets in text_chunks(batch.column(2)):
+            text, line, h, length, sims = line_features(raw, offsets, words64)
+            at = pa.array(lo + text)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(lo + text)), pa.array(line.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in (h, p0, p1, size)], list_array(keys[order].view(np.int64), counts)],
-                names=["doc_id", "line", "id", "p0", "p1", "size", "keys"],
+                [ids.take(at), hashes.take(at), pa.array(line.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(length), list_array(sims.view(np.int64).ravel(), np.full(len(h), words64))],
+                names=["doc_id", "th", "line", "id", "size", "sketch"],
             )
     release_memory()
 
 
 def _line_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text, asked (line, id) -> id, norm: each asked line with a character for each word, by the word's hash.
+    """text, asked (line, id, size) -> id, norm, words: each asked line's normal form, and a character for each of its words.
 
-    Spark's edit distance then counts words.  Two words share a character with a chance of 1 in 40,000.
+    words is there for lines that a line of more than ``LONG`` characters may be similar to, norm for the others.
+    Two words share a character with a chance of 1 in 40,000.
     """
     for batch in batches:
         asked = batch.column(1)
-        starts, lines, ids = asked.offsets.to_numpy(), asked.values.field(0).to_numpy(zero_copy_only=False), asked.values.field(1).to_numpy(zero_copy_only=False)
+        starts, fields = asked.offsets.to_numpy(), asked.values
+        lines, ids, sizes = (fields.field(k).to_numpy(zero_copy_only=False) for k in range(3))
         for lo, hi, raw, offsets in text_chunks(batch.column(0)):
-            words, line, line_at, _ = line_words(raw, offsets)
-            letters = (words % U64(40_000) + U64(0x100)).astype("<u2")
-            first = np.searchsorted(line, np.arange(len(line_at) + 1))
+            _, _, line_at, _ = line_words(raw, offsets)
+            ends = np.append(line_at[1:], len(raw))
+            spaced = np.where(_PART[raw], raw + 32 * ((raw >= 65) & (raw <= 90)).astype(np.uint8), 32).astype(np.uint8).tobytes()
             top = np.searchsorted(line_at, offsets[:-1], side="left")
             span = slice(starts[lo], starts[hi])
             at = np.repeat(top, np.diff(starts[lo : hi + 1])) + lines[span]
-            norms = [letters[first[k] : first[k + 1]].tobytes().decode("utf-16-le") for k in at]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[span]), pa.array(norms, pa.string())], names=["id", "norm"])
+            norms, symbols = [], []
+            for k, size in zip(at, sizes[span]):
+                norm = spaced[line_at[k] : ends[k]].split()
+                norms.append(b" ".join(norm).decode() if size <= LONG else None)
+                symbols.append(None)
+                if 2 * size > LONG:
+                    joined = np.frombuffer(b"".join(norm), np.uint8)
+                    edges = np.cumsum([0, *map(len, norm)])
+                    symbols[-1] = (hash_spans(joined, edges[:-1], edges[1:]) % U64(40_000) + U64(0x100)).astype("<u2").tobytes().decode("utf-16-le")
+            yield pa.RecordBatch.from_arrays([pa.array(ids[span]), pa.array(norms, pa.string()), pa.array(symbols, pa.string())], names=["id", "norm", "words"])
+    release_memory()
 
 
 def similar(a, b, similarity: float):
-    """A Column: edit similarity of two strings is high enough."""
-    most = F.floor(F.lit(1 - similarity + 1e-9) * F.greatest(F.length(a), F.length(b))).cast("int")
-    return (F.abs(F.length(a) - F.length(b)) <= most) & (F.call_function("levenshtein", a, b, most) >= 0)
-
-
-FACTS = ["p0", "p1", "size"]
-
-
-def near(x, y, similarity: float):
-    """A Column: the words allow the similarity; x(c), y(c) name a column of either line.
-
-    Each edit of a word changes the parity of two words at most, so more flipped bits rule a pair out before its text is read.
-    """
-    most = F.floor(F.lit(1 - similarity + 1e-9) * F.greatest(x("size"), y("size")))
-    differ = lambda c: F.bit_count(x(c).bitwiseXOR(y(c)))
-    return (F.abs(x("size") - y("size")) <= most) & (differ("p0") + differ("p1") <= 2 * most)
-
-
-def _sided(df: DataFrame, side: str, *keep: str) -> DataFrame:
-    return df.select(*keep, F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in FACTS])
+    """A Column: edit similarity of two strings is high enough.  Most similar pairs differ little, so a narrow band is tried first."""
+    longer = F.greatest(F.length(a), F.length(b))
+    most = F.floor(F.lit(1 - similarity + 1e-9) * longer).cast("int")
+    narrow = F.least(most, F.floor(longer * 0.04).cast("int") + 2)
+    within = lambda k: F.call_function("levenshtein", a, b, k) >= 0
+    return (F.abs(F.length(a) - F.length(b)) <= most) & F.when(within(narrow), True).otherwise(within(most))
 
 
-def near_only(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of lines that are near."""
-    both = pairs.join(_sided(lines, "a"), "a").join(_sided(lines, "b"), "b")
-    return both.filter(near(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), similarity)).select("a", "b")
+def sizes_fit(low: np.ndarray, high: np.ndarray, similarity: float, distance: int):
+    """Whether lengths allow the similarity, and the largest distance of SimHashes; high is not smaller than low."""
+    return high - low <= np.floor((1 - similarity + 1e-9) * high).astype(np.int64), np.full(len(low), distance)
 
 
 def similar_lines(pairs: DataFrame, lines: DataFrame, texts: DataFrame, similarity: float, store: Store) -> DataFrame:
-    """The pairs (a, b) of near lines whose normal forms are similar; only those lines' texts are read."""
+    """The pairs (a, b) whose normal forms are similar; only those lines' texts are read."""
     ids = store.write(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    asked = lines.select("id", "at").join(ids, "id", "left_semi").groupBy("at.doc_id").agg(F.collect_list(F.struct("at.line", "id")).alias("asked"))
+    asked = lines.select("id", "at", "size").join(ids, "id", "left_semi").groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct("at.line", "id", "size")).alias("asked"))
     asked = store.write(asked, "asked")
-    held = F.broadcast(asked.select("doc_id")) if asked.count() <= BROADCAST_IDS else asked.select("doc_id")
-    rows = texts.join(held, "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(asked, "doc_id").select("text", "asked")
-    norms = store.write(rows.mapInArrow(_line_strings, "id long, norm string"), "norms")
-    text = lambda s: norms.select(F.col("id").alias(s), F.col("norm").alias(f"{s}_norm"))
-    found = store.write(pairs.join(text("a"), "a").join(text("b"), "b").filter(similar(F.col("a_norm"), F.col("b_norm"), similarity)).select("a", "b"), "links")
+    held = asked.select("doc_id", "th")
+    rows = texts.join(F.broadcast(held) if held.count() <= BROADCAST_IDS else held, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
+    norms = store.write(rows.join(asked, ["doc_id", "th"]).select("text", "asked").mapInArrow(_line_strings, "id long, norm string, words string"), "norms")
+    store.settle()
+    text = lambda s: norms.select(F.col("id").alias(s), F.col("norm").alias(f"{s}_norm"), F.col("words").alias(f"{s}_words"))
+    over_words = F.col("a_norm").isNull() | F.col("b_norm").isNull()
+    test = F.when(over_words, similar(F.col("a_words"), F.col("b_words"), similarity)).otherwise(similar(F.col("a_norm"), F.col("b_norm"), similarity))
+    found = store.write(pairs.join(text("a"), "a").join(text("b"), "b").filter(test).select("a", "b"), "links")
     store.free(norms, asked, ids)
+    store.settle()
     return found
 
 
@@ -241,35 +206,25 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     """The rows of ``docs`` with text_col deduplicated, and __lines (lines before) and __removed (lines taken away)."""
     spark = docs.sparkSession
     store = Store(spark, "lines")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    frequent, often = frequent_words(texts)
-    found = texts.mapInArrow(partial(_features, frequent=frequent, often=often, similarity=similarity), "doc_id long, line int, id long, p0 long, p1 long, size long, keys array<long>")
-    lines = found.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("at"), *[F.first(c).alias(c) for c in (*FACTS, "keys")], F.count("*").alias("n"))
-    # The most frequent lines get the smallest ids, so hubs are the lines that others were made from.
-    often = F.shiftleft((F.lit(31) - F.floor(F.log2(F.col("n").cast("double")))).cast("long"), 58)
-    lines = store.write(lines.select(often.bitwiseOR(F.col("id").bitwiseAND(F.lit((1 << 58) - 1))).alias("id"), "at", *FACTS, "keys"), "lines")
-    keyed = lines.select("id", *FACTS, F.explode(F.array_distinct("keys")).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = store.write(keyed.join(shared, "key").select("id", *FACTS, (F.col("n") > COMMON).alias("hot"), "key"), "shared")
-    # Few lines: all their near pairs, at most COMMON / 2 for each line and key.
-    few = shared.filter("not hot")
-    both = _sided(few, "a", "key").join(_sided(few, "b", "key"), "key")
-    pairs = both.filter((F.col("a") < F.col("b")) & near(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), similarity)).select("a", "b")
-    # Many lines: links to hubs, and then the pairs across groups.
-    runs = store.write(key_runs(shared.filter("hot").select("key", "id"), store), "members")
-    facts = lines.select("id", *FACTS)
-    stars = runs.filter("hub <> id").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
-    pairs = store.write(pairs.unionByName(near_only(stars, facts, similarity)).distinct(), "pairs")
-    store.free(shared)
-    labels = store.write(components(similar_lines(pairs, lines, texts, similarity, store), store), "labels")
-    rest = store.write(untested_pairs(runs, labels, facts, lambda p, q: near(p, q, similarity)), "rest")
-    if not rest.isEmpty():
-        labels = extended(labels, similar_lines(rest, lines, texts, similarity, store), store)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null and text is not null").withColumn("th", F.xxhash64("text"))
+    # An upper bound of the distinct lines sets the shape of the SimHash; it counts line feeds, no words.
+    bits, blocks, per_word = sketch_shape(texts.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 1)
+    words64 = -(-blocks // per_word)
+    found = texts.select("doc_id", "th", "text").mapInArrow(partial(_features, words64=words64), "doc_id long, th long, line int, id long, size long, sketch array<long>")
+    lines = store.write(found.groupBy("id").agg(F.min(F.struct("doc_id", "th", "line")).alias("at"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "lines")
+    store.settle()
+    mask = F.lit((1 << bits) - 1).cast("long")
+    block = lambda k: F.shiftrightunsigned(F.element_at("sketch", k // per_word + 1), k % per_word * bits).bitwiseAND(mask)
+    keys = [F.xxhash64(F.lit(k), block(k)) for k in range(blocks)]
+    passes = [lines.select(F.explode(F.array(*keys[k : k + BLOCKS_AT_ONCE])).alias("key"), "id", "size", "sketch") for k in range(0, blocks, BLOCKS_AT_ONCE)]
+    limit = partial(sizes_fit, similarity=similarity, distance=int(DISTANCE * 64 * words64))
+    labels = link_buckets(passes, limit, lambda pairs: similar_lines(pairs, lines, texts, similarity, store), store)
     kept = lines.select("id", "at").join(labels, "id", "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("at").alias("at"))
-    kept = store.write(kept.groupBy("at.doc_id").agg(F.collect_list("at.line").alias("kept")), "kept")
+    kept = store.write(kept.groupBy("at.doc_id", "at.th").agg(F.collect_list("at.line").alias("kept")), "kept")
     store.keep_only(kept)
+    store.settle()
     whole = docs.select(F.struct(F.lit(1).alias("__one"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("__row"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    joined = whole.join(kept, F.col("__id") == F.col("doc_id"), "left").select("__row", "__text", "kept", F.col("__id").isNull().alias("whole"))
+    joined = whole.join(kept, (F.col("__id") == F.col("doc_id")) & (F.xxhash64("__text") == F.col("th")), "left").select("__row", "__text", "kept", F.col("__id").isNull().alias("whole"))
     row_type = whole.schema["__row"].dataType.simpleString()
     out = joined.mapInArrow(_rebuild, f"__row {row_type}, __text string, __lines long, __removed long")
     return out.select(*[(F.col("__text") if c == text_col else F.col("__row").getField(c)).alias(c) for c in docs.columns], "__lines", "__removed")

@@ -86,6 +86,11 @@ class Store:
             _delete(self.spark, path)
             self._paths.discard(path)
 
+    def settle(self) -> None:
+        """Lets Spark remove the shuffle files of finished steps now, not when the driver's heap happens to be full."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def _close(self) -> None:
         try:
             _delete(self.spark, self.root)
