@@ -2,7 +2,7 @@
 
 A bucket holds the rows of one key.  Two rows of it are near if their sizes and the Hamming distance of their sketches allow
 a link.  Instead of all near pairs, a round takes for each row its nearest near rows of other groups, verifies those pairs and
-contracts the linked ones to groups.  Rows with more near rows of other groups than that go into the next round, which takes four
+contracts the linked ones to groups.  Rows with more near rows of other groups than that go into the next round, which takes eight
 times as many, without the pairs that were tested.  The rounds end when no near pair across groups is untested, so none
 is left out, but copies of one text need few pairs each.
 
@@ -109,7 +109,7 @@ def nearest_pairs(key, ids, size, component, sketches: Sketches, tested: np.ndar
 
 
 def _near_rows(batches: Iterator[pa.RecordBatch], limit: Limit, keep: int, members: int, ranges: bool) -> Iterator[pa.RecordBatch]:
-    """key, id, size, sketch, component, tested, whole -> pairs (a, b), or the ``whole`` key of rows that need another round.
+    """key, id, size, sketch (and component, tested, whole, where they aren't id, nothing and key) -> pairs (a, b), or the ``whole`` key of rows that need another round.
 
     Rows come sorted by (key, size).  ranges: the first and last key may go on in another range.
     """
@@ -124,12 +124,17 @@ def _near_rows(batches: Iterator[pa.RecordBatch], limit: Limit, keep: int, membe
     def compared(table: pa.Table, more_cut: list[int]) -> pa.RecordBatch:
         table = table.combine_chunks()
         col = lambda c: table.column(c).combine_chunks() if isinstance(table.column(c), pa.ChunkedArray) else table.column(c)
-        key, ids, size, comp, whole = (col(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "size", "component", "whole"))
-        sketch, past = col("sketch"), col("tested")
+        of = lambda c: col(c).to_numpy(zero_copy_only=False)
+        key, ids, size, sketch = of("key"), of("id"), of("size"), col("sketch")
+        whole = of("whole") if "whole" in table.column_names else key
+        comp = of("component") if "component" in table.column_names else ids
         widths = np.diff(sketch.offsets.to_numpy()).astype(np.int64)
         values = sketch.flatten().to_numpy(zero_copy_only=False).view(U64)
-        lengths = past.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        codes = np.unique(_pair_codes(np.repeat(ids, lengths), past.flatten().to_numpy(zero_copy_only=False).astype(np.int64))) if lengths.any() else np.zeros(0, U64)
+        codes = np.zeros(0, U64)
+        if "tested" in table.column_names:
+            past = col("tested")
+            lengths = past.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            codes = np.unique(_pair_codes(np.repeat(ids, lengths), past.flatten().to_numpy(zero_copy_only=False).astype(np.int64)))
         own, other, more = nearest_pairs(key, ids, size, comp, Sketches(values, widths), codes, limit, keep)
         return out(ids[own], ids[other], np.unique(np.concatenate([whole[more], np.array(more_cut, np.int64)])))
 
@@ -149,7 +154,7 @@ def _near_rows(batches: Iterator[pa.RecordBatch], limit: Limit, keep: int, membe
                 if s > at:
                     yield compared(table.slice(at, s - at), [])
                 for k in range(s, e, members):
-                    yield compared(table.slice(k, min(members, e - k)), [int(table.column("whole")[int(s)].as_py())])
+                    yield compared(table.slice(k, min(members, e - k)), [int(table.column("whole" if "whole" in table.column_names else "key")[int(s)].as_py())])
                 at = e
             elif e - at >= 4 * members:
                 yield compared(table.slice(at, e - at), [])
@@ -168,8 +173,8 @@ def _near_rows(batches: Iterator[pa.RecordBatch], limit: Limit, keep: int, membe
         if batch.num_rows == 0:
             continue
         if not edges:
-            edges.append(batch.column("whole")[0].as_py())
-        last_cut = batch.column("whole")[batch.num_rows - 1].as_py()
+            edges.append(batch.column(0)[0].as_py())
+        last_cut = batch.column(0)[batch.num_rows - 1].as_py()
         held.append(batch)
         rows += batch.num_rows
         if rows >= members:
@@ -182,10 +187,6 @@ def _near_rows(batches: Iterator[pa.RecordBatch], limit: Limit, keep: int, membe
         yield out(none, none, np.unique(np.array([edges[0], last_cut], np.int64)))
 
 
-def _empty_list():
-    return F.expr("cast(array() as array<long>)")
-
-
 def _celled(rows: DataFrame, members: int) -> DataFrame:
     """key, id, size, sketch, component, tested -> the same with ``whole`` (the key) and the cell's key in ``key``."""
     groups = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
@@ -201,54 +202,52 @@ def _celled(rows: DataFrame, members: int) -> DataFrame:
     return out.select(F.when(F.col("cells") == 1, F.col("key")).otherwise(F.xxhash64("key", "cell.c", "cell.t")).alias("key"), "id", "size", "sketch", "component", "tested", "whole")
 
 
-def link_buckets(passes: list[DataFrame], limit: Limit, verify: Callable[[DataFrame], DataFrame], store: Store, members: int | None = None, nearest: int = NEAREST) -> DataFrame:
-    """id, component of every id with a verified link to a near id of one of its keys.
+def link_buckets(passes: list[DataFrame], limit: Limit, verify: Callable[[DataFrame], DataFrame], store: Store, members: int | None = None, nearest: int = NEAREST, labels: DataFrame | None = None) -> DataFrame:
+    """id, component of every id with a verified link to a near id of one of its keys, or in the groups ``labels``.
 
     passes: key, id, size, sketch (array<long>), one row for each key and id; each pass has keys of its own and is shuffled alone, so
     the disk that shuffles take follows one pass.  limit: see ``Limit``.  verify: distinct pairs (a, b) -> those that link.
     """
     members = members or MEMBERS
     n = partitions_for(passes[0])
-    columns = ["key", "id", "size", "sketch", "component", "tested", "whole"]
 
-    def pairs_of(rows: DataFrame, keep: int, ranges: bool, name: str) -> DataFrame:
-        dealt = (rows.repartitionByRange(n, "key", "size", "id") if ranges else rows.repartition(n, "key")).sortWithinPartitions("key", "size", "id").select(*columns)
+    def near(rows: DataFrame, keep: int, ranges: bool, name: str) -> DataFrame:
+        dealt = rows.repartitionByRange(n, "key", "size", "id") if ranges else rows.repartition("key")
+        dealt = dealt.sortWithinPartitions("key", "size", "id")
         out = store.write(dealt.mapInArrow(partial(_near_rows, limit=limit, keep=keep, members=members, ranges=ranges), _SCHEMA), name)
         store.settle()
         return out
 
-    def plain(df: DataFrame) -> DataFrame:
-        return df.select("key", "id", "size", "sketch", F.col("id").alias("component"), _empty_list().alias("tested"), F.col("key").alias("whole"))
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    def union(frames: list[DataFrame]) -> DataFrame:
+        out = frames[0]
+        for other in frames[1:]:
+            out = out.unionByName(other)
+        return out
 
-    found = [pairs_of(plain(df), nearest, True, f"near{k}") for k, df in enumerate(passes)]
-    labels = refuted = None
+    first = [df if labels is None else grouped(df).select("key", "id", "size", "sketch", "component") for df in passes]
+    found = [near(df.select("key", "id", "size", "sketch", *df.columns[4:]), nearest, True, f"near{k}") for k, df in enumerate(first)]
+    refuted = None
     for round_no in range(40):
-        pairs = found[0]
-        for other in found[1:]:
-            pairs = pairs.unionByName(other)
-        pairs = store.write(pairs.filter("a is not null").select("a", "b").distinct(), f"pairs{round_no}")
+        pairs = store.write(union(found).filter("a is not null").select("a", "b").distinct(), f"pairs{round_no}")
         links = store.write(verify(pairs), f"verified{round_no}")
         linked = components(links, store) if labels is None else extended(labels, links, store)
         labels, before = store.write(linked, f"labels{round_no}"), labels
         left = pairs.join(links, ["a", "b"], "left_anti")
         refuted, old = store.write(left if refuted is None else refuted.unionByName(left), f"refuted{round_no}"), refuted
-        store.free(*[x for x in (before, old, pairs, links) if x is not None])
-        nexts, nearest = [], nearest * 4
-        for k, df in enumerate(passes):
-            cut = found[k].filter("cut is not null").select(F.col("cut").alias("key")).distinct()
-            if cut.isEmpty():
-                nexts.append(found[k].filter("false"))
-                continue
-            rows = df.join(cut, "key", "left_semi").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            past = refuted.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(refuted.select(F.col("b").alias("id"), F.col("a").alias("other")))
-            # A pair is looked up from either side, so the list of its larger id is enough; lists hold what rounds have tested.
-            past = past.filter("other < id").groupBy("id").agg(F.collect_list("other").alias("tested"))
-            rows = store.write(rows.join(past, "id", "left").withColumn("tested", F.coalesce("tested", _empty_list())).select("key", "id", "size", "sketch", "component", "tested"), f"rows{round_no}-{k}")
-            mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-            nexts.append(pairs_of(_celled(rows.join(mixed, "key", "left_semi"), members), nearest, False, f"near{round_no}-{k}"))
-            store.free(rows)
-        store.free(*found)
-        found = nexts
-        if all(x.isEmpty() for x in found):
+        cut = store.write(union(found).filter("cut is not null").select(F.col("cut").alias("key")).distinct(), f"cut{round_no}")
+        store.free(*found, *[x for x in (before, old, pairs, links) if x is not None])
+        if cut.isEmpty():
             return labels
+        rows = store.write(grouped(union([df.join(cut, "key", "left_semi") for df in passes])), f"rows{round_no}")
+        mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+        # A pair is looked up from either side, so the list of its larger id is enough; lists hold what rounds have tested.
+        past = refuted.groupBy(F.greatest("a", "b").alias("id")).agg(F.collect_list(F.least("a", "b")).alias("tested"))
+        rows_left = rows.join(mixed, "key", "left_semi").join(past, "id", "left").withColumn("tested", F.coalesce("tested", F.expr("cast(array() as array<long>)")))
+        rows_left = store.write(rows_left.select("key", "id", "size", "sketch", "component", "tested"), f"left{round_no}")
+        nearest *= 8
+        found = [near(_celled(rows_left, members), nearest, False, f"more{round_no}")]
+        store.free(rows, rows_left, cut)
     raise RuntimeError("buckets did not settle")

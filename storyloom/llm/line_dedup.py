@@ -4,8 +4,7 @@ A line is what stands between line feeds.  Its normal form is its words (runs of
 characters above U+007F, A-Z lower-cased) joined by single spaces; a line without words is blank.
 
 1. Each text gives, for each line that isn't blank, a 64-bit hash of the normal form, its length in characters and its SimHash:
-   each word votes on each bit, words of more than ``SHORT_WORD`` bytes ``HEAVY`` times, as short words are common and say
-   little.  Lines of one normal form are grouped at once, with partial aggregation, to their first occurrence.
+   each word votes on each bit, short words with fewer votes, as they are common and say little.  Lines of one normal form are grouped at once, with partial aggregation, to their first occurrence.
 2. The SimHash is cut into blocks; lines that agree in a whole block are candidates (pigeonhole: SimHashes that differ in fewer bits
    than there are blocks agree in one).  The width of a block follows the logarithm of the number of distinct lines, so buckets
    do not grow with it, and the number of blocks grows by ``BLOCK_GROWTH`` for each further bit, which holds recall.
@@ -36,17 +35,19 @@ from .wordhash import U64, hash_spans, list_array, mix64, text_chunks
 
 SIMILARITY = 0.8
 #: Least bits of a block, the number of blocks at that width and the growth of that number with each further bit.
-BLOCK_BITS, BLOCKS, BLOCK_GROWTH = 16, 16, 1.17
+BLOCK_BITS, BLOCKS, BLOCK_GROWTH = 16, 14, 1.17
 #: Lines that a block's buckets hold on average, at most, as a power of two.
 BUCKET_POWER = 6
 #: Share of the SimHash's bits in which two lines may differ to be compared.
 DISTANCE = 0.29
-#: Bytes up to which a word votes once, and the votes of a longer one.
-SHORT_WORD, HEAVY = 3, 3
+#: Bytes up to which a word is short, and the votes of a longer and of a short word.
+SHORT_WORD, VOTES = 3, (5, 2)
+#: Words whose votes fit a byte together.
+SEGMENT = 51
 #: Characters of a line beyond which edits are counted over words.
 LONG = 10_000
 #: Blocks that are shuffled together.
-BLOCKS_AT_ONCE = 4
+BLOCKS_AT_ONCE = 5
 #: Ids that may be sent to every executor (16 bytes each).
 BROADCAST_IDS = 200_000
 _WORDLESS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -88,18 +89,25 @@ def line_features(raw: np.ndarray, offsets: np.ndarray, words64: int) -> tuple[n
     characters = np.concatenate([[0], np.cumsum(_PART[raw] & ((raw & 0xC0) != 0x80))])
     ends = np.append(line_at[1:], len(raw))
     length = characters[ends[line[first]]] - characters[line_at[line[first]]] + count - 1
-    votes = np.where(size > SHORT_WORD, HEAVY, 1).astype(np.uint8)
-    half = np.add.reduceat(votes, first, dtype=np.int64)
+    votes = np.where(size > SHORT_WORD, *VOTES).astype(U64)
+    half = np.add.reduceat(votes, first).astype(np.int64)
+    # A hash becomes 64 bytes of a bit each, eight to an integer, and the integers of up to SEGMENT words are added at once.
+    parts = -(-count // SEGMENT)
+    cuts = np.repeat(first, parts) + SEGMENT * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    part_of = np.cumsum(parts) - parts
     sims = np.empty((len(first), words64), U64)
     for w in range(words64):
         hashed = words if w == 0 else mix64(words + U64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         a = 0
-        while a < len(first):  # bounded: the bits of some ten thousand words at a time, or of one line
+        while a < len(first):  # bounded: some ten thousand words at a time, or one line
             z = max(a + 1, int(np.searchsorted(first, first[a] + 65_536)))
-            f, stop = first[a:z], first[z] if z < len(first) else len(words)
-            bits = np.unpackbits(hashed[f[0] : stop].view(np.uint8).reshape(-1, 8), axis=1) * votes[f[0] : stop, None]
-            ones = np.add.reduceat(bits, f - f[0], axis=0, dtype=np.int32)
-            sims[a:z, w] = np.packbits(2 * ones > half[a:z, None], axis=1).view(U64).ravel()
+            begin, stop = first[a], first[z] if z < len(first) else len(words)
+            p, q = part_of[a], part_of[z] if z < len(first) else len(cuts)
+            bits = np.unpackbits(hashed[begin:stop].view(np.uint8)).view(U64).reshape(-1, 8) * votes[begin:stop, None]
+            ones = np.add.reduceat(bits, cuts[p:q] - begin, axis=0).view(np.uint8)
+            if q - p > z - a:
+                ones = np.add.reduceat(ones, part_of[a:z] - p, axis=0, dtype=np.int64)
+            sims[a:z, w] = np.packbits(2 * ones.astype(np.int64) > half[a:z, None], axis=1).view(U64).ravel()
             a = z
     text = np.searchsorted(offsets, line_at[line[first]], side="right") - 1
     top = np.searchsorted(line_at, offsets[text], side="left")
@@ -155,13 +163,52 @@ def _line_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     release_memory()
 
 
-def similar(a, b, similarity: float):
-    """A Column: edit similarity of two strings is high enough.  Most similar pairs differ little, so a narrow band is tried first."""
-    longer = F.greatest(F.length(a), F.length(b))
-    most = F.floor(F.lit(1 - similarity + 1e-9) * longer).cast("int")
-    narrow = F.least(most, F.floor(longer * 0.04).cast("int") + 2)
-    within = lambda k: F.call_function("levenshtein", a, b, k) >= 0
-    return (F.abs(F.length(a) - F.length(b)) <= most) & F.when(within(narrow), True).otherwise(within(most))
+def edits(a: str, b: str) -> int:
+    """Levenshtein distance, by bit vectors in one integer of a bit for each character."""
+    low = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        low += 1
+    high = 0
+    for x, y in zip(reversed(a[low:]), reversed(b[low:])):
+        if x != y:
+            break
+        high += 1
+    a, b = a[low : len(a) - high], b[low : len(b) - high]
+    if not a or not b:
+        return len(a) + len(b)
+    if len(a) < len(b):
+        a, b = b, a
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    full, top, score = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    up, down = full, 0  # where the distance rises or falls by one from a character of a to the next
+    for c in b:
+        equal = places.get(c, 0)
+        steps = (((equal & up) + up) ^ up) | equal | down
+        rise, fall = down | (full & ~(steps | up)), up & steps
+        if rise & top:
+            score += 1
+        elif fall & top:
+            score -= 1
+        rise = rise << 1 | 1
+        up, down = (fall << 1 | ~(equal | down | rise)) & full, rise & (equal | down) & full
+    return score
+
+
+def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """a, b, two normal forms, two strings of a character for each word -> the pairs that are similar."""
+    for batch in batches:
+        texts = [c.to_pylist() for c in batch.columns[2:]]
+        keep = np.zeros(batch.num_rows, bool)
+        for k, (x, y, wx, wy) in enumerate(zip(*texts)):
+            if x is None or y is None:
+                x, y = wx, wy
+            most = int((1 - similarity + 1e-9) * max(len(x), len(y)))
+            keep[k] = abs(len(x) - len(y)) <= most and edits(x, y) <= most
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
 
 
 def sizes_fit(low: np.ndarray, high: np.ndarray, similarity: float, distance: int):
@@ -179,9 +226,8 @@ def similar_lines(pairs: DataFrame, lines: DataFrame, texts: DataFrame, similari
     norms = store.write(rows.join(asked, ["doc_id", "th"]).select("text", "asked").mapInArrow(_line_strings, "id long, norm string, words string"), "norms")
     store.settle()
     text = lambda s: norms.select(F.col("id").alias(s), F.col("norm").alias(f"{s}_norm"), F.col("words").alias(f"{s}_words"))
-    over_words = F.col("a_norm").isNull() | F.col("b_norm").isNull()
-    test = F.when(over_words, similar(F.col("a_words"), F.col("b_words"), similarity)).otherwise(similar(F.col("a_norm"), F.col("b_norm"), similarity))
-    found = store.write(pairs.join(text("a"), "a").join(text("b"), "b").filter(test).select("a", "b"), "links")
+    both = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "a_norm", "b_norm", "a_words", "b_words")
+    found = store.write(both.mapInArrow(partial(_similar, similarity=similarity), "a long, b long"), "links")
     store.free(norms, asked, ids)
     store.settle()
     return found
@@ -208,7 +254,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     store = Store(spark, "lines")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null and text is not null").withColumn("th", F.xxhash64("text"))
     # An upper bound of the distinct lines sets the shape of the SimHash; it counts line feeds, no words.
-    bits, blocks, per_word = sketch_shape(texts.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 1)
+    bits, blocks, per_word = sketch_shape(texts.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 1)
     words64 = -(-blocks // per_word)
     found = texts.select("doc_id", "th", "text").mapInArrow(partial(_features, words64=words64), "doc_id long, th long, line int, id long, size long, sketch array<long>")
     lines = store.write(found.groupBy("id").agg(F.min(F.struct("doc_id", "th", "line")).alias("at"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "lines")
