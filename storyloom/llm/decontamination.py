@@ -108,7 +108,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     store.keep_only(places, windows)
     hit = places.select("doc_id", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("p")).distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
     named = places.select("doc_id", "key").distinct().join(windows.select("key", "item_id"), "key").select("doc_id", F.col("item_id").cast("string").alias("item")).distinct()
-    named = named.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
+    named = named.groupBy("doc_id").agg(F.count("item").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
     per_doc = hit.join(named, "doc_id", "full")
     out = docs.select(F.col(id_col).alias("doc_id"), F.size(words(F.col(text_col))).cast("long").alias("n_words")).join(per_doc, "doc_id", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")

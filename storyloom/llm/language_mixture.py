@@ -14,12 +14,14 @@ Learning uses at most ``sample_chars`` characters of labelled text for each lang
 the text, whole texts at a time (a documented bound for fitting a classifier); every text is predicted.
 
 Rows: a null text, or one without a letter, is ``und`` with score 0.  Ties go to the smaller language code.
-Without labelled texts every text is ``und``.  Only letters and apostrophes take part; digits and marks end words.
+Without labelled texts every text is ``und``.  Only letters and apostrophes take part; digits, other numbers and marks end words.
+A labelled text without an id is learnt from like any other.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -28,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared_store import bounded_batches, release_memory
+from .shared_store import Store, bounded_batches, release_memory
 
 ORDER = 4
 #: Characters of labelled text that each language's model is fitted on, at most.
@@ -41,7 +43,9 @@ ROUNDS, SETTLED = 30, 1e-4
 PENALTY = 4.0
 #: Words in a worker's memory of word likelihoods.
 MEMORY = 120_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Characters that a regular expression takes for parts of words and that are numbers, not letters: fractions, superscripts, Roman numerals.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 
 
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,6 +230,7 @@ def _predict(batches: Iterator[pd.DataFrame], model, penalty: float, give_text:
 
 def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
     """labelled: text, lang -> a model.  Takes each language's distinct texts in the order of their hash until the bound is reached, and their copies as far as there is room."""
+    store = Store(labelled.sparkSession, "languages")
     texts = labelled.filter("text is not null and lang is not null").select("text", "lang", F.xxhash64("text").alias("h"), F.length("text").cast("long").alias("c"))
     texts = texts.withColumn("slot", F.pmod("h", F.lit(1_000_003)))
     # The last slot that is taken, at least each language's first: at most a row for each slot of a language is ordered.
@@ -235,7 +240,7 @@ def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
     last = slots.withColumn("before", F.coalesce(before, F.lit(0))).groupBy("lang").agg(F.max(F.when(taken, F.col("slot"))).alias("last"), F.sum(F.when(taken, F.col("c"))).alias("c"), F.sum("all").alias("all"))
     room = F.when(F.col("all") <= sample_chars, F.lit(2**31 - 1)).otherwise(F.greatest(F.lit(1), F.floor(F.lit(float(sample_chars)) / F.greatest("c", F.lit(1))))).cast("int")
     last = last.select("lang", "last", room.alias("room"))
-    last = last.cache()
+    last = store.write(last, "last")
     last = F.broadcast(last) if last.count() <= 10_000 else last  # one row for each language
     picked = texts.join(last, "lang").filter(F.col("slot") <= F.col("last")).groupBy("lang", "h").agg(F.first("text").alias("text"), F.least(F.count("*"), F.first("room")).cast("int").alias("times"))
     picked = picked.select("lang", "text", F.explode(F.sequence(F.lit(1), "times")))

@@ -5,8 +5,7 @@ over the V known tokens and one unknown.  Tokens are words (runs of bytes other
 end of text; the first word's context is a start that is never predicted.
 
 Counting, in Spark: each batch of texts is cut down to its distinct (context, token) pairs with counts, packed by bucket and
-shuffled; a bucket's pairs are summed in one task.  A bucket holds whole contexts, except that contexts common in a
-sample are spread by their tokens too, so no bucket grows with one word; the sample decides only where a pair is counted.
+shuffled; a bucket's pairs are summed in one task.  A pair's bucket is a hash of context and token, so no bucket grows with one word.
 The number of buckets follows the amount of text.  Nothing is left out: all pairs of all training texts are counted and stored.
 
 Stored: for each bucket the sorted 32-bit hashes of its pairs and their counts; for each word bucket the sorted 48-bit hashes of
@@ -37,8 +36,8 @@ from .wordhash import U64, mix64, text_chunks, word_hashes
 
 #: Characters of training text for one bucket of pairs.
 BUCKET_CHARS = 5_000_000
-#: Characters of the sample in which common contexts are looked for.
-HOT_SAMPLE = 3_000_000
+#: Files that a worker keeps mapped.
+MAPPED = 512
 _MASK = U64((1 << 48) - 1)
 #: Distinct pairs that a worker holds before it packs them.
 FLUSH = 1_200_000
@@ -66,11 +65,8 @@ def _pair(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix64(context * U64(0x9E3779B97F4A7C15) + mix64(token))
 
 
-def _bucket(context: np.ndarray, token: np.ndarray, buckets: int, hot: np.ndarray) -> np.ndarray:
-    key = mix64(context)
-    if len(hot):
-        key = np.where(np.isin(context, hot), _pair(context, token), key)
-    return ((key >> U64(16)) % U64(buckets)).astype(np.int64)
+def _bucket(pair: np.ndarray, buckets: int) -> np.ndarray:
+    return ((mix64(pair) >> U64(16)) % U64(buckets)).astype(np.int64)
 
 
 def _six(x: np.ndarray) -> np.ndarray:
@@ -101,20 +97,19 @@ def _summed(context, token, count):
     return context[order][at], token[order][at], np.add.reduceat(count[order], at) if len(at) else count
 
 
-def _partial_counts(batches: Iterator[pa.RecordBatch], buckets: int, hot) -> Iterator[pa.RecordBatch]:
+def _partial_counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """text -> bucket, pairs (packed)."""
-    common = hot.value
     held: list[tuple] = []
     size = 0
 
     def flush():
         c, t, n = _summed(*(np.concatenate(x) for x in zip(*held)))
-        b = _bucket(c, t, buckets, common)
+        b = _bucket(_pair(c, t), buckets)
         order = np.lexsort((c, b))
         c, t, n, b = c[order], t[order], n[order], b[order]
-        ends = np.searchsorted(b, np.arange(buckets + 1))
-        some = np.flatnonzero(np.diff(ends))
-        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([_pack(c[ends[k] : ends[k + 1]], t[ends[k] : ends[k + 1]], n[ends[k] : ends[k + 1]]) for k in some], pa.binary())], names=["bucket", "pairs"])
+        at = np.flatnonzero(np.diff(b, prepend=-1))
+        packed = [_pack(c[x:y], t[x:y], n[x:y]) for x, y in zip(at, [*at[1:], len(b)])]
+        return pa.RecordBatch.from_arrays([pa.array(b[at].astype(np.int32)), pa.array(packed, pa.binary())], names=["bucket", "pairs"])
 
     for batch in batches:
         for _, _, raw, offsets in text_chunks(batch.column(0)):
@@ -160,7 +155,8 @@ def _sum_bucket(frame: pd.DataFrame, folder: str) -> pd.DataFrame:
     sorted_counts = count[order]
     many = np.flatnonzero(sorted_counts >= 65535)  # two bytes hold nearly all counts; the others stand in full in a file of their own
     _write(folder, f"pairs-{bucket}", [short[order], np.minimum(sorted_counts, 65535).astype(np.uint16)])
-    _write(folder, f"many-{bucket}", [many.astype(np.int64), sorted_counts[many]])
+    if len(many):
+        _write(folder, f"many-{bucket}", [many.astype(np.int64), sorted_counts[many]])
     words, inverse = np.unique(np.concatenate([context, token]), return_inverse=True)
     c, t = inverse[: len(context)], inverse[len(context) :]
     tally = lambda i, w: np.bincount(i, weights=w, minlength=len(words)).astype(np.int64)
@@ -168,7 +164,7 @@ def _sum_bucket(frame: pd.DataFrame, folder: str) -> pd.DataFrame:
         "word": words.view(np.int64), "count": tally(t, count), "kinds": tally(t, np.ones(len(t))), "total": tally(c, count),
         "n1": tally(c, count == 1), "n2": tally(c, count == 2), "n3": tally(c, count > 2), "n4": np.zeros(len(words), np.int64),
     }
-    whole = {"word": [-1], "count": [0], "kinds": [0], "total": [0]} | {f"n{k}": [int((count == k).sum())] for k in (1, 2, 3, 4)}
+    whole = {"word": [-1 - bucket], "count": [0], "kinds": [0], "total": [0]} | {f"n{k}": [int((count == k).sum())] for k in (1, 2, 3, 4)}
     return pd.concat([pd.DataFrame(out), pd.DataFrame(whole)])
 
 
@@ -201,13 +197,18 @@ def _word_bucket(frame: pd.DataFrame, folder: str, model: dict) -> pd.DataFrame:
 class KneserNey:
     """The model as a worker sees it: files mapped into memory when first needed."""
 
-    def __init__(self, folder: str, model: dict, hot: np.ndarray):
-        self.folder, self.model, self.hot = folder, model, hot
-        self.maps: dict[str, list[np.ndarray] | None] = {}
+    def __init__(self, folder: str, model: dict):
+        self.folder, self.model = folder, model
+        self.maps: dict[str, list[np.ndarray]] = {}
         self.copies = None
 
-    def _file(self, name: str, kinds: list) -> list[np.ndarray] | None:
+    def _file(self, name: str, kinds: list) -> list[np.ndarray]:
         if name not in self.maps:
+            while len(self.maps) >= MAPPED:  # the one that was mapped first goes
+                gone = next(iter(self.maps))
+                del self.maps[gone]
+                if self.copies is not None:
+                    os.remove(f"{self.copies}/{gone}")
             place = urlparse(self.folder)
             path = f"{place.path}/{name}"
             if place.scheme not in ("", "file"):
@@ -247,21 +248,24 @@ class KneserNey:
     def pairs(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Counts of pairs."""
         out = np.zeros(len(context), np.int64)
-        bucket = _bucket(context, token, self.model["buckets"], self.hot)
-        short = (_pair(context, token) & U64(0xFFFFFFFF)).astype(np.uint32)
+        pair = _pair(context, token)
+        bucket = _bucket(pair, self.model["buckets"])
+        short = (pair & U64(0xFFFFFFFF)).astype(np.uint32)
         order = np.lexsort((short, bucket))
-        ends = np.searchsorted(bucket[order], np.arange(self.model["buckets"] + 1))
-        for k in np.flatnonzero(np.diff(ends)):
-            if k not in self.model["pair_files"]:
+        starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        full = self.model["pair_files"]  # a bit for each bucket that has pairs
+        for x, y in zip(starts, [*starts[1:], len(order)]):
+            mine = order[x:y]
+            k = int(bucket[mine[0]])
+            if not full[k >> 3] >> (k & 7) & 1:
                 continue
-            mine = order[ends[k] : ends[k + 1]]
             h, c = self._file(f"pairs-{k}", [np.uint32, np.uint16])
             at = np.minimum(np.searchsorted(h, short[mine]), len(h) - 1)
             found = np.where(h[at] == short[mine], c[at], 0).astype(np.int64)
             if (found == 65535).any():
-                place, full = self._file(f"many-{k}", [np.int64, np.int64])
+                place, whole = self._file(f"many-{k}", [np.int64, np.int64])
                 big = found == 65535
-                found[big] = full[np.searchsorted(place, at[big])]
+                found[big] = whole[np.searchsorted(place, at[big])]
             out[mine] = found
         return out
 
@@ -287,17 +291,11 @@ def _slot(words: np.ndarray, slots: int) -> np.ndarray:
 
 def train(texts: DataFrame, store: Store, text_col: str = "text") -> KneserNey:
     """Counts all ``texts`` and writes the model into the shared folder."""
-    spark = texts.sparkSession
     texts = texts.select(F.col(text_col).cast("string").alias("text"))
     size = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)).alias("chars")).first()
     buckets = max(1, -(-size["chars"] // BUCKET_CHARS))
-    share = min(1.0, HOT_SAMPLE / max(size["chars"], 1))
-    sample = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(1_000_003 * share) + 1).limit(20_000).toPandas()["text"]
-    tokens = np.concatenate([np.zeros(0, U64), *[_tokens(raw, offsets)[0] for _, _, raw, offsets in text_chunks(pa.array(sample, pa.string()))]])
-    word, n = np.unique(tokens, return_counts=True)
-    hot = word[n > len(tokens) / (8 * buckets)] if buckets > 1 else word[:0]
     folder = f"{store.root}/model"
-    parts = texts.mapInArrow(partial(_partial_counts, buckets=buckets, hot=spark.sparkContext.broadcast(hot)), "bucket int, pairs binary")
+    parts = texts.mapInArrow(partial(_partial_counts, buckets=buckets), "bucket int, pairs binary")
     rows = parts.groupBy("bucket").applyInPandas(partial(_sum_bucket, folder=folder), _WORD_ROWS)
     names = ["count", "kinds", "total", "n1", "n2", "n3", "n4"]
     words = store.write(rows.groupBy("word").agg(*[F.sum(c).alias(c) for c in names]), "words")
@@ -316,9 +314,12 @@ def train(texts: DataFrame, store: Store, text_col: str = "text") -> KneserNey:
     slot = F.pmod(F.shiftrightunsigned("word", 8), F.lit(slots)).cast("int")
     done = words.filter(real).withColumn("slot", slot).groupBy("slot").applyInPandas(partial(_word_bucket, folder=folder, model=model), "slot int, n long").collect()  # one row a slot
     model["full"] = {r["slot"] for r in done}
-    model["pair_files"] = set(range(buckets)) if v else set()
+    # Buckets without a pair have no file.  A byte tells of eight buckets.
+    some = words.filter("word < 0").select((-1 - F.col("word")).alias("b")).groupBy(F.floor(F.col("b") / 8).alias("at")).agg(F.bit_or(F.shiftleft(F.lit(1), F.pmod("b", F.lit(8)).cast("int"))).alias("bits")).toArrow()
+    model["pair_files"] = np.zeros(buckets // 8 + 1, np.uint8)
+    model["pair_files"][some["at"].to_numpy().astype(np.int64)] = some["bits"].to_numpy()
     store.free(words)
-    return KneserNey(folder, model, hot)
+    return KneserNey(folder, model)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:

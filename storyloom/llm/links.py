@@ -3,14 +3,12 @@
 ``key_runs`` deals (key, id) rows out by ranges of (key, id), so a key that a third of the rows
 share is spread over many tasks, and reads each range in order.  Each run of one key gives
 links to its first id only; runs cut by a range boundary are joined again through their
-first rows.  ``components`` contracts verified links.  ``untested_pairs`` gives the pairs that
-share a key, stand in different groups after that, and were not compared with their hub.
-``linked_groups`` puts these together.
+first rows.  ``components`` contracts verified links, ``extended`` adds links to groups.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -125,25 +123,6 @@ def components(edges: DataFrame, store: Store) -> DataFrame:
     return labels
 
 
-def untested_pairs(runs: DataFrame, labels: DataFrame, facts: DataFrame, condition) -> DataFrame:
-    """Pairs (a, b) that share a key, are in different groups, and fulfil condition(x, y).
-
-    facts: id and what the condition needs, one row for each distinct text; ids without facts (copies) are left out.
-    condition: a Column from two functions that name a column of either side.  It stands in the
-    join, so pairs that fail it are never made.  A pair with its run's hub has been tested.
-    """
-    grouped = runs.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    # Every member has been compared with its hub: a pair is left if other members differ, or where a key spans ranges and so has several hubs.
-    own = F.when(F.col("id") != F.col("hub"), F.col("component"))
-    mixed = grouped.groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi"), F.min("hub").alias("h1"), F.max("hub").alias("h2")).filter("lo <> hi or h1 <> h2").select("key")
-    members = grouped.join(mixed, "key", "left_semi").join(facts, "id")
-    x = members.select(*[F.col(c).alias(f"x_{c}") for c in members.columns])
-    y = members.select(*[F.col(c).alias(f"y_{c}") for c in members.columns])
-    of = (lambda c: F.col(f"x_{c}")), (lambda c: F.col(f"y_{c}"))
-    on = (F.col("x_key") == F.col("y_key")) & (F.col("x_id") < F.col("y_id")) & (F.col("x_component") != F.col("y_component")) & (F.col("x_id") != F.col("y_hub")) & (F.col("y_id") != F.col("x_hub")) & condition(*of)
-    return x.join(y, on).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
-
-
 def extended(labels: DataFrame, edges: DataFrame, store: Store) -> DataFrame:
     """Groups of ``labels`` (id, component) and further links ``edges`` (a, b) together."""
     of = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
@@ -152,24 +131,3 @@ def extended(labels: DataFrame, edges: DataFrame, store: Store) -> DataFrame:
     moved = labels.join(more.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
     fresh = more.join(labels.select("id"), "id", "left_anti").select("id", "component")
     return store.write(moved.unionByName(fresh), "extended")
-
-
-def linked_groups(runs: DataFrame, facts: DataFrame, condition: Callable, verify: Callable[[DataFrame], DataFrame], store: Store) -> DataFrame:
-    """id, component of every id that has a verified link to another id of one of its keys.
-
-    runs: key, hub, id.  facts and condition: see ``untested_pairs``.  verify: pairs (a, b) -> those that link.
-    Each id is first compared with the hub that it shares most keys with; of its other hubs only those still in another
-    group are looked at, and then the other ids of its keys.  So few of the many links of a large group are verified.
-    """
-    stars = runs.filter("hub <> id").groupBy("id", "hub").agg(F.count("*").alias("n"))
-    stars = store.write(stars, "stars")
-    best = stars.groupBy("id").agg(F.max(F.struct(F.col("n"), (-F.col("hub")).alias("minus"))).alias("m")).select("id", (-F.col("m.minus")).alias("hub"))
-    pair = (F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
-    best = store.write(best, "best")
-    labels = store.write(components(verify(best.select(*pair).distinct()), store), "labels")
-    of = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}"))
-    others = stars.select("id", "hub").join(best.select("id", F.col("hub").alias("tested")), "id").filter("hub <> tested").join(of("id"), "id", "left").join(of("hub"), "hub", "left")
-    others = store.write(others.filter("coalesce(c_id, id) <> coalesce(c_hub, hub)").select(*pair).distinct(), "others")
-    labels = extended(labels, verify(others), store)
-    rest = store.write(untested_pairs(runs, labels, facts, condition), "rest")
-    return extended(labels, verify(rest), store)

@@ -14,13 +14,14 @@ an empty set).  Two texts link when ``100 * |A & B| >= percent * |A | B|``.
    block.  A block's key is the XOR of its n-grams' 64-bit hashes (equal if the block's n-grams
    are, whatever the width of its bit sketch).  Blocks of fewer than ``WEAK`` n-grams say little; a set
    leaves them out if it has so few of them that an agreeing strong block must remain.
-4. Buckets give links to their first member only; those are verified on the sets, contracted to
-   groups, and then the pairs of a bucket across groups are compared (sketch distance first).
-   No bucket is ever expanded into all its pairs and none is cut short.
+4. Near copies share most of their keys, so one key in ``KEY_SHARE`` is looked at first; of the others, only keys whose members are
+   still in different groups.  Members of a bucket are compared by bit sketches whose size follows that of the set (up to ``WIDEST`` words), nearest first; the
+   near pairs are verified by wider sketches and then on the sets, linked ones contracted to groups, and pairs across groups
+   compared until none is untested (``buckets``).  No bucket is ever expanded into all its pairs and none is cut short.
 
 Rows: a null or blank text has an empty set, links with nothing, and is its own component.  Rows
-repeated with the same doc_id count as one document if their sets are equal; ids are expected
-to be unique otherwise.  A row with a null doc_id takes no part.
+repeated with the same doc_id count as one document; of different texts, that of the smallest hash
+stands for it in each of its rows.  A row with a null doc_id takes no part.
 """
 
 from __future__ import annotations
@@ -33,17 +34,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .links import extended, key_runs, linked_groups
-from .shared_store import Store, release_memory
+from .buckets import link_buckets
+from .links import extended, key_runs
+from .shared_store import Store, one_text_each, release_memory
 from .wordhash import U64, doc_of, list_array, mix64, ngram_hashes, text_chunks, word_hashes
 
 #: Blocks with fewer n-grams than this are left out where that loses nothing.
 WEAK = 3
 #: Ratio of the sizes that a band spans.
 BAND_RATIO = 1.4
-#: 64-bit words of the sketch that bucket members carry, whatever their size.
-SHORT = 8
-SHORT_COLUMNS = [f"p{k}" for k in range(SHORT)]
+#: 64-bit words of the sketch that bucket members carry, at most; larger sets are told apart by their whole sketch.
+WIDEST = 64
+#: One key in so many is looked at before the others.
+KEY_SHARE = 8
 #: Ids that may be sent to every executor (8 bytes each); beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 200_000
 
@@ -194,37 +197,45 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iter
     release_memory()
 
 
+def member_words(sizes: np.ndarray) -> np.ndarray:
+    """64-bit words of the sketch of a bucket's member: a power of two, 0.6 to 1.2 bits for each n-gram."""
+    return np.minimum(WIDEST, 1 << np.ceil(np.log2(np.maximum(sizes * 0.6 / 64, 4))).astype(np.int64)).astype(np.int64)
+
+
+def _folded(wide: np.ndarray, width: np.ndarray, narrow: np.ndarray) -> np.ndarray:
+    """Sketches of ``width`` words each, one after another, folded by XOR to ``narrow`` words."""
+    set_of = np.repeat(np.arange(len(width)), width)
+    place = np.arange(len(wide)) - np.repeat(np.cumsum(width) - width, width)
+    out = np.zeros(int(narrow.sum()), U64)
+    np.bitwise_xor.at(out, (np.cumsum(narrow) - narrow)[set_of] + place % narrow[set_of], wide)
+    return out
+
+
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """id, n, grams (sorted hashes), wide and p0... : parity sketches of two sizes."""
+    """id, n, grams (sorted hashes), wide and sketch: parity sketches of two sizes."""
     for batch in batches:
         ids = batch.column(0)
         for lo, hi, raw, offsets in text_chunks(batch.column(1)):
             h, d = distinct_ngrams(raw, offsets, n)
             sizes = np.bincount(d, minlength=hi - lo).astype(np.int64)
-            short, width = parity_sketches(h, d, np.full(hi - lo, SHORT)).reshape(-1, SHORT), wide_words(sizes)
+            width, narrow = wide_words(sizes), member_words(sizes)
             wide = parity_sketches(h, d, width)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo), pa.array(sizes), list_array(h.view(np.int64), sizes), list_array(wide.view(np.int64), width), *[pa.array(short[:, k].view(np.int64)) for k in range(SHORT)]],
-                names=["id", "n", "grams", "wide", *SHORT_COLUMNS],
+                [ids.slice(lo, hi - lo), pa.array(sizes), list_array(h.view(np.int64), sizes), list_array(wide.view(np.int64), width), list_array(_folded(wide, width, narrow).view(np.int64), narrow)],
+                names=["id", "n", "grams", "wide", "sketch"],
             )
     release_memory()
 
 
-def _sizes_and_most(x, y, percent: int):
-    fits = F.lit(100) * F.least(x("n"), y("n")) >= F.lit(percent) * F.greatest(x("n"), y("n"))
-    return fits, F.floor((F.lit(100 - percent) * (x("n") + y("n"))) / F.lit(100 + percent))
-
-
-def may_link_short(x, y, percent: int):
-    """A Column: sizes and the distance of the short sketches allow a link."""
-    fits, most = _sizes_and_most(x, y, percent)
-    distance = sum((F.bit_count(x(c).bitwiseXOR(y(c))) for c in SHORT_COLUMNS[1:]), F.bit_count(x(SHORT_COLUMNS[0]).bitwiseXOR(y(SHORT_COLUMNS[0]))))
-    return fits & (distance <= most)
+def sizes_fit(low: np.ndarray, high: np.ndarray, percent: int):
+    """Whether the sizes of two sets allow a link, and the largest distance of their sketches; high is not smaller than low."""
+    return 100 * low >= percent * high, most_different(low + high, percent)
 
 
 def may_link_wide(x, y, percent: int):
-    """The same by the wide sketches, whose size follows that of the set; the larger is folded to the smaller."""
-    fits, most = _sizes_and_most(x, y, percent)
+    """A Column: sizes and the distance of the wide sketches allow a link; the larger sketch is folded to the smaller."""
+    fits = F.lit(100) * F.least(x("n"), y("n")) >= F.lit(percent) * F.greatest(x("n"), y("n"))
+    most = F.floor((F.lit(100 - percent) * (x("n") + y("n"))) / F.lit(100 + percent))
     m = F.least(F.size(x("wide")), F.size(y("wide")))
     halves = lambda v: F.zip_with(F.slice(v, F.lit(1), m), F.slice(v, m + 1, m), lambda p, q: p.bitwiseXOR(q))
     fitted = lambda v: F.when(F.size(v) == m, v).otherwise(halves(v))  # noqa: E731  sizes that fit differ by one doubling at most
@@ -272,21 +283,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     store = Store(spark, name)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    signed_keys = store.write(texts.mapInArrow(partial(_signatures, n=n, percent=percent), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>"), "signatures")
+    chosen = one_text_each(texts, store)
+    signed_keys = store.write(chosen.mapInArrow(partial(_signatures, n=n, percent=percent), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>"), "signatures")
     signed = store.write(signed_keys.drop("keys"), "sizes")
     # Equal sets: links without further ado.  Only the smallest id of equal sets is compared with others.
     equal = signed.filter("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     copies = store.write(signed.filter("n_shingles > 0").select("doc_id", "n_shingles", "f1", "f2").distinct().join(equal, ["n_shingles", "f1", "f2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("id"), "rep"), "copies")
     runs = key_runs(signed_keys.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id")), store)
-    runs = runs.join(copies.select("id"), "id", "left_anti").join(copies.select(F.col("id").alias("hub"), "rep"), "hub", "left").select("key", F.coalesce("rep", "hub").alias("hub"), "id")
-    runs = store.write(runs, "members")
-    ids = store.write(runs.select("id").union(runs.select(F.col("hub").alias("id"))).distinct(), "ids")
+    # Every row of a key that two rows have is a member once; copies are left out, as their sets are compared already.
+    members = runs.select("key", "id").distinct().join(copies.select("id"), "id", "left_anti")
+    members = store.write(members, "members")
+    store.settle()
+    ids = store.write(members.select("id").distinct(), "ids")
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = store.write(texts.join(few, texts.doc_id == ids.id, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(partial(_sets, n=n), "id long, n long, grams array<long>, wide array<long>, " + ", ".join(f"{c} long" for c in SHORT_COLUMNS)), "sets")
+    sets = store.write(chosen.join(few, chosen.doc_id == ids.id, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(partial(_sets, n=n), "id long, n long, grams array<long>, wide array<long>, sketch array<long>"), "sets")
     store.free(signed_keys)
-    groups = linked_groups(runs, sets.select("id", "n", *SHORT_COLUMNS), lambda x, y: may_link_short(x, y, percent), lambda pairs: links_among(pairs, sets, percent, store), store)
+    store.settle()
+    sketches = sets.select("id", F.col("n").alias("size"), "sketch")
+    verify = lambda pairs: links_among(pairs, sets, percent, store)
+    limit = partial(sizes_fit, percent=percent)
+    early = F.pmod(F.xxhash64("key"), F.lit(KEY_SHARE)) == 0
+    groups = link_buckets([members.filter(early).join(sketches, "id").select("key", "id", "size", "sketch")], limit, verify, store)
+    grouped = members.filter(~early).join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = store.write(grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key"), "mixed")
+    late = store.write(members.join(mixed, "key", "left_semi"), "late")
+    store.settle()
+    groups = link_buckets([late.join(sketches, "id").select("key", "id", "size", "sketch")], limit, verify, store, labels=groups)
     labels = extended(groups, copies.select(F.col("rep").alias("a"), F.col("id").alias("b")), store)
     store.keep_only(signed, labels)
+    if chosen is not texts:  # each row of a repeated id gets what its chosen text has
+        signed = texts.select("doc_id").join(signed.select("doc_id", "n_shingles").distinct(), "doc_id")
     return signed.select("doc_id", "n_shingles").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

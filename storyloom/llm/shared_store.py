@@ -14,7 +14,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -96,3 +96,13 @@ class Store:
             _delete(self.spark, self.root)
         except Exception:  # the session has ended; a cluster's folder has its own clean-up
             pass
+
+
+def one_text_each(texts: DataFrame, store: Store) -> DataFrame:
+    """doc_id, text: the same frame if no doc_id has different texts, else with the text of the smallest hash of each doc_id."""
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
+    bounds = texts.select("doc_id", hashed.alias("th")).groupBy("doc_id").agg(F.min("th").alias("least"), F.max("th").alias("most"))
+    varied = store.write(bounds.filter("least <> most").select(F.col("doc_id").alias("varied"), "least"), "varied")
+    if varied.isEmpty():
+        return texts
+    return texts.join(varied, F.col("doc_id") == F.col("varied"), "left").filter(F.col("least").isNull() | (hashed == F.col("least"))).select("doc_id", "text")

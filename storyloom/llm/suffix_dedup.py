@@ -7,16 +7,15 @@ documents is found in both, wherever it stands.
    passages select the same places.  Only the suffixes there are retained, about 2 / (WINDOW + 1) of all.
 2. A run of ``min_words`` words has a selected place among its first WINDOW, and from there at least ``min_words - WINDOW + 1``
    words are shared.  Suffixes whose first so many words start no suffix of another document are left out (partial aggregation).
-3. The rest carry ``min_words`` words to the right and to the left (two bytes a word).  They are sorted over the cluster by ranges
-   of their right context, left context, document and place, so a passage that very many documents share is spread over tasks.
-4. Each suffix is compared with its ``NEIGHBOURS`` nearest on either side and matches are extended right and left.  The ends of
-   each range are compared again with each other: a few rows a range.  Matches of at least ``min_words`` words count.
-   That is all pairs, as suffixes whose first words start more than ``NEIGHBOURS`` others do not take part in 3 and 4: of these every
-   window of ``min_words`` words around the place is hashed, and windows of two documents count (partial aggregation).
+3. The rest carry ``min_words`` words to the right and to the left (two bytes a word).  They are dealt out by their first words, which
+   start at most ``NEIGHBOURS`` + 1 suffixes, and sorted by their right and left contexts.
+4. Each suffix is compared with the ``NEIGHBOURS`` before and after it and matches are extended right and left; matches of at least
+   ``min_words`` words count.  That is all pairs, as suffixes whose first words start more others do not take part in 3 and 4: of these
+   every window of ``min_words`` words around the place is hashed, and windows of two documents count (partial aggregation).
 5. The places covered are merged to spans of each document.
 
 Rows: a null or short text has no spans.  Repeats within one document do not count.  Rows repeated with one doc_id are one
-document; a row of null doc_id takes no part and has no spans.
+document; of different texts, that of the smallest hash stands for it in each of its rows.  A row of null doc_id takes no part and has no spans.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .links import partitions_for
-from .shared_store import Store
+from .shared_store import Store, one_text_each
 from .wordhash import U64, list_array, mix64, ngram_hashes, text_chunks, word_hashes
 
 MIN_WORDS = 50
@@ -133,70 +132,37 @@ def _equal_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(same.all(1), a.shape[1], same.argmin(1))
 
 
-def _compare(batches: Iterator[pa.RecordBatch], min_words: int, ends: bool) -> Iterator[pa.RecordBatch]:
-    """Sorted suffixes -> doc_id, start, stop of the matches; with ``ends``, also the first and last rows of the range as they are."""
+def _compare(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """Sorted suffixes -> doc_id, start, stop of the matches."""
     m, near = min_words, NEIGHBOURS
     columns = None
-    head: list[tuple] = []
-    head_done = 0
-
-    def out(found, edge_rows=()):
-        docs, starts, stops = found
-        n, e = len(docs), len(edge_rows)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([*docs.tolist(), *[r[2] for r in edge_rows]], pa.int64()),
-                pa.array([*starts.tolist(), *[r[3] for r in edge_rows]], pa.int32()),
-                pa.array([*stops.tolist(), *[0] * e], pa.int32()),
-                pa.array([*[None] * n, *[r[0] for r in edge_rows]], pa.binary()),
-                pa.array([*[None] * n, *[r[1] for r in edge_rows]], pa.binary()),
-            ],
-            names=["doc_id", "start", "stop", "right", "left"],
-        )
-
-    def matches(right, left, doc, at, best_l, best_r, skip):
-        """Compares rows with the next ones; pairs within the first ``skip`` rows have been compared."""
-        for s in range(1, near + 1):
-            i = np.arange(max(0, skip - s), len(doc) - s)
-            i = i[doc[i] != doc[i + s]]
-            if len(i):
-                r, l = _equal_prefix(right[i], right[i + s]), _equal_prefix(left[i], left[i + s])
-                ok = r + l >= m
-                for x in (i, i + s):
-                    np.maximum.at(best_l, x[ok], l[ok])
-                    np.maximum.at(best_r, x[ok], r[ok])
-
-    none = np.zeros(0, np.int64)
     for batch in batches:
         if not batch.num_rows:
             continue
-        raw_r, raw_l = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        right, left = (np.frombuffer(b"".join(x), ">u2").reshape(-1, m) for x in (raw_r, raw_l))
+        right, left = (np.frombuffer(b"".join(batch.column(k).to_pylist()), ">u2").reshape(-1, m) for k in (0, 1))
         doc, at = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)
-        fresh = np.full(len(doc), -1)
-        if head_done < near:
-            head += [(raw_r[k], raw_l[k], int(doc[k]), int(at[k])) for k in range(min(near - head_done, len(doc)))]
-            head_done = len(head)
-        if columns is None:
-            columns, skip = (right, left, doc, at, fresh, fresh.copy()), 0
-        else:
-            skip = len(columns[2])
-            columns = tuple(np.concatenate([a, b]) for a, b in zip(columns, (right, left, doc, at, fresh, fresh.copy())))
-        matches(*columns, skip)
-        cut = max(0, len(columns[2]) - near)
-        _, _, doc, at, best_l, best_r = (c[:cut] for c in columns)
-        hit = best_r >= 0
-        if hit.any():
-            yield out((doc[hit], (at - best_l)[hit], (at + best_r)[hit]))
+        fresh = (right, left, doc, at, np.full(len(doc), -1), np.full(len(doc), -1))
+        done = 0 if columns is None else len(columns[2])
+        columns = fresh if columns is None else tuple(np.concatenate(x) for x in zip(columns, fresh))
+        right, left, doc, at, best_l, best_r = columns
+        for s in range(1, near + 1):  # pairs within the first ``done`` rows have been compared
+            i = np.arange(max(0, done - s), len(doc) - s)
+            i = i[doc[i] != doc[i + s]]
+            r, l = _equal_prefix(right[i], right[i + s]), _equal_prefix(left[i], left[i + s])
+            ok = r + l >= m
+            for x in (i, i + s):
+                np.maximum.at(best_l, x[ok], l[ok])
+                np.maximum.at(best_r, x[ok], r[ok])
+        cut = max(0, len(doc) - near)
+        yield _matches(doc[:cut], at[:cut], best_l[:cut], best_r[:cut])
         columns = tuple(c[cut:] for c in columns)
     if columns is not None:
-        right, left, doc, at, best_l, best_r = columns
-        hit = best_r >= 0
-        tail = [(right[k].tobytes(), left[k].tobytes(), int(doc[k]), int(at[k])) for k in range(len(doc))]
-        yield out((doc[hit], (at - best_l)[hit], (at + best_r)[hit]) if hit.any() else (none, none, none), [*head, *tail] if ends else [])
+        yield _matches(*columns[2:])
 
 
-_FOUND = "doc_id long, start int, stop int, right binary, left binary"
+def _matches(doc, at, best_l, best_r) -> pa.RecordBatch:
+    hit = best_r >= 0
+    return pa.RecordBatch.from_arrays([pa.array(doc[hit].astype(np.int64)), pa.array((at - best_l)[hit].astype(np.int32)), pa.array((at + best_r)[hit].astype(np.int32))], names=["doc_id", "start", "stop"])
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,7 +170,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     spark = docs.sparkSession
     store = Store(spark, "suffixes")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    places = store.write(texts.mapInArrow(partial(_places, min_words=min_words), "doc_id long, n_words long, at array<int>, keys array<long>"), "places")
+    named = texts.filter("doc_id is not null")
+    chosen = one_text_each(named, store)
+    places = store.write(chosen.unionByName(texts.filter("doc_id is null")).mapInArrow(partial(_places, min_words=min_words), "doc_id long, n_words long, at array<int>, keys array<long>"), "places")
     suffixes = places.filter("doc_id is not null").select("doc_id", F.explode(F.arrays_zip("at", "keys")).alias("x")).select("doc_id", F.col("x.at").alias("at"), F.col("x.keys").alias("key"))
     repeated = suffixes.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("key", (F.col("n") > NEIGHBOURS + 1).alias("many"))
     repeated = store.write(repeated, "repeated")
@@ -214,20 +182,19 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     def texts_at(which: str) -> DataFrame:
         own = kept.filter(F.size(which) > 0).select("doc_id", F.col(which).alias("at"))
         held = F.broadcast(own.select("doc_id")) if own.count() <= BROADCAST_IDS else own.select("doc_id")
-        return texts.join(held, "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(own, "doc_id").select("doc_id", "text", "at")
+        return chosen.join(held, "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(own, "doc_id").select("doc_id", "text", "at")
 
     windows = store.write(texts_at("many").mapInArrow(partial(_windows, min_words=min_words), "window long, doc_id long, start int"), "windows")
-    common = windows.groupBy("window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("window")
-    common = store.write(windows.join(common, "window", "left_semi").select("doc_id", "start", (F.col("start") + min_words).alias("stop")), "common")
-    store.free(windows)
-    rows = store.write(texts_at("few").mapInArrow(partial(_contexts, min_words=min_words), "right binary, left binary, doc_id long, at int"), "contexts")
-    order = ["right", "left", "doc_id", "at"]
-    found = rows.repartitionByRange(partitions_for(rows), *order).sortWithinPartitions(*order).mapInArrow(partial(_compare, min_words=min_words, ends=True), _FOUND)
-    found = store.write(found, "found")
-    store.free(rows)
-    ends = found.filter("right is not null").select("right", "left", "doc_id", F.col("start").alias("at")).distinct()
-    across = ends.coalesce(1).sortWithinPartitions(*order).mapInArrow(partial(_compare, min_words=min_words, ends=False), _FOUND)  # 2 * NEIGHBOURS rows a range
-    spans = found.filter("right is null").unionByName(across).select("doc_id", "start", "stop").unionByName(common).distinct()
+    common = store.write(windows.groupBy("window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("window"), "common")
+    inside = store.write(windows.join(common, "window", "left_semi").select("doc_id", "start", (F.col("start") + min_words).alias("stop")), "inside")
+    store.free(windows, common)
+    store.settle()
+    rows = texts_at("few").mapInArrow(partial(_contexts, min_words=min_words), "right binary, left binary, doc_id long, at int")
+    first_words = F.substring("right", 1, 2 * (min_words - WINDOW + 1))  # two bytes a word
+    sorted_rows = rows.repartition(partitions_for(rows), first_words).sortWithinPartitions("right", "left", "doc_id", "at")
+    found = store.write(sorted_rows.mapInArrow(partial(_compare, min_words=min_words), "doc_id long, start int, stop int"), "found")
+    store.settle()
+    spans = found.unionByName(inside).distinct()
     own = Window.partitionBy("doc_id").orderBy("start", "stop")
     before = F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("new", F.when(F.coalesce(F.col("start") <= before, F.lit(False)), 0).otherwise(1)).withColumn("island", F.sum("new").over(own))
@@ -236,4 +203,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     spans = store.write(spans, "spans")
     store.keep_only(places, spans)
     nothing = F.array().cast("array<struct<start:int,stop:int>>")
-    return places.select("doc_id", "n_words").join(spans, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_repeated", F.lit(0)).cast("long").alias("n_repeated"), F.coalesce("spans", nothing).alias("spans"))
+    sizes = places.select("doc_id", "n_words")
+    if chosen is not named:  # each row of a repeated id gets what its chosen text has
+        sizes = named.select("doc_id").join(sizes.distinct(), "doc_id").unionByName(sizes.filter("doc_id is null"))
+    return sizes.join(spans, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_repeated", F.lit(0)).cast("long").alias("n_repeated"), F.coalesce("spans", nothing).alias("spans"))

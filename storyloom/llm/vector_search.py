@@ -11,7 +11,8 @@ indexed.  Queries are taken in blocks of about ``QUERY_BLOCK``, each block again
 number.  Each part of the index keeps ``rerank`` rows a query before anything is shuffled.
 
 Rows: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those of another length than
-most vectors have.  Equal vectors are equally near, and the smaller id comes first.  Fewer candidates than ``k``: all are returned.
+most vectors have.  Rows repeated with one id are one vector, that of the smallest hash if they differ, and a query if one of them
+is.  Equal vectors are equally near, and the smaller id comes first.  Fewer candidates than ``k``: all are returned.
 """
 
 from __future__ import annotations
@@ -175,7 +176,12 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, rerank: int = RERAN
     if not sizes:
         return spark.createDataFrame([], out_type)
     dims = sizes[0]["d"]
-    rows = store.write(usable_rows.filter(F.size("v") == dims), "rows")
+    rows = usable_rows.filter(F.size("v") == dims)
+    again = store.write(rows.groupBy("vec_id").agg(F.count("*").alias("n")).filter("n > 1").select("vec_id"), "again")
+    if not again.isEmpty():
+        one = rows.join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.min_by("v", F.xxhash64("v")).alias("v"), F.max("asks").alias("asks"))
+        rows = rows.join(again, "vec_id", "left_anti").unionByName(one)
+    rows = store.write(rows, "rows")
     fitted = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()
     quantizer = spark.sparkContext.broadcast(fit_quantizer(np.stack([np.asarray(x) for x in fitted["v"]])))
     index = store.write(rows.select("vec_id", "v").mapInArrow(partial(_index, quantizer=quantizer, dims=dims), "vec_id long, codes binary, norm float"), "index")
