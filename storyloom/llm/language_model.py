@@ -315,7 +315,7 @@ def train(texts: DataFrame, store: Store, text_col: str = "text") -> KneserNey:
     done = words.filter(real).withColumn("slot", slot).groupBy("slot").applyInPandas(partial(_word_bucket, folder=folder, model=model), "slot int, n long").collect()  # one row a slot
     model["full"] = {r["slot"] for r in done}
     # Buckets without a pair have no file.  A byte tells of eight buckets.
-    some = words.filter("word < 0").select((-1 - F.col("word")).alias("b")).groupBy(F.floor(F.col("b") / 8).alias("at")).agg(F.bit_or(F.shiftleft(F.lit(1), F.pmod("b", F.lit(8)).cast("int"))).alias("bits")).toArrow()
+    some = words.filter("word < 0").selectExpr("-1 - word AS b").groupBy(F.expr("b div 8").alias("at")).agg(F.expr("bit_or(shiftleft(1, cast(b % 8 AS int)))").alias("bits")).toArrow()
     model["pair_files"] = np.zeros(buckets // 8 + 1, np.uint8)
     model["pair_files"][some["at"].to_numpy().astype(np.int64)] = some["bits"].to_numpy()
     store.free(words)

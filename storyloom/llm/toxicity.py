@@ -1,13 +1,14 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-Terms of a text: its words (runs of letters, lower-cased) and the prefixes of ``PREFIXES`` letters of longer words, each once;
-a term's id is a 64-bit hash.  Score: the logistic of ``w0 + sum w_i + sum_{i<j} <v_i, v_j>`` over the terms of the text
-that the model holds, so pairs of terms (an insult with a group's name) count beyond their own weights.
+Terms of a text: its words (runs of ASCII letters and of characters above U+007F, lower-cased) and the prefixes of ``PREFIXES`` bytes
+of longer words, each once, hashed to ``2 ** TERM_BITS`` places.  With m terms, the score is the logistic of
+``w0 + sum w_i + sum_{i<j} <v_i, v_j> / sqrt(m)``, so pairs of terms (an insult with a group's name) count beyond their own weights, also
+where neither term tells anything alone.
 
-Learning uses about ``max_labelled`` labelled texts at most, picked by the hash of their id (a documented bound for fitting
-a classifier); terms are counted on the executors, and the driver gets the texts' kept terms only.  Terms in fewer than ``min_texts`` of them are left out, and those whose
-presence tells less about the label than ``MIN_G2`` (likelihood ratio): hundreds of weights of common words only add noise to long texts.  Training is AdaGrad on the logistic loss with L2 weights;
-a learnt shift and slope on the training texts (Platt) put the scores on the scale of probabilities.
+Learning uses all terms of about ``max_labelled`` labelled texts at most, picked by the hash of their id (a documented bound for fitting
+a classifier); the texts are turned into places on the executors, and the driver gets those only.  Training is AdaGrad on the logistic
+loss, at least ``STEPS`` steps; each step shrinks the weights of its terms (L1) and their factors (L2), so that terms that tell nothing
+come to rest at zero.  A learnt shift and slope on the training texts (Platt) put the scores on the scale of probabilities.
 
 Rows: a null or empty text has no terms and gets the base score.  Without labelled texts, or with one class alone, every score is the
 share of the label (0.5 without any).  Ties cannot arise: a text's score depends on its terms only.
@@ -15,152 +16,145 @@ share of the label (0.5 without any).  Ties cannot arise: a text's score depends
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
-from .shared_store import bounded_batches
+from .shared_store import bounded_batches, release_memory
+from .wordhash import U64, hash_spans, list_array, mix64, text_chunks
 
 PREFIXES = (4, 5, 6)
+TERM_BITS = 18
 MAX_LABELLED = 20_000
-MIN_TEXTS = 5
-#: Likelihood-ratio statistic of a term and the label; 10.8 is one chance in a thousand.
-MIN_G2 = 10.8
-#: Terms of a model, at most; the most telling ones.
-MAX_TERMS = 100_000
 FACTORS = 8
-EPOCHS = 12
-#: Distinct words that a worker remembers.
-MEMORY = 200_000
-_WORD = re.compile(r"[^\W\d_]+")
-
-
-def terms(word: str) -> tuple[str, ...]:
-    """The terms of one lower-case word; a prefix is marked with a star."""
-    return (word, *[word[:n] + "*" for n in PREFIXES if len(word) > n])
-
-
-def term_hashes(found: list[str]) -> np.ndarray:
-    return pd.util.hash_array(np.array(found, dtype=object), categorize=False).view(np.int64) if found else np.zeros(0, np.int64)
-
-
-def _terms_of(text: str | None) -> np.ndarray:
-    return np.unique(term_hashes([t for w in set(_WORD.findall((text or "").lower())) for t in terms(w)]))
-
-
-def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """text, label -> term, n, positive: texts of the batch that have the term, and those of label 1."""
-    for batch in batches:
-        sets = [_terms_of(t) for t in batch["text"]]
-        if sum(map(len, sets)):
-            label = np.repeat(batch["label"].to_numpy(), [len(x) for x in sets])
-            ids, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-            yield pd.DataFrame({"term": ids, "n": np.bincount(inverse), "positive": np.bincount(inverse, weights=label).astype(np.int64)})
-
-
-def _kept_terms(batches: Iterator[pd.DataFrame], kept) -> Iterator[pd.DataFrame]:
-    """text, label, key -> key, label, terms: places of the text's terms among the kept ones."""
-    ids = kept.value
-    for batch in batches:
-        found = [np.flatnonzero(np.isin(ids, _terms_of(t), assume_unique=True)).astype(np.int32) for t in batch["text"]]
-        yield pd.DataFrame({"key": batch["key"].to_numpy(), "label": batch["label"].to_numpy(), "terms": found})
+#: Passes over the labelled texts, and the least number of steps of ``BATCH`` texts.
+EPOCHS, STEPS, BATCH = 12, 2000, 64
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
+
+
+def term_places(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the terms of each text, distinct and ascending; the number of each text's terms)."""
+    texts, n = len(offsets) - 1, len(raw)
+    if n == 0:
+        return np.zeros(0, np.int64), np.zeros(texts, np.int64)
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    inside = _LETTER[raw]
+    begin = np.flatnonzero(inside & (~np.concatenate([[False], inside[:-1]]) | edge[:-1]))
+    end = np.flatnonzero(inside & (~np.concatenate([inside[1:], [False]]) | edge[1:])) + 1
+    owner = np.searchsorted(offsets, begin, side="right") - 1
+    h = hash_spans(raw, begin, end)
+    # Distinct words first: most words of a long text stand in it several times.
+    _, first = np.unique(mix64(h + mix64(owner.astype(U64))), return_index=True)
+    begin, end, owner, h = begin[first], end[first], owner[first], h[first]
+    places, owners = [h >> U64(64 - TERM_BITS)], [owner]
+    for size in PREFIXES:
+        longer = np.flatnonzero(end - begin > size)
+        places.append(mix64(hash_spans(raw, begin[longer], begin[longer] + size) + U64(size)) >> U64(64 - TERM_BITS))
+        owners.append(owner[longer])
+    both = np.unique(np.concatenate(owners).astype(np.int64) << TERM_BITS | np.concatenate(places).astype(np.int64))
+    return both & (1 << TERM_BITS) - 1, np.bincount(both >> TERM_BITS, minlength=texts)
+
+
+def _segment(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums by text; a text without terms has 0."""
+    out = np.zeros((len(counts), *values.shape[1:]))
+    some = np.flatnonzero(counts)
+    if len(some):
+        out[some] = np.add.reduceat(values, (np.cumsum(counts) - counts)[some], axis=0)
+    return out
 
 
 class FactorizationMachine:
-    """Weights and factors of the kept terms, by sorted hash."""
+    """Weights and factors by place."""
+
+    def __init__(self, base: float, weights: np.ndarray, factors: np.ndarray, slope: float = 1.0, shift: float = 0.0):
+        self.base, self.weights, self.factors, self.slope, self.shift = base, weights, factors, slope, shift
 
-    def __init__(self, ids: np.ndarray, base: float, weights: np.ndarray, factors: np.ndarray, slope: float = 1.0, shift: float = 0.0):
-        self.ids, self.base, self.weights, self.factors, self.slope, self.shift = ids, base, weights, factors, slope, shift
+    def parts(self, places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(sum of weights, sum over pairs of terms, factors of each term, their sums) of texts with so many terms each."""
+        f = self.factors[places]
+        s = _segment(f, counts)
+        pairs = 0.5 * ((s**2).sum(1) - _segment((f**2).sum(1), counts)) / np.sqrt(np.maximum(counts, 1))
+        return _segment(self.weights[places], counts), pairs, f, s
 
-    def raw(self, index: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
-        """index: positions of the terms of n texts, text by text; first: where each text begins."""
-        return self.base + _sums(self.weights, self.factors, index, first, n)[0]
+    def raw(self, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        linear, pairs, _, _ = self.parts(places, counts)
+        return self.base + linear + pairs
 
     def prob(self, raw: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -35, 35)))
 
 
-def _segment(values: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
-    """Sums by text; a text without terms has 0."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=float)])
-    ends = np.append(first[1:], len(values))
-    return total[ends] - total[first]
-
-
-def _sums(w, v, index, first, n):
-    f = v[index]
-    s = _segment(f, first, n)
-    return _segment(w[index], first, n) + 0.5 * ((s**2).sum(1) - _segment((f**2).sum(1), first, n)), f, s
-
-
-def likelihood_ratio(a: Column, b: Column, pos: float, neg: float) -> Column:
-    """G-squared of the two-by-two table: texts with a term (a positive, b negative) and without."""
-    n = pos + neg
-    total = F.lit(0.0)
-    for seen, row, col in ((a, a + b, pos), (b, a + b, neg), (pos - a, n - a - b, pos), (neg - b, n - a - b, neg)):
-        total = total + F.when(seen > 0, seen * F.log(seen * n / (row * col))).otherwise(0.0)
-    return 2 * total
+def _labelled_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text, label, key -> key, label, terms."""
+    for batch in batches:
+        for lo, hi, raw, offsets in text_chunks(batch.column(0)):
+            places, counts = term_places(raw, offsets)
+            yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), list_array(places.astype(np.int32), counts)], names=["key", "label", "terms"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, min_texts: int = MIN_TEXTS, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 7) -> FactorizationMachine:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 7) -> FactorizationMachine:
     """labels: id_col, label (0 or 1); one row for each labelled text.  Few enough are picked before the texts are joined, so no text is shuffled."""
-    spark = docs.sparkSession
     labels = labels.select(F.col(id_col).alias("__id"), F.col("label").cast("int").alias("label")).filter("__id is not null and label is not null")
     total = labels.count()
     if total > max_labelled:
         labels = labels.filter(F.pmod(F.xxhash64("__id"), F.lit(1_000_003)) < int(1_000_003 * max_labelled / total))
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).alias("__id"), F.lower(F.col(text_col).cast("string")).alias("text"))
     labelled = texts.join(F.broadcast(labels), "__id").select("text", "label", F.col("__id").cast("string").alias("key"))  # about max_labelled rows
-    totals = labelled.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("p")).first()
-    none, pos, neg = np.zeros(0, np.int64), float(totals["p"]), float(totals["n"] - totals["p"])
-    if not totals["n"]:
-        return FactorizationMachine(none, 0.0, np.zeros(0), np.zeros((0, factors)))
-    counts = labelled.select("text", "label").mapInPandas(_term_counts, "term long, n long, positive long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive"))
-    told = likelihood_ratio(F.col("positive").cast("double"), (F.col("n") - F.col("positive")).cast("double"), pos, neg)
-    best = counts.filter(F.col("n") >= min_texts).withColumn("g", told).filter(F.col("g") >= MIN_G2).orderBy(F.desc("g"), "term").limit(MAX_TERMS).select("term")
-    ids = np.sort(best.toPandas()["term"].to_numpy(np.int64))
-    rows = labelled.mapInPandas(partial(_kept_terms, kept=spark.sparkContext.broadcast(ids)), "key string, label int, terms array<int>").toPandas().sort_values(["key", "label"])
+    rows = labelled.mapInArrow(_labelled_places, "key string, label int, terms array<int>").toPandas().sort_values(["key", "label"])
+    places = 1 << TERM_BITS
+    if not len(rows):
+        return FactorizationMachine(0.0, np.zeros(places), np.zeros((places, factors)))
     y = rows["label"].to_numpy(float)
-    lengths = rows["terms"].map(len).to_numpy(np.int64)
-    index = np.concatenate([none, *rows["terms"]]).astype(np.int64)
-    doc = np.repeat(np.arange(len(y)), lengths)
+    return train(np.concatenate([np.zeros(0, np.int64), *rows["terms"]]).astype(np.int64), rows["terms"].map(len).to_numpy(np.int64), y, factors, epochs, seed)
+
+
+def train(index: np.ndarray, counts: np.ndarray, y: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 7) -> FactorizationMachine:
+    """index: places of the terms of all texts, text by text; counts: of each text's terms; y: labels."""
+    places = 1 << TERM_BITS
     share = min(max(y.mean(), 1e-4), 1 - 1e-4)
-    base = float(np.log(share / (1 - share)))
+    machine = FactorizationMachine(float(np.log(share / (1 - share))), np.zeros(places), np.zeros((places, factors)))
+    if y.min() == y.max() or not len(index):
+        return machine
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(len(ids)), rng.normal(0, 0.01, (len(ids), factors))
-    if y.min() == y.max() or not len(ids):
-        return FactorizationMachine(ids, base, w, v * 0)
-    start = np.searchsorted(doc, np.arange(len(y) + 1))
+    w, v = machine.weights, rng.normal(0, 0.05, (places, factors))
+    seen = np.zeros(places, bool)
+    seen[index] = True
+    v[~seen] = 0
+    machine.factors, machine.base = v, 0.0
+    begin = np.cumsum(counts) - counts
     # Each class weighs the same, as the rarer label is the one looked for; the calibration below undoes the shift.
     weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
-    gw, gv, gb = np.full(len(ids), 1e-2), np.full((len(ids), factors), 1e-2), 1e-2
-    b, rate, l2 = 0.0, 0.2, 2e-4
-    for epoch in range(epochs):
+    gw, gv, gb = np.full(places, 1e-2), np.full((places, factors), 1e-2), 1e-2
+    rate, factor_rate, l1, l2 = 0.2, 0.02, 1e-3, 1e-3
+    for _ in range(max(epochs, -(-STEPS * BATCH // len(y)))):
         order = rng.permutation(len(y))
-        for at in range(0, len(order), 64):
-            batch = np.sort(order[at : at + 64])
-            sizes = start[batch + 1] - start[batch]
-            rows_ = np.repeat(start[batch] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-            i, d, first = index[rows_], np.repeat(np.arange(len(batch)), sizes), np.cumsum(sizes) - sizes
-            z, f, s = _sums(w, v, i, first, len(batch))
-            g = weight[batch] * (1 / (1 + np.exp(-np.clip(z + b, -35, 35))) - y[batch]) / len(batch)
+        for at in range(0, len(order), BATCH):
+            batch = np.sort(order[at : at + BATCH])
+            sizes = counts[batch]
+            i = index[np.repeat(begin[batch] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+            d = np.repeat(np.arange(len(batch)), sizes)
+            linear, pairs, f, s = machine.parts(i, sizes)
+            g = weight[batch] * (1 / (1 + np.exp(-np.clip(machine.base + linear + pairs, -35, 35))) - y[batch]) / len(batch)
             uniq, inv = np.unique(i, return_inverse=True)
-            dw = np.bincount(inv, weights=g[d], minlength=len(uniq)) + l2 * w[uniq] / len(batch)
-            per = g[d][:, None] * (s[d] - f)
-            dv = np.stack([np.bincount(inv, weights=per[:, k], minlength=len(uniq)) for k in range(factors)], 1) + 5 * l2 * v[uniq] / len(batch)
+            dw = np.bincount(inv, weights=g[d], minlength=len(uniq))
+            per = (g / np.sqrt(np.maximum(sizes, 1)))[d][:, None] * (s[d] - f)
+            dv = np.stack([np.bincount(inv, weights=per[:, k], minlength=len(uniq)) for k in range(factors)], 1) + l2 * v[uniq]
             gw[uniq] += dw**2
             gv[uniq] += dv**2
-            w[uniq] -= rate * dw / np.sqrt(gw[uniq])
-            v[uniq] -= 0.25 * rate * dv / np.sqrt(gv[uniq])
+            step = rate / np.sqrt(gw[uniq])
+            moved = w[uniq] - step * dw
+            w[uniq] = np.sign(moved) * np.maximum(np.abs(moved) - step * l1, 0)
+            v[uniq] -= factor_rate * dv / np.sqrt(gv[uniq])
             db = g.sum()
             gb += db**2
-            b -= rate * db / np.sqrt(gb)
-    machine = FactorizationMachine(ids, b, w, v)
-    z = machine.raw(index, start[:-1], len(y))
+            machine.base -= rate * db / np.sqrt(gb)
+    z = machine.raw(index, counts)
     # Platt's two numbers, by Newton steps on the training texts with his smoothed targets.
     pos, neg = y.sum(), len(y) - y.sum()
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
@@ -175,42 +169,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         slope, shift = slope - step[0] / size, shift - step[1] / size
     if slope > 0:
         machine.slope, machine.shift = float(slope), float(shift)
+    machine.weights, machine.factors = w.astype(np.float32), v.astype(np.float32)
     return machine
 
 
-def _score(batches: Iterator[pd.DataFrame], model) -> Iterator[pd.DataFrame]:
+def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     m: FactorizationMachine = model.value
-    known: dict[str, tuple[int, ...]] = {}
-
-    def places(word: str) -> tuple[int, ...]:
-        h = term_hashes(list(terms(word)))
-        at = np.minimum(np.searchsorted(m.ids, h), max(len(m.ids) - 1, 0))
-        return tuple(int(k) for k, x in zip(at, h) if m.ids[k] == x)
-
     for batch in batches:
-        index: list[int] = []
-        first = np.zeros(len(batch), np.int64)
-        if len(known) > MEMORY:
-            known.clear()
-        for k, text in enumerate(batch["text"]):
-            first[k] = len(index)
-            if text and len(m.ids):
-                own: set[int] = set()
-                for w in set(_WORD.findall(text.lower())):
-                    p = known.get(w)
-                    if p is None:
-                        p = known[w] = places(w)
-                    if p:
-                        own.update(p)
-                index.extend(sorted(own))
-        score = m.prob(m.raw(np.array(index, np.int64), first, len(batch))) if len(batch) else np.zeros(0)
-        yield pd.DataFrame({**{c: batch[c].to_numpy() for c in batch.columns if c != "text"}, "score": score, "predicted": (score >= 0.5).astype(np.int32)})
+        last = batch.num_columns - 1
+        for lo, hi, raw, offsets in text_chunks(batch.column(last)):
+            score = m.prob(m.raw(*term_places(raw, offsets)))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(k).slice(lo, hi - lo) for k in range(last)], pa.array(score.astype(float)), pa.array((score >= 0.5).astype(np.int32))], names=[*batch.schema.names[:-1], "score", "predicted"]
+            )
+    release_memory()
 
 
 def score_texts(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", **options) -> DataFrame:
     """keep columns, score, predicted of every row of ``docs``."""
     bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text_col=text_col, **options))
-    kept = docs.select(*keep, F.col(text_col).cast("string").alias("text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "text")
-    return kept.mapInPandas(partial(_score, model=model), f"{fields}, score double, predicted int")
+    kept = docs.select(*keep, F.lower(F.col(text_col).cast("string")).alias("__text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "__text")
+    return kept.mapInArrow(partial(_score, model=model), f"{fields}, score double, predicted int")
