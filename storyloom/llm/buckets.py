@@ -2,12 +2,12 @@
 
 A bucket holds the rows of one key.  Two rows of it are near if their sizes and the Hamming distance of their sketches allow
 a link.  Instead of all near pairs, a round takes for each row its nearest near rows of other groups, verifies those pairs and
-contracts the linked ones to groups.  Rows with more near rows of other groups than that go into the next round, which takes eight
-times as many, without the pairs that were tested.  The rounds end when no near pair across groups is untested, so none
-is left out, but copies of one text need few pairs each.
+contracts the linked ones to groups.  If a row has more near rows of other groups than that, the rows of its key that have a near
+row go into the next round, which takes eight times as many, without the pairs that were tested.  The rounds end when no near pair
+across groups is untested, so none is left out, but copies of one text need few pairs each.
 
-First round: rows are dealt out by ranges of (key, size, id) and a task holds ``MEMBERS`` rows of a key at once, so a key that a third
-of the rows share goes to many tasks; keys that a range or a chunk cuts are looked at again in the next round.  Later rounds:
+First round: rows are dealt out by ranges of key and size and a task holds ``MEMBERS`` rows of a key at once, so a key that a third
+of the rows share goes to many tasks; all rows of keys that a range or a chunk cuts are looked at again in the next round.  Later rounds:
 a key of more rows is cut into cells; rows outside its largest group are sent to each cell, in blocks, the others to their own cell only.
 """
 
@@ -28,11 +28,15 @@ from .wordhash import U64, mix64
 MEMBERS = 8192
 #: Nearest rows that each row is paired with in the first round.
 NEAREST = 2
+#: Cells of the table of nearest rows that a task holds at once.
+TABLE = 1 << 21
+#: Bits of a row's sort key that hold its size; the others hold its bucket.
+SIZE_BITS = 24
 _FAR = np.iinfo(np.int32).max
-_SCHEMA = "a long, b long, cut long"
+_SCHEMA = "a long, b long, cut long, cut_id long"
 
-#: limit(sizes, sizes that are not smaller) -> (sizes fit, largest Hamming distance).
-Limit = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: smallest(sizes) -> the least size of a partner that is not larger; most(sizes, sizes that are not smaller) -> largest distance.
+Limit = tuple[Callable[[np.ndarray], np.ndarray], Callable[[np.ndarray, np.ndarray], np.ndarray]]
 
 
 def _pair_codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -40,64 +44,76 @@ def _pair_codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Sketches:
-    """Rows of 64-bit words; widths are powers of two, and a sketch folds to half its width by XOR of its halves."""
+    """Rows of 64-bit words; if widths differ they are powers of two, and a sketch folds to half its width by XOR of its halves."""
 
     def __init__(self, values: np.ndarray, widths: np.ndarray):
         self.values, self.widths, self.at = values, widths, np.cumsum(widths) - widths
+        self.even = values.reshape(len(widths), -1) if len(widths) and (widths == widths[0]).all() else None
 
-    def take(self, rows: np.ndarray, width: int) -> np.ndarray:
-        return self.values[self.at[rows, None] + np.arange(width)]
+    def _rows(self, rows: np.ndarray, width: int, folded: int) -> np.ndarray:
+        v = self.values[self.at[rows, None] + np.arange(width)]
+        while v.shape[1] > folded:
+            v = v[:, : v.shape[1] // 2] ^ v[:, v.shape[1] // 2 :]
+        return v
 
     def distance(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Hamming distances of rows; the wider sketch is folded once or more."""
+        """Hamming distances of rows; the wider sketch is folded."""
         out = np.zeros(len(i), np.int64)
-        wide = np.stack([self.widths[i], self.widths[j]])
-        for pair in np.unique(wide, axis=1).T if len(i) else ():
-            m = int(pair.min())
-            pick = np.flatnonzero((wide == pair[:, None]).all(0))
-            step = max(1, (1 << 18) // m)
+        if self.even is not None:
+            step = max(1, (1 << 18) // self.even.shape[1])
+            for k in range(0, len(i), step):
+                out[k : k + step] = np.bitwise_count(self.even[i[k : k + step]] ^ self.even[j[k : k + step]]).sum(1, dtype=np.int64)
+            return out
+        wide = self.widths[i] << 32 | self.widths[j]
+        for pair in np.unique(wide):
+            pick, w, x = np.flatnonzero(wide == pair), int(pair >> 32), int(pair & 0xFFFFFFFF)
+            m = min(w, x)
+            step = max(1, (1 << 18) // max(w, x))
             for k in range(0, len(pick), step):
                 p = pick[k : k + step]
-                sides = []
-                for rows, width in ((i[p], int(pair[0])), (j[p], int(pair[1]))):
-                    v = self.take(rows, width)
-                    while v.shape[1] > m:
-                        v = v[:, : v.shape[1] // 2] ^ v[:, v.shape[1] // 2 :]
-                    sides.append(v)
-                out[p] = np.bitwise_count(sides[0] ^ sides[1]).sum(1, dtype=np.int64)
+                out[p] = np.bitwise_count(self._rows(i[p], w, m) ^ self._rows(j[p], x, m)).sum(1, dtype=np.int64)
         return out
 
 
-def nearest_pairs(key, ids, size, component, sketches: Sketches, tested: np.ndarray, limit: Limit, keep: int):
-    """Rows sorted by (key, size): (rows, their nearest rows) and a mask of the rows with more near rows than ``keep``.
+def nearest_pairs(bucket, ids, size, component, sketches: Sketches, tested: np.ndarray, limit: Limit, keep: int):
+    """Rows sorted by (bucket, size): (rows, their nearest rows), and a mask of the rows that another round needs.
 
     tested: sorted codes of pairs to leave out.  A pair counts for its row of the smaller group, or else the later row.
     """
-    n = len(key)
-    best_d, best, found = np.full((n, keep), _FAR, np.int32), np.full((n, keep), -1, np.int64), np.zeros(n, np.int64)
-    _, group, rows_of = np.unique(mix64(mix64(key.view(U64)) + component.view(U64)), return_inverse=True, return_counts=True)
-    weight = rows_of[group]
-    active, step = np.arange(n), 0
+    smallest, most = limit
+    n = len(bucket)
+    best_d, best, found, touched = np.full((n, keep), _FAR, np.int32), np.full((n, keep), -1, np.int32), np.zeros(n, np.int32), np.zeros(n, bool)
+    if component is ids:
+        weight = None
+    else:
+        _, group, rows_of = np.unique(mix64(mix64(bucket.view(U64)) + component.view(U64)), return_inverse=True, return_counts=True)
+        weight = rows_of[group]
+    least = smallest(size)
+    active, step = np.arange(n - 1), 0
     while True:
         step += 1
         active = active[: np.searchsorted(active, n - step)]
-        active = active[key[active] == key[active + step]]
-        fits, _ = limit(size[active], size[active + step])
-        active = active[fits]  # sizes are sorted: what doesn't fit at this step won't at the next
+        later = active + step
+        # Sizes are sorted: what doesn't fit at this step won't at the next.
+        active = active[(bucket[active] == bucket[later]) & (size[active] >= least[later])]
         if len(active) == 0:
             break
-        i = active[component[active] != component[active + step]]
+        i = active if component is ids else active[component[active] != component[active + step]]
         j = i + step
         d = sketches.distance(i, j)
-        near = d <= limit(size[i], size[j])[1]
+        near = np.flatnonzero(d <= most(size[i], size[j]))
         i, j, d = i[near], j[near], d[near]
+        same = ids[i] == ids[j]
+        if same.any():
+            i, j, d = i[~same], j[~same], d[~same]
         if len(tested) and len(i):
             code = _pair_codes(ids[i], ids[j])
             new = tested[np.minimum(np.searchsorted(tested, code), len(tested) - 1)] != code
             i, j, d = i[new], j[new], d[new]
         if len(i) == 0:
             continue
-        first = weight[i] < weight[j]
+        touched[i] = touched[j] = True
+        first = np.zeros(len(i), bool) if weight is None else weight[i] < weight[j]
         for own, other, dist in ((i[first], j[first], d[first]), (j[~first], i[~first], d[~first])):
             found[own] += 1
             worst = best_d[own].argmax(1)
@@ -105,86 +121,89 @@ def nearest_pairs(key, ids, size, component, sketches: Sketches, tested: np.ndar
             own, worst = own[better], worst[better]
             best_d[own, worst], best[own, worst] = dist[better], other[better]
     row, place = np.nonzero(best >= 0)
-    return row, best[row, place], found > keep
+    over = np.unique(bucket[found > keep])
+    return row, best[row, place], touched & np.isin(bucket, over) if len(over) else np.zeros(n, bool)
 
 
 def _near_rows(batches: Iterator[pa.RecordBatch], limit: Limit, keep: int, members: int, ranges: bool) -> Iterator[pa.RecordBatch]:
-    """key, id, size, sketch (and component, tested, whole, where they aren't id, nothing and key) -> pairs (a, b), or the ``whole`` key of rows that need another round.
+    """key (bucket and size), id, size, sketch (and component, tested, whole, where they aren't id, nothing and the bucket) -> pairs
+    (a, b), and (cut, cut_id): rows that another round needs, all rows of ``cut`` where cut_id is null.
 
-    Rows come sorted by (key, size).  ranges: the first and last key may go on in another range.
+    Rows come sorted by key.  ranges: the first and last bucket may go on in another range.
     """
     held: list[pa.RecordBatch] = []
-    last_cut = None
+    edges: list[int] = []
 
-    def out(a, b, cut) -> pa.RecordBatch:
-        pad = lambda x, lead: pa.array(np.concatenate([np.zeros(lead, np.int64), x]), mask=np.arange(lead + len(x)) < lead)
-        behind = lambda x: pa.array(np.concatenate([x, np.zeros(len(cut), np.int64)]), mask=np.arange(len(x) + len(cut)) >= len(x))
-        return pa.RecordBatch.from_arrays([behind(np.minimum(a, b)), behind(np.maximum(a, b)), pad(cut, len(a))], names=["a", "b", "cut"])
+    def out(a, b, cut, cut_id=None) -> pa.RecordBatch:
+        blank = pa.nulls(len(cut), pa.int64())
+        pad = pa.nulls(len(a), pa.int64())
+        named = blank if cut_id is None else pa.array(cut_id)
+        columns = [[pa.array(np.minimum(a, b)), blank], [pa.array(np.maximum(a, b)), blank], [pad, pa.array(cut)], [pad, named]]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["a", "b", "cut", "cut_id"])
 
-    def compared(table: pa.Table, more_cut: list[int]) -> pa.RecordBatch:
-        table = table.combine_chunks()
-        col = lambda c: table.column(c).combine_chunks() if isinstance(table.column(c), pa.ChunkedArray) else table.column(c)
+    def compared(table: pa.Table, bucket: np.ndarray) -> pa.RecordBatch:
+        col = lambda c: pa.concat_arrays(table.column(c).chunks)
         of = lambda c: col(c).to_numpy(zero_copy_only=False)
-        key, ids, size, sketch = of("key"), of("id"), of("size"), col("sketch")
-        whole = of("whole") if "whole" in table.column_names else key
+        ids, size, sketch = of("id"), of("size"), col("sketch")
+        whole = of("whole") if "whole" in table.column_names else bucket
         comp = of("component") if "component" in table.column_names else ids
-        widths = np.diff(sketch.offsets.to_numpy()).astype(np.int64)
-        values = sketch.flatten().to_numpy(zero_copy_only=False).view(U64)
+        widths, values = np.diff(sketch.offsets.to_numpy()).astype(np.int64), sketch.flatten().to_numpy(zero_copy_only=False).view(U64)
         codes = np.zeros(0, U64)
         if "tested" in table.column_names:
             past = col("tested")
             lengths = past.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             codes = np.unique(_pair_codes(np.repeat(ids, lengths), past.flatten().to_numpy(zero_copy_only=False).astype(np.int64)))
-        own, other, more = nearest_pairs(key, ids, size, comp, Sketches(values, widths), codes, limit, keep)
-        return out(ids[own], ids[other], np.unique(np.concatenate([whole[more], np.array(more_cut, np.int64)])))
+        own, other, more = nearest_pairs(bucket, ids, size, comp, Sketches(values, widths), codes, limit, keep)
+        return out(ids[own], ids[other], whole[more], ids[more])
 
     def ready(final: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal held, last_cut
+        nonlocal held
         table = pa.Table.from_batches(held)
-        key = table.column("key").to_numpy()
-        starts = np.flatnonzero(np.diff(key, prepend=~key[0]))
-        ends = np.append(starts[1:], len(key))
-        # Whole keys, at most ``members`` rows at a time; the last key may go on.
-        at = 0
-        for s, e in zip(starts, ends):
-            final_run = e == len(key)
-            if final_run and not final and e - s < members:
+        if len(sizes := table.column("size").to_numpy()) and sizes.max() >= 1 << SIZE_BITS:
+            table = table.take(pa.array(np.lexsort((sizes, table.column("key").to_numpy() >> SIZE_BITS))))
+        bucket = table.column("key").to_numpy() >> SIZE_BITS
+        starts = np.flatnonzero(np.diff(bucket, prepend=~bucket[0]))
+        ends = np.append(starts[1:], len(bucket))
+        at, none = 0, np.zeros(0, np.int64)
+        for s, e in zip(starts.tolist(), ends.tolist()):
+            goes_on = e == len(bucket) and not final
+            if goes_on and e - s < members:
                 break
-            if e - s > members or (final_run and not final):  # a large key: chunks of it, and the rest in the next round
+            if e - s > members or goes_on:  # a large bucket: chunks of it, and the rest in the next round
                 if s > at:
-                    yield compared(table.slice(at, s - at), [])
+                    yield compared(table.slice(at, s - at), bucket[at:s])
                 for k in range(s, e, members):
-                    yield compared(table.slice(k, min(members, e - k)), [int(table.column("whole" if "whole" in table.column_names else "key")[int(s)].as_py())])
+                    yield compared(table.slice(k, min(members, e - k)), bucket[k : min(k + members, e)])
+                yield out(none, none, np.array([table.column("whole")[s].as_py() if "whole" in table.column_names else bucket[s]], np.int64))
                 at = e
-            elif e - at >= 4 * members:
-                yield compared(table.slice(at, e - at), [])
+            elif (e - at) * keep >= TABLE // 8:
+                yield compared(table.slice(at, e - at), bucket[at:e])
                 at = e
         else:
-            if at < len(key):
-                yield compared(table.slice(at), [])
+            if at < len(bucket):
+                yield compared(table.slice(at), bucket[at:])
             held = []
             return
         if s > at:
-            yield compared(table.slice(at, s - at), [])
+            yield compared(table.slice(at, s - at), bucket[at:s])
         held = table.slice(s).combine_chunks().to_batches()
 
-    rows, edges = 0, []
+    rows = 0
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        if not edges:
-            edges.append(batch.column(0)[0].as_py())
-        last_cut = batch.column(0)[batch.num_rows - 1].as_py()
+        last = batch.column(0)[batch.num_rows - 1].as_py() >> SIZE_BITS
+        edges = [edges[0] if edges else batch.column(0)[0].as_py() >> SIZE_BITS, last]
         held.append(batch)
         rows += batch.num_rows
-        if rows >= members:
+        if rows >= min(members, 20_000):
             yield from ready(False)
             rows = sum(b.num_rows for b in held)
     if held:
         yield from ready(True)
     if ranges and edges:
         none = np.zeros(0, np.int64)
-        yield out(none, none, np.unique(np.array([edges[0], last_cut], np.int64)))
+        yield out(none, none, np.unique(np.array(edges, np.int64)))
 
 
 def _celled(rows: DataFrame, members: int) -> DataFrame:
@@ -205,16 +224,19 @@ def _celled(rows: DataFrame, members: int) -> DataFrame:
 def link_buckets(passes: list[DataFrame], limit: Limit, verify: Callable[[DataFrame], DataFrame], store: Store, members: int | None = None, nearest: int = NEAREST, labels: DataFrame | None = None) -> DataFrame:
     """id, component of every id with a verified link to a near id of one of its keys, or in the groups ``labels``.
 
-    passes: key, id, size, sketch (array<long>), one row for each key and id; each pass has keys of its own and is shuffled alone, so
-    the disk that shuffles take follows one pass.  limit: see ``Limit``.  verify: distinct pairs (a, b) -> those that link.
+    passes: key (a 64-bit hash, of which the upper bits count), id, size, sketch (array<long>), one row for each key and id; each pass has
+    keys of its own and is shuffled alone, so the disk that shuffles take follows one pass.  limit: see ``Limit``.  verify: distinct pairs (a, b) -> those that link.
     """
     members = members or MEMBERS
     n = partitions_for(passes[0])
+    # The bucket in the upper bits and the size in the lower make one number to deal and sort by.
+    packed = F.shiftleft("key", SIZE_BITS).bitwiseOR(F.least("size", F.lit((1 << SIZE_BITS) - 1)).cast("long"))
+    passes = [df.withColumn("key", F.shiftright("key", SIZE_BITS)) for df in passes]
 
     def near(rows: DataFrame, keep: int, ranges: bool, name: str) -> DataFrame:
-        dealt = rows.repartitionByRange(n, "key", "size", "id") if ranges else rows.repartition("key")
-        dealt = dealt.sortWithinPartitions("key", "size", "id")
-        out = store.write(dealt.mapInArrow(partial(_near_rows, limit=limit, keep=keep, members=members, ranges=ranges), _SCHEMA), name)
+        rows, at_once = rows.withColumn("key", packed), members if ranges else 1 << 40  # cells are small already
+        dealt = rows.repartitionByRange(n, "key") if ranges else rows.repartition(F.shiftright("key", SIZE_BITS))
+        out = store.write(dealt.sortWithinPartitions("key").mapInArrow(partial(_near_rows, limit=limit, keep=keep, members=at_once, ranges=ranges), _SCHEMA), name)
         store.settle()
         return out
 
@@ -227,27 +249,30 @@ def link_buckets(passes: list[DataFrame], limit: Limit, verify: Callable[[DataFr
             out = out.unionByName(other)
         return out
 
-    first = [df if labels is None else grouped(df).select("key", "id", "size", "sketch", "component") for df in passes]
-    found = [near(df.select("key", "id", "size", "sketch", *df.columns[4:]), nearest, True, f"near{k}") for k, df in enumerate(first)]
+    columns = ["key", "id", "size", "sketch"]
+    found = [near(df.select(*columns) if labels is None else grouped(df).select(*columns, "component"), nearest, True, f"near{k}") for k, df in enumerate(passes)]
     refuted = None
     for round_no in range(40):
         pairs = store.write(union(found).filter("a is not null").select("a", "b").distinct(), f"pairs{round_no}")
         links = store.write(verify(pairs), f"verified{round_no}")
         linked = components(links, store) if labels is None else extended(labels, links, store)
         labels, before = store.write(linked, f"labels{round_no}"), labels
+        cut = store.write(union(found).filter("cut is not null").select(F.col("cut").alias("key"), F.col("cut_id").alias("id")).distinct(), f"cut{round_no}")
+        if cut.isEmpty():
+            return labels
         left = pairs.join(links, ["a", "b"], "left_anti")
         refuted, old = store.write(left if refuted is None else refuted.unionByName(left), f"refuted{round_no}"), refuted
-        cut = store.write(union(found).filter("cut is not null").select(F.col("cut").alias("key")).distinct(), f"cut{round_no}")
         store.free(*found, *[x for x in (before, old, pairs, links) if x is not None])
-        if cut.isEmpty():
-            return labels
-        rows = store.write(grouped(union([df.join(cut, "key", "left_semi") for df in passes])), f"rows{round_no}")
+        whole = cut.filter("id is null").select("key")
+        some = cut.filter("id is not null").join(whole, "key", "left_anti")
+        rows = union([df.join(keys, on, "left_semi") for df in passes for keys, on in ((whole, ["key"]), (some, ["key", "id"]))])
+        rows = store.write(grouped(rows).select(*columns, "component"), f"rows{round_no}")
         mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
         # A pair is looked up from either side, so the list of its larger id is enough; lists hold what rounds have tested.
         past = refuted.groupBy(F.greatest("a", "b").alias("id")).agg(F.collect_list(F.least("a", "b")).alias("tested"))
         rows_left = rows.join(mixed, "key", "left_semi").join(past, "id", "left").withColumn("tested", F.coalesce("tested", F.expr("cast(array() as array<long>)")))
-        rows_left = store.write(rows_left.select("key", "id", "size", "sketch", "component", "tested"), f"left{round_no}")
-        nearest *= 8
+        rows_left = store.write(rows_left.select(*columns, "component", "tested"), f"left{round_no}")
+        nearest = min(8 * nearest, 4 * members)
         found = [near(_celled(rows_left, members), nearest, False, f"more{round_no}")]
         store.free(rows, rows_left, cut)
     raise RuntimeError("buckets did not settle")

@@ -35,11 +35,11 @@ from .wordhash import U64, hash_spans, list_array, mix64, text_chunks
 
 SIMILARITY = 0.8
 #: Least bits of a block, the number of blocks at that width and the growth of that number with each further bit.
-BLOCK_BITS, BLOCKS, BLOCK_GROWTH = 16, 14, 1.17
+BLOCK_BITS, BLOCKS, BLOCK_GROWTH = 16, 16, 1.17
 #: Lines that a block's buckets hold on average, at most, as a power of two.
 BUCKET_POWER = 6
 #: Share of the SimHash's bits in which two lines may differ to be compared.
-DISTANCE = 0.29
+DISTANCE = 0.27
 #: Bytes up to which a word is short, and the votes of a longer and of a short word.
 SHORT_WORD, VOTES = 3, (5, 2)
 #: Words whose votes fit a byte together.
@@ -47,7 +47,7 @@ SEGMENT = 51
 #: Characters of a line beyond which edits are counted over words.
 LONG = 10_000
 #: Blocks that are shuffled together.
-BLOCKS_AT_ONCE = 5
+BLOCKS_AT_ONCE = 4
 #: Ids that may be sent to every executor (16 bytes each).
 BROADCAST_IDS = 200_000
 _WORDLESS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -198,6 +198,27 @@ def edits(a: str, b: str) -> int:
     return score
 
 
+def edit_bound(a: list[str], b: list[str]) -> int:
+    """An upper bound of the distance of two texts, from an alignment of their words that looks one word ahead."""
+    i = j = cost = 0
+    m, n = len(a), len(b)
+    while i < m and j < n:
+        x, y = a[i], b[j]
+        if x != y:
+            if i + 1 < m and a[i + 1] == y and not (j + 1 < n and a[i + 1] == b[j + 1]):
+                cost += len(x) + 1
+                i += 1
+                continue
+            if j + 1 < n and b[j + 1] == x and not (i + 1 < m and a[i + 1] == b[j + 1]):
+                cost += len(y) + 1
+                j += 1
+                continue
+            cost += max(len(x), len(y))
+        i += 1
+        j += 1
+    return cost + sum(map(len, a[i:])) + m - i + sum(map(len, b[j:])) + n - j
+
+
 def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """a, b, two normal forms, two strings of a character for each word -> the pairs that are similar."""
     for batch in batches:
@@ -207,13 +228,13 @@ def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
             if x is None or y is None:
                 x, y = wx, wy
             most = int((1 - similarity + 1e-9) * max(len(x), len(y)))
-            keep[k] = abs(len(x) - len(y)) <= most and edits(x, y) <= most
+            keep[k] = abs(len(x) - len(y)) <= most and (edit_bound(x.split(" "), y.split(" ")) <= most or edits(x, y) <= most)
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
 
 
-def sizes_fit(low: np.ndarray, high: np.ndarray, similarity: float, distance: int):
-    """Whether lengths allow the similarity, and the largest distance of SimHashes; high is not smaller than low."""
-    return high - low <= np.floor((1 - similarity + 1e-9) * high).astype(np.int64), np.full(len(low), distance)
+def smallest_partner(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """The least length of a line that a line of this length may be similar to."""
+    return sizes - np.floor((1 - similarity + 1e-9) * sizes).astype(np.int64)
 
 
 def similar_lines(pairs: DataFrame, lines: DataFrame, texts: DataFrame, similarity: float, store: Store) -> DataFrame:
@@ -263,7 +284,8 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     block = lambda k: F.shiftrightunsigned(F.element_at("sketch", k // per_word + 1), k % per_word * bits).bitwiseAND(mask)
     keys = [F.xxhash64(F.lit(k), block(k)) for k in range(blocks)]
     passes = [lines.select(F.explode(F.array(*keys[k : k + BLOCKS_AT_ONCE])).alias("key"), "id", "size", "sketch") for k in range(0, blocks, BLOCKS_AT_ONCE)]
-    limit = partial(sizes_fit, similarity=similarity, distance=int(DISTANCE * 64 * words64))
+    distance = int(DISTANCE * 64 * words64)
+    limit = (partial(smallest_partner, similarity=similarity), lambda low, high: distance)
     labels = link_buckets(passes, limit, lambda pairs: similar_lines(pairs, lines, texts, similarity, store), store)
     kept = lines.select("id", "at").join(labels, "id", "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("at").alias("at"))
     kept = store.write(kept.groupBy("at.doc_id", "at.th").agg(F.collect_list("at.line").alias("kept")), "kept")

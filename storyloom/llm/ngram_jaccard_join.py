@@ -227,9 +227,9 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
     release_memory()
 
 
-def sizes_fit(low: np.ndarray, high: np.ndarray, percent: int):
-    """Whether the sizes of two sets allow a link, and the largest distance of their sketches; high is not smaller than low."""
-    return 100 * low >= percent * high, most_different(low + high, percent)
+def smallest_partner(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """The least size of a set that a set of this size may be linked with."""
+    return -(-percent * sizes // 100)
 
 
 def may_link_wide(x, y, percent: int):
@@ -301,7 +301,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     store.settle()
     sketches = sets.select("id", F.col("n").alias("size"), "sketch")
     verify = lambda pairs: links_among(pairs, sets, percent, store)
-    limit = partial(sizes_fit, percent=percent)
+    limit = (partial(smallest_partner, percent=percent), lambda low, high: most_different(low + high, percent))
     early = F.pmod(F.xxhash64("key"), F.lit(KEY_SHARE)) == 0
     groups = link_buckets([members.filter(early).join(sketches, "id").select("key", "id", "size", "sketch")], limit, verify, store)
     grouped = members.filter(~early).join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))

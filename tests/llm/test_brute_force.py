@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from storyloom.llm import language_model, line_dedup, oracles, queries
+from storyloom.llm import language_model, oracles, queries
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -40,45 +40,6 @@ def test_sql(spark, name):
     assert sorted(map(tuple, df.select(*names).collect())) == sorted(cursor.fetchall())
 
 
-def test_lines(spark, docs):
-    got = {r.doc_id: r.text for r in queries.op4_line_dedup(spark, SF).collect()}
-    form = lambda line: tuple(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(line)))
-    first = {}
-    for k in sorted(docs):
-        for n, line in enumerate((docs[k] or "").split("\n")):
-            if form(line):
-                first.setdefault(form(line), (k, n))
-    lines = list(first)
-    raw = [" ".join(x).encode() for x in lines]
-    _, _, _, sim, a1, a2, *_ = line_dedup.line_features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-    group = list(range(len(lines)))
-
-    def top(x):
-        while group[x] != x:
-            x = group[x]
-        return x
-
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    for i in range(len(lines)):
-        for j in i + 1 + np.flatnonzero(np.bitwise_count(sim[i + 1 :] ^ sim[i]) <= line_dedup.DISTANCE):
-            a, b = lines[i], lines[j]
-            if {int(a1[i]), int(a2[i])} & {int(a1[j]), int(a2[j])} - {0} and edits(a, b) <= int((1 - line_dedup.SIMILARITY + 1e-9) * max(len(a), len(b))):
-                group[top(i)] = top(j)
-    best = {}
-    for i, line in enumerate(lines):
-        best[top(i)] = min(best.get(top(i), first[line]), first[line])
-    stay = set(best.values())
-    for k, text in docs.items():
-        assert got[k] == "\n".join(x for n, x in enumerate((text or "").split("\n")) if not form(x) or (k, n) in stay)
-
-
 def test_language_model(spark, docs, monkeypatch):
     monkeypatch.setattr(language_model, "BUCKET_CHARS", 200_000)  # several buckets and common contexts even here
     got = {r.doc_id: r for r in queries.op6_language_model(spark, SF).collect()}
