@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .links import components, extended, partitions_for
-from .shared_store import Store
+from .shared_store import Store, release_memory
 from .wordhash import U64, mix64
 
 #: Rows of a key that one task compares with each other.
@@ -47,31 +47,28 @@ class Sketches:
     """Rows of 64-bit words; if widths differ they are powers of two, and a sketch folds to half its width by XOR of its halves."""
 
     def __init__(self, values: np.ndarray, widths: np.ndarray):
-        self.values, self.widths, self.at = values, widths, np.cumsum(widths) - widths
-        self.even = values.reshape(len(widths), -1) if len(widths) and (widths == widths[0]).all() else None
-
-    def _rows(self, rows: np.ndarray, width: int, folded: int) -> np.ndarray:
-        v = self.values[self.at[rows, None] + np.arange(width)]
-        while v.shape[1] > folded:
-            v = v[:, : v.shape[1] // 2] ^ v[:, v.shape[1] // 2 :]
-        return v
+        self.widths, self.place, self.of = widths, np.zeros(len(widths), np.int64), {}
+        at = np.cumsum(widths) - widths
+        for w in np.unique(widths).tolist():
+            rows = np.flatnonzero(widths == w)
+            self.place[rows] = np.arange(len(rows))
+            self.of[w] = values.reshape(-1, w) if len(rows) == len(widths) else values[at[rows, None] + np.arange(w)]
 
     def distance(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Hamming distances of rows; the wider sketch is folded."""
         out = np.zeros(len(i), np.int64)
-        if self.even is not None:
-            step = max(1, (1 << 18) // self.even.shape[1])
-            for k in range(0, len(i), step):
-                out[k : k + step] = np.bitwise_count(self.even[i[k : k + step]] ^ self.even[j[k : k + step]]).sum(1, dtype=np.int64)
-            return out
-        wide = self.widths[i] << 32 | self.widths[j]
-        for pair in np.unique(wide):
-            pick, w, x = np.flatnonzero(wide == pair), int(pair >> 32), int(pair & 0xFFFFFFFF)
-            m = min(w, x)
-            step = max(1, (1 << 18) // max(w, x))
+        kind = self.widths[i] << 32 | self.widths[j]
+        for pair in np.unique(kind):
+            w, x = int(pair >> 32), int(pair & 0xFFFFFFFF)
+            pick, step = np.flatnonzero(kind == pair), max(1, (1 << 17) // max(w, x))
             for k in range(0, len(pick), step):
                 p = pick[k : k + step]
-                out[p] = np.bitwise_count(self._rows(i[p], w, m) ^ self._rows(j[p], x, m)).sum(1, dtype=np.int64)
+                sides = [self.of[w][self.place[i[p]]], self.of[x][self.place[j[p]]]]
+                for s in (0, 1):
+                    while sides[s].shape[1] > min(w, x):
+                        half = sides[s].shape[1] // 2
+                        sides[s] = sides[s][:, :half] ^ sides[s][:, half:]
+                out[p] = np.bitwise_count(sides[0] ^ sides[1]).sum(1, dtype=np.int64)
         return out
 
 
@@ -204,6 +201,7 @@ def _near_rows(batches: Iterator[pa.RecordBatch], limit: Limit, keep: int, membe
     if ranges and edges:
         none = np.zeros(0, np.int64)
         yield out(none, none, np.unique(np.array(edges, np.int64)))
+    release_memory()
 
 
 def _celled(rows: DataFrame, members: int) -> DataFrame:

@@ -21,7 +21,6 @@ A labelled text without an id is learnt from like any other.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -43,18 +42,26 @@ ROUNDS, SETTLED = 30, 1e-4
 PENALTY = 4.0
 #: Words in a worker's memory of word likelihoods.
 MEMORY = 120_000
-#: Characters that a regular expression takes for parts of words and that are numbers, not letters: fractions, superscripts, Roman numerals.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
-_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def letter_words(text: str) -> Counter:
+    """Lower-case words of letters, counted.  What the pattern takes for parts of words but is a number (a fraction, a Roman numeral) ends a word."""
+    found = Counter(_WORD.findall(text.lower()))
+    for w in [w for w in found if not w.isalpha()]:
+        n = found.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            found[part] += n
+    return found
 
 
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """lang, text -> lang, gram, n: the n-grams of orders 1 to ORDER within padded words."""
     for batch in batches:
         for lang, group in batch.groupby("lang"):
-            words = pd.Series([w for t in group["text"] for w in _WORD.findall(t.lower())], dtype=object).value_counts()
+            words = sum(map(letter_words, group["text"]), Counter())
             total: dict[str, int] = {}
-            for w, c in zip(words.index, words.to_numpy()):
+            for w, c in words.items():
                 s = " " * (ORDER - 1) + w + " "
                 for i in range(ORDER - 1, len(s)):
                     for n in range(1, ORDER + 1):
@@ -199,7 +206,7 @@ def _predict(batches: Iterator[pd.DataFrame], model, penalty: float, give_text:
             for k, text in enumerate(part["text"]):
                 if text is None or not m.langs:
                     continue
-                own = Counter(_WORD.findall(text.lower()))
+                own = letter_words(text)
                 at_ = []
                 for w in own:
                     j = known.get(w)

@@ -230,6 +230,7 @@ def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
             most = int((1 - similarity + 1e-9) * max(len(x), len(y)))
             keep[k] = abs(len(x) - len(y)) <= most and (edit_bound(x.split(" "), y.split(" ")) <= most or edits(x, y) <= most)
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
+    release_memory()
 
 
 def smallest_partner(sizes: np.ndarray, similarity: float) -> np.ndarray:

@@ -12,8 +12,9 @@ an empty set).  Two texts link when ``100 * |A & B| >= percent * |A | B|``.
    differ in at most D n-grams.
 3. Pigeonhole.  With more than D blocks, linked sets hold the very same n-grams in at least one
    block.  A block's key is the XOR of its n-grams' 64-bit hashes (equal if the block's n-grams
-   are, whatever the width of its bit sketch).  Blocks of fewer than ``WEAK`` n-grams say little; a set
-   leaves them out if it has so few of them that an agreeing strong block must remain.
+   are, whatever the width of its bit sketch).  Blocks of few n-grams say little, and empty ones nothing: a set leaves out all blocks
+   of fewer than s n-grams, s as large as it can be (up to ``WEAK``) with so few such blocks that another agreeing one must remain.
+   Of two linked sets the one with the larger s has an agreeing block of s n-grams or more, which the other has kept as well.
 4. Near copies share most of their keys, so one key in ``KEY_SHARE`` is looked at first; of the others, only keys whose members are
    still in different groups.  Members of a bucket are compared by bit sketches whose size follows that of the set (up to ``WIDEST`` words), nearest first; the
    near pairs are verified by wider sketches and then on the sets, linked ones contracted to groups, and pairs across groups
@@ -39,8 +40,8 @@ from .links import extended, key_runs
 from .shared_store import Store, one_text_each, release_memory
 from .wordhash import U64, doc_of, list_array, mix64, ngram_hashes, text_chunks, word_hashes
 
-#: Blocks with fewer n-grams than this are left out where that loses nothing.
-WEAK = 3
+#: Blocks with this many n-grams or more are never left out.
+WEAK = 4
 #: Ratio of the sizes that a band spans.
 BAND_RATIO = 1.4
 #: 64-bit words of the sketch that bucket members carry, at most; larger sets are told apart by their whole sketch.
@@ -138,17 +139,17 @@ def _keys_of_band(h, d, sizes, who, band, low, high, blocks, percent):
     hh, dd = h[mine], rank[d[mine]]
     nb = np.full(len(who), blocks)
     owner, block, xor, _, size = blocks_of(hh, dd, nb)
-    strong = size >= WEAK
-    n_strong = np.bincount(owner[strong], minlength=len(who))
     a = sizes[who]
     largest = np.minimum(high, (100 * a) // percent)
-    d_own = most_different(a + largest, percent)
-    lean = blocks - n_strong <= blocks - 1 - d_own  # so few weak blocks that a strong one agrees
-    keep = np.where(lean[owner], strong, True)
+    spare = blocks - 1 - most_different(a + largest, percent)  # so many blocks can be left out, and one that agrees remains
+    full = np.bincount(owner, minlength=len(who))
+    smaller = np.stack([blocks - full, *[blocks - full + np.bincount(owner[size < s], minlength=len(who)) for s in range(2, WEAK + 1)]])  # blocks of fewer than 1, 2, ... n-grams
+    least = (smaller <= spare).sum(0)  # numbers of smaller blocks ascend: the largest s that can be afforded
+    keep = size >= least[owner]
     keys = mix64(xor + mix64(block.astype(U64) + U64(band << 32)))
-    # Sets that keep their weak blocks also keep the empty ones.
-    fat = np.flatnonzero(~lean)
-    if len(fat) and blocks > 1:
+    # Sets that cannot leave out their empty blocks have keys for them too.
+    fat = np.flatnonzero((least == 0) & (full < blocks))
+    if len(fat):
         there = np.zeros((len(fat), blocks), bool)
         at = np.full(len(who), -1)
         at[fat] = np.arange(len(fat))
@@ -257,6 +258,7 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
             shared = int((both[1:] == both[:-1]).sum())
             keep[i] = 100 * shared >= percent * (len(a) + len(b) - shared)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+    release_memory()
 
 
 def links_among(pairs: DataFrame, sets: DataFrame, percent: int, store: Store) -> DataFrame:
