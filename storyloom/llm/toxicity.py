@@ -83,8 +83,15 @@ class FactorizationMachine:
         return _segment(self.weights[places], counts), pairs, f, s
 
     def raw(self, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        linear, pairs, _, _ = self.parts(places, counts)
-        return self.base + linear + pairs
+        """Scores before calibration, some hundred thousand terms (or one text) at a time."""
+        out, ends, at = np.empty(len(counts)), np.cumsum(counts), 0
+        while at < len(counts):
+            begin = ends[at] - counts[at]
+            to = max(at + 1, int(np.searchsorted(ends, begin + 200_000, side="right")))
+            linear, pairs, _, _ = self.parts(places[begin : ends[to - 1]], counts[at:to])
+            out[at:to] = self.base + linear + pairs
+            at = to
+        return out
 
     def prob(self, raw: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -35, 35)))
@@ -106,12 +113,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         labels = labels.filter(F.pmod(F.xxhash64("__id"), F.lit(1_000_003)) < int(1_000_003 * max_labelled / total))
     texts = docs.select(F.col(id_col).alias("__id"), F.lower(F.col(text_col).cast("string")).alias("text"))
     labelled = texts.join(F.broadcast(labels), "__id").select("text", "label", F.col("__id").cast("string").alias("key"))  # about max_labelled rows
-    rows = labelled.mapInArrow(_labelled_places, "key string, label int, terms array<int>").toPandas().sort_values(["key", "label"])
+    rows = labelled.mapInArrow(_labelled_places, "key string, label int, terms array<int>").toArrow().sort_by([("key", "ascending"), ("label", "ascending")]).combine_chunks()
     places = 1 << TERM_BITS
     if not len(rows):
         return FactorizationMachine(0.0, np.zeros(places), np.zeros((places, factors)))
-    y = rows["label"].to_numpy(float)
-    return train(np.concatenate([np.zeros(0, np.int64), *rows["terms"]]).astype(np.int64), rows["terms"].map(len).to_numpy(np.int64), y, factors, epochs, seed)
+    terms = pa.concat_arrays(rows["terms"].chunks)
+    return train(terms.flatten().to_numpy(), terms.value_lengths().to_numpy().astype(np.int64), rows["label"].to_numpy().astype(float), factors, epochs, seed)
 
 
 def train(index: np.ndarray, counts: np.ndarray, y: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 7) -> FactorizationMachine:
