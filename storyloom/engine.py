@@ -6,21 +6,30 @@ command that fails half-way leaves the tables as they were.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .constants import DEFAULT_BIAS, RETENTION_DAYS
+from .constants import DEFAULT_BIAS, RETENTION_DAYS, STOP_WORDS
 from .functions.texts import cluster_text, effective_headline
-from .functions.urls import classify, favicon, slug_words
-from .operators import changes as C, similarity as Y, stories as R
+from .functions.urls import absolute_url, classify, domain, favicon, slug_words
+from .operators import changes as C, greedy as G, similarity as Y, stories as R
+from .sources.discover import bodies, discover
 from .sources.feeds import keep_first
 from .sources.tables import ARTICLES, CLUSTERS, CUSTOM_PUBLISHERS, publishers
 
 SCHEMAS = {"articles": ARTICLES, "clusters": CLUSTERS, "custom_publishers": CUSTOM_PUBLISHERS}
 
 
+def read_words(spark: SparkSession, path: str) -> list[str]:
+    """A list of words, one a line, from a text file."""
+    return [r[0] for r in spark.read.text(path).select(F.lower(F.trim("value")).alias("w")).filter("w <> ''").distinct().orderBy("w").collect()]  # a stop list
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, stop_words: Sequence[str] = STOP_WORDS):
+        """stop_words: the whole list of the desk (see ``read_words``); the similarity of articles depends on it."""
+        self.spark, self.root, self.stop_words = spark, root.rstrip("/"), list(stop_words)
 
     def _versions(self, name: str) -> list[int]:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -65,9 +74,9 @@ class Engine:
         counts = {"scraped": raw.count(), "new": new.count()}
         if counts["new"]:
             text = cluster_text(effective_headline(F.col("language"), F.col("headline"), F.col("translated_headline")), F.col("snippet"), slug_words(F.col("original_url")))
-            joined = Y.best_story(new, stored.filter("cluster_id is not null"), text).select("id", "cluster_id")
-            started = Y.greedy_assign(new.join(joined.select("id"), "id", "left_anti"), text)
-            everything = C.set_value(everything, joined.unionByName(started), "cluster_id")
+            # One desk's retention period: stored stories and new articles in one order, so new ones also meet by each other.
+            began = stored.filter("cluster_id is not null").unionByName(new.withColumn("cluster_id", F.lit(None).cast("string")))
+            everything = C.set_value(everything, G.greedy_assign(began, text, stop_words=self.stop_words), "cluster_id")
         self._store(everything)
         return counts
 
@@ -89,7 +98,8 @@ class Engine:
         text = cluster_text(effective_headline(F.col("language"), F.col("headline"), F.col("translated_headline")), F.col("snippet"), slug_words(F.col("original_url")))
         fresh, none = C.wipe_clusters(art, self.table("clusters"))
         self._write("clusters", none)
-        self._store(C.set_value(fresh, Y.greedy_assign(art, text), "cluster_id"))
+        began = art.withColumn("cluster_id", F.lit(None).cast("string"))
+        self._store(C.set_value(fresh, G.greedy_assign(began, text, stop_words=self.stop_words), "cluster_id"))
 
     def split(self, article_id: str) -> str:
         """The article gets a story of its own, named after it."""
@@ -119,6 +129,21 @@ class Engine:
     def cache_summaries(self, summaries: DataFrame) -> None:
         self._write("clusters", C.cache_summary(self.table("clusters"), summaries))
 
+    def discover_publishers(self, sites: DataFrame, fetched: DataFrame) -> DataFrame:
+        """sites: site (the id), url, name, is_global; fetched: url, body -> rows of custom_publishers for the sites that can be read, added to the table."""
+        found = discover(sites, fetched).filter("method is not null").join(sites.select("site", "url", "name", "is_global"), "site")
+        host = domain(absolute_url(F.col("url")))
+        name = F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.nullif(F.col("title"), F.lit("")), host)
+        rows = found.select(F.col("site").alias("id"), name.alias("name"), F.col("scrape_url").alias("rss_url"), F.col("method").alias("scrape_method"), "scrape_config", "is_global")
+        self.add_publisher(rows)
+        return rows
+
+    def article_bodies(self, wanted: DataFrame, fetched: DataFrame) -> DataFrame:
+        """wanted: id; fetched: url, body -> id, body_text, image_url, stored ones first; fresh ones are kept."""
+        found = bodies(self.table("articles").join(wanted.select("id"), "id", "left_semi"), fetched)
+        self.cache_bodies(found)
+        return found
+
     def add_publisher(self, row: DataFrame) -> None:
         self._write("custom_publishers", C.upsert_publisher(self.table("custom_publishers"), row))
 

@@ -68,16 +68,17 @@ def normalize_numbers(text: Column) -> Column:
 
 def tokens(headline: Column, stop_words: Sequence[str] = STOP_WORDS, entities: Sequence[str] = ENTITIES) -> Column:
     """array of (word, weight): 3 for numbers, 2 for acronyms, entities and names, 1 for others; then pairs of neighbours of weight 2 and more."""
-    stops, names = F.array(*[F.lit(w) for w in stop_words]), F.array(*[F.lit(w) for w in entities])
+    stops, names = list(stop_words), list(entities)
 
     def weigh(w: Column, i: Column) -> Column:
         low = F.lower(w)
         n = F.octet_length(low)
-        acronym = w.rlike(r"^\p{Lu}+$")
-        keep = (n > 2) | ((n == 2) & acronym)
+        keep = (n > 2) | ((n == 2) & w.rlike(r"^\p{Lu}+$"))
+        # Most words have no capital: of those, one without a letter may be a number, and no other is capitalised.
+        small = F.when(low.rlike(r"\p{L}"), F.when(low.isin(names), 2).otherwise(1)).when(low.rlike("^[0-9]+$"), 3).when(F.octet_length(w) >= 2, 2).otherwise(1)
         capital = (F.octet_length(w) >= 2) & w.rlike(r"^[\p{Lu}\P{L}]+$")
-        weight = F.when(low.rlike("^[0-9]+$"), 3).when(capital, 2).when(F.array_contains(names, low), 2).when((i > 0) & w.rlike(r"^\p{Lu}"), 2).otherwise(1)
-        return F.when(keep & ~F.array_contains(stops, low), F.struct(low.alias("word"), weight.alias("weight")))
+        large = F.when(capital | low.isin(names) | ((i > 0) & w.rlike(r"^\p{Lu}")), 2).otherwise(1)
+        return F.when(keep & ~low.isin(stops), F.struct(low.alias("word"), F.when(w == low, small).otherwise(large).alias("weight")))
 
     single = F.filter(F.transform(F.split(normalize_numbers(headline), r"[^\p{L}\p{N}]", -1), weigh), lambda t: t.isNotNull())
     return with_pairs(single)

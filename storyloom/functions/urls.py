@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from ..constants import HEADLINE_CATEGORIES, NAV_ENDS, NAV_PARTS, NAV_SLASHES, URL_CATEGORIES
@@ -67,12 +69,14 @@ def is_nav_link(url: Column) -> Column:
 
 
 def classify(url: Column, headline: Column) -> Column:
-    """The category that the URL gives, else the headline, else ``general``."""
+    """The category that the URL gives, else the headline, else ``general``.
+
+    One pattern for each category, so a text is lower-cased and read a few times, not once for each word.
+    """
     out = None
-    for text, rules in ((F.lower(F.coalesce(url, F.lit(""))), URL_CATEGORIES), (F.lower(F.coalesce(headline, F.lit(""))), HEADLINE_CATEGORIES)):
+    for text, rules in ((url, URL_CATEGORIES), (headline, HEADLINE_CATEGORIES)):
+        low = F.lower(F.coalesce(text, F.lit("")))
         for name, parts in rules:
-            hit = text.contains(parts[0])
-            for part in parts[1:]:
-                hit = hit | text.contains(part)
+            hit = low.rlike("|".join(map(re.escape, parts)))
             out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
     return out.otherwise(F.lit("general"))

@@ -97,14 +97,24 @@ def x_attr(spark, d):
     return table(spark, d, "pages").select("page_id", M.attribute(F.col("html"), "lang").alias("lang"))
 
 
-@query("x_meta_image", "SELECT page_id, CASE WHEN contains(html, 'og:image') THEN regexp_extract(html, 'content=\"([^\"]*)\"', 1) END AS image FROM pages")
+#: A page's head with pictures: by page_id mod 5 a good one, a sub-property before it, a picture that is none, only twitter's, none.
+_HEAD = lambda: F.concat(F.lit("<head>"), F.element_at(F.array(*map(F.lit, (
+    '<meta property="og:image" content="https://img.ex.com/ID.jpg">', '<meta property="og:image:width" content="https://no.ex.com/1.jpg"><meta content="https://img.ex.com/ID.jpg" property="og:image">',
+    '<meta property="og:image" content="https://img.ex.com/spacer/ID.jpg">', '<META name="twitter:image" content="https://img.ex.com/ID.jpg">', ""))), (F.col("page_id") % 5 + 1).cast("int")), F.lit("</head>"))
+_IMG = lambda: F.element_at(F.array(*map(F.lit, (
+    '<img class="x" src="https://img.ex.com/ID.jpg">', '<img data-src="https://img.ex.com/ID.jpg" src="https://img.ex.com/other.jpg">', '<img src="//img.ex.com/ID.jpg">', '<img src="https://img.ex.com/1x1/ID.jpg"><img src="https://img.ex.com/ID.jpg">', "<p>none</p>"))), (F.col("page_id") % 5 + 1).cast("int"))
+_own = lambda c: F.replace(c, F.lit("ID"), F.col("page_id").cast("string"))
+_IMAGE = "'https://img.ex.com/' || page_id || '.jpg'"
+
+
+@query("x_meta_image", f"SELECT page_id, CASE WHEN page_id % 5 IN (0, 1, 3) THEN {_IMAGE} END AS image FROM pages")
 def x_meta_image(spark, d):
-    return table(spark, d, "pages").select("page_id", M.meta_image(F.col("html")).alias("image"))
+    return table(spark, d, "pages").select("page_id", M.meta_image(F.concat(_own(_HEAD()), "html")).alias("image"))
 
 
-@query("x_extract_image", "SELECT page_id, CASE WHEN contains(lower(html), '<img ') THEN regexp_extract(html, 'src=\"([^\"]*)\"', 1) END AS image FROM pages")
+@query("x_extract_image", f"SELECT page_id, CASE WHEN page_id % 5 < 4 THEN {_IMAGE} END AS image FROM pages")
 def x_extract_image(spark, d):
-    return table(spark, d, "pages").select("page_id", M.extract_image(F.col("html")).alias("image"))
+    return table(spark, d, "pages").select("page_id", M.extract_image(F.concat(_own(_IMG()), "html")).alias("image"))
 
 
 @query("src_discover_link", "SELECT page_id, CASE WHEN regexp_matches(html, '(?is)<link[^>]*alternate') THEN regexp_extract(html, 'href=\"([^\"]*)\"', 1) END AS feed FROM pages")

@@ -5,11 +5,12 @@ Story keys, publishers and times are synthetic (README), so these check the oper
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from ..constants import BIAS_CATEGORIES, INDEPENDENT, PUBLISHERS, SOURCE_SCORE, STOP_WORDS
+from ..constants import BIAS_CATEGORIES, HTML_ENTITIES, INDEPENDENT, PUBLISHERS, SOURCE_SCORE, STOP_WORDS
 from ..functions import markup as M, texts as X
-from ..operators import changes as C, similarity as Y, stories as R
+from ..intermediate import numbered, written
+from ..operators import changes as C, greedy as G, similarity as Y, stories as R
 from ..sources.tables import DOCUMENT_ARTICLES_SQL as ART, document_articles, publishers, table
 from .registry import query
 
@@ -138,9 +139,7 @@ def s_shuffle(spark, d):
 
 @query("s_feed_order", f"{AS}, {CLUSTERS} SELECT id, row_number() OVER (ORDER BY last_updated DESC, id)::INT AS n FROM cl")
 def s_feed_order(spark, d):
-    from pyspark.sql import Window
-
-    return _clusters(_art(spark, d)).select("id", F.row_number().over(Window.orderBy(F.desc("last_updated"), "id")).alias("n"))
+    return numbered(_clusters(_art(spark, d)).select("id", "last_updated"), "n", F.desc("last_updated"), F.asc("id")).select("id", "n")
 
 
 @query("s_size_rank", f"{AS} SELECT cluster_id, count(*)::BIGINT AS n FROM art GROUP BY cluster_id")
@@ -230,7 +229,7 @@ def _names():
 
 #: tok (id, cluster_id, pos, word, weight): the tokens of every headline, pairs last.
 TOK = f"""
-sp AS (SELECT id, cluster_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT id, cluster_id, regexp_split_to_array({NORM.format('headline')}, '[^\\p{{L}}\\p{{N}}]') AS ws FROM art)),
+sp AS (SELECT id, cluster_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT id, cluster_id, regexp_split_to_array({NORM.format('snippet')}, '[^\\p{{L}}\\p{{N}}]') AS ws FROM art)),
 sg AS (SELECT id, cluster_id, i, lower(w) AS word, CASE WHEN regexp_matches(lower(w), '^[0-9]+$') THEN 3 WHEN strlen(w) >= 2 AND regexp_matches(w, '^[\\p{{Lu}}\\P{{L}}]+$') THEN 2
   WHEN list_contains({_names()}, lower(w)) THEN 2 WHEN i > 0 AND regexp_matches(w, '^\\p{{Lu}}') THEN 2 ELSE 1 END AS weight
   FROM sp WHERE (strlen(lower(w)) > 2 OR (strlen(lower(w)) = 2 AND regexp_matches(w, '^\\p{{Lu}}+$'))) AND NOT list_contains({_STOPS}, lower(w))),
@@ -240,8 +239,12 @@ tok AS (SELECT id, cluster_id, pos, word, weight FROM sn UNION ALL SELECT id, cl
 IDF = "sc AS (SELECT count(DISTINCT cluster_id) AS n FROM tok), idf AS (SELECT word, count(DISTINCT cluster_id) AS df, ln((any_value(sc.n) + 1) / (count(DISTINCT cluster_id) + 1)) + 1 AS idf FROM tok, sc GROUP BY word)"
 
 
+#: What the token queries read: the whole text of a document.
+TEXT = "snippet"
+
+
 def _rows(spark, d):
-    return Y.token_rows(_art(spark, d), F.col("headline"), "id", "cluster_id")
+    return Y.token_rows(_art(spark, d), F.col(TEXT), "id", "cluster_id")
 
 
 @query("x_tokenize", f"{AS}, {TOK} SELECT id, pos::INT AS pos, word, weight::INT AS weight FROM tok")
@@ -303,7 +306,7 @@ t AS (SELECT *, cosine * (1 + 0.2 * exp(-h / 12)) AS score, CASE WHEN h > 72 THE
 @query("j_article_cluster_sim", _SIM + " SELECT new_id AS id, cluster_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY round(score, 9) DESC, cluster_id) AS r FROM t WHERE score >= least) WHERE r = 1")
 def j_article_cluster_sim(spark, d):
     art = _art(spark, d)
-    return Y.best_story(art, art, F.col("headline")).select("id", "cluster_id", F.round("score", 6).alias("score"))
+    return Y.best_story(art, art, F.col(TEXT)).select("id", "cluster_id", F.round("score", 6).alias("score"))
 
 
 _MERGE = f"""{AS}, {TOK}, {IDF}, {DOMINANT}, bag AS (SELECT cluster_id, word, max(weight) AS w FROM tok GROUP BY 1, 2), v AS (SELECT cluster_id, word, w, idf, w * idf AS x FROM bag JOIN idf USING (word)), l AS (SELECT cluster_id, sqrt(sum(x * x)) AS l FROM v GROUP BY 1),
@@ -316,16 +319,24 @@ m AS (SELECT from_id, to_id, score FROM (SELECT *, row_number() OVER (PARTITION
 
 @query("j_cluster_cluster_sim", _MERGE + " SELECT from_id, to_id, round(score, 6) AS score FROM m")
 def j_cluster_cluster_sim(spark, d):
-    return Y.merge_edges(_art(spark, d), F.col("headline")).select("from_id", "to_id", F.round("score", 6).alias("score"))
+    return Y.merge_edges(_art(spark, d), F.col(TEXT)).select("from_id", "to_id", F.round("score", 6).alias("score"))
 
 
-@query("x_resolve_chain", f"{AS}, m AS (SELECT DISTINCT cluster_id AS f, 'c' || ((doc_id // 8) // 2) AS t FROM art WHERE doc_id >= 8) SELECT f AS from_id, 'c0' AS to_id FROM m")
-def x_resolve_chain(spark, d):
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
+@query("greedy_assign")
+def greedy_assign(spark, d):
+    """Documents as new articles of a desk for each language and source, in the order of time; a test holds it against a plain version of the rule."""
+    art = _art(spark, d).withColumn("cluster_id", F.lit(None).cast("string"))
+    return G.greedy_assign(art, F.col(TEXT), F.concat_ws("/", "language", "publisher_id"))
+
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
-    edges = _art(spark, d).filter("doc_id >= 8").select(F.col("cluster_id").alias("from_id"), F.concat(F.lit("c"), F.floor(F.floor(F.col("doc_id") / 8) / 2)).alias("to_id")).distinct()
+@query("x_resolve_chain", f"""{AS}, m AS (SELECT DISTINCT doc_id // 8 AS k FROM art), ends AS (SELECT k, k % 7 AS r, k // 7 AS q FROM m)
+SELECT 'c' || k AS from_id, 'c' || (SELECT min(k) FROM ends e WHERE e.q = ends.q) AS to_id FROM ends WHERE k > (SELECT min(k) FROM ends e WHERE e.q = ends.q)""")
+def x_resolve_chain(spark, d):
+    """Chains within every seven neighbouring stories: each points to the one before it."""
+    n = F.floor(F.col("doc_id") / 8)
+    own = _art(spark, d).select(n.alias("k")).distinct()
+    before = F.lag("k").over(Window.partitionBy(F.floor(F.col("k") / 7)).orderBy("k"))
+    edges = own.withColumn("p", before).filter("p is not null").select(F.concat(F.lit("c"), "k").alias("from_id"), F.concat(F.lit("c"), "p").alias("to_id"))
     return Y.resolve_merges(edges)
 
 
@@ -356,16 +367,24 @@ def dml_prune(spark, d):
     return C.prune(art, _clusters(art), "2024-01-20 00:00:00")[1].select("id")
 
 
-@query("dml_split", f"{AS} SELECT id, CASE WHEN id = 'a17' THEN 'own' ELSE cluster_id END AS cluster_id FROM art")
+@query("dml_split", f"""{AS}, {CLUSTERS}, a2 AS (SELECT id, CASE WHEN id = 'a17' THEN 'own' ELSE cluster_id END AS cluster_id FROM art)
+SELECT 'article' AS kind, id, cluster_id FROM a2 UNION ALL SELECT 'cluster', id, NULL FROM (SELECT id FROM cl UNION SELECT 'own') WHERE id IN (SELECT cluster_id FROM a2)""")
 def dml_split(spark, d):
     art = _art(spark, d)
-    return C.split_article(art, _clusters(art), "a17", "own")[0].select("id", "cluster_id")
+    return _both(*C.split_article(art, _clusters(art), "a17", "own"))
+
+
+def _both(articles, clusters):
+    """The articles' stories and the stories that are left, in one table."""
+    rows = articles.select(F.lit("article").alias("kind"), "id", "cluster_id")
+    return rows.unionByName(clusters.select(F.lit("cluster").alias("kind"), "id", F.lit(None).cast("string").alias("cluster_id")))
 
 
-@query("dml_merge", f"{AS} SELECT id, CASE WHEN cluster_id IN ('c3', 'c4') THEN 'c1' ELSE cluster_id END AS cluster_id FROM art")
+@query("dml_merge", f"""{AS}, {CLUSTERS} SELECT 'article' AS kind, id, CASE WHEN cluster_id IN ('c3', 'c4') THEN 'c1' ELSE cluster_id END AS cluster_id FROM art
+UNION ALL SELECT 'cluster', id, NULL FROM cl WHERE id NOT IN ('c3', 'c4')""")
 def dml_merge(spark, d):
     art = _art(spark, d)
-    return C.merge_clusters(art, _clusters(art), spark.createDataFrame([("c3", "c1"), ("c4", "c1")], "from_id string, to_id string"))[0].select("id", "cluster_id")
+    return _both(*C.merge_clusters(art, _clusters(art), spark.createDataFrame([("c3", "c1"), ("c4", "c1")], "from_id string, to_id string")))
 
 
 @query("dml_wipe_clusters", f"{AS} SELECT id, NULL::VARCHAR AS cluster_id FROM art")
@@ -407,9 +426,15 @@ def x_clean_ws(spark, d):
     return table(spark, d, "documents").select("doc_id", X.clean_space(F.col("text")).alias("text"))
 
 
-@query("x_decode_entities", "SELECT doc_id, replace(replace(replace(text, '&amp;', '&'), '&lt;', '<'), '&gt;', '>') AS text FROM documents")
+_ENTITIES = list(HTML_ENTITIES.items())
+
+
+@query("x_decode_entities", "SELECT doc_id, text || v || ' &unknown; &amp' AS text FROM documents, (VALUES " + ", ".join(f"({k}, '{v}')" for k, (_, v) in enumerate(_ENTITIES) if v != "'") + f") t(k, v) WHERE k = doc_id % {len(_ENTITIES)}")
 def x_decode_entities(spark, d):
-    return table(spark, d, "documents").select("doc_id", M.decode_entities(F.col("text")).alias("text"))
+    """Each document with one of the entities behind it, an unknown one and one that isn't ended."""
+    docs = table(spark, d, "documents").withColumn("k", F.pmod("doc_id", F.lit(len(_ENTITIES))).cast("int")).filter(F.col("k") != [e for e, _ in _ENTITIES].index("&#39;"))
+    entity = F.element_at(F.array(*[F.lit(e) for e, _ in _ENTITIES]), F.col("k") + 1)
+    return docs.select("doc_id", F.concat(F.regexp_replace("text", "&[^;]+;", "$0"), F.lit("")).alias("t"), entity.alias("e")).select("doc_id", F.concat("t", M.decode_entities(F.concat("e", F.lit(" &unknown; &amp")))).alias("text"))
 
 
 @query("x_combine_summary")

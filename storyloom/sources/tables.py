@@ -26,8 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` as articles: id from the URL, headline from the title."""
     pages = table(spark, sf_dir, "pages")
-    headline = F.coalesce(page_title(F.col("html")), F.lit(""))
-    return pages.select("page_id", stable_id(F.col("url")).alias("id"), F.col("url").alias("original_url"), headline.alias("headline"), classify(F.col("url"), headline).alias("category"), "html")
+    # The title is a column of its own first: it is searched for once, and the category reads it often.
+    titled = pages.select("page_id", "url", "html", F.coalesce(page_title(F.col("html")), F.lit("")).alias("headline"))
+    return titled.select("page_id", stable_id(F.col("url")).alias("id"), F.col("url").alias("original_url"), "headline", classify(F.col("url"), F.col("headline")).alias("category"), "html")
 
 
 #: ``document_articles`` in SQL, for the oracles.

@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from storyloom.operators import changes as C, similarity as Y, stories as R
+from storyloom.operators import changes as C, greedy as G, similarity as Y, stories as R
 from storyloom.sources import feeds as S
 from storyloom.streaming.refresh import append_refresh, counts_by_window, new_articles, refresh
 
@@ -53,7 +53,7 @@ def test_feeds(spark):
 def test_greedy_and_merges(spark):
     rows = [("1", "p", "2024-01-01T00:00:00Z", "general", "Enemalta tender awarded Floriana"), ("2", "q", "2024-01-01T01:00:00Z", "general", "Enemalta tender awarded Floriana again"), ("3", "q", "2024-01-01T02:00:00Z", "general", "Weather stays warm")]
     art = spark.createDataFrame(rows, "id string, publisher_id string, published_at string, category string, headline string")
-    got = {r.id: r.cluster_id for r in Y.greedy_assign(art, F.col("headline")).collect()}
+    got = {r.id: r.cluster_id for r in G.greedy_assign(art, F.col("headline")).collect()}
     assert got == {"1": "1", "2": "1", "3": "3"}
 
 
