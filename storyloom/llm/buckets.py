@@ -7,8 +7,8 @@ row go into the next round, which takes eight times as many, without the pairs t
 across groups is untested, so none is left out, but copies of one text need few pairs each.
 
 First round: rows are dealt out by ranges of key and size and a task holds ``MEMBERS`` rows of a key at once, so a key that a third
-of the rows share goes to many tasks; all rows of keys that a range or a chunk cuts are looked at again in the next round.  Later rounds:
-a key of more rows is cut into cells; rows outside its largest group are sent to each cell, in blocks, the others to their own cell only.
+of the rows share goes to many tasks; keys that a range cuts are dealt out once more, cut into cells if they are large.  Later rounds:
+rows outside a large key's largest group are sent to each of its cells, in blocks, the others to their own cell only.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ TABLE = 1 << 21
 #: Bits of a row's sort key that hold its size; the others hold its bucket.
 SIZE_BITS = 24
 _FAR = np.iinfo(np.int32).max
-_SCHEMA = "a long, b long, cut long, cut_id long"
+_SCHEMA = "a long, b long, cut long, cut_id long, edge long"
 
 #: smallest(sizes) -> the least size of a partner that is not larger; most(sizes, sizes that are not smaller) -> largest distance.
 Limit = tuple[Callable[[np.ndarray], np.ndarray], Callable[[np.ndarray, np.ndarray], np.ndarray]]
@@ -124,19 +124,20 @@ def nearest_pairs(bucket, ids, size, component, sketches: Sketches, tested: np.n
 
 def _near_rows(batches: Iterator[pa.RecordBatch], limit: Limit, keep: int, members: int, ranges: bool) -> Iterator[pa.RecordBatch]:
     """key (bucket and size), id, size, sketch (and component, tested, whole, where they aren't id, nothing and the bucket) -> pairs
-    (a, b), and (cut, cut_id): rows that another round needs, all rows of ``cut`` where cut_id is null.
+    (a, b), (cut, cut_id): rows that another round needs, all rows of ``cut`` where cut_id is null, and edge: the first and last bucket of a range.
 
     Rows come sorted by key.  ranges: the first and last bucket may go on in another range.
     """
     held: list[pa.RecordBatch] = []
     edges: list[int] = []
 
-    def out(a, b, cut, cut_id=None) -> pa.RecordBatch:
-        blank = pa.nulls(len(cut), pa.int64())
-        pad = pa.nulls(len(a), pa.int64())
-        named = blank if cut_id is None else pa.array(cut_id)
-        columns = [[pa.array(np.minimum(a, b)), blank], [pa.array(np.maximum(a, b)), blank], [pad, pa.array(cut)], [pad, named]]
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["a", "b", "cut", "cut_id"])
+    none = np.zeros(0, np.int64)
+
+    def out(a=none, b=none, cut=none, cut_id=None, edge=none) -> pa.RecordBatch:
+        no = lambda x: pa.nulls(len(x), pa.int64())
+        named = no(cut) if cut_id is None else pa.array(cut_id)
+        columns = [[pa.array(np.minimum(a, b)), no(cut), no(edge)], [pa.array(np.maximum(a, b)), no(cut), no(edge)], [no(a), pa.array(cut), no(edge)], [no(a), named, no(edge)], [no(a), no(cut), pa.array(edge)]]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["a", "b", "cut", "cut_id", "edge"])
 
     def compared(table: pa.Table, bucket: np.ndarray) -> pa.RecordBatch:
         col = lambda c: pa.concat_arrays(table.column(c).chunks)
@@ -161,7 +162,7 @@ def _near_rows(batches: Iterator[pa.RecordBatch], limit: Limit, keep: int, membe
         bucket = table.column("key").to_numpy() >> SIZE_BITS
         starts = np.flatnonzero(np.diff(bucket, prepend=~bucket[0]))
         ends = np.append(starts[1:], len(bucket))
-        at, none = 0, np.zeros(0, np.int64)
+        at = 0
         for s, e in zip(starts.tolist(), ends.tolist()):
             goes_on = e == len(bucket) and not final
             if goes_on and e - s < members:
@@ -171,7 +172,7 @@ def _near_rows(batches: Iterator[pa.RecordBatch], limit: Limit, keep: int, membe
                     yield compared(table.slice(at, s - at), bucket[at:s])
                 for k in range(s, e, members):
                     yield compared(table.slice(k, min(members, e - k)), bucket[k : min(k + members, e)])
-                yield out(none, none, np.array([table.column("whole")[s].as_py() if "whole" in table.column_names else bucket[s]], np.int64))
+                yield out(cut=np.array([table.column("whole")[s].as_py() if "whole" in table.column_names else bucket[s]], np.int64))
                 at = e
             elif (e - at) * keep >= TABLE // 8:
                 yield compared(table.slice(at, e - at), bucket[at:e])
@@ -199,8 +200,7 @@ def _near_rows(batches: Iterator[pa.RecordBatch], limit: Limit, keep: int, membe
     if held:
         yield from ready(True)
     if ranges and edges:
-        none = np.zeros(0, np.int64)
-        yield out(none, none, np.unique(np.array(edges, np.int64)))
+        yield out(edge=np.unique(np.array(edges, np.int64)))
     release_memory()
 
 
@@ -248,29 +248,41 @@ def link_buckets(passes: list[DataFrame], limit: Limit, verify: Callable[[DataFr
         return out
 
     columns = ["key", "id", "size", "sketch"]
-    found = [near(df.select(*columns) if labels is None else grouped(df).select(*columns, "component"), nearest, True, f"near{k}") for k, df in enumerate(passes)]
+
+    def first(df: DataFrame, k: int) -> list[DataFrame]:
+        """The pairs of one pass: those within ranges, and those of the few keys that ranges cut."""
+        rows = df.select(*columns) if labels is None else grouped(df).select(*columns, "component")
+        inside = near(rows, nearest, True, f"near{k}")
+        cut = [r[0] for r in inside.filter("edge is not null").groupBy("edge").count().filter("count > 1").select("edge").collect()]  # one for each range at most
+        if not cut:
+            return [inside]
+        again = grouped(df) if labels is not None else df.withColumn("component", F.col("id"))
+        again = again.filter(F.col("key").isin(cut)).select(*columns, "component", F.expr("cast(array() as array<long>)").alias("tested"))
+        return [inside, near(_celled(again, members), nearest, False, f"across{k}")]
+
+    found = [x for k, df in enumerate(passes) for x in first(df, k)]
     refuted = None
     for round_no in range(40):
         pairs = store.write(union(found).filter("a is not null").select("a", "b").distinct(), f"pairs{round_no}")
         links = store.write(verify(pairs), f"verified{round_no}")
         linked = components(links, store) if labels is None else extended(labels, links, store)
         labels, before = store.write(linked, f"labels{round_no}"), labels
-        cut = store.write(union(found).filter("cut is not null").select(F.col("cut").alias("key"), F.col("cut_id").alias("id")).distinct(), f"cut{round_no}")
-        if cut.isEmpty():
+        # Of the rows that want another round, only those of keys whose rows are in different groups by now.
+        cut = union(found).filter("cut is not null").select(F.col("cut").alias("key"), F.col("cut_id").alias("id")).distinct()
+        wanted = cut.join(labels, "id", "left").groupBy("key").agg(F.min(F.coalesce("component", "id")).alias("lo"), F.max(F.coalesce("component", "id")).alias("hi"), F.bool_or(F.col("id").isNull()).alias("whole"))
+        wanted = store.write(wanted.filter("whole or lo <> hi").select("key", "whole"), f"wanted{round_no}")
+        if wanted.isEmpty():
             return labels
         left = pairs.join(links, ["a", "b"], "left_anti")
         refuted, old = store.write(left if refuted is None else refuted.unionByName(left), f"refuted{round_no}"), refuted
-        store.free(*found, *[x for x in (before, old, pairs, links) if x is not None])
-        whole = cut.filter("id is null").select("key")
-        some = cut.filter("id is not null").join(whole, "key", "left_anti")
-        rows = union([df.join(keys, on, "left_semi") for df in passes for keys, on in ((whole, ["key"]), (some, ["key", "id"]))])
-        rows = store.write(grouped(rows).select(*columns, "component"), f"rows{round_no}")
-        mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+        some = cut.join(wanted.filter("not whole"), "key", "left_semi")
+        rows = union([df.join(keys, on, "left_semi") for df in passes for keys, on in ((wanted.filter("whole"), ["key"]), (some, ["key", "id"]))])
         # A pair is looked up from either side, so the list of its larger id is enough; lists hold what rounds have tested.
         past = refuted.groupBy(F.greatest("a", "b").alias("id")).agg(F.collect_list(F.least("a", "b")).alias("tested"))
-        rows_left = rows.join(mixed, "key", "left_semi").join(past, "id", "left").withColumn("tested", F.coalesce("tested", F.expr("cast(array() as array<long>)")))
-        rows_left = store.write(rows_left.select(*columns, "component", "tested"), f"left{round_no}")
+        rows = grouped(rows).join(past, "id", "left").withColumn("tested", F.coalesce("tested", F.expr("cast(array() as array<long>)")))
+        rows = store.write(rows.select(*columns, "component", "tested"), f"rows{round_no}")
         nearest = min(8 * nearest, 4 * members)
-        found = [near(_celled(rows_left, members), nearest, False, f"more{round_no}")]
-        store.free(rows, rows_left, cut)
+        more = near(_celled(rows, members), nearest, False, f"more{round_no}")
+        store.free(*found, rows, wanted, *[x for x in (before, old, pairs, links) if x is not None])
+        found = [more]
     raise RuntimeError("buckets did not settle")

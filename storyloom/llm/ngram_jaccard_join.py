@@ -15,8 +15,7 @@ an empty set).  Two texts link when ``100 * |A & B| >= percent * |A | B|``.
    are, whatever the width of its bit sketch).  Blocks of few n-grams say little, and empty ones nothing: a set leaves out all blocks
    of fewer than s n-grams, s as large as it can be (up to ``WEAK``) with so few such blocks that another agreeing one must remain.
    Of two linked sets the one with the larger s has an agreeing block of s n-grams or more, which the other has kept as well.
-4. Near copies share most of their keys, so one key in ``KEY_SHARE`` is looked at first; of the others, only keys whose members are
-   still in different groups.  Members of a bucket are compared by bit sketches whose size follows that of the set (up to ``WIDEST`` words), nearest first; the
+4. Members of a bucket are compared by bit sketches whose size follows that of the set (up to ``WIDEST`` words), nearest first; the
    near pairs are verified by wider sketches and then on the sets, linked ones contracted to groups, and pairs across groups
    compared until none is untested (``buckets``).  No bucket is ever expanded into all its pairs and none is cut short.
 
@@ -46,8 +45,6 @@ WEAK = 4
 BAND_RATIO = 1.4
 #: 64-bit words of the sketch that bucket members carry, at most; larger sets are told apart by their whole sketch.
 WIDEST = 64
-#: One key in so many is looked at before the others.
-KEY_SHARE = 8
 #: Ids that may be sent to every executor (8 bytes each); beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 200_000
 
@@ -199,8 +196,8 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iter
 
 
 def member_words(sizes: np.ndarray) -> np.ndarray:
-    """64-bit words of the sketch of a bucket's member: a power of two, 0.6 to 1.2 bits for each n-gram."""
-    return np.minimum(WIDEST, 1 << np.ceil(np.log2(np.maximum(sizes * 0.6 / 64, 4))).astype(np.int64)).astype(np.int64)
+    """64-bit words of the sketch of a bucket's member: a power of two, 0.6 to 1.2 bits for each n-gram and 512 at least."""
+    return np.minimum(WIDEST, 1 << np.ceil(np.log2(np.maximum(sizes * 0.6 / 64, 8))).astype(np.int64)).astype(np.int64)
 
 
 def _folded(wide: np.ndarray, width: np.ndarray, narrow: np.ndarray) -> np.ndarray:
@@ -266,8 +263,8 @@ def links_among(pairs: DataFrame, sets: DataFrame, percent: int, store: Store) -
 
     def with_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
         """Pairs with columns of either set; they are moved for the sets of the pairs only."""
-        ids = store.write(rows.select(F.col("a").alias("id")).union(rows.select("b")).distinct(), "pair-ids")
-        own = sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+        ids = rows.select(F.col("a").alias("id")).union(rows.select("b")).distinct()
+        own = sets.join(ids, "id", "left_semi")
         side = lambda s: own.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns])
         return rows.join(side("a"), "a").join(side("b"), "b")
 
@@ -304,13 +301,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sketches = sets.select("id", F.col("n").alias("size"), "sketch")
     verify = lambda pairs: links_among(pairs, sets, percent, store)
     limit = (partial(smallest_partner, percent=percent), lambda low, high: most_different(low + high, percent))
-    early = F.pmod(F.xxhash64("key"), F.lit(KEY_SHARE)) == 0
-    groups = link_buckets([members.filter(early).join(sketches, "id").select("key", "id", "size", "sketch")], limit, verify, store)
-    grouped = members.filter(~early).join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = store.write(grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key"), "mixed")
-    late = store.write(members.join(mixed, "key", "left_semi"), "late")
-    store.settle()
-    groups = link_buckets([late.join(sketches, "id").select("key", "id", "size", "sketch")], limit, verify, store, labels=groups)
+    groups = link_buckets([members.join(sketches, "id").select("key", "id", "size", "sketch")], limit, verify, store)
     labels = extended(groups, copies.select(F.col("rep").alias("a"), F.col("id").alias("b")), store)
     store.keep_only(signed, labels)
     if chosen is not texts:  # each row of a repeated id gets what its chosen text has
