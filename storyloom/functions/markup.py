@@ -18,17 +18,25 @@ def strip_html(html: Column) -> Column:
     return F.btrim(F.regexp_replace(text, r"[\s\u0085   -     　]+", " "))
 
 
+def once(value: Column, f) -> Column:
+    """f(value), with the value worked out once although f reads it several times, also within lambdas."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def byte_prefix(text: Column, most: int) -> Column:
     """The longest prefix of whole characters that has at most so many bytes."""
-    fits = F.array_max(F.filter(F.sequence(F.lit(most // 4), F.lit(most)), lambda n: F.octet_length(F.left(text, n)) <= most))
-    return F.when(F.octet_length(text) > most, F.left(text, fits)).otherwise(text)
+
+    def cut(t: Column) -> Column:
+        fits = F.array_max(F.filter(F.sequence(F.lit(most // 4), F.lit(most)), lambda n: F.octet_length(F.left(t, n)) <= most))
+        return F.when(F.octet_length(t) > most, F.left(t, fits)).otherwise(t)
+
+    return once(text, cut)
 
 
 def snippet(summary: Column) -> Column:
     """A feed summary without tags and the boilerplate from "The post " on, at most 500 bytes."""
-    text = strip_html(summary)
-    text = F.when(text.contains("The post "), F.btrim(F.split_part(text, F.lit("The post "), F.lit(1)))).otherwise(text)
-    return byte_prefix(text, SNIPPET_BYTES)
+    lead = once(strip_html(summary), lambda t: F.when(t.contains("The post "), F.btrim(F.split_part(t, F.lit("The post "), F.lit(1)))).otherwise(t))
+    return byte_prefix(lead, SNIPPET_BYTES)
 
 
 def is_good_image(url: Column) -> Column:
