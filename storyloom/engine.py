@@ -1,11 +1,14 @@
 """The commands of the application over tables in a folder: refresh, feed, publishers, bodies, summaries, split, merge, wipe.
 
-Each table is a folder of numbered versions; a change writes the next version and readers take the last complete one, so a
-command that fails half-way leaves the tables as they were.
+Each table is a folder of numbered versions, and a manifest names the version of every table.  A command writes the next versions of
+all tables that it changes and then one new manifest, by a rename; readers follow the last manifest, so a command that fails
+half-way leaves all tables as they were.  One writer at a time.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -13,7 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .constants import DEFAULT_BIAS, RETENTION_DAYS, STOP_WORDS
 from .functions.texts import cluster_text, effective_headline
 from .functions.urls import absolute_url, classify, domain, favicon, slug_words
+from .intermediate import written
 from .operators import changes as C, greedy as G, similarity as Y, stories as R
+from .operators.translation import Translator, translated
 from .sources.discover import bodies, discover
 from .sources.feeds import keep_first
 from .sources.tables import ARTICLES, CLUSTERS, CUSTOM_PUBLISHERS, publishers
@@ -31,21 +36,34 @@ class Engine:
         """stop_words: the whole list of the desk (see ``read_words``); the similarity of articles depends on it."""
         self.spark, self.root, self.stop_words = spark, root.rstrip("/"), list(stop_words)
 
-    def _versions(self, name: str) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _path(self, *parts: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _manifest(self) -> tuple[int, dict[str, int]]:
+        """(number, version of each table) of the last manifest; (0, {}) before the first."""
+        path, fs = self._path("_manifest")
         if not fs.exists(path):
-            return []
-        done = lambda p: fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/{p}/_SUCCESS"))
-        return sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(path) if s.getPath().getName().startswith("v") and done(s.getPath().getName()))
+            return 0, {}
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        last = max((int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith((".", "_"))), default=0)
+        return last, json.loads(self.spark.read.text(f"{self.root}/_manifest/{last}.json", wholetext=True).first()[0]) if last else {}
 
     def table(self, name: str) -> DataFrame:
-        found = self._versions(name)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/v{found[-1]}") if found else self.spark.createDataFrame([], SCHEMAS[name])
-
-    def _write(self, name: str, df: DataFrame) -> None:
-        n = (self._versions(name) or [0])[-1] + 1
-        df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields]).write.mode("overwrite").parquet(f"{self.root}/{name}/v{n}")
+        version = self._manifest()[1].get(name)
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/v{version}") if version else self.spark.createDataFrame([], SCHEMAS[name])
+
+    def _commit(self, **tables: DataFrame) -> None:
+        """Writes the next version of each table and makes all of them current at once."""
+        number, versions = self._manifest()
+        for name, df in tables.items():
+            df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields]).write.mode("overwrite").parquet(f"{self.root}/{name}/v{number + 1}")
+        draft, fs = self._path("_manifest", f"_{uuid.uuid4().hex}")
+        out = fs.create(draft)
+        out.write(bytearray(json.dumps(versions | dict.fromkeys(tables, number + 1)).encode()))
+        out.close()
+        if not fs.rename(draft, self._path("_manifest", f"{number + 1}.json")[0]):
+            raise RuntimeError("another command has written at the same time")
 
     def get_publishers(self) -> DataFrame:
         """Fixed and custom sources."""
@@ -77,46 +95,41 @@ class Engine:
             # One desk's retention period: stored stories and new articles in one order, so new ones also meet by each other.
             began = stored.filter("cluster_id is not null").unionByName(new.withColumn("cluster_id", F.lit(None).cast("string")))
             everything = C.set_value(everything, G.greedy_assign(began, text, stop_words=self.stop_words), "cluster_id")
-        self._store(everything)
+        self._store(everything, self.table("clusters"))
         return counts
 
-    def _store(self, articles: DataFrame) -> None:
-        self._write("articles", articles)
-        self._roll_up()
-
-    def _roll_up(self) -> None:
-        art = self.table("articles").filter("cluster_id is not null")
+    def _store(self, articles: DataFrame, clusters: DataFrame) -> None:
+        """The articles and the stories rolled up from them."""
+        articles = written(articles)
+        art = articles.filter("cluster_id is not null")
         head = effective_headline(F.col("language"), F.col("headline"), F.col("translated_headline"))
         rated = self._with_bias(art, True)
         new = R.best_headline(rated, head).join(R.blindspot(rated), "cluster_id").join(art.groupBy("cluster_id").agg(F.min("published_at").alias("first_reported"), F.max("published_at").alias("last_updated")), "cluster_id")
         new = new.select(F.col("cluster_id").alias("id"), "headline", "first_reported", "last_updated", "is_blindspot", F.lit("").alias("ai_headline"), F.lit("").alias("ai_summary"))
-        self._write("clusters", C.orphans_gone(art, C.upsert_clusters(self.table("clusters"), new)))
+        self._commit(articles=articles, clusters=C.orphans_gone(art, C.upsert_clusters(clusters, new)))
 
     def recluster(self) -> None:
         """All stories anew, in the order of time."""
         art = self.table("articles")
         text = cluster_text(effective_headline(F.col("language"), F.col("headline"), F.col("translated_headline")), F.col("snippet"), slug_words(F.col("original_url")))
         fresh, none = C.wipe_clusters(art, self.table("clusters"))
-        self._write("clusters", none)
         began = art.withColumn("cluster_id", F.lit(None).cast("string"))
-        self._store(C.set_value(fresh, G.greedy_assign(began, text, stop_words=self.stop_words), "cluster_id"))
+        self._store(C.set_value(fresh, G.greedy_assign(began, text, stop_words=self.stop_words), "cluster_id"), none)
 
     def split(self, article_id: str) -> str:
         """The article gets a story of its own, named after it."""
         art, cl = C.split_article(self.table("articles"), self.table("clusters"), article_id, f"split-{article_id}")
-        self._write("clusters", cl)
-        self._write("articles", art)
+        self._commit(articles=art, clusters=cl)
         return f"split-{article_id}"
 
     def merge(self, merges: DataFrame) -> None:
         """merges: from_id, to_id."""
         art, cl = C.merge_clusters(self.table("articles"), self.table("clusters"), Y.resolve_merges(merges))
-        self._write("articles", art)
-        self._write("clusters", cl)
+        self._commit(articles=art, clusters=cl)
 
     def cache_bodies(self, fetched: DataFrame) -> None:
         """fetched: id, body_text, image_url."""
-        self._write("articles", C.cache_body(self.table("articles"), fetched))
+        self._commit(articles=C.cache_body(self.table("articles"), fetched))
 
     def cluster_summary(self) -> DataFrame:
         """id, headline, summary: the stored summary, else the first headline and the first snippet that isn't empty."""
@@ -127,7 +140,7 @@ class Engine:
         return rows.select("id", F.when(stored, F.col("ai_headline")).otherwise(F.element_at("a", 1)["headline"]).alias("headline"), F.when(stored, F.col("ai_summary")).otherwise(snippet).alias("summary"))
 
     def cache_summaries(self, summaries: DataFrame) -> None:
-        self._write("clusters", C.cache_summary(self.table("clusters"), summaries))
+        self._commit(clusters=C.cache_summary(self.table("clusters"), summaries))
 
     def discover_publishers(self, sites: DataFrame, fetched: DataFrame) -> DataFrame:
         """sites: site (the id), url, name, is_global; fetched: url, body -> rows of custom_publishers for the sites that can be read, added to the table."""
@@ -145,13 +158,15 @@ class Engine:
         return found
 
     def add_publisher(self, row: DataFrame) -> None:
-        self._write("custom_publishers", C.upsert_publisher(self.table("custom_publishers"), row))
+        self._commit(custom_publishers=C.upsert_publisher(self.table("custom_publishers"), row))
 
     def remove_publisher(self, publisher_id: str) -> None:
         own, art = C.delete_publisher(self.table("custom_publishers"), self.table("articles"), publisher_id)
-        self._write("custom_publishers", own)
-        self._write("articles", art)
+        self._commit(custom_publishers=own, articles=art)
+
+    def translate_summary(self, cluster_id: str, translator: Translator) -> DataFrame:
+        """id, headline, summary of one story in the other language; what can't be translated stays as it is."""
+        return translated(self.cluster_summary().filter(F.col("id") == cluster_id), ["headline", "summary"], translator)
 
     def wipe(self) -> None:
-        for name in ("articles", "clusters"):
-            self._write(name, self.table(name).limit(0))
+        self._commit(**{name: self.table(name).limit(0) for name in ("articles", "clusters")})

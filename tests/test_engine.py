@@ -1,6 +1,11 @@
 """A day of the application on a few articles."""
 
-from storyloom.engine import Engine
+import pytest
+from pyspark.sql import functions as F
+
+from storyloom.engine import Engine, read_words
+from storyloom.operators import changes as C
+from storyloom.operators.translation import in_batches
 from storyloom.sources.feeds import RAW
 
 
@@ -26,3 +31,52 @@ def test_commands(spark, tmp_path):
     e.remove_publisher("own")
     e.wipe()
     assert e.table("articles").count() == 0 and e.get_publishers().count() == 9
+
+
+def test_failed_command_changes_nothing(spark, tmp_path, monkeypatch):
+    e = Engine(spark, str(tmp_path))
+    raw = [("1", "newsbook", "https://a.b/c/1", "A headline of one story", "", "", "", "", "en", "2024-01-01T10:00:00+00:00", "", 1)]
+    e.refresh(spark.createDataFrame(raw, RAW), "2024-01-04 00:00:00")
+    broken = e.table("articles").withColumn("cluster_id", F.raise_error(F.lit("down")).cast("string"))
+    monkeypatch.setattr(C, "split_article", lambda *a: (broken, e.table("clusters").limit(0)))
+    with pytest.raises(Exception):
+        e.split("1")
+    assert e.get_clusters().count() == 1
+
+
+def test_sources_bodies_and_translation(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    sites = spark.createDataFrame([("own", "a.b", "", True), ("none", "c.d", "x", False)], "site string, url string, name string, is_global boolean")
+    page = "<html><head><title>The Site</title><link rel='alternate' type='application/rss+xml' href='/f.xml'></head></html>"
+    fetched = spark.createDataFrame([("https://a.b", page), ("https://a.b/f.xml", "<rss></rss>"), ("https://a.b/1", "<article><p>A paragraph of the first article here.</p><p>Another paragraph of that article.</p></article>")], "url string, body string")
+    e.discover_publishers(sites, fetched)
+    assert [(r.id, r.name, r.rss_url, r.scrape_method) for r in e.table("custom_publishers").collect()] == [("own", "The Site", "https://a.b/f.xml", "rss")]
+    raw = [("1", "newsbook", "https://a.b/1", "A headline of one story", "", "snippet", "", "", "en", "2024-01-01T10:00:00+00:00", "", 1)]
+    e.refresh(spark.createDataFrame(raw, RAW), "2024-01-04 00:00:00")
+    wanted = spark.createDataFrame([("1",)], "id string")
+    assert e.article_bodies(wanted, fetched).first().body_text.startswith("A paragraph")
+    assert e.article_bodies(wanted, fetched.limit(0)).first().body_text.endswith("that article.")  # from the table
+    told = e.translate_summary("1", lambda texts: [t.upper() for t in texts]).first()
+    assert (told.headline, told.summary) == ("A HEADLINE OF ONE STORY", "SNIPPET")
+
+
+def test_translator_that_fails():
+    calls = []
+
+    def flaky(texts):
+        calls.append(texts)
+        if len(calls) < 3 or "bad" in texts:
+            raise OSError("down")
+        return [t + "!" if t != "none" else None for t in texts]
+
+    assert in_batches(["a", None, " ", "none", "b"], flaky, batch=2, wait=0) == ["a!", None, " ", "none", "b!"]
+    assert in_batches(["bad", "x"], flaky, batch=1, wait=0) == ["bad", "x!"]
+
+
+def test_own_stop_words(spark, tmp_path):
+    (tmp_path / "stop.txt").write_text("Enemalta\n\n tender \n")
+    words = read_words(spark, str(tmp_path / "stop.txt"))
+    assert words == ["enemalta", "tender"]
+    raw = [(str(k), f"p{k}", f"https://a.b/{k}", "Enemalta tender " + rest, "", "", "", "", "en", "2024-01-01T10:00:00+00:00", "", k) for k, rest in enumerate(("awarded", "delayed"))]
+    count = lambda **kw: (e := Engine(spark, str(tmp_path / str(len(kw))), **kw)).refresh(spark.createDataFrame(raw, RAW), "2024-01-04 00:00:00") and e.get_clusters().count()
+    assert count() == 1 and count(stop_words=words) == 2
