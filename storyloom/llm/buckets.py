@@ -3,12 +3,12 @@
 A bucket holds the rows of one key.  Two rows of it are near if their sizes and the Hamming distance of their sketches allow
 a link.  Instead of all near pairs, a round takes for each row its nearest near rows of other groups, verifies those pairs and
 contracts the linked ones to groups.  If a row has more near rows of other groups than that, the rows of its key that have a near
-row go into the next round, which takes eight times as many, without the pairs that were tested.  The rounds end when no near pair
+row go into the next round, which takes ``GROWTH`` times as many, without the pairs that were tested.  The rounds end when no near pair
 across groups is untested, so none is left out, but copies of one text need few pairs each.
 
 First round: rows are dealt out by ranges of key and size and a task holds ``MEMBERS`` rows of a key at once, so a key that a third
-of the rows share goes to many tasks; keys that a range cuts are dealt out once more, cut into cells if they are large.  Later rounds:
-rows outside a large key's largest group are sent to each of its cells, in blocks, the others to their own cell only.
+of the rows share goes to many tasks; keys that a range cuts are dealt out once more, and those of more rows go into the next round.
+Later rounds: large keys are cut into cells; rows outside a large key's largest group are sent to each of its cells, in blocks, the others to their own cell only.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from .wordhash import U64, mix64
 MEMBERS = 8192
 #: Nearest rows that each row is paired with in the first round.
 NEAREST = 2
+#: Times as many in each further round.
+GROWTH = 16
 #: Cells of the table of nearest rows that a task holds at once.
 TABLE = 1 << 21
 #: Bits of a row's sort key that hold its size; the others hold its bucket.
@@ -219,20 +221,22 @@ def _celled(rows: DataFrame, members: int) -> DataFrame:
     return out.select(F.when(F.col("cells") == 1, F.col("key")).otherwise(F.xxhash64("key", "cell.c", "cell.t")).alias("key"), "id", "size", "sketch", "component", "tested", "whole")
 
 
-def link_buckets(passes: list[DataFrame], limit: Limit, verify: Callable[[DataFrame], DataFrame], store: Store, members: int | None = None, nearest: int = NEAREST, labels: DataFrame | None = None) -> DataFrame:
+def link_buckets(passes: list[Callable[[DataFrame | None], DataFrame]], limit: Limit, verify: Callable[[DataFrame], DataFrame], store: Store, members: int | None = None, nearest: int = NEAREST, labels: DataFrame | None = None) -> DataFrame:
     """id, component of every id with a verified link to a near id of one of its keys, or in the groups ``labels``.
 
-    passes: key (a 64-bit hash, of which the upper bits count), id, size, sketch (array<long>), one row for each key and id; each pass has
-    keys of its own and is shuffled alone, so the disk that shuffles take follows one pass.  limit: see ``Limit``.  verify: distinct pairs (a, b) -> those that link.
+    passes: functions that give key (a 64-bit hash, of which the upper bits count), id, size, sketch (array<long>), one row for each key and
+    id; of all ids, or of those in the table of ids that they are given.  Each pass has keys of its own and is shuffled alone, so the
+    disk that shuffles take follows one pass.  limit: see ``Limit``.  verify: distinct pairs (a, b) -> those that link.
     """
     members = members or MEMBERS
-    n = partitions_for(passes[0])
+    n = partitions_for(store.spark.range(0))
     # The bucket in the upper bits and the size in the lower make one number to deal and sort by.
     packed = F.shiftleft("key", SIZE_BITS).bitwiseOR(F.least("size", F.lit((1 << SIZE_BITS) - 1)).cast("long"))
-    passes = [df.withColumn("key", F.shiftright("key", SIZE_BITS)) for df in passes]
+    rows_of = [lambda ids, rows=rows: rows(ids).withColumn("key", F.shiftright("key", SIZE_BITS)) for rows in passes]
 
-    def near(rows: DataFrame, keep: int, ranges: bool, name: str) -> DataFrame:
-        rows, at_once = rows.withColumn("key", packed), members if ranges else 1 << 40  # cells are small already
+    def near(rows: DataFrame, keep: int, ranges: bool | None, name: str) -> DataFrame:
+        """ranges: rows are dealt out by ranges; False: by cells, which are small already; None: by keys, of which large ones are cut."""
+        rows, at_once = rows.withColumn("key", packed), 1 << 40 if ranges is False else members
         dealt = rows.repartitionByRange(n, "key") if ranges else rows.repartition(F.shiftright("key", SIZE_BITS))
         out = store.write(dealt.sortWithinPartitions("key").mapInArrow(partial(_near_rows, limit=limit, keep=keep, members=at_once, ranges=ranges), _SCHEMA), name)
         store.settle()
@@ -249,18 +253,17 @@ def link_buckets(passes: list[DataFrame], limit: Limit, verify: Callable[[DataFr
 
     columns = ["key", "id", "size", "sketch"]
 
-    def first(df: DataFrame, k: int) -> list[DataFrame]:
+    def first(k: int) -> list[DataFrame]:
         """The pairs of one pass: those within ranges, and those of the few keys that ranges cut."""
+        df = rows_of[k](None)
         rows = df.select(*columns) if labels is None else grouped(df).select(*columns, "component")
         inside = near(rows, nearest, True, f"near{k}")
         cut = [r[0] for r in inside.filter("edge is not null").groupBy("edge").count().filter("count > 1").select("edge").collect()]  # one for each range at most
         if not cut:
             return [inside]
-        again = grouped(df) if labels is not None else df.withColumn("component", F.col("id"))
-        again = again.filter(F.col("key").isin(cut)).select(*columns, "component", F.expr("cast(array() as array<long>)").alias("tested"))
-        return [inside, near(_celled(again, members), nearest, False, f"across{k}")]
+        return [inside, near(rows.filter(F.col("key").isin(cut)), nearest, None, f"across{k}")]
 
-    found = [x for k, df in enumerate(passes) for x in first(df, k)]
+    found = [x for k in range(len(passes)) for x in first(k)]
     refuted = None
     for round_no in range(40):
         pairs = store.write(union(found).filter("a is not null").select("a", "b").distinct(), f"pairs{round_no}")
@@ -275,13 +278,18 @@ def link_buckets(passes: list[DataFrame], limit: Limit, verify: Callable[[DataFr
             return labels
         left = pairs.join(links, ["a", "b"], "left_anti")
         refuted, old = store.write(left if refuted is None else refuted.unionByName(left), f"refuted{round_no}"), refuted
-        some = cut.join(wanted.filter("not whole"), "key", "left_semi")
-        rows = union([df.join(keys, on, "left_semi") for df in passes for keys, on in ((wanted.filter("whole"), ["key"]), (some, ["key", "id"]))])
+        some = store.write(cut.join(wanted.filter("not whole"), "key", "left_semi"), f"some{round_no}")
+        ids = store.write(some.select("id").distinct(), f"ids{round_no}")
+        parts = [rows(ids).join(some, ["key", "id"], "left_semi") for rows in rows_of]
+        whole = wanted.filter("whole").select("key")
+        if not whole.isEmpty():
+            parts += [rows(None).join(whole, "key", "left_semi") for rows in rows_of]
+        rows = union(parts)
         # A pair is looked up from either side, so the list of its larger id is enough; lists hold what rounds have tested.
         past = refuted.groupBy(F.greatest("a", "b").alias("id")).agg(F.collect_list(F.least("a", "b")).alias("tested"))
         rows = grouped(rows).join(past, "id", "left").withColumn("tested", F.coalesce("tested", F.expr("cast(array() as array<long>)")))
         rows = store.write(rows.select(*columns, "component", "tested"), f"rows{round_no}")
-        nearest = min(8 * nearest, 4 * members)
+        nearest = min(GROWTH * nearest, 4 * members)
         more = near(_celled(rows, members), nearest, False, f"more{round_no}")
         store.free(*found, rows, wanted, *[x for x in (before, old, pairs, links) if x is not None])
         found = [more]

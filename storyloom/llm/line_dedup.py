@@ -284,7 +284,12 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     mask = F.lit((1 << bits) - 1).cast("long")
     block = lambda k: F.shiftrightunsigned(F.element_at("sketch", k // per_word + 1), k % per_word * bits).bitwiseAND(mask)
     keys = [F.xxhash64(F.lit(k), block(k)) for k in range(blocks)]
-    passes = [lines.select(F.explode(F.array(*keys[k : k + BLOCKS_AT_ONCE])).alias("key"), "id", "size", "sketch") for k in range(0, blocks, BLOCKS_AT_ONCE)]
+
+    def rows_of(ids: DataFrame | None, some: list) -> DataFrame:
+        own = lines if ids is None else lines.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+        return own.select(F.explode(F.array(*some)).alias("key"), "id", "size", "sketch")
+
+    passes = [partial(rows_of, some=keys[k : k + BLOCKS_AT_ONCE]) for k in range(0, blocks, BLOCKS_AT_ONCE)]
     distance = int(DISTANCE * 64 * words64)
     limit = (partial(smallest_partner, similarity=similarity), lambda low, high: distance)
     labels = link_buckets(passes, limit, lambda pairs: similar_lines(pairs, lines, texts, similarity, store), store)

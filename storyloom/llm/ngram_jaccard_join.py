@@ -16,7 +16,7 @@ an empty set).  Two texts link when ``100 * |A & B| >= percent * |A | B|``.
    of fewer than s n-grams, s as large as it can be (up to ``WEAK``) with so few such blocks that another agreeing one must remain.
    Of two linked sets the one with the larger s has an agreeing block of s n-grams or more, which the other has kept as well.
 4. Members of a bucket are compared by bit sketches whose size follows that of the set (up to ``WIDEST`` words), nearest first; the
-   near pairs are verified by wider sketches and then on the sets, linked ones contracted to groups, and pairs across groups
+   near pairs are verified on the sets, linked ones contracted to groups, and pairs across groups
    compared until none is untested (``buckets``).  No bucket is ever expanded into all its pairs and none is cut short.
 
 Rows: a null or blank text has an empty set, links with nothing, and is its own component.  Rows
@@ -43,8 +43,10 @@ from .wordhash import U64, doc_of, list_array, mix64, ngram_hashes, text_chunks,
 WEAK = 4
 #: Ratio of the sizes that a band spans.
 BAND_RATIO = 1.4
-#: 64-bit words of the sketch that bucket members carry, at most; larger sets are told apart by their whole sketch.
+#: 64-bit words of the sketch that bucket members carry, at most; more pairs of larger sets are verified.
 WIDEST = 64
+#: Members that each is compared with in the first round.
+NEAREST = 8
 #: Ids that may be sent to every executor (8 bytes each); beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 200_000
 
@@ -122,11 +124,6 @@ def parity_sketches(h: np.ndarray, d: np.ndarray, words: np.ndarray) -> np.ndarr
     return out
 
 
-def wide_words(sizes: np.ndarray) -> np.ndarray:
-    """64-bit words of a set's wide sketch: a power of two, about four bits or more for each n-gram."""
-    return (1 << np.ceil(np.log2(np.maximum(sizes, 128) / 16)).astype(np.int64)).astype(np.int64)
-
-
 def _keys_of_band(h, d, sizes, who, band, low, high, blocks, percent):
     """Keys of the sets ``who`` (indices) in one band -> (set, key)."""
     pick = np.zeros(len(sizes), bool)
@@ -196,31 +193,20 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iter
 
 
 def member_words(sizes: np.ndarray) -> np.ndarray:
-    """64-bit words of the sketch of a bucket's member: a power of two, 0.6 to 1.2 bits for each n-gram and 512 at least."""
-    return np.minimum(WIDEST, 1 << np.ceil(np.log2(np.maximum(sizes * 0.6 / 64, 8))).astype(np.int64)).astype(np.int64)
-
-
-def _folded(wide: np.ndarray, width: np.ndarray, narrow: np.ndarray) -> np.ndarray:
-    """Sketches of ``width`` words each, one after another, folded by XOR to ``narrow`` words."""
-    set_of = np.repeat(np.arange(len(width)), width)
-    place = np.arange(len(wide)) - np.repeat(np.cumsum(width) - width, width)
-    out = np.zeros(int(narrow.sum()), U64)
-    np.bitwise_xor.at(out, (np.cumsum(narrow) - narrow)[set_of] + place % narrow[set_of], wide)
-    return out
+    """64-bit words of a set's sketch: a power of two, one to two bits for each n-gram and 512 at least."""
+    return np.minimum(WIDEST, 1 << np.ceil(np.log2(np.maximum(sizes / 64, 8))).astype(np.int64)).astype(np.int64)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """id, n, grams (sorted hashes), wide and sketch: parity sketches of two sizes."""
+    """id, n, grams (sorted hashes), sketch."""
     for batch in batches:
         ids = batch.column(0)
         for lo, hi, raw, offsets in text_chunks(batch.column(1)):
             h, d = distinct_ngrams(raw, offsets, n)
             sizes = np.bincount(d, minlength=hi - lo).astype(np.int64)
-            width, narrow = wide_words(sizes), member_words(sizes)
-            wide = parity_sketches(h, d, width)
+            width = member_words(sizes)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo), pa.array(sizes), list_array(h.view(np.int64), sizes), list_array(wide.view(np.int64), width), list_array(_folded(wide, width, narrow).view(np.int64), narrow)],
-                names=["id", "n", "grams", "wide", "sketch"],
+                [ids.slice(lo, hi - lo), pa.array(sizes), list_array(h.view(np.int64), sizes), list_array(parity_sketches(h, d, width).view(np.int64), width)], names=["id", "n", "grams", "sketch"]
             )
     release_memory()
 
@@ -230,17 +216,6 @@ def smallest_partner(sizes: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * sizes // 100)
 
 
-def may_link_wide(x, y, percent: int):
-    """A Column: sizes and the distance of the wide sketches allow a link; the larger sketch is folded to the smaller."""
-    fits = F.lit(100) * F.least(x("n"), y("n")) >= F.lit(percent) * F.greatest(x("n"), y("n"))
-    most = F.floor((F.lit(100 - percent) * (x("n") + y("n"))) / F.lit(100 + percent))
-    m = F.least(F.size(x("wide")), F.size(y("wide")))
-    halves = lambda v: F.zip_with(F.slice(v, F.lit(1), m), F.slice(v, m + 1, m), lambda p, q: p.bitwiseXOR(q))
-    fitted = lambda v: F.when(F.size(v) == m, v).otherwise(halves(v))  # noqa: E731  sizes that fit differ by one doubling at most
-    flips = F.zip_with(fitted(x("wide")), fitted(y("wide")), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
-    return fits & (F.aggregate(flips, F.lit(0), lambda s, v: s + v.cast("int")) <= most)
-
-
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """a, b, grams_a, grams_b (sorted, distinct) -> the pairs that link."""
     for batch in batches:
@@ -258,23 +233,13 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
     release_memory()
 
 
-def links_among(pairs: DataFrame, sets: DataFrame, percent: int, store: Store) -> DataFrame:
-    """The pairs (a, b) that link: by the wide sketches, then by the sets themselves."""
-
-    def with_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
-        """Pairs with columns of either set; they are moved for the sets of the pairs only."""
-        ids = rows.select(F.col("a").alias("id")).union(rows.select("b")).distinct()
-        own = sets.join(ids, "id", "left_semi")
-        side = lambda s: own.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns])
-        return rows.join(side("a"), "a").join(side("b"), "b")
-
-    def filtered(rows: DataFrame, columns: list[str], test) -> DataFrame:
-        both = with_columns(rows, columns).filter(test(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), percent))
-        return store.write(both.select("a", "b"), "near")
-
-    near = filtered(pairs, ["n", "wide"], may_link_wide)
-    full = with_columns(near, ["grams"]).select("a", "b", "a_grams", "b_grams")
-    return store.write(full.mapInArrow(partial(_verified, percent=percent), "a long, b long"), "links")
+def links_among(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by the sets themselves; only the sets of the pairs are moved."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    own = sets.join(ids, "id", "left_semi")
+    side = lambda s: own.select(F.col("id").alias(s), F.col("grams").alias(f"{s}_grams"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_grams", "b_grams")
+    return both.mapInArrow(partial(_verified, percent=percent), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, name: str = "jaccard") -> DataFrame:
@@ -295,13 +260,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     store.settle()
     ids = store.write(members.select("id").distinct(), "ids")
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = store.write(chosen.join(few, chosen.doc_id == ids.id, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(partial(_sets, n=n), "id long, n long, grams array<long>, wide array<long>, sketch array<long>"), "sets")
+    sets = store.write(chosen.join(few, chosen.doc_id == ids.id, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(partial(_sets, n=n), "id long, n long, grams array<long>, sketch array<long>"), "sets")
     store.free(signed_keys)
     store.settle()
     sketches = sets.select("id", F.col("n").alias("size"), "sketch")
-    verify = lambda pairs: links_among(pairs, sets, percent, store)
+    verify = lambda pairs: links_among(pairs, sets, percent)
     limit = (partial(smallest_partner, percent=percent), lambda low, high: most_different(low + high, percent))
-    groups = link_buckets([members.join(sketches, "id").select("key", "id", "size", "sketch")], limit, verify, store)
+    rows_of = lambda ids: (members if ids is None else members.join(ids, "id", "left_semi")).join(sketches, "id").select("key", "id", "size", "sketch")
+    groups = link_buckets([rows_of], limit, verify, store, nearest=NEAREST)
     labels = extended(groups, copies.select(F.col("rep").alias("a"), F.col("id").alias("b")), store)
     store.keep_only(signed, labels)
     if chosen is not texts:  # each row of a repeated id gets what its chosen text has
