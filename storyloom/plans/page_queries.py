@@ -122,14 +122,32 @@ def src_discover_link(spark, d):
     return table(spark, d, "pages").select("page_id", M.feed_link(F.col("html"), F.col("url")).alias("feed"))
 
 
-@query("x_body_text")
+_FIRST, _SECOND = "First paragraph, which is long enough.", "Second paragraph, which is long enough too."
+#: By page_id mod 3: two paragraphs in an article; a short one and two long ones; an article with one paragraph and a container of two.
+_BODY = [f"<article><p>{_FIRST}</p><p>{_SECOND}</p></article>", f"<article><p>Short.</p><p>{_FIRST}</p><div><p>{_SECOND}</p></div></article>", f"<article><p>{_SECOND}</p></article><div class='article-body'><p>{_FIRST}</p><p>{_SECOND}</p></div>"]
+
+
+@query("x_body_text", f"SELECT page_id, '{_FIRST}' || chr(10) || chr(10) || '{_SECOND}' AS body_text FROM pages")
 def x_body_text(spark, d):
+    """Each page behind an article of its own: the first container with two paragraphs counts."""
+    lead = F.element_at(F.array(*map(F.lit, _BODY)), (F.col("page_id") % 3 + 1).cast("int"))
+    return table(spark, d, "pages").select("page_id", M.body_text(F.concat(lead, "html")).alias("body_text"))
+
+
+@query("x_page_bodies")
+def x_page_bodies(spark, d):
+    """The article's text of each page as it is."""
     return table(spark, d, "pages").select("page_id", M.body_text(F.col("html")).alias("body_text"))
 
 
-@query("src_autodetect")
+@query("src_autodetect", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'h3 a[href]' WHEN 1 THEN 'article a[href]' ELSE '.entry-title a[href]' END AS selector FROM pages")
 def src_autodetect(spark, d):
-    return table(spark, d, "pages").select("page_id", M.article_link_pattern(F.col("html")).alias("selector"))
+    """Each page behind many links of one pattern, and as many that are too short or lead to sections."""
+    link = "".join(f"<a href='/s/{k}.html'>Headline that is long {k}</a>" for k in range(60))
+    noise = "".join(f"<h2><a href='/tag/{k}'>Section that is long {k}</a><a href='/s/x{k}.html'>Short</a></h2>" for k in range(90))
+    kinds = [f"<h3>{link}</h3>", f"<article>{link}</article>", f"<p class='entry-title'>{link}</p>"]
+    lead = F.element_at(F.array(*[F.lit(x + noise) for x in kinds]), (F.col("page_id") % 3 + 1).cast("int"))
+    return table(spark, d, "pages").select("page_id", M.article_link_pattern(F.concat(lead, "html")).alias("selector"))
 
 
 @query("f_non_article", f"WITH {PAGES} SELECT page_id, {_has('lower(headline)', NON_ARTICLE_PARTS)} OR {_any([f'starts_with(lower(headline), {_q(s)})' for s in NON_ARTICLE_STARTS])} AS skip FROM a")

@@ -437,8 +437,23 @@ def x_decode_entities(spark, d):
     return docs.select("doc_id", F.concat(F.regexp_replace("text", "&[^;]+;", "$0"), F.lit("")).alias("t"), entity.alias("e")).select("doc_id", F.concat("t", M.decode_entities(F.concat("e", F.lit(" &unknown; &amp")))).alias("text"))
 
 
-@query("x_combine_summary")
+_PARTS = ["'The council of town ' || k || ' approved its budget plans.'", "'Residents of quarter ' || k || ' protested loudly yesterday.'", "'Engineers repaired bridge number ' || k || ' during winter.'"]
+
+
+@query("x_combine_summary", f"""{AS}, k AS (SELECT DISTINCT cluster_id, substr(cluster_id, 2) AS k FROM art) SELECT cluster_id, {" || ' ' || ".join(_PARTS)} AS summary FROM k""")
 def x_combine_summary(spark, d):
+    """Each story from two bodies that say one thing alike, have a sentence of their own, and go on in a third paragraph."""
+    k = F.substring("cluster_id", 2, 20)
+    say = lambda p: F.concat(*[k if x == "k" else F.lit(x.strip("'")) for x in p.split(" || ")])
+    one, two, three = map(say, _PARTS)
+    more = F.lit("\n\nToo short. \n\nThe third paragraph of a body does not count at all.")
+    bodies = F.array(F.concat(one, F.lit(" "), two, more), F.lit(""), F.concat(one, F.lit(" "), three, more))
+    return _art(spark, d).select("cluster_id").distinct().select("cluster_id", X.combined_summary(bodies).alias("summary"))
+
+
+@query("x_story_summaries")
+def x_story_summaries(spark, d):
+    """The combined summary of each story's documents."""
     art = _art(spark, d).groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("published_at", "id", "body_text"))).alias("b"))
     return art.select("cluster_id", X.combined_summary(F.transform("b", lambda x: x["body_text"])).alias("summary"))
 

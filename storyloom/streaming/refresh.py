@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..constants import INGEST_HOURS
+from ..engine import Engine
 
 
 def new_articles(stream: DataFrame, time_col: str = "published_ts", id_col: str = "id") -> DataFrame:
@@ -36,6 +37,21 @@ def append_refresh(spark: SparkSession, articles_path: str) -> Callable[[DataFra
     return step
 
 
+def refresh_stories(engine: Engine, as_of: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A micro-batch step that keeps the engine's tables: articles older than the retention period go, new ones join stories or start them.
+
+    ``as_of``: the time of the refresh; else the latest time of the batch.  The state is the engine's tables, so a batch that is run again
+    after a failure finds its articles stored and adds nothing twice.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        latest = as_of or batch.agg(F.date_format(F.max(F.to_timestamp("published_at")), "yyyy-MM-dd HH:mm:ss")).first()[0]
+        if latest:
+            engine.refresh(batch, latest)
+
+    return step
+
+
 def _batches(spark: SparkSession, path: str) -> list[int]:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
