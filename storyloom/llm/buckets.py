@@ -32,6 +32,8 @@ NEAREST = 2
 GROWTH = 16
 #: Cells of the table of nearest rows that a task holds at once.
 TABLE = 1 << 21
+#: Bytes of rows that a task gathers before it compares them.
+HELD = 12 << 20
 #: Bits of a row's sort key that hold its size; the others hold its bucket.
 SIZE_BITS = 24
 _FAR = np.iinfo(np.int32).max
@@ -188,17 +190,17 @@ def _near_rows(batches: Iterator[pa.RecordBatch], limit: Limit, keep: int, membe
             yield compared(table.slice(at, s - at), bucket[at:s])
         held = table.slice(s).combine_chunks().to_batches()
 
-    rows = 0
+    waiting = 0
     for batch in batches:
         if batch.num_rows == 0:
             continue
         last = batch.column(0)[batch.num_rows - 1].as_py() >> SIZE_BITS
         edges = [edges[0] if edges else batch.column(0)[0].as_py() >> SIZE_BITS, last]
         held.append(batch)
-        rows += batch.num_rows
-        if rows >= min(members, 20_000):
+        waiting += batch.nbytes
+        if waiting >= HELD:  # many rows at once: the steps within are few calls each
             yield from ready(False)
-            rows = sum(b.num_rows for b in held)
+            waiting = sum(b.nbytes for b in held) // 2
     if held:
         yield from ready(True)
     if ranges and edges:
