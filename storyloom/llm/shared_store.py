@@ -1,8 +1,8 @@
 """Intermediate tables in the shared folder that the session names.
 
 A written Parquet table cuts the lineage: if an executor is lost, later stages reread the
-files rather than recompute Python work.  The folder is ``spark.checkpoint.dir``; where that
-is unset (tests, a local session) one temporary folder is made for the session.
+files rather than recompute Python work.  The folder is ``spark.checkpoint.dir``; where that is unset, a temporary
+folder is made for a local session, and any other session is refused.
 """
 
 from __future__ import annotations
@@ -10,24 +10,12 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate files, without a trailing slash."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or ""
-    if not found:
-        app = spark.sparkContext.applicationId
-        if app not in _LOCAL:
-            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="storyloom-")
-        found = _LOCAL[app]
-    return found.rstrip("/")
+from ..intermediate import shared_folder
 
 
 def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
@@ -57,7 +45,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, name: str):
         bounded_batches(spark)
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._paths: set[str] = set()
         self._n = 0
         atexit.register(self._close)
