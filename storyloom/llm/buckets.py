@@ -7,7 +7,7 @@ row go into the next round, which takes ``GROWTH`` times as many, without the pa
 across groups is untested, so none is left out, but copies of one text need few pairs each.
 
 First round: rows are dealt out by ranges of key and size and a task holds ``MEMBERS`` rows of a key at once, so a key that a third
-of the rows share goes to many tasks; keys that a range cuts are dealt out once more, and those of more rows go into the next round.
+of the rows share goes to many tasks; keys that two ranges share are dealt out once more, and those of more go into the next round.
 Later rounds: large keys are cut into cells; rows outside a large key's largest group are sent to each of its cells, in blocks, the others to their own cell only.
 """
 
@@ -260,10 +260,11 @@ def link_buckets(passes: list[Callable[[DataFrame | None], DataFrame]], limit: L
         df = rows_of[k](None)
         rows = df.select(*columns) if labels is None else grouped(df).select(*columns, "component")
         inside = near(rows, nearest, True, f"near{k}")
-        cut = [r[0] for r in inside.filter("edge is not null").groupBy("edge").count().filter("count > 1").select("edge").collect()]  # one for each range at most
-        if not cut:
-            return [inside]
-        return [inside, near(rows.filter(F.col("key").isin(cut)), nearest, None, f"across{k}")]
+        cut = inside.filter("edge is not null").groupBy("edge").count().filter("count > 1").collect()  # one for each range at most
+        # A key of more than two ranges fills a range or more: it goes into the next round, where it is cut into cells.
+        two, more = [r["edge"] for r in cut if r["count"] == 2], [(None, None, r["edge"], None, None) for r in cut if r["count"] > 2]
+        across = [near(rows.filter(F.col("key").isin(two)), nearest, None, f"across{k}")] if two else []
+        return [inside, *across, *([store.spark.createDataFrame(more, _SCHEMA)] if more else [])]
 
     found = [x for k in range(len(passes)) for x in first(k)]
     refuted = None
