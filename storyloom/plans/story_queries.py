@@ -20,12 +20,12 @@ BIAS_SQL = "CASE publisher_id " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in
 INDEP = "(" + ", ".join(f"'{b}'" for b in INDEPENDENT) + ")"
 SCORE = "CASE bias " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SOURCE_SCORE.items()) + " ELSE 1 END"
 EFFECTIVE = "CASE WHEN language = 'en' THEN headline ELSE coalesce(nullif(translated_headline, ''), headline) END"
-CLUSTERS = "cl AS (SELECT cluster_id AS id, min(published_at) AS first_reported, max(published_at) AS last_updated, max(bias) = 'party_owned_pl' AS is_blindspot, min_by(headline, id) AS headline FROM art GROUP BY cluster_id)"
+CLUSTERS = "cl AS (SELECT cluster_id AS id, min(published_at) AS first_reported, max(published_at) AS last_updated, substr(cluster_id, 2)::INT % 3 = 0 AS is_blindspot, min_by(headline, id) AS headline FROM art GROUP BY cluster_id)"
 DOMINANT = "dc AS (SELECT cluster_id, CASE WHEN count(*) = 1 OR max(n) >= 2 THEN (array_agg(category ORDER BY n DESC, category))[1] ELSE 'general' END AS category FROM (SELECT cluster_id, category, count(*) AS n FROM art GROUP BY 1, 2) GROUP BY cluster_id)"
 
 
 def _clusters(art):
-    c = art.groupBy(F.col("cluster_id").alias("id")).agg(F.min("published_at").alias("first_reported"), F.max("published_at").alias("last_updated"), (F.max("bias") == "party_owned_pl").alias("is_blindspot"), F.min_by("headline", "id").alias("headline"))
+    c = art.groupBy(F.col("cluster_id").alias("id")).agg(F.min("published_at").alias("first_reported"), F.max("published_at").alias("last_updated"), (F.substring(F.first("cluster_id"), 2, 20).cast("int") % 3 == 0).alias("is_blindspot"), F.min_by("headline", "id").alias("headline"))
     return c.select("id", "headline", "first_reported", "last_updated", "is_blindspot", F.lit("").alias("ai_headline"), F.lit("").alias("ai_summary"))
 
 
@@ -157,10 +157,10 @@ def f_feed_category(spark, d):
     return R.stories_with_category(_art(spark, d), "sport").select("id", "cluster_id")
 
 
-@query("f_dismissed", f"{AS} SELECT id FROM art WHERE cluster_id NOT IN (SELECT cluster_id FROM art WHERE bias = 'church_owned')")
+@query("f_dismissed", f"{AS} SELECT id FROM art WHERE cluster_id NOT IN (SELECT cluster_id FROM art WHERE doc_id % 24 = 5)")
 def f_dismissed(spark, d):
     art = _art(spark, d)
-    return art.join(art.filter("bias = 'church_owned'").select("cluster_id").distinct(), "cluster_id", "left_anti").select("id")
+    return art.join(art.filter("doc_id % 24 = 5").select("cluster_id").distinct(), "cluster_id", "left_anti").select("id")
 
 
 @query("f_is_new", f"{AS}, {CLUSTERS} SELECT id, first_reported > '2024-01-15T00:00:00+00:00' AS is_new FROM cl")
@@ -503,10 +503,16 @@ def q_ai_cache(spark, d):
     return C.cache_summary(c, c.filter("is_blindspot").select("id", F.lit("h").alias("ai_headline"), F.lit("s").alias("ai_summary"))).filter("ai_headline <> ''").select("id", "ai_headline")
 
 
-@query("dml_wipe_all", f"{AS} SELECT id FROM art WHERE false")
+@query("dml_wipe_all", f"{AS} SELECT name, count(*) FILTER (step = 'before')::BIGINT AS before, 0::BIGINT AS after FROM (SELECT 'articles' AS name, 'before' AS step FROM art UNION ALL SELECT 'clusters', 'before' FROM (SELECT DISTINCT cluster_id FROM art)) GROUP BY name")
 def dml_wipe_all(spark, d):
     art = _art(spark, d)
-    return C.wipe_all(art, art)[0].select("id")
+    tables = {"articles": art, "clusters": _clusters(art)}
+    gone = dict(zip(tables, C.wipe_all(*tables.values())))
+    rows = None
+    for name, df in tables.items():
+        steps = df.select(F.lit(name).alias("name"), F.lit(1).alias("b"), F.lit(0).alias("a")).unionByName(gone[name].select(F.lit(name).alias("name"), F.lit(0).alias("b"), F.lit(1).alias("a")))
+        rows = steps if rows is None else rows.unionByName(steps)
+    return rows.groupBy("name").agg(F.sum("b").alias("before"), F.sum("a").alias("after"))
 
 
 @query("dml_custom_pub_upsert", f"{AS} SELECT DISTINCT publisher_id AS id, CASE WHEN bias = 'church_owned' THEN 'new' ELSE publisher_id END AS rss_url FROM art")
