@@ -33,7 +33,7 @@ GROWTH = 16
 #: Cells of the table of nearest rows that a task holds at once.
 TABLE = 1 << 21
 #: Bytes of rows that a task gathers before it compares them.
-HELD = 12 << 20
+HELD = 4 << 20
 #: Bits of a row's sort key that hold its size; the others hold its bucket.
 SIZE_BITS = 24
 _FAR = np.iinfo(np.int32).max

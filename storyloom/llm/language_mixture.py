@@ -41,7 +41,7 @@ ROUNDS, SETTLED = 30, 1e-4
 #: Weight of the penalty on each further language.
 PENALTY = 4.0
 #: Words in a worker's memory of word likelihoods.
-MEMORY = 120_000
+MEMORY = 60_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -59,7 +59,9 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """lang, text -> lang, gram, n: the n-grams of orders 1 to ORDER within padded words."""
     for batch in batches:
         for lang, group in batch.groupby("lang"):
-            words = sum(map(letter_words, group["text"]), Counter())
+            words: Counter = Counter()
+            for text in group["text"]:
+                words.update(letter_words(text))
             total: dict[str, int] = {}
             for w, c in words.items():
                 s = " " * (ORDER - 1) + w + " "

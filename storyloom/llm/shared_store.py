@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..intermediate import shared_folder
 
 
-def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Rows go to Python workers in batches of at most about ``size`` bytes, however long texts and sets are."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key).rstrip("b")) > size:
