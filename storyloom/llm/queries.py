@@ -10,11 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .decontamination import contamination
+from .fill_in_middle import fill_in_middle, restore
+from .importance import resample
 from .language_mixture import identify
 from .language_model import score_texts as score_language
 from .line_dedup import dedup_lines
 from .ngram_jaccard_join import jaccard_components
-
 from .packing import pack
 from .suffix_dedup import repeated_passages
 from .token_counts import byte_level_pieces, count_pieces
@@ -87,6 +88,18 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_features, weight, score, rank: a tenth of the documents of 20 words or more, drawn towards the benchmark's words."""
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), seed=2024, n=1, buckets=10_000, percent=10, min_words=20)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256: texts cut between lines."""
+    cut = fill_in_middle(_table(spark, sf_dir, "documents"), seed=7, unit="lines", rate=100, spm=50)
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(restore(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -98,4 +111,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
