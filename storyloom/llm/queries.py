@@ -17,6 +17,7 @@ from .language_model import score_texts as score_language
 from .line_dedup import dedup_lines
 from .ngram_jaccard_join import jaccard_components
 from .packing import pack
+from .personal_data import KINDS, listed, personal_data
 from .suffix_dedup import repeated_passages
 from .token_counts import byte_level_pieces, count_pieces
 from .toxicity import score_texts
@@ -100,6 +101,15 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base spans and those that the classifier adds)."""
+    found = personal_data(_table(spark, sf_dir, "documents"))
+    base = [F.col(f"base_{k}") for k in KINDS]
+    every = [F.concat(f"base_{k}", f"added_{k}") for k in KINDS]
+    counts = [F.size(b).cast("long").alias(f"n_{k}") for k, b in zip(KINDS, base)]
+    return found.select("doc_id", *counts, F.sha2(listed(*base), 256).alias("base_sha256"), listed(*every).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -113,4 +123,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_personal_data": op13_personal_data,
 }
