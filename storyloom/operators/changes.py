@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..sources.feeds import keep_first
+from .conflicts import first_come, last_come
 
 
 def existing_ids(wanted: DataFrame, articles: DataFrame) -> DataFrame:
@@ -13,11 +13,10 @@ def existing_ids(wanted: DataFrame, articles: DataFrame) -> DataFrame:
 
 
 def insert_articles(articles: DataFrame, new: DataFrame, *order: str) -> DataFrame:
-    """Adds rows whose id and URL are both new and required fields are there; the first of equal ones in the batch."""
+    """Adds rows one by one in their order, each if its id and its URL are both new by then and required fields are there."""
     rows = new.filter("id is not null and original_url is not null and publisher_id is not null and headline is not null and published_at is not null")
-    rows = keep_first(keep_first(rows, "id", *order), "original_url", *order)
     rows = rows.join(articles.select("id"), "id", "left_anti").join(articles.select("original_url"), "original_url", "left_anti")
-    return articles.unionByName(rows.select(*articles.columns))
+    return articles.unionByName(first_come(rows.select(*new.columns), ["id", "original_url"], *order).select(*articles.columns))
 
 
 def set_value(articles: DataFrame, values: DataFrame, column: str) -> DataFrame:
@@ -73,9 +72,10 @@ def wipe_all(articles: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataF
     return articles.limit(0), clusters.limit(0)
 
 
-def upsert_publisher(custom: DataFrame, new: DataFrame) -> DataFrame:
-    """Replaces sources that share the id or the address."""
-    return custom.join(new.select("id"), "id", "left_anti").join(new.select("rss_url"), "rss_url", "left_anti").select(*custom.columns).unionByName(new.select(*custom.columns))
+def upsert_publisher(custom: DataFrame, new: DataFrame, *order: str) -> DataFrame:
+    """Adds sources one by one in their order, each in place of those that share its id or its address."""
+    rows = custom.join(new.select("id"), "id", "left_anti").join(new.select("rss_url"), "rss_url", "left_anti")
+    return rows.select(*custom.columns).unionByName(last_come(new, ["id", "rss_url"], *order).select(*custom.columns))
 
 
 def delete_publisher(custom: DataFrame, articles: DataFrame, publisher_id: str) -> tuple[DataFrame, DataFrame]:

@@ -340,11 +340,24 @@ def x_resolve_chain(spark, d):
     return Y.resolve_merges(edges)
 
 
-@query("dml_insert_article", f"{AS}, old AS (SELECT id, original_url, headline FROM art WHERE bias <> 'church_owned'), nw AS (SELECT id, original_url, 'x' AS headline FROM art) SELECT id, original_url, headline FROM old UNION ALL SELECT id, original_url, headline FROM nw WHERE id NOT IN (SELECT id FROM old) AND original_url NOT IN (SELECT original_url FROM old)")
+_STEPS = """acc AS (
+  SELECT 0::BIGINT AS n, []::VARCHAR[] AS ids, []::VARCHAR[] AS urls
+  UNION ALL
+  SELECT acc.n + 1, CASE WHEN list_contains(ids, id) OR list_contains(urls, url) THEN ids ELSE list_append(ids, id) END, CASE WHEN list_contains(ids, id) OR list_contains(urls, url) THEN urls ELSE list_append(urls, url) END
+  FROM acc JOIN nw ON nw.n = acc.n + 1)"""
+
+
+@query("dml_insert_article", f"""WITH RECURSIVE {AS.removeprefix('WITH ')}, old AS (SELECT id, original_url, headline FROM art WHERE bias = 'church_owned'),
+free AS (SELECT 'a' || (doc_id * 5 // 8) AS id, 'https://ex.com/' || ((doc_id + 3) * 4 // 7) AS url, published_at, id AS headline FROM art),
+nw AS (SELECT *, row_number() OVER (ORDER BY published_at, headline) AS n FROM free WHERE id NOT IN (SELECT id FROM old) AND url NOT IN (SELECT original_url FROM old)),
+{_STEPS}, done AS (SELECT ids, urls FROM acc ORDER BY n DESC LIMIT 1), pairs AS (SELECT unnest(ids) AS id, unnest(urls) AS url FROM done)
+SELECT id, original_url, headline FROM old UNION ALL SELECT id, url, min_by(headline, n) FROM nw JOIN pairs USING (id, url) GROUP BY 1, 2""")
 def dml_insert_article(spark, d):
-    cols = ["id", "original_url", "publisher_id", "published_at", "headline"]
-    art = _art(spark, d).select(*cols, "bias")
-    return C.insert_articles(art.filter("bias <> 'church_owned'").select(*cols), art.withColumn("headline", F.lit("x")).select(*cols), "published_at").select("id", "original_url", "headline")
+    """Rows that share ids with some neighbours and addresses with others, so that what is refused makes room for rows after it."""
+    art = _art(spark, d).select("doc_id", "id", "original_url", "publisher_id", "published_at", "headline", "bias")
+    old = art.filter("bias = 'church_owned'").select("id", "original_url", "publisher_id", "published_at", "headline")
+    new = art.select(F.expr("concat('a', doc_id * 5 div 8)").alias("id"), F.expr("concat('https://ex.com/', (doc_id + 3) * 4 div 7)").alias("original_url"), "publisher_id", "published_at", F.col("id").alias("headline"))
+    return C.insert_articles(old, new, "published_at", "headline").select("id", "original_url", "headline")
 
 
 @query("dml_set_translated", f"{AS} SELECT id, CASE WHEN language = 'mt' THEN 'n ' || headline ELSE translated_headline END AS translated_headline FROM art")
@@ -515,10 +528,16 @@ def dml_wipe_all(spark, d):
     return rows.groupBy("name").agg(F.sum("b").alias("before"), F.sum("a").alias("after"))
 
 
-@query("dml_custom_pub_upsert", f"{AS} SELECT DISTINCT publisher_id AS id, CASE WHEN bias = 'church_owned' THEN 'new' ELSE publisher_id END AS rss_url FROM art")
+@query("dml_custom_pub_upsert", f"""{AS}, old AS (SELECT DISTINCT 'p' || (doc_id % 97) AS id, 'https://ex.com/' || (doc_id % 97) AS rss_url, '' AS name FROM art),
+nw AS (SELECT 'p' || (doc_id * 5 // 8) AS id, 'https://ex.com/' || ((doc_id + 3) * 4 // 7) AS rss_url, id AS name, row_number() OVER (ORDER BY published_at, id) AS n FROM art),
+last AS (SELECT *, max(n) OVER (PARTITION BY id) AS i, max(n) OVER (PARTITION BY rss_url) AS u FROM nw)
+SELECT id, rss_url, name FROM old WHERE id NOT IN (SELECT id FROM nw) AND rss_url NOT IN (SELECT rss_url FROM nw) UNION ALL SELECT id, rss_url, name FROM last WHERE n = i AND n = u""")
 def dml_custom_pub_upsert(spark, d):
-    own = _art(spark, d).select(F.col("publisher_id").alias("id"), F.col("publisher_id").alias("rss_url"), "bias").distinct()
-    return C.upsert_publisher(own.select("id", "rss_url"), own.filter("bias = 'church_owned'").select("id", F.lit("new").alias("rss_url")))
+    """Sources that replace those before them with the same id or the same address."""
+    art = _art(spark, d)
+    own = art.select(F.expr("concat('p', doc_id % 97)").alias("id"), F.expr("concat('https://ex.com/', doc_id % 97)").alias("rss_url"), F.lit("").alias("name")).distinct()
+    new = art.select(F.expr("concat('p', doc_id * 5 div 8)").alias("id"), F.expr("concat('https://ex.com/', (doc_id + 3) * 4 div 7)").alias("rss_url"), F.col("id").alias("name"), "published_at")
+    return C.upsert_publisher(own, new, "published_at", "name")
 
 
 @query("dml_set_cluster", f"{AS} SELECT id, CASE WHEN bias = 'church_owned' THEN 'moved' ELSE cluster_id END AS cluster_id FROM art")
