@@ -70,18 +70,24 @@ def tokens(headline: Column, stop_words: Sequence[str] = STOP_WORDS, entities: S
     """array of (word, weight): 3 for numbers, 2 for acronyms, entities and names, 1 for others; then pairs of neighbours of weight 2 and more."""
     stops, names = list(stop_words), list(entities)
 
-    def weigh(w: Column, i: Column) -> Column:
+    def form(w: Column, i: Column) -> Column:
         low = F.lower(w)
-        n = F.octet_length(low)
-        keep = (n > 2) | ((n == 2) & w.rlike(r"^\p{Lu}+$"))
+        return F.struct(w.alias("w"), low.alias("low"), F.octet_length(low).alias("n"), i.alias("i"))
+
+    def kept(t: Column) -> Column:
+        return ((t["n"] > 2) | ((t["n"] == 2) & t["w"].rlike(r"^\p{Lu}+$"))) & ~t["low"].isin(stops)
+
+    def weigh(t: Column) -> Column:
+        w, low = t["w"], t["low"]
         # Most words have no capital: of those, one without a letter may be a number, and no other is capitalised.
         small = F.when(low.rlike(r"\p{L}"), F.when(low.isin(names), 2).otherwise(1)).when(low.rlike("^[0-9]+$"), 3).when(F.octet_length(w) >= 2, 2).otherwise(1)
         capital = (F.octet_length(w) >= 2) & w.rlike(r"^[\p{Lu}\P{L}]+$")
-        large = F.when(capital | low.isin(names) | ((i > 0) & w.rlike(r"^\p{Lu}")), 2).otherwise(1)
-        return F.when(keep & ~low.isin(stops), F.struct(low.alias("word"), F.when(w == low, small).otherwise(large).alias("weight")))
+        large = F.when(capital | low.isin(names) | ((t["i"] > 0) & w.rlike(r"^\p{Lu}")), 2).otherwise(1)
+        return F.struct(low.alias("word"), F.when(w == low, small).otherwise(large).alias("weight"))
 
-    single = F.filter(F.transform(F.split(normalize_numbers(headline), r"[^\p{L}\p{N}]", -1), weigh), lambda t: t.isNotNull())
-    return with_pairs(single)
+    single = F.transform(F.filter(F.transform(F.split(normalize_numbers(headline), r"[^\p{L}\p{N}]", -1), form), kept), weigh)
+    # The pairs name the tokens four times; as a lambda's variable they are worked out once.
+    return F.element_at(F.transform(F.array(single), with_pairs), 1)
 
 
 def with_pairs(single: Column) -> Column:

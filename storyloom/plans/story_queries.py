@@ -233,8 +233,9 @@ sp AS (SELECT id, cluster_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM
 sg AS (SELECT id, cluster_id, i, lower(w) AS word, CASE WHEN regexp_matches(lower(w), '^[0-9]+$') THEN 3 WHEN strlen(w) >= 2 AND regexp_matches(w, '^[\\p{{Lu}}\\P{{L}}]+$') THEN 2
   WHEN list_contains({_names()}, lower(w)) THEN 2 WHEN i > 0 AND regexp_matches(w, '^\\p{{Lu}}') THEN 2 ELSE 1 END AS weight
   FROM sp WHERE (strlen(lower(w)) > 2 OR (strlen(lower(w)) = 2 AND regexp_matches(w, '^\\p{{Lu}}+$'))) AND NOT list_contains({_STOPS}, lower(w))),
-sn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS pos, count(*) OVER (PARTITION BY id) AS n FROM sg),
-bi AS (SELECT a.id, a.cluster_id, a.word || '_' || b.word AS word, 3 AS weight, a.n + row_number() OVER (PARTITION BY a.id ORDER BY a.pos) - 1 AS pos FROM sn a JOIN sn b ON a.id = b.id AND b.pos = a.pos + 1 WHERE a.weight >= 2 AND b.weight >= 2),
+sn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS pos, count(*) OVER (PARTITION BY id) AS n FROM sg),
+nx AS (SELECT *, lead(word) OVER (PARTITION BY id ORDER BY i) AS next, lead(weight) OVER (PARTITION BY id ORDER BY i) AS next_weight FROM sn),
+bi AS (SELECT id, cluster_id, word || '_' || next AS word, 3 AS weight, n + row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS pos FROM nx WHERE weight >= 2 AND next_weight >= 2),
 tok AS (SELECT id, cluster_id, pos, word, weight FROM sn UNION ALL SELECT id, cluster_id, pos, word, weight FROM bi)"""
 IDF = "sc AS (SELECT count(DISTINCT cluster_id) AS n FROM tok), idf AS (SELECT word, count(DISTINCT cluster_id) AS df, ln((any_value(sc.n) + 1) / (count(DISTINCT cluster_id) + 1)) + 1 AS idf FROM tok, sc GROUP BY word)"
 
