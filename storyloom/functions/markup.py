@@ -132,10 +132,10 @@ def feed_link(html: Column, base: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """The fixed entities decoded in one pass; others stay."""
-    # Pieces alternate: text, entity, text, ...; each entity is looked up once, so nothing is decoded twice.
-    marked = F.split(F.regexp_replace(text, "(&[^;]+;)", "\u0001$1\u0001"), "\u0001")
+    # Each entity is looked up once, so nothing is decoded twice; an ampersand without a semicolon after it is text.
+    pieces = F.regexp_extract_all(text, F.lit("&[^;]+;|[^&]+|&"), F.lit(0))
     table = F.create_map(*[F.lit(x) for pair in HTML_ENTITIES.items() for x in pair])
-    return F.array_join(F.transform(marked, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
+    return F.when(text.contains("&") & text.contains(";"), F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")).otherwise(text)
 
 
 class _Node:

@@ -170,10 +170,10 @@ def src_body(spark, d):
     return D.bodies(art, fetched)
 
 
-@query("s_publisher_name", "SELECT n::INT AS n, id, name FROM (SELECT id, name, row_number() OVER (ORDER BY lower(name), id) AS n FROM (VALUES ('b', 'beta'), ('a', 'Alpha'), ('z', 'Zeta'), ('c', 'Beta'), ('d', 'alpha two')) t(id, name))")
+@query("s_publisher_name", "SELECT row_number() OVER (ORDER BY name COLLATE de, doc_id)::INT AS n, 'd' || doc_id AS id, name FROM (SELECT doc_id, regexp_extract(text, '\\p{L}+ \\p{L}+') AS name FROM documents)")
 def s_publisher_name(spark, d):
-    """Sources by name without regard to case."""
+    """A source for each document, named by its first two words in a row: by name in the order of letters (case and accents last), then by id."""
     from ..intermediate import numbered
 
-    rows = spark.createDataFrame([("b", "beta"), ("a", "Alpha"), ("z", "Zeta"), ("c", "Beta"), ("d", "alpha two")], "id string, name string").withColumn("low", F.collate(F.lower("name"), "UNICODE_CI"))
-    return numbered(rows.withColumn("low", F.lower("name")), "n", F.asc("low"), F.asc("id")).select("n", "id", "name")
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id")).alias("id"), F.regexp_extract("text", r"\p{L}+ \p{L}+", 0).alias("name"))
+    return numbered(S.by_name(docs), "n", "by_name", "doc_id").select("n", "id", "name")

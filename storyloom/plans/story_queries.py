@@ -189,9 +189,11 @@ def p_article_dto(spark, d):
     return art.join(F.broadcast(dim), "publisher_id", "left").select("id", X.nonempty(F.col("translated_headline"), F.col("headline")).alias("translated"), "publisher_id", F.coalesce("bias_category", F.lit("commercial_independent")).alias("bias_category"))
 
 
-@query("src_publishers", "SELECT * FROM (VALUES " + ", ".join(f"('{p[0]}', '{p[1]}', '{p[2]}', '{p[3]}', '{p[5]}')" for p in PUBLISHERS) + ") t(id, name, bias_category, language, method)")
+@query("src_publishers", f"{AS}, p AS (SELECT * FROM (VALUES " + ", ".join(f"('{p[0]}', '{p[1]}', '{p[2]}', '{p[3]}', '{p[5]}')" for p in PUBLISHERS) + ") t(id, name, bias_category, language, method)) SELECT p.*, count(art.id)::BIGINT AS n_articles FROM p LEFT JOIN art ON publisher_id = p.id GROUP BY ALL")
 def src_publishers(spark, d):
-    return publishers(spark).drop("logo_url")
+    """The fixed sources, with the number of articles that each has."""
+    n = _art(spark, d).groupBy(F.col("publisher_id").alias("id")).agg(F.count("*").alias("n_articles"))
+    return publishers(spark).drop("logo_url").join(n, "id", "left").withColumn("n_articles", F.coalesce("n_articles", F.lit(0)))
 
 
 @query("x_source_score", f"{AS} SELECT id, ({SCORE})::INT AS score FROM art")
@@ -443,12 +445,18 @@ def x_clean_ws(spark, d):
 _ENTITIES = list(HTML_ENTITIES.items())
 
 
-@query("x_decode_entities", "SELECT doc_id, text || v || ' &unknown; &amp' AS text FROM documents, (VALUES " + ", ".join(f"({k}, '{v}')" for k, (_, v) in enumerate(_ENTITIES) if v != "'") + f") t(k, v) WHERE k = doc_id % {len(_ENTITIES)}")
+_quoted = lambda s: "'" + s.replace("'", "''") + "'"
+_MARKED = f"replace(replace(text, '. ', {{e}}), ',', {{e}} || '&unknown;') || '&' || {{e}} || ' &amp'"
+
+
+@query("x_decode_entities", f"""WITH e AS (SELECT * FROM (VALUES {", ".join(f"({k}, {_quoted(e)}, {_quoted(v)})" for k, (e, v) in enumerate(_ENTITIES))}) t(k, e, v)),
+m AS (SELECT map(list(e ORDER BY k), list(v ORDER BY k)) AS m FROM e), d AS (SELECT doc_id, {_MARKED.format(e="e.e")} AS t FROM documents JOIN e ON k = doc_id % {len(_ENTITIES)})
+SELECT doc_id, array_to_string(list_transform(regexp_extract_all(t, '&[^;]+;|[^&]+|&'), lambda p: coalesce(m[p], p)), '') AS text FROM d, m""")
 def x_decode_entities(spark, d):
-    """Each document with one of the entities behind it, an unknown one and one that isn't ended."""
-    docs = table(spark, d, "documents").withColumn("k", F.pmod("doc_id", F.lit(len(_ENTITIES))).cast("int")).filter(F.col("k") != [e for e, _ in _ENTITIES].index("&#39;"))
-    entity = F.element_at(F.array(*[F.lit(e) for e, _ in _ENTITIES]), F.col("k") + 1)
-    return docs.select("doc_id", F.concat(F.regexp_replace("text", "&[^;]+;", "$0"), F.lit("")).alias("t"), entity.alias("e")).select("doc_id", F.concat("t", M.decode_entities(F.concat("e", F.lit(" &unknown; &amp")))).alias("text"))
+    """Whole documents whose full stops and commas became one of the entities, with unknown ones, one inside another and one that isn't ended."""
+    entity = F.element_at(F.array(*[F.lit(e) for e, _ in _ENTITIES]), F.pmod("doc_id", F.lit(len(_ENTITIES))).cast("int") + 1)
+    marked = table(spark, d, "documents").withColumn("e", entity).select("doc_id", F.expr(_MARKED.format(e="e")).alias("t"))
+    return marked.select("doc_id", M.decode_entities(F.col("t")).alias("text"))
 
 
 _PARTS = ["'The council of town ' || k || ' approved its budget plans.'", "'Residents of quarter ' || k || ' protested loudly yesterday.'", "'Engineers repaired bridge number ' || k || ' during winter.'"]

@@ -110,6 +110,11 @@ def keep_first(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return least.select(key, *[F.col(f"m.{c}").alias(c) for c in (*order, *rest)]).select(*rows.columns)
 
 
+def by_name(sources: DataFrame) -> DataFrame:
+    """by_name: the name as a collated string, whose order is that of letters first, then accents, then case, as readers expect."""
+    return sources.withColumn("by_name", F.collate(F.coalesce("name", F.lit("")), "UNICODE"))
+
+
 def write_articles(rows: DataFrame, path: str, mode: str = "append") -> None:
     """The articles sink: Parquet, partitioned by category."""
     rows.write.mode(mode).partitionBy("category").parquet(path)
