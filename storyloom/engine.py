@@ -1,22 +1,27 @@
 """The commands of the application over tables in a folder: refresh, feed, publishers, bodies, summaries, split, merge, wipe.
 
-Each table is a folder of numbered versions, and a manifest names the version of every table.  A command writes the next versions of
-all tables that it changes and then one new manifest, by a rename; readers follow the last manifest, so a command that fails
-half-way leaves all tables as they were.  One writer at a time.
+Each table is a folder of numbered versions, and a manifest names the version of every table and the schema it was written with.  A command
+writes the next versions of all tables that it changes, looks that their keys are keys, and then writes one new manifest, by a rename; readers follow
+the last manifest, so a command that fails half-way leaves all tables as they were.  Versions and manifests before the last
+``keep_versions`` go, and so do the tables that a command needed on its way.  One writer at a time.
+
+Tables of an earlier schema are read with the columns of today's: those that their files lack have their defaults, and the next
+command that writes the table writes them.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from .constants import DEFAULT_BIAS, RETENTION_DAYS, STOP_WORDS
 from .functions.texts import cluster_text, effective_headline
 from .functions.urls import absolute_url, classify, domain, favicon, slug_words
-from .intermediate import written
+from .intermediate import delete, scope, written
 from .operators import changes as C, greedy as G, similarity as Y, stories as R
 from .operators.translation import Translator, translated
 from .sources.discover import bodies, discover
@@ -24,6 +29,16 @@ from .sources.feeds import keep_first
 from .sources.tables import ARTICLES, CLUSTERS, CUSTOM_PUBLISHERS, publishers
 
 SCHEMAS = {"articles": ARTICLES, "clusters": CLUSTERS, "custom_publishers": CUSTOM_PUBLISHERS}
+#: Goes up with every change of a schema; changes only add columns.
+SCHEMA_VERSION = 2
+#: Columns that came after the first schema, with what rows from before have in them.
+ADDED = {
+    "articles": {"translated_headline": "", "body_text": "", "category": "general"},
+    "clusters": {"ai_headline": "", "ai_summary": ""},
+    "custom_publishers": {"scrape_method": "rss", "scrape_config": ""},
+}
+#: Each table's keys: no two rows share a value of one of them, and none is null.
+KEYS = {"articles": ["id", "original_url"], "clusters": ["id"], "custom_publishers": ["id", "rss_url"]}
 
 
 def read_words(spark: SparkSession, path: str) -> list[str]:
@@ -31,39 +46,99 @@ def read_words(spark: SparkSession, path: str) -> list[str]:
     return [r[0] for r in spark.read.text(path).select(F.lower(F.trim("value")).alias("w")).filter("w <> ''").distinct().orderBy("w").collect()]  # a stop list
 
 
+def _command(f: Callable) -> Callable:
+    """A command's intermediate tables go when it has been committed, or has failed."""
+
+    @functools.wraps(f)
+    def run(self, *args, **kwargs):
+        with scope(self.spark):
+            return f(self, *args, **kwargs)
+
+    return run
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, stop_words: Sequence[str] = STOP_WORDS):
-        """stop_words: the whole list of the desk (see ``read_words``); the similarity of articles depends on it."""
-        self.spark, self.root, self.stop_words = spark, root.rstrip("/"), list(stop_words)
+    def __init__(self, spark: SparkSession, root: str, stop_words: Sequence[str] = STOP_WORDS, keep_versions: int = 3):
+        """stop_words: the whole list of the desk (see ``read_words``); the similarity of articles depends on it.
+
+        ``stats`` has the numbers of the last refresh: articles_scraped, articles_new, clusters_created, failed_sources.
+        """
+        self.spark, self.root, self.stop_words, self.keep_versions = spark, root.rstrip("/"), list(stop_words), max(1, keep_versions)
+        self.stats: dict[str, int | list[str]] = {}
 
     def _path(self, *parts: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _manifest(self) -> tuple[int, dict[str, int]]:
-        """(number, version of each table) of the last manifest; (0, {}) before the first."""
+    def _manifests(self) -> list[int]:
         path, fs = self._path("_manifest")
         if not fs.exists(path):
-            return 0, {}
+            return []
         names = [s.getPath().getName() for s in fs.listStatus(path)]
-        last = max((int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith((".", "_"))), default=0)
-        return last, json.loads(self.spark.read.text(f"{self.root}/_manifest/{last}.json", wholetext=True).first()[0]) if last else {}
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith((".", "_")))
+
+    def _read_manifest(self, number: int) -> dict[str, int]:
+        return json.loads(self.spark.read.text(f"{self.root}/_manifest/{number}.json", wholetext=True).first()[0])
+
+    def _manifest(self) -> tuple[int, dict[str, int]]:
+        """(number, version of each table) of the last manifest; (0, {}) before the first."""
+        numbers = self._manifests()
+        return (numbers[-1], {k: v for k, v in self._read_manifest(numbers[-1]).items() if not k.startswith("_")}) if numbers else (0, {})
+
+    def schema_version(self) -> int:
+        """The schema that the last command wrote with; 1 before manifests named it."""
+        numbers = self._manifests()
+        return self._read_manifest(numbers[-1]).get("_schema", 1) if numbers else SCHEMA_VERSION
 
     def table(self, name: str) -> DataFrame:
-        version = self._manifest()[1].get(name)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/v{version}") if version else self.spark.createDataFrame([], SCHEMAS[name])
+        version, schema = self._manifest()[1].get(name), SCHEMAS[name]
+        if not version:
+            return self.spark.createDataFrame([], schema)
+        path = f"{self.root}/{name}/v{version}"
+        rows = self.spark.read.schema(schema).parquet(path)
+        if self.schema_version() < SCHEMA_VERSION:
+            there = set(self.spark.read.parquet(path).columns)
+            rows = rows.withColumns({c: F.lit(v).alias(c) for c, v in ADDED[name].items() if c not in there})
+        return rows.select(*schema.names)
+
+    def _check_keys(self, name: str, path: str) -> None:
+        rows = self.spark.read.schema(SCHEMAS[name]).parquet(path)
+        for key in KEYS[name]:
+            if not rows.groupBy(key).agg(F.count("*").alias("n")).filter(f"n > 1 or {key} is null").isEmpty():
+                raise ValueError(f"{name}: values of {key} that are missing or not unique")
 
     def _commit(self, **tables: DataFrame) -> None:
         """Writes the next version of each table and makes all of them current at once."""
         number, versions = self._manifest()
         for name, df in tables.items():
-            df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields]).write.mode("overwrite").parquet(f"{self.root}/{name}/v{number + 1}")
+            path = f"{self.root}/{name}/v{number + 1}"
+            df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields]).write.mode("overwrite").parquet(path)
+            self._check_keys(name, path)
+        if self._manifests() and self.schema_version() < SCHEMA_VERSION:  # the tables that stay are written with today's schema, too
+            for name in versions.keys() - tables.keys():
+                self.table(name).write.mode("overwrite").parquet(f"{self.root}/{name}/v{number + 1}")
+                versions[name] = number + 1
         draft, fs = self._path("_manifest", f"_{uuid.uuid4().hex}")
         out = fs.create(draft)
-        out.write(bytearray(json.dumps(versions | dict.fromkeys(tables, number + 1)).encode()))
+        out.write(bytearray(json.dumps(versions | dict.fromkeys(tables, number + 1) | {"_schema": SCHEMA_VERSION}).encode()))
         out.close()
         if not fs.rename(draft, self._path("_manifest", f"{number + 1}.json")[0]):
             raise RuntimeError("another command has written at the same time")
+        self._expire()
+
+    def _expire(self) -> None:
+        """Removes manifests before the last ones that are kept, and versions that none of those names; readers of a kept version are not disturbed."""
+        numbers = self._manifests()
+        kept = numbers[-self.keep_versions :]
+        named = {(k, v) for n in kept for k, v in self._read_manifest(n).items() if not k.startswith("_")}
+        for name in SCHEMAS:
+            path, fs = self._path(name)
+            for status in fs.listStatus(path) if fs.exists(path) else []:
+                version = status.getPath().getName().removeprefix("v")
+                if version.isdigit() and int(version) <= numbers[-1] and (name, int(version)) not in named:
+                    delete(self.spark, f"{self.root}/{name}/v{version}")
+        for n in numbers[: -self.keep_versions]:
+            delete(self.spark, f"{self.root}/_manifest/{n}.json")
 
     def get_publishers(self) -> DataFrame:
         """Fixed and custom sources."""
@@ -80,23 +155,42 @@ class Engine:
         dto = self._with_bias(self.table("articles").filter("cluster_id is not null"), False)
         return R.feed(self.table("clusters"), dto, blindspots_only)
 
-    def refresh(self, raw: DataFrame, as_of: str, translate: Column | None = None) -> dict[str, int]:
-        """raw: articles from the readers (storyloom.sources.feeds).  Prunes, adds new articles, assigns them to stories, rolls up."""
+    def _text(self) -> Column:
+        """What articles are compared by."""
+        return cluster_text(effective_headline(F.col("language"), F.col("headline"), F.col("translated_headline")), F.col("snippet"), slug_words(F.col("original_url")))
+
+    @_command
+    def refresh(self, raw: DataFrame, as_of: str, translate: Column | None = None, failed: DataFrame | None = None) -> dict[str, int]:
+        """raw: articles from the readers (storyloom.sources.feeds).  Prunes, adds new articles, assigns them to stories, merges stories, rolls up.
+
+        failed: publisher_id of the sources that brought nothing, for ``stats``.  Counts are observed while the tables are written.
+        """
         cutoff = self.spark.range(1).select(F.date_format(F.to_timestamp(F.lit(as_of)) - F.expr(f"INTERVAL {RETENTION_DAYS} DAYS"), "yyyy-MM-dd HH:mm:ss")).first()[0]
+        scraped, added, created = Observation(), Observation(), Observation()
         stored, _ = C.prune(self.table("articles"), self.table("clusters"), cutoff)
+        raw = written(raw.observe(scraped, F.count(F.lit(1)).alias("n")))
         rows = keep_first(raw, "original_url", "publisher_id", "pos") if "pos" in raw.columns else raw.dropDuplicates(["original_url"])
         rows = C.translated_or_marked(rows.withColumn("cluster_id", F.lit(None).cast("string")).select(*[f.name for f in ARTICLES.fields]), stored, translate)
         rows = rows.withColumn("category", classify(F.col("original_url"), effective_headline(F.col("language"), F.col("headline"), F.col("translated_headline"))))
-        everything = C.insert_articles(stored, rows, "published_at")
-        new = everything.join(stored.select("id"), "id", "left_anti")
-        counts = {"scraped": raw.count(), "new": new.count()}
-        if counts["new"]:
-            text = cluster_text(effective_headline(F.col("language"), F.col("headline"), F.col("translated_headline")), F.col("snippet"), slug_words(F.col("original_url")))
+        new = written(C.new_articles(stored, rows, "published_at").observe(added, F.count(F.lit(1)).alias("n")))
+        everything, n_new = stored.unionByName(new.select(*stored.columns)), added.get["n"]
+        self.stats = {"articles_scraped": scraped.get["n"], "articles_new": n_new, "clusters_created": 0, "failed_sources": [] if failed is None else sorted(r[0] for r in failed.collect())}  # a list of sites
+        if n_new:
             # One desk's retention period: stored stories and new articles in one order, so new ones also meet by each other.
-            began = stored.filter("cluster_id is not null").unionByName(new.withColumn("cluster_id", F.lit(None).cast("string")))
-            everything = C.set_value(everything, G.greedy_assign(began, text, stop_words=self.stop_words), "cluster_id")
+            began = stored.filter("cluster_id is not null").unionByName(new.withColumn("cluster_id", F.lit(None).cast("string")).select(*stored.columns))
+            assigned = G.greedy_assign(began, self._text(), stop_words=self.stop_words)
+            assigned = written(assigned.observe(created, F.count_if(F.col("id") == F.col("cluster_id")).alias("n")))
+            everything = self._merged(C.set_value(everything, assigned, "cluster_id"))
+            self.stats["clusters_created"] = created.get["n"]
         self._store(everything, self.table("clusters"))
-        return counts
+        return {"scraped": self.stats["articles_scraped"], "new": n_new}
+
+    def _merged(self, articles: DataFrame) -> DataFrame:
+        """The second pass: articles of stories that are alike enough move to the larger one, chains to their end."""
+        articles = written(articles)
+        in_story = articles.filter("cluster_id is not null")
+        edges = Y.resolve_merges(Y.merge_edges(in_story, self._text(), self.stop_words))
+        return C.merge_clusters(articles, self.table("clusters"), edges)[0]
 
     def _store(self, articles: DataFrame, clusters: DataFrame) -> None:
         """The articles and the stories rolled up from them."""
@@ -108,25 +202,28 @@ class Engine:
         new = new.select(F.col("cluster_id").alias("id"), "headline", "first_reported", "last_updated", "is_blindspot", F.lit("").alias("ai_headline"), F.lit("").alias("ai_summary"))
         self._commit(articles=articles, clusters=C.orphans_gone(art, C.upsert_clusters(clusters, new)))
 
+    @_command
     def recluster(self) -> None:
-        """All stories anew, in the order of time."""
+        """All stories anew, in the order of time, and the second pass over them."""
         art = self.table("articles")
-        text = cluster_text(effective_headline(F.col("language"), F.col("headline"), F.col("translated_headline")), F.col("snippet"), slug_words(F.col("original_url")))
         fresh, none = C.wipe_clusters(art, self.table("clusters"))
         began = art.withColumn("cluster_id", F.lit(None).cast("string"))
-        self._store(C.set_value(fresh, G.greedy_assign(began, text, stop_words=self.stop_words), "cluster_id"), none)
+        self._store(self._merged(C.set_value(fresh, G.greedy_assign(began, self._text(), stop_words=self.stop_words), "cluster_id")), none)
 
+    @_command
     def split(self, article_id: str) -> str:
         """The article gets a story of its own, named after it."""
         art, cl = C.split_article(self.table("articles"), self.table("clusters"), article_id, f"split-{article_id}")
         self._commit(articles=art, clusters=cl)
         return f"split-{article_id}"
 
+    @_command
     def merge(self, merges: DataFrame) -> None:
         """merges: from_id, to_id."""
         art, cl = C.merge_clusters(self.table("articles"), self.table("clusters"), Y.resolve_merges(merges))
         self._commit(articles=art, clusters=cl)
 
+    @_command
     def cache_bodies(self, fetched: DataFrame) -> None:
         """fetched: id, body_text, image_url."""
         self._commit(articles=C.cache_body(self.table("articles"), fetched))
@@ -139,6 +236,7 @@ class Engine:
         stored = F.col("ai_headline") != ""
         return rows.select("id", F.when(stored, F.col("ai_headline")).otherwise(F.element_at("a", 1)["headline"]).alias("headline"), F.when(stored, F.col("ai_summary")).otherwise(snippet).alias("summary"))
 
+    @_command
     def cache_summaries(self, summaries: DataFrame) -> None:
         self._commit(clusters=C.cache_summary(self.table("clusters"), summaries))
 
@@ -157,9 +255,11 @@ class Engine:
         self.cache_bodies(found)
         return found
 
+    @_command
     def add_publisher(self, row: DataFrame) -> None:
         self._commit(custom_publishers=C.upsert_publisher(self.table("custom_publishers"), row))
 
+    @_command
     def remove_publisher(self, publisher_id: str) -> None:
         own, art = C.delete_publisher(self.table("custom_publishers"), self.table("articles"), publisher_id)
         self._commit(custom_publishers=own, articles=art)
@@ -168,5 +268,6 @@ class Engine:
         """id, headline, summary of one story in the other language; what can't be translated stays as it is."""
         return translated(self.cluster_summary().filter(F.col("id") == cluster_id), ["headline", "summary"], translator)
 
+    @_command
     def wipe(self) -> None:
         self._commit(**{name: self.table(name).limit(0) for name in ("articles", "clusters")})

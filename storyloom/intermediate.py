@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -24,20 +26,42 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+#: The paths of the scopes that are open, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written within go at its end: for work whose result is written elsewhere before it ends."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            delete(spark, path)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table that goes when the driver ends; lost executors lose none of it."""
+    """The rows as a Parquet table that goes with the scope around it, else when the driver ends; lost executors lose none of it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
 
     def remove() -> None:
         try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            delete(spark, path)
         except Exception:  # the session has ended; a cluster's folder has its own clean-up
             pass
 
-    atexit.register(remove)
+    if not _SCOPES:
+        atexit.register(remove)
     return spark.read.schema(df.schema).parquet(path)
 
 

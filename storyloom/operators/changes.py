@@ -12,11 +12,16 @@ def existing_ids(wanted: DataFrame, articles: DataFrame) -> DataFrame:
     return wanted.select("id").distinct().join(articles.select("id"), "id", "left_semi")
 
 
-def insert_articles(articles: DataFrame, new: DataFrame, *order: str) -> DataFrame:
-    """Adds rows one by one in their order, each if its id and its URL are both new by then and required fields are there."""
+def new_articles(articles: DataFrame, new: DataFrame, *order: str) -> DataFrame:
+    """The rows that are added when they come one by one in their order, each if its id and its URL are both new by then and required fields are there."""
     rows = new.filter("id is not null and original_url is not null and publisher_id is not null and headline is not null and published_at is not null")
     rows = rows.join(articles.select("id"), "id", "left_anti").join(articles.select("original_url"), "original_url", "left_anti")
-    return articles.unionByName(first_come(rows.select(*new.columns), ["id", "original_url"], *order).select(*articles.columns))
+    return first_come(rows.select(*new.columns), ["id", "original_url"], *order)
+
+
+def insert_articles(articles: DataFrame, new: DataFrame, *order: str) -> DataFrame:
+    """The table with its new articles."""
+    return articles.unionByName(new_articles(articles, new, *order).select(*articles.columns))
 
 
 def set_value(articles: DataFrame, values: DataFrame, column: str) -> DataFrame:
