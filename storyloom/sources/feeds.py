@@ -31,21 +31,69 @@ def _raw(rows: DataFrame, url: Column, headline: Column, snip: Column, image: Co
     )
 
 
+_VALUES, _URLS = "array<struct<_VALUE: string>>", "array<struct<_url: string, _type: string>>"
+_ENTRY = ", ".join(
+    [f"`{n}`: {_VALUES}" for n in ("title", "pubDate", "published", "updated", "dc:date", "description", "summary")]
+    + ["link: array<struct<_VALUE: string, _href: string, _rel: string>>", "`content:encoded`: array<string>", "content: array<string>", f"`media:content`: {_URLS}", f"`media:thumbnail`: {_URLS}", f"enclosure: {_URLS}", f"`media:group`: array<struct<`media:content`: {_URLS}, `media:thumbnail`: {_URLS}>>"]
+)
+#: RSS has its items in the channel, RDF beside it, Atom has entries.
+_FEED = f"channel struct<item: array<struct<{_ENTRY}>>>, item array<struct<{_ENTRY}>>, entry array<struct<{_ENTRY}>>"
+
+
+def _first(values: Column) -> Column:
+    """The first element; null if there is none."""
+    return F.get(values, F.lit(0))
+
+
+def _parsed_entries(body: Column) -> Column:
+    """array of entries (title, link, date, summary, content, media, enclosed) of a body that is well-formed XML; empty if it is not."""
+    feed = F.from_xml(F.regexp_replace(body, r"^[\s\uFEFF]+", ""), _FEED)
+    none = F.array().cast(f"array<struct<{_ENTRY}>>")
+    every = F.concat(*[F.coalesce(x, none) for x in (feed["channel"]["item"], feed["item"], feed["entry"])])
+
+    def entry(x: Column) -> Column:
+        value = lambda n: F.nullif(F.btrim(_first(x[n])["_VALUE"]), F.lit(""))
+        # A link without a relation is the page itself, as "alternate" is; others (self, enclosure) only where neither is there.
+        place = lambda link: F.nullif(F.btrim(F.coalesce(link["_href"], link["_VALUE"])), F.lit(""))
+        own = F.filter(x["link"], lambda link: F.coalesce(link["_rel"], F.lit("alternate")) == "alternate")
+        enclosed = _first(F.filter(x["enclosure"], lambda e: e["_type"].startswith("image/")))
+        group = _first(x["media:group"])
+        media = [_first(m)["_url"] for m in (x["media:content"], x["media:thumbnail"], group["media:content"], group["media:thumbnail"])]
+        return F.struct(
+            value("title").alias("title"), F.coalesce(place(_first(own)), place(_first(x["link"]))).alias("link"), F.coalesce(*[value(n) for n in ("pubDate", "published", "updated", "dc:date")]).alias("date"),
+            F.coalesce(value("description"), value("summary"), F.lit("")).alias("summary"), F.coalesce(_first(x["content:encoded"]), _first(x["content"]), F.lit("")).alias("content"), F.coalesce(*media).alias("media"), enclosed["_url"].alias("enclosed"),
+        )
+
+    return F.transform(every, entry)
+
+
+def _cut_entries(body: Column) -> Column:
+    """The same from a body that no parser reads: entries by their tags."""
+
+    def entry(x: Column) -> Column:
+        enclosure = F.regexp_extract(x, r"(?s)(<enclosure[^>]*>)", 1)
+        return F.struct(
+            F.btrim(decode_entities(xml_tag(x, "title"))).alias("title"), F.coalesce(F.nullif(xml_tag(x, "link"), F.lit("")), attribute(F.regexp_extract(x, r"(?s)(<link\s[^>]*>)", 1), "href")).alias("link"),
+            F.coalesce(*[xml_tag(x, t) for t in ("pubDate", "published", "updated", "dc:date")]).alias("date"), F.coalesce(decode_entities(F.coalesce(xml_tag(x, "description"), xml_tag(x, "summary"))), F.lit("")).alias("summary"),
+            decode_entities(F.coalesce(xml_tag(x, "content"), F.lit(""))).alias("content"), attribute(F.regexp_extract(x, r"(?s)(<media:(?:content|thumbnail)[^>]*>)", 1), "url").alias("media"),
+            F.when(attribute(enclosure, "type").startswith("image/"), attribute(enclosure, "url")).alias("enclosed"),
+        )
+
+    return F.transform(F.regexp_extract_all(body, F.lit(r"(?s)(<(?:item|entry)[\s>].*?</(?:item|entry)>)"), F.lit(1)), entry)
+
+
 def feed_articles(files: DataFrame, as_of: Column) -> DataFrame:
-    """RSS and Atom entries with a title and a link; dated ones no older than 48 hours, undated ones stamped ``as_of``."""
-    entries = files.select("publisher_id", "language", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?s)(<(?:item|entry)[\s>].*?</(?:item|entry)>)"), F.lit(1))).alias("pos", "x"))
-    x = F.col("x")
-    date = F.coalesce(*[xml_tag(x, t) for t in ("pubDate", "published", "updated", "dc:date")])
-    when = F.coalesce(F.try_to_timestamp(date), F.try_to_timestamp(F.regexp_replace(date, "^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss Z")))
-    link = F.coalesce(F.nullif(xml_tag(x, "link"), F.lit("")), attribute(F.regexp_extract(x, r"(?s)(<link\s[^>]*>)", 1), "href"))
-    summary = F.coalesce(decode_entities(F.coalesce(xml_tag(x, "description"), xml_tag(x, "summary"))), F.lit(""))
-    media = attribute(F.regexp_extract(x, r"(?s)(<media:(?:content|thumbnail)[^>]*>)", 1), "url")
-    enclosure = F.regexp_extract(x, r"(?s)(<enclosure[^>]*>)", 1)
-    enclosed = F.when(attribute(enclosure, "type").startswith("image/"), attribute(enclosure, "url"))
-    content = F.coalesce(xml_tag(x, "content"), F.lit(""))
-    rows = entries.withColumns({"title": F.btrim(decode_entities(xml_tag(x, "title"))), "url": link, "ts": when, "summary": summary, "image": feed_image(decode_entities(content), media, enclosed, summary)})
-    rows = rows.filter((F.col("title") != "") & F.col("url").isNotNull() & (F.col("ts").isNull() | (F.col("ts") >= as_of - F.expr(f"INTERVAL {INGEST_HOURS} HOURS"))))
-    return _raw(rows, F.col("url"), F.col("title"), snippet(F.col("summary")), F.col("image"), rfc3339(F.coalesce("ts", as_of)))
+    """RSS, RDF and Atom entries with a title and a link; dated ones no older than 48 hours, undated ones stamped ``as_of``.
+
+    Bodies are parsed as XML: namespaces, CDATA (whatever tags it holds) and relations of links are read as they are meant.  A body that is
+    not well-formed is cut at its tags.
+    """
+    parsed = files.select("publisher_id", "language", "body", _parsed_entries(F.col("body")).alias("parsed"))
+    entries = parsed.select("publisher_id", "language", F.posexplode(F.when(F.size("parsed") > 0, F.col("parsed")).otherwise(_cut_entries(F.col("body")))).alias("pos", "x")).select("publisher_id", "language", "pos", "x.*")
+    when = F.coalesce(F.try_to_timestamp("date"), F.try_to_timestamp(F.regexp_replace("date", "^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(F.regexp_replace("date", "^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss z")))
+    rows = entries.withColumns({"ts": when, "image": feed_image(F.col("content"), F.col("media"), F.col("enclosed"), F.col("summary"))})
+    rows = rows.filter((F.col("title") != "") & F.col("link").isNotNull() & (F.col("ts").isNull() | (F.col("ts") >= as_of - F.expr(f"INTERVAL {INGEST_HOURS} HOURS"))))
+    return _raw(rows, F.col("link"), F.col("title"), snippet(F.col("summary")), F.col("image"), rfc3339(F.coalesce("ts", as_of)))
 
 
 def sitemap_articles(files: DataFrame, as_of: Column, date_only: bool = True) -> DataFrame:
