@@ -26,12 +26,12 @@ def feed_files(spark, d):
     """RSS: every third entry undated, the others up to 95 hours old; titles and summaries hold entities and markup."""
     date = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.concat(F.lit("<pubDate>"), F.date_format(_when(), "EEE, dd MMM yyyy HH:mm:ss Z"), F.lit("</pubDate>")))
     item = F.concat(
-        F.lit("<item><title>Story &amp; more "), F.col("page_id").cast("string"), F.lit("</title><link>"), F.col("url"), F.lit("</link>"), date,
+        F.lit("<item><title>Story &amp; more "), F.col("page_id").cast("string"), F.lit("</title><link>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</link>"), date,
         F.lit("<description>&lt;p&gt;Text of "), F.col("page_id").cast("string"), F.lit("&lt;/p&gt; The post Story appeared first</description>"),
         F.lit("<media:thumbnail url=\"https://img.ex.com/"), F.col("page_id").cast("string"), F.lit(".jpg\"/></item>"),
     )
     files = table(spark, d, "pages").groupBy(_group().alias("publisher_id")).agg(_sum(item, "page_id").alias("x"))
-    return files.select("publisher_id", F.lit("en").alias("language"), F.concat(F.lit("<?xml version=\"1.0\"?><rss version=\"2.0\"><channel>"), "x", F.lit("</channel></rss>")).alias("body"))
+    return files.select("publisher_id", F.lit("en").alias("language"), F.concat(F.lit("<?xml version=\"1.0\"?><rss version=\"2.0\" xmlns:media=\"http://search.yahoo.com/mrss/\"><channel>"), "x", F.lit("</channel></rss>")).alias("body"))
 
 
 def sitemap_files(spark, d):

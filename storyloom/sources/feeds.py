@@ -37,7 +37,7 @@ _ENTRY = ", ".join(
     + ["link: array<struct<_VALUE: string, _href: string, _rel: string>>", "`content:encoded`: array<string>", "content: array<string>", f"`media:content`: {_URLS}", f"`media:thumbnail`: {_URLS}", f"enclosure: {_URLS}", f"`media:group`: array<struct<`media:content`: {_URLS}, `media:thumbnail`: {_URLS}>>"]
 )
 #: RSS has its items in the channel, RDF beside it, Atom has entries.
-_FEED = f"channel struct<item: array<struct<{_ENTRY}>>>, item array<struct<{_ENTRY}>>, entry array<struct<{_ENTRY}>>"
+_FEED = f"channel struct<item: array<struct<{_ENTRY}>>>, item array<struct<{_ENTRY}>>, entry array<struct<{_ENTRY}>>, _corrupt_record string"
 
 
 def _first(values: Column) -> Column:
@@ -49,7 +49,7 @@ def _parsed_entries(body: Column) -> Column:
     """array of entries (title, link, date, summary, content, media, enclosed) of a body that is well-formed XML; empty if it is not."""
     feed = F.from_xml(F.regexp_replace(body, r"^[\s\uFEFF]+", ""), _FEED)
     none = F.array().cast(f"array<struct<{_ENTRY}>>")
-    every = F.concat(*[F.coalesce(x, none) for x in (feed["channel"]["item"], feed["item"], feed["entry"])])
+    every = F.when(feed["_corrupt_record"].isNull(), F.concat(*[F.coalesce(x, none) for x in (feed["channel"]["item"], feed["item"], feed["entry"])])).otherwise(none)
 
     def entry(x: Column) -> Column:
         value = lambda n: F.nullif(F.btrim(_first(x[n])["_VALUE"]), F.lit(""))
