@@ -10,7 +10,7 @@ from pyspark.sql import Window, functions as F
 from ..constants import BIAS_CATEGORIES, HTML_ENTITIES, INDEPENDENT, PUBLISHERS, SOURCE_SCORE, STOP_WORDS
 from ..functions import markup as M, texts as X
 from ..intermediate import numbered, written
-from ..operators import changes as C, greedy as G, similarity as Y, stories as R
+from ..operators import incremental as I, changes as C, greedy as G, similarity as Y, stories as R
 from ..sources.tables import DOCUMENT_ARTICLES_SQL as ART, document_articles, publishers, table
 from .registry import query
 
@@ -265,6 +265,17 @@ def a_df_idf(spark, d):
     return Y.idf_table(_rows(spark, d)).select("word", "df", F.round("idf", 6).alias("idf"))
 
 
+@query("a_df_idf_incremental", f"{AS}, {TOK}, {IDF} SELECT word, df::BIGINT AS df, round(idf, 6) AS idf FROM idf")
+def a_df_idf_incremental(spark, d):
+    """The same frequencies from two batches: stories as they were with every seventh article in its neighbour's story and every fifth not yet there, then the changes."""
+    art = _art(spark, d).select("doc_id", "id", "cluster_id", F.col(TEXT).alias("text"))
+    moved, late = F.col("doc_id") % 7 == 0, F.col("doc_id") % 5 == 0
+    first = art.filter(~late).withColumn("cluster_id", F.when(moved, F.expr("concat('c', doc_id div 8 + 1)")).otherwise(F.col("cluster_id")))
+    counts = I.counted(first, F.col("text")).kept()
+    changes = I.signed(first.filter(moved), art.filter(moved | late))
+    return counts.add(changes).kept().idf_table().select("word", "df", F.round("idf", 6).alias("idf"))
+
+
 @query("a_token_max", f"{AS}, {TOK} SELECT cluster_id, word, max(weight)::INT AS weight FROM tok GROUP BY 1, 2")
 def a_token_max(spark, d):
     return Y.token_max(_rows(spark, d))
