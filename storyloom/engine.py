@@ -5,6 +5,10 @@ writes the next versions of all tables that it changes, looks that their keys ar
 the last manifest, so a command that fails half-way leaves all tables as they were.  Versions and manifests before the last
 ``keep_versions`` go, and so do the tables that a command needed on its way.  One writer at a time.
 
+A command on a few rows (split, merge, bodies, summaries) writes these rows only: a version has a base and changes after it, rows with the keys
+that they replace or remove, and readers put the last row of each changed key in the base's place.  After ``compact_after`` changes the
+next one writes a new base.
+
 Tables of an earlier schema are read with the columns of today's: those that their files lack have their defaults, and the next
 command that writes the table writes them.
 """
@@ -16,7 +20,7 @@ import json
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from .constants import DEFAULT_BIAS, RETENTION_DAYS, STOP_WORDS
 from .functions.texts import cluster_text, effective_headline
@@ -41,6 +45,10 @@ ADDED = {
 KEYS = {"articles": ["id", "original_url"], "clusters": ["id"], "custom_publishers": ["id", "rss_url"]}
 
 
+def _with_gone(name: str) -> T.StructType:
+    return T.StructType([*SCHEMAS[name].fields, T.StructField("__gone", T.BooleanType())])
+
+
 def read_words(spark: SparkSession, path: str) -> list[str]:
     """A list of words, one a line, from a text file."""
     return [r[0] for r in spark.read.text(path).select(F.lower(F.trim("value")).alias("w")).filter("w <> ''").distinct().orderBy("w").collect()]  # a stop list
@@ -58,12 +66,13 @@ def _command(f: Callable) -> Callable:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, stop_words: Sequence[str] = STOP_WORDS, keep_versions: int = 3):
+    def __init__(self, spark: SparkSession, root: str, stop_words: Sequence[str] = STOP_WORDS, keep_versions: int = 3, compact_after: int = 8):
         """stop_words: the whole list of the desk (see ``read_words``); the similarity of articles depends on it.
 
         ``stats`` has the numbers of the last refresh: articles_scraped, articles_new, clusters_created, failed_sources.
         """
         self.spark, self.root, self.stop_words, self.keep_versions = spark, root.rstrip("/"), list(stop_words), max(1, keep_versions)
+        self.compact_after = max(0, compact_after)
         self.stats: dict[str, int | list[str]] = {}
 
     def _path(self, *parts: str):
@@ -77,11 +86,11 @@ class Engine:
         names = [s.getPath().getName() for s in fs.listStatus(path)]
         return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith((".", "_")))
 
-    def _read_manifest(self, number: int) -> dict[str, int]:
+    def _read_manifest(self, number: int) -> dict:
         return json.loads(self.spark.read.text(f"{self.root}/_manifest/{number}.json", wholetext=True).first()[0])
 
     def _manifest(self) -> tuple[int, dict[str, int]]:
-        """(number, version of each table) of the last manifest; (0, {}) before the first."""
+        """(number, base of each table) of the last manifest; (0, {}) before the first."""
         numbers = self._manifests()
         return (numbers[-1], {k: v for k, v in self._read_manifest(numbers[-1]).items() if not k.startswith("_")}) if numbers else (0, {})
 
@@ -90,16 +99,28 @@ class Engine:
         numbers = self._manifests()
         return self._read_manifest(numbers[-1]).get("_schema", 1) if numbers else SCHEMA_VERSION
 
+    def _changes(self) -> dict[str, list[int]]:
+        """The changes after each table's base, in order."""
+        numbers = self._manifests()
+        return dict(self._read_manifest(numbers[-1]).get("_changes", {})) if numbers else {}
+
     def table(self, name: str) -> DataFrame:
         version, schema = self._manifest()[1].get(name), SCHEMAS[name]
-        if not version:
-            return self.spark.createDataFrame([], schema)
-        path = f"{self.root}/{name}/v{version}"
-        rows = self.spark.read.schema(schema).parquet(path)
-        if self.schema_version() < SCHEMA_VERSION:
-            there = set(self.spark.read.parquet(path).columns)
-            rows = rows.withColumns({c: F.lit(v).alias(c) for c, v in ADDED[name].items() if c not in there})
-        return rows.select(*schema.names)
+        changes = [self.spark.read.schema(_with_gone(name)).parquet(f"{self.root}/{name}/d{n}").withColumn("__n", F.lit(n)) for n in self._changes().get(name, [])]
+        if version:
+            path = f"{self.root}/{name}/v{version}"
+            rows = self.spark.read.schema(schema).parquet(path)
+            if self.schema_version() < SCHEMA_VERSION:
+                there = set(self.spark.read.parquet(path).columns)
+                rows = rows.withColumns({c: F.lit(v).alias(c) for c, v in ADDED[name].items() if c not in there})
+            rows = rows.select(*schema.names)
+        else:
+            rows = self.spark.createDataFrame([], schema)
+        if changes:
+            every = functools.reduce(DataFrame.unionByName, changes)
+            last = every.groupBy("id").agg(F.max_by(F.struct(*[c for c in every.columns if c not in ("id", "__n")]), "__n").alias("r")).select("id", "r.*")
+            rows = rows.join(last.select("id"), "id", "left_anti").select(*schema.names).unionByName(last.filter("not __gone").select(*schema.names))
+        return rows
 
     def _check_keys(self, name: str, path: str) -> None:
         rows = self.spark.read.schema(SCHEMAS[name]).parquet(path)
@@ -107,36 +128,62 @@ class Engine:
             if not rows.groupBy(key).agg(F.count("*").alias("n")).filter(f"n > 1 or {key} is null").isEmpty():
                 raise ValueError(f"{name}: values of {key} that are missing or not unique")
 
+    def _write(self, name: str, df: DataFrame, number: int) -> None:
+        path = f"{self.root}/{name}/v{number}"
+        df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields]).write.mode("overwrite").parquet(path)
+        self._check_keys(name, path)
+
     def _commit(self, **tables: DataFrame) -> None:
         """Writes the next version of each table and makes all of them current at once."""
+        self._publish(tables, {})
+
+    def _change(self, **states: tuple[DataFrame, DataFrame]) -> None:
+        """states: some rows of a table before and after; writes what differs as a change, or a new base when there are enough changes."""
+        self._publish({}, states)
+
+    def _publish(self, tables: dict[str, DataFrame], states: dict[str, tuple[DataFrame, DataFrame]]) -> None:
         number, versions = self._manifest()
+        changes = self._changes()
+        # The tables that stay are written with today's schema, too.
+        stay = versions.keys() - tables.keys() if self._manifests() and self.schema_version() < SCHEMA_VERSION else set()
+        tables = tables | {name: self.table(name) for name in stay}
         for name, df in tables.items():
-            path = f"{self.root}/{name}/v{number + 1}"
-            df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields]).write.mode("overwrite").parquet(path)
-            self._check_keys(name, path)
-        if self._manifests() and self.schema_version() < SCHEMA_VERSION:  # the tables that stay are written with today's schema, too
-            for name in versions.keys() - tables.keys():
-                self.table(name).write.mode("overwrite").parquet(f"{self.root}/{name}/v{number + 1}")
-                versions[name] = number + 1
+            self._write(name, df, number + 1)
+        for name, (before, after) in states.items():
+            gone = before.select("id").join(after.select("id"), "id", "left_anti").select("id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields if f.name != "id"])
+            rows = after.select(*SCHEMAS[name].names).exceptAll(before.select(*SCHEMAS[name].names)).withColumn("__gone", F.lit(False)).unionByName(gone.withColumn("__gone", F.lit(True)))
+            path = f"{self.root}/{name}/d{number + 1}"
+            rows.coalesce(1).write.mode("overwrite").parquet(path)  # some rows: a command of a user
+            if not self.spark.read.parquet(path).groupBy("id").count().filter("count > 1 or id is null").isEmpty():
+                raise ValueError(f"{name}: values of id that are missing or not unique")
+        names = dict.fromkeys(tables, number + 1)
+        after = {k: v for k, v in changes.items() if k not in tables} | {k: [*changes.get(k, []), number + 1] if k not in tables else [number + 1] for k in states}
+        self._set_manifest(number + 1, versions | names | {"_schema": SCHEMA_VERSION, "_changes": after})
+        if full := [name for name, made in after.items() if len(made) > self.compact_after]:
+            self._commit(**{name: self.table(name) for name in full})
+        self._expire()
+
+    def _set_manifest(self, number: int, content: dict) -> None:
         draft, fs = self._path("_manifest", f"_{uuid.uuid4().hex}")
         out = fs.create(draft)
-        out.write(bytearray(json.dumps(versions | dict.fromkeys(tables, number + 1) | {"_schema": SCHEMA_VERSION}).encode()))
+        out.write(bytearray(json.dumps(content).encode()))
         out.close()
-        if not fs.rename(draft, self._path("_manifest", f"{number + 1}.json")[0]):
+        if not fs.rename(draft, self._path("_manifest", f"{number}.json")[0]):
             raise RuntimeError("another command has written at the same time")
-        self._expire()
 
     def _expire(self) -> None:
-        """Removes manifests before the last ones that are kept, and versions that none of those names; readers of a kept version are not disturbed."""
+        """Removes manifests before the last ones that are kept, and bases and changes that none of those names; readers of a kept version are not disturbed."""
         numbers = self._manifests()
-        kept = numbers[-self.keep_versions :]
-        named = {(k, v) for n in kept for k, v in self._read_manifest(n).items() if not k.startswith("_")}
+        named: set[str] = set()
+        for n in numbers[-self.keep_versions :]:
+            content = self._read_manifest(n)
+            named |= {f"{k}/v{v}" for k, v in content.items() if not k.startswith("_")} | {f"{k}/d{v}" for k, made in content.get("_changes", {}).items() for v in made}
         for name in SCHEMAS:
             path, fs = self._path(name)
             for status in fs.listStatus(path) if fs.exists(path) else []:
-                version = status.getPath().getName().removeprefix("v")
-                if version.isdigit() and int(version) <= numbers[-1] and (name, int(version)) not in named:
-                    delete(self.spark, f"{self.root}/{name}/v{version}")
+                folder = status.getPath().getName()
+                if folder[:1] in "vd" and folder[1:].isdigit() and int(folder[1:]) <= numbers[-1] and f"{name}/{folder}" not in named:
+                    delete(self.spark, f"{self.root}/{name}/{folder}")
         for n in numbers[: -self.keep_versions]:
             delete(self.spark, f"{self.root}/_manifest/{n}.json")
 
@@ -212,21 +259,33 @@ class Engine:
 
     @_command
     def split(self, article_id: str) -> str:
-        """The article gets a story of its own, named after it."""
-        art, cl = C.split_article(self.table("articles"), self.table("clusters"), article_id, f"split-{article_id}")
-        self._commit(articles=art, clusters=cl)
-        return f"split-{article_id}"
+        """The article gets a story of its own, named after it; only the stories that it leaves and makes are read and written."""
+        own = f"split-{article_id}"
+        art, cl = self.table("articles"), self.table("clusters")
+        before = written(art.filter(F.col("id") == article_id).select(F.col("cluster_id").alias("id")).unionByName(self.spark.createDataFrame([(own,)], "id string")).filter("id is not null"))
+        mine = art.join(before.select(F.col("id").alias("cluster_id")), "cluster_id", "left_semi").select(*art.columns).unionByName(art.filter((F.col("id") == article_id) & F.col("cluster_id").isNull()))
+        stories = cl.join(before, "id", "left_semi").select(*cl.columns)
+        moved, left = C.split_article(mine, stories, article_id, own)
+        self._change(articles=(mine, moved), clusters=(stories, left))
+        return own
 
     @_command
     def merge(self, merges: DataFrame) -> None:
         """merges: from_id, to_id."""
-        art, cl = C.merge_clusters(self.table("articles"), self.table("clusters"), Y.resolve_merges(merges))
-        self._commit(articles=art, clusters=cl)
+        resolved = written(Y.resolve_merges(merges))
+        gone = resolved.select(F.col("from_id").alias("cluster_id"))
+        art, cl = self.table("articles"), self.table("clusters")
+        mine = art.join(gone, "cluster_id", "left_semi").select(*art.columns)
+        stories = cl.join(gone.withColumnRenamed("cluster_id", "id"), "id", "left_semi").select(*cl.columns)
+        moved, left = C.merge_clusters(mine, stories, resolved)
+        self._change(articles=(mine, moved), clusters=(stories, left))
 
     @_command
     def cache_bodies(self, fetched: DataFrame) -> None:
         """fetched: id, body_text, image_url."""
-        self._commit(articles=C.cache_body(self.table("articles"), fetched))
+        art = self.table("articles")
+        mine = art.join(fetched.select("id"), "id", "left_semi").select(*art.columns)
+        self._change(articles=(mine, C.cache_body(mine, fetched)))
 
     def cluster_summary(self) -> DataFrame:
         """id, headline, summary: the stored summary, else the first headline and the first snippet that isn't empty."""
@@ -238,7 +297,10 @@ class Engine:
 
     @_command
     def cache_summaries(self, summaries: DataFrame) -> None:
-        self._commit(clusters=C.cache_summary(self.table("clusters"), summaries))
+        """summaries: id, ai_headline, ai_summary."""
+        cl = self.table("clusters")
+        mine = cl.join(summaries.select("id"), "id", "left_semi").select(*cl.columns)
+        self._change(clusters=(mine, C.cache_summary(mine, summaries)))
 
     def discover_publishers(self, sites: DataFrame, fetched: DataFrame) -> DataFrame:
         """sites: site (the id), url, name, is_global; fetched: url, body -> rows of custom_publishers for the sites that can be read, added to the table."""

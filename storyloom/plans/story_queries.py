@@ -10,7 +10,7 @@ from pyspark.sql import Window, functions as F
 from ..constants import BIAS_CATEGORIES, HTML_ENTITIES, INDEPENDENT, PUBLISHERS, SOURCE_SCORE, STOP_WORDS
 from ..functions import markup as M, texts as X
 from ..intermediate import numbered, written
-from ..operators import incremental as I, changes as C, greedy as G, similarity as Y, stories as R
+from ..operators import changes as C, greedy as G, incremental as I, similarity as Y, stories as R
 from ..sources.tables import DOCUMENT_ARTICLES_SQL as ART, document_articles, publishers, table
 from .registry import query
 

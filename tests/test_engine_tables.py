@@ -73,3 +73,23 @@ def test_keys_are_checked(spark, tmp_path):
     with pytest.raises(ValueError):
         e._commit(articles=e.table("articles").withColumn("original_url", F.lit("same")))
     assert e.table("articles").select("original_url").distinct().count() == 2
+
+
+def test_a_split_writes_one_row(spark, tmp_path):
+    """Changes hold what differs, readers see it, enough of them become a base, and nothing old stays."""
+    e = Engine(spark, str(tmp_path), keep_versions=1, compact_after=2)
+    e.refresh(raw(spark, [(k, "newsbook", f"Quite other Matter{k} Number{k} Place{k}") for k in range(5)] + [(k, "p", "Enemalta Tender Awarded Floriana") for k in (7, 8)]), "2024-01-04 00:00:00")
+    assert e.get_clusters().count() == 6
+    e.split("8")
+    change = spark.read.parquet(f"{tmp_path}/articles/d2")
+    assert [(r.id, r.cluster_id) for r in change.collect()] == [("8", "split-8")] and os.path.isdir(tmp_path / "articles" / "v1")
+    assert e.get_clusters().count() == 7 and e.table("articles").count() == 7
+    e.split("8")  # nothing changes
+    assert spark.read.parquet(f"{tmp_path}/articles/d3").count() == 0 and e.get_clusters().count() == 7
+    e.merge(spark.createDataFrame([("split-8", "7"), ("3", "7")], "from_id string, to_id string"))
+    folders = sorted(os.listdir(tmp_path / "articles"))
+    assert [f for f in folders if f[0] == "d"] == [] and len([f for f in folders if f[0] == "v"]) == 1
+    assert {r.id for r in e.table("articles").filter("cluster_id = '7'").collect()} == {"3", "7", "8"} and e.get_clusters().count() == 5
+    e.cache_summaries(spark.createDataFrame([("7", "head", "sum")], "id string, ai_headline string, ai_summary string"))
+    e.cache_bodies(spark.createDataFrame([("1", "body", "img"), ("none", "x", "y")], "id string, body_text string, image_url string"))
+    assert {r.id: r.summary for r in e.cluster_summary().collect()}["7"] == "sum" and e.table("articles").filter("body_text = 'body'").count() == 1
