@@ -84,6 +84,13 @@ def src_sitemap(spark, d):
     return S.sitemap_articles(sitemap_files(spark, d), _as_of()).select(*_OUT)
 
 
+@query("src_sitemap_custom", f"WITH {MAP} SELECT {_COLS}, 'en' AS language FROM map WHERE {MAP_KEEP} AND page_id % 5 <> 1")
+def src_sitemap_custom(spark, d):
+    """Sitemaps of added sources: entries whose date has no time are left out, and the language is fixed."""
+    files = sitemap_files(spark, d).withColumn("language", F.lit("en"))
+    return S.sitemap_articles(files, _as_of(), date_only=False).select(*_OUT, "language")
+
+
 @query("src_html", f"WITH {FRONT} SELECT {_COLS} FROM front WHERE {FRONT_KEEP}")
 def src_html(spark, d):
     return S.page_links(front_files(spark, d), _as_of()).select(*_OUT)
@@ -177,3 +184,16 @@ def s_publisher_name(spark, d):
 
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id")).alias("id"), F.regexp_extract("text", r"\p{L}+ \p{L}+", 0).alias("name"))
     return numbered(S.by_name(docs), "n", "by_name", "doc_id").select("n", "id", "name")
+
+
+def _marked(texts: list[str]) -> list[str | None]:
+    """Stands for a translation service: it has no answer for texts that begin with a capital E."""
+    return [None if t.startswith("E") else f"[en] {t}" for t in texts]
+
+
+@query("u_translate", "SELECT doc_id, CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' OR text IS NULL OR text LIKE 'E%' THEN text ELSE '[en] ' || text END AS text, lang FROM documents")
+def u_translate(spark, d):
+    """Whole documents through the translation hook in batches of 32; a text without an answer stays as it is."""
+    from ..operators.translation import translated
+
+    return translated(table(spark, d, "documents").select("doc_id", "text", "lang"), ["text"], _marked)
