@@ -153,7 +153,7 @@ class Engine:
             gone = before.select("id").join(after.select("id"), "id", "left_anti").select("id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields if f.name != "id"])
             rows = after.select(*SCHEMAS[name].names).exceptAll(before.select(*SCHEMAS[name].names)).withColumn("__gone", F.lit(False)).unionByName(gone.withColumn("__gone", F.lit(True)))
             path = f"{self.root}/{name}/d{number + 1}"
-            rows.coalesce(1).write.mode("overwrite").parquet(path)  # some rows: a command of a user
+            rows.write.mode("overwrite").parquet(path)  # few rows make few files: small partitions are joined at run time
             if not self.spark.read.parquet(path).groupBy("id").count().filter("count > 1 or id is null").isEmpty():
                 raise ValueError(f"{name}: values of id that are missing or not unique")
         names = dict.fromkeys(tables, number + 1)
