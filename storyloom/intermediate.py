@@ -46,12 +46,16 @@ def scope(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table that goes with the scope around it, else when the driver ends; lost executors lose none of it."""
+def written(df: DataFrame, outer: bool = False) -> DataFrame:
+    """The rows as a Parquet table that goes with the scope around it, else when the driver ends; lost executors lose none of it.
+
+    outer: with the scope around that one, as the result of a round whose other tables go.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    scopes = _SCOPES[:-1] if outer else _SCOPES[:]
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
 
     def remove() -> None:
@@ -60,7 +64,7 @@ def written(df: DataFrame) -> DataFrame:
         except Exception:  # the session has ended; a cluster's folder has its own clean-up
             pass
 
-    if not _SCOPES:
+    if not scopes:
         atexit.register(remove)
     return spark.read.schema(df.schema).parquet(path)
 
