@@ -26,7 +26,7 @@ from .constants import DEFAULT_BIAS, RETENTION_DAYS, STOP_WORDS
 from .functions.texts import cluster_text, effective_headline
 from .functions.urls import absolute_url, classify, domain, favicon, slug_words
 from .intermediate import delete, scope, written
-from .operators import changes as C, greedy as G, similarity as Y, stories as R
+from .operators import changes as C, greedy as G, greedy_parts as P, similarity as Y, stories as R
 from .operators.translation import Translator, translated
 from .sources.discover import bodies, discover
 from .sources.feeds import keep_first
@@ -41,6 +41,8 @@ ADDED = {
     "clusters": {"ai_headline": "", "ai_summary": ""},
     "custom_publishers": {"scrape_method": "rss", "scrape_config": ""},
 }
+#: Articles that one task assigns to stories; more are assigned in parts.
+DESK_ROWS = 20_000
 #: Each table's keys: no two rows share a value of one of them, and none is null.
 KEYS = {"articles": ["id", "original_url"], "clusters": ["id"], "custom_publishers": ["id", "rss_url"]}
 
@@ -66,13 +68,15 @@ def _command(f: Callable) -> Callable:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, stop_words: Sequence[str] = STOP_WORDS, keep_versions: int = 3, compact_after: int = 8):
+    def __init__(self, spark: SparkSession, root: str, stop_words: Sequence[str] = STOP_WORDS, keep_versions: int = 3, compact_after: int = 8, desk_rows: int = DESK_ROWS):
         """stop_words: the whole list of the desk (see ``read_words``); the similarity of articles depends on it.
 
+        desk_rows: with more articles than that in the retention period they are assigned to stories in parts, with the same result.
+
         ``stats`` has the numbers of the last refresh: articles_scraped, articles_new, clusters_created, failed_sources.
         """
         self.spark, self.root, self.stop_words, self.keep_versions = spark, root.rstrip("/"), list(stop_words), max(1, keep_versions)
-        self.compact_after = max(0, compact_after)
+        self.compact_after, self.desk_rows = max(0, compact_after), desk_rows
         self.stats: dict[str, int | list[str]] = {}
 
     def _path(self, *parts: str):
@@ -225,13 +229,19 @@ class Engine:
         if n_new:
             # One desk's retention period: stored stories and new articles in one order, so new ones also meet by each other.
             began = stored.filter("cluster_id is not null").unionByName(new.withColumn("cluster_id", F.lit(None).cast("string")).select(*stored.columns))
-            assigned = G.greedy_assign(began, self._text(), stop_words=self.stop_words)
+            assigned = self._assigned(began)
             assigned = written(assigned.observe(created, F.count_if(F.col("id") == F.col("cluster_id")).alias("n")))
             everything = self._merged(C.set_value(everything, assigned, "cluster_id"))
             self.stats["clusters_created"] = created.get["n"]
         self._store(everything, self.table("clusters"))
         return {"scraped": self.stats["articles_scraped"], "new": n_new}
 
+    def _assigned(self, began: DataFrame) -> DataFrame:
+        """id, cluster_id of the articles without a story: in one group where it is small, else in parts that cannot meet."""
+        began = written(began)
+        assign = G.greedy_assign if began.count() <= self.desk_rows else P.assign_in_parts
+        return assign(began, self._text(), stop_words=self.stop_words)
+
     def _merged(self, articles: DataFrame) -> DataFrame:
         """The second pass: articles of stories that are alike enough move to the larger one, chains to their end."""
         articles = written(articles)
@@ -255,7 +265,7 @@ class Engine:
         art = self.table("articles")
         fresh, none = C.wipe_clusters(art, self.table("clusters"))
         began = art.withColumn("cluster_id", F.lit(None).cast("string"))
-        self._store(self._merged(C.set_value(fresh, G.greedy_assign(began, self._text(), stop_words=self.stop_words), "cluster_id")), none)
+        self._store(self._merged(C.set_value(fresh, self._assigned(began), "cluster_id")), none)
 
     @_command
     def split(self, article_id: str) -> str:

@@ -60,6 +60,22 @@ def test_sources_bodies_and_translation(spark, tmp_path):
     assert (told.headline, told.summary) == ("A HEADLINE OF ONE STORY", "SNIPPET")
 
 
+def test_in_parts(spark, tmp_path):
+    """Two refreshes and a new assignment of all: the stories are the same whether a period is one group or goes in parts."""
+    names = ("Enemalta tender awarded", "Floriana garden opened", "Harbour bridge closed")
+    raw = [(f"a{k:02d}", f"p{k % 4}", f"https://a.b/{k}", f"{names[k % 3]} {'again ' * (k % 2)}Topic{k % 5} day{k}", "", "", "", "", "en", f"2024-01-0{1 + k % 3}T{k % 24:02d}:00:00+00:00", "", k) for k in range(30)]
+    seen = []
+    for rows in (1000, 0):
+        e = Engine(spark, str(tmp_path / str(rows)), desk_rows=rows)
+        stories = lambda: sorted((r.id, r.cluster_id) for r in e.table("articles").collect())  # noqa: E731, B023
+        e.refresh(spark.createDataFrame(raw[:20], RAW), "2024-01-04 00:00:00")
+        e.refresh(spark.createDataFrame(raw[20:], RAW), "2024-01-04 00:00:00")
+        kept = stories()
+        e.recluster()
+        seen.append((kept, stories(), e.stats))
+    assert seen[0] == seen[1] and 1 < len({c for _, c in seen[0][0]}) < 30
+
+
 def test_translator_that_fails():
     calls = []
 
