@@ -3,8 +3,9 @@
 A bucket holds the rows of one key.  Two rows of it are near if their sizes and the Hamming distance of their sketches allow
 a link.  Instead of all near pairs, a round takes for each row its nearest near rows of other groups, verifies those pairs and
 contracts the linked ones to groups.  If a row has more near rows of other groups than that, the rows of its key that have a near
-row go into the next round, which takes ``GROWTH`` times as many, without the pairs that were tested.  The rounds end when no near pair
-across groups is untested, so none is left out, but copies of one text need few pairs each.
+row go into the next round, which takes ``GROWTH`` times as many.  The rounds end when no row has more near rows of other groups
+than it was paired with, so no near pair is left out, but copies of one text need few pairs each.  A round tests pairs of the round before
+again where they did not link, at most one in ``GROWTH`` of its own; no lists of tested pairs go with the rows.
 
 First round: rows are dealt out by ranges of key and size and a task holds ``MEMBERS`` rows of a key at once, so a key that a third
 of the rows share goes to many tasks; keys that two ranges share are dealt out once more, and those of more go into the next round.
@@ -43,10 +44,6 @@ _SCHEMA = "a long, b long, cut long, cut_id long, edge long"
 Limit = tuple[Callable[[np.ndarray], np.ndarray], Callable[[np.ndarray, np.ndarray], np.ndarray]]
 
 
-def _pair_codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix64(mix64(np.minimum(a, b).view(U64)) + np.maximum(a, b).view(U64))
-
-
 class Sketches:
     """Rows of 64-bit words; if widths differ they are powers of two, and a sketch folds to half its width by XOR of its halves."""
 
@@ -76,10 +73,10 @@ class Sketches:
         return out
 
 
-def nearest_pairs(bucket, ids, size, component, sketches: Sketches, tested: np.ndarray, limit: Limit, keep: int):
+def nearest_pairs(bucket, ids, size, component, sketches: Sketches, limit: Limit, keep: int):
     """Rows sorted by (bucket, size): (rows, their nearest rows), and a mask of the rows that another round needs.
 
-    tested: sorted codes of pairs to leave out.  A pair counts for its row of the smaller group, or else the later row.
+    A pair counts for its row of the smaller group, or else the later row.
     """
     smallest, most = limit
     n = len(bucket)
@@ -107,10 +104,6 @@ def nearest_pairs(bucket, ids, size, component, sketches: Sketches, tested: np.n
         same = ids[i] == ids[j]
         if same.any():
             i, j, d = i[~same], j[~same], d[~same]
-        if len(tested) and len(i):
-            code = _pair_codes(ids[i], ids[j])
-            new = tested[np.minimum(np.searchsorted(tested, code), len(tested) - 1)] != code
-            i, j, d = i[new], j[new], d[new]
         if len(i) == 0:
             continue
         touched[i] = touched[j] = True
@@ -127,7 +120,7 @@ def nearest_pairs(bucket, ids, size, component, sketches: Sketches, tested: np.n
 
 
 def _near_rows(batches: Iterator[pa.RecordBatch], limit: Limit, keep: int, members: int, ranges: bool) -> Iterator[pa.RecordBatch]:
-    """key (bucket and size), id, size, sketch (and component, tested, whole, where they aren't id, nothing and the bucket) -> pairs
+    """key (bucket and size), id, size, sketch (and component, whole, where they aren't id and the bucket) -> pairs
     (a, b), (cut, cut_id): rows that another round needs, all rows of ``cut`` where cut_id is null, and edge: the first and last bucket of a range.
 
     Rows come sorted by key.  ranges: the first and last bucket may go on in another range.
@@ -150,12 +143,7 @@ def _near_rows(batches: Iterator[pa.RecordBatch], limit: Limit, keep: int, membe
         whole = of("whole") if "whole" in table.column_names else bucket
         comp = of("component") if "component" in table.column_names else ids
         widths, values = np.diff(sketch.offsets.to_numpy()).astype(np.int64), sketch.flatten().to_numpy(zero_copy_only=False).view(U64)
-        codes = np.zeros(0, U64)
-        if "tested" in table.column_names:
-            past = col("tested")
-            lengths = past.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            codes = np.unique(_pair_codes(np.repeat(ids, lengths), past.flatten().to_numpy(zero_copy_only=False).astype(np.int64)))
-        own, other, more = nearest_pairs(bucket, ids, size, comp, Sketches(values, widths), codes, limit, keep)
+        own, other, more = nearest_pairs(bucket, ids, size, comp, Sketches(values, widths), limit, keep)
         return out(ids[own], ids[other], whole[more], ids[more])
 
     def ready(final: bool) -> Iterator[pa.RecordBatch]:
@@ -209,7 +197,7 @@ def _near_rows(batches: Iterator[pa.RecordBatch], limit: Limit, keep: int, membe
 
 
 def _celled(rows: DataFrame, members: int) -> DataFrame:
-    """key, id, size, sketch, component, tested -> the same with ``whole`` (the key) and the cell's key in ``key``."""
+    """key, id, size, sketch, component -> the same with ``whole`` (the key) and the cell's key in ``key``."""
     groups = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     sizes = groups.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"))
     sizes = sizes.select(F.col("key").alias("whole"), F.col("top.component").alias("top"), F.ceil(F.col("n") / members).alias("cells"), F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("top.n")) / members)).alias("blocks"))
@@ -220,7 +208,7 @@ def _celled(rows: DataFrame, members: int) -> DataFrame:
     everywhere = F.when(F.col("component") == F.col("top"), home).otherwise(F.array_distinct(F.concat(home, abroad)))
     cell = F.when(F.col("cells") == 1, F.array(F.struct(F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("t")))).otherwise(everywhere)
     out = both.withColumn("cell", F.explode(cell))
-    return out.select(F.when(F.col("cells") == 1, F.col("key")).otherwise(F.xxhash64("key", "cell.c", "cell.t")).alias("key"), "id", "size", "sketch", "component", "tested", "whole")
+    return out.select(F.when(F.col("cells") == 1, F.col("key")).otherwise(F.xxhash64("key", "cell.c", "cell.t")).alias("key"), "id", "size", "sketch", "component", "whole")
 
 
 def link_buckets(passes: list[Callable[[DataFrame | None], DataFrame]], limit: Limit, verify: Callable[[DataFrame], DataFrame], store: Store, members: int | None = None, nearest: int = NEAREST, labels: DataFrame | None = None) -> DataFrame:
@@ -267,7 +255,6 @@ def link_buckets(passes: list[Callable[[DataFrame | None], DataFrame]], limit: L
         return [inside, *across, *([store.spark.createDataFrame(more, _SCHEMA)] if more else [])]
 
     found = [x for k in range(len(passes)) for x in first(k)]
-    refuted = None
     for round_no in range(40):
         pairs = store.write(union(found).filter("a is not null").select("a", "b").distinct(), f"pairs{round_no}")
         links = store.write(verify(pairs), f"verified{round_no}")
@@ -279,8 +266,6 @@ def link_buckets(passes: list[Callable[[DataFrame | None], DataFrame]], limit: L
         wanted = store.write(wanted.filter("whole or lo <> hi").select("key", "whole"), f"wanted{round_no}")
         if wanted.isEmpty():
             return labels
-        left = pairs.join(links, ["a", "b"], "left_anti")
-        refuted, old = store.write(left if refuted is None else refuted.unionByName(left), f"refuted{round_no}"), refuted
         some = store.write(cut.join(wanted.filter("not whole"), "key", "left_semi"), f"some{round_no}")
         ids = store.write(some.select("id").distinct(), f"ids{round_no}")
         parts = [rows(ids).join(some, ["key", "id"], "left_semi") for rows in rows_of]
@@ -288,12 +273,9 @@ def link_buckets(passes: list[Callable[[DataFrame | None], DataFrame]], limit: L
         if not whole.isEmpty():
             parts += [rows(None).join(whole, "key", "left_semi") for rows in rows_of]
         rows = union(parts)
-        # A pair is looked up from either side, so the list of its larger id is enough; lists hold what rounds have tested.
-        past = refuted.groupBy(F.greatest("a", "b").alias("id")).agg(F.collect_list(F.least("a", "b")).alias("tested"))
-        rows = grouped(rows).join(past, "id", "left").withColumn("tested", F.coalesce("tested", F.expr("cast(array() as array<long>)")))
-        rows = store.write(rows.select(*columns, "component", "tested"), f"rows{round_no}")
+        rows = store.write(grouped(rows).select(*columns, "component"), f"rows{round_no}")
         nearest = min(GROWTH * nearest, 4 * members)
         more = near(_celled(rows, members), nearest, False, f"more{round_no}")
-        store.free(*found, rows, wanted, *[x for x in (before, old, pairs, links) if x is not None])
+        store.free(*found, rows, wanted, *[x for x in (before, pairs, links) if x is not None])
         found = [more]
     raise RuntimeError("buckets did not settle")
