@@ -9,12 +9,14 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 from functools import partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 Translator = Callable[[list[str]], Sequence[str | None]]
 #: Texts in one call, attempts for a batch and seconds before the second one; each further wait is twice as long.
 BATCH, ATTEMPTS, WAIT = 32, 3, 0.5
+#: Bytes that a worker gets at once.
+MOST_BYTES = 4 << 20
 
 
 def in_batches(texts: list[str | None], translator: Translator, batch: int = BATCH, attempts: int = ATTEMPTS, wait: float = WAIT) -> list[str | None]:
@@ -38,13 +40,22 @@ def in_batches(texts: list[str | None], translator: Translator, batch: int = BAT
     return out
 
 
-def _translate(batches: Iterator[pd.DataFrame], columns: list[str], translator: Translator, options: dict) -> Iterator[pd.DataFrame]:
-    for frame in batches:
-        for c in columns:
-            frame[c] = in_batches([None if pd.isna(x) else x for x in frame[c]], translator, **options)
-        yield frame
+def _translate(batches: Iterator[pa.RecordBatch], columns: list[str], translator: Translator, options: dict) -> Iterator[pa.RecordBatch]:
+    # The rows of one call at a time: a worker holds no more texts than these beside the batch as it came.
+    step = options.get("batch", BATCH)
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            for c in columns:
+                k = part.schema.get_field_index(c)
+                part = part.set_column(k, part.schema.field(k), pa.array(in_batches(part.column(k).to_pylist(), translator, **options), part.schema.field(k).type))
+            yield part
 
 
 def translated(rows: DataFrame, columns: list[str], translator: Translator, **options) -> DataFrame:
-    """The rows with the text columns translated."""
-    return rows.mapInPandas(partial(_translate, columns=columns, translator=translator, options=options), rows.schema)
+    """The rows with the text columns translated; workers get bounded batches whatever the length of the texts."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key).rstrip("b")) > MOST_BYTES:
+        conf.set(key, str(MOST_BYTES))
+    return rows.mapInArrow(partial(_translate, columns=columns, translator=translator, options=options), rows.schema)
+
