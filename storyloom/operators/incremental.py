@@ -47,6 +47,7 @@ class Counts:
 
     def add(self, changes: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> "Counts":
         """The counts after ``changes`` (see ``signed``)."""
+        changes = written(changes)  # read for words and for sizes
         moved = written(word_changes(changes, stop_words))
         touched = self.story_words.join(moved.select("cluster_id", "word"), ["cluster_id", "word"], "left_semi").withColumnRenamed("n", "had")
         pairs = written(moved.join(touched, ["cluster_id", "word"], "left").withColumn("had", F.coalesce("had", F.lit(0))).withColumn("has", F.col("had") + F.col("n")))
@@ -76,6 +77,8 @@ def _added(table: DataFrame, more: DataFrame, key: str, value: str) -> DataFrame
 
 
 def counted(articles: DataFrame, text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Counts:
-    """The counts of a whole table of articles."""
-    rows = articles.select("id", "cluster_id", text.alias("text"))
-    return Counts.none(articles).add(signed(rows.limit(0), rows), stop_words)
+    """The counts of a whole table of articles, written: its texts are read once, by the words' shuffle only."""
+    rows = articles.filter("cluster_id is not null").select("cluster_id", F.coalesce(text, F.lit("")).alias("text"), F.lit(1).alias("sign"))
+    story_words = written(word_changes(rows, stop_words))
+    words = written(story_words.groupBy("word").agg(F.count("*").alias("df")))
+    return Counts(story_words, words, written(rows.groupBy("cluster_id").agg(F.count("*").alias("size"))))
