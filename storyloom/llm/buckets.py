@@ -7,8 +7,8 @@ row go into the next round, which takes ``GROWTH`` times as many.  The rounds en
 than it was paired with, so no near pair is left out, but copies of one text need few pairs each.  A round tests pairs of the round before
 again where they did not link, at most one in ``GROWTH`` of its own; no lists of tested pairs go with the rows.
 
-First round: rows are dealt out by ranges of key and size and a task holds ``MEMBERS`` rows of a key at once, so a key that a third
-of the rows share goes to many tasks; keys that two ranges share are dealt out once more, and those of more go into the next round.
+First round: rows are dealt out by key and a task holds ``MEMBERS`` rows of a key at once.  Keys that would fill half of a task or more, as a sample of the
+ids tells, are cut into pieces that go to different tasks, and into the next round; so a key that a third of the rows share goes to many tasks.
 Later rounds: large keys are cut into cells; rows outside a large key's largest group are sent to each of its cells, in blocks, the others to their own cell only.
 """
 
@@ -35,10 +35,14 @@ GROWTH = 16
 TABLE = 1 << 21
 #: Bytes of rows that a task gathers before it compares them.
 HELD = 4 << 20
+#: One id in so many tells how rows are dealt out.
+SAMPLED = 8
+#: Rows of a key that always go to one task.
+FEW = 256
 #: Bits of a row's sort key that hold its size; the others hold its bucket.
 SIZE_BITS = 24
 _FAR = np.iinfo(np.int32).max
-_SCHEMA = "a long, b long, cut long, cut_id long, edge long"
+_SCHEMA = "a long, b long, cut long, cut_id long"
 
 #: smallest(sizes) -> the least size of a partner that is not larger; most(sizes, sizes that are not smaller) -> largest distance.
 Limit = tuple[Callable[[np.ndarray], np.ndarray], Callable[[np.ndarray, np.ndarray], np.ndarray]]
@@ -119,22 +123,20 @@ def nearest_pairs(bucket, ids, size, component, sketches: Sketches, limit: Limit
     return row, best[row, place], touched & np.isin(bucket, over) if len(over) else np.zeros(n, bool)
 
 
-def _near_rows(batches: Iterator[pa.RecordBatch], limit: Limit, keep: int, members: int, ranges: bool) -> Iterator[pa.RecordBatch]:
+def _near_rows(batches: Iterator[pa.RecordBatch], limit: Limit, keep: int, members: int) -> Iterator[pa.RecordBatch]:
     """key (bucket and size), id, size, sketch (and component, whole, where they aren't id and the bucket) -> pairs
-    (a, b), (cut, cut_id): rows that another round needs, all rows of ``cut`` where cut_id is null, and edge: the first and last bucket of a range.
+    (a, b) and (cut, cut_id): rows that another round needs, all rows of ``cut`` where cut_id is null.
 
-    Rows come sorted by key.  ranges: the first and last bucket may go on in another range.
+    Rows come sorted by key.
     """
     held: list[pa.RecordBatch] = []
-    edges: list[int] = []
-
     none = np.zeros(0, np.int64)
 
-    def out(a=none, b=none, cut=none, cut_id=None, edge=none) -> pa.RecordBatch:
+    def out(a=none, b=none, cut=none, cut_id=None) -> pa.RecordBatch:
         no = lambda x: pa.nulls(len(x), pa.int64())
         named = no(cut) if cut_id is None else pa.array(cut_id)
-        columns = [[pa.array(np.minimum(a, b)), no(cut), no(edge)], [pa.array(np.maximum(a, b)), no(cut), no(edge)], [no(a), pa.array(cut), no(edge)], [no(a), named, no(edge)], [no(a), no(cut), pa.array(edge)]]
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["a", "b", "cut", "cut_id", "edge"])
+        columns = [[pa.array(np.minimum(a, b)), no(cut)], [pa.array(np.maximum(a, b)), no(cut)], [no(a), pa.array(cut)], [no(a), named]]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["a", "b", "cut", "cut_id"])
 
     def compared(table: pa.Table, bucket: np.ndarray) -> pa.RecordBatch:
         col = lambda c: pa.concat_arrays(table.column(c).chunks)
@@ -182,8 +184,6 @@ def _near_rows(batches: Iterator[pa.RecordBatch], limit: Limit, keep: int, membe
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        last = batch.column(0)[batch.num_rows - 1].as_py() >> SIZE_BITS
-        edges = [edges[0] if edges else batch.column(0)[0].as_py() >> SIZE_BITS, last]
         held.append(batch)
         waiting += batch.nbytes
         if waiting >= HELD:  # many rows at once: the steps within are few calls each
@@ -191,8 +191,6 @@ def _near_rows(batches: Iterator[pa.RecordBatch], limit: Limit, keep: int, membe
             waiting = sum(b.nbytes for b in held) // 2
     if held:
         yield from ready(True)
-    if ranges and edges:
-        yield out(edge=np.unique(np.array(edges, np.int64)))
     release_memory()
 
 
@@ -224,11 +222,14 @@ def link_buckets(passes: list[Callable[[DataFrame | None], DataFrame]], limit: L
     packed = F.shiftleft("key", SIZE_BITS).bitwiseOR(F.least("size", F.lit((1 << SIZE_BITS) - 1)).cast("long"))
     rows_of = [lambda ids, rows=rows: rows(ids).withColumn("key", F.shiftright("key", SIZE_BITS)) for rows in passes]
 
-    def near(rows: DataFrame, keep: int, ranges: bool | None, name: str) -> DataFrame:
-        """ranges: rows are dealt out by ranges; False: by cells, which are small already; None: by keys, of which large ones are cut."""
-        rows, at_once = rows.withColumn("key", packed), 1 << 40 if ranges is False else members
-        dealt = rows.repartitionByRange(n, "key") if ranges else rows.repartition(F.shiftright("key", SIZE_BITS))
-        out = store.write(dealt.sortWithinPartitions("key").mapInArrow(partial(_near_rows, limit=limit, keep=keep, members=at_once, ranges=ranges), _SCHEMA), name)
+    def near(rows: DataFrame, keep: int, name: str, pieces: dict[int, int] | None = None) -> DataFrame:
+        """pieces: into how many pieces rows of a key are dealt; None: by cells, which are small already."""
+        bucket, at_once = F.col("key"), 1 << 40 if pieces is None else members
+        deal = bucket if not pieces else F.when(bucket.isin(list(pieces)), F.xxhash64(bucket, F.pmod(F.xxhash64("id"), F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in pieces.items() for x in kv]), bucket)))).otherwise(bucket)
+        # Without a number where rows are few and partitions can be joined.
+        dealt = rows.repartition(deal) if pieces is None else rows.repartition(n, deal)
+        dealt = dealt.withColumn("key", packed)
+        out = store.write(dealt.sortWithinPartitions("key").mapInArrow(partial(_near_rows, limit=limit, keep=keep, members=at_once), _SCHEMA), name)
         store.settle()
         return out
 
@@ -243,18 +244,25 @@ def link_buckets(passes: list[Callable[[DataFrame | None], DataFrame]], limit: L
 
     columns = ["key", "id", "size", "sketch"]
 
-    def first(k: int) -> list[DataFrame]:
-        """The pairs of one pass: those within ranges, and those of the few keys that ranges cut."""
+    def large() -> list[dict[int, int]]:
+        """Of each pass the keys that would fill half of a task or more, and their pieces: a few for each task at most."""
+        some = [rows(None).filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select(F.lit(k).alias("k"), "key") for k, rows in enumerate(rows_of)]
+        counts = store.write(union(some).groupBy("k", "key").count(), "sample")
+        totals = counts.groupBy("k").agg(F.greatest(F.sum("count") / (2 * n), F.lit(FEW / SAMPLED)).alias("half"))
+        out: list[dict[int, int]] = [{} for _ in passes]
+        for r in counts.join(F.broadcast(totals), "k").filter("count > half").select("k", "key", F.ceil(F.col("count") / F.col("half")).alias("pieces")).collect():
+            out[r["k"]][r["key"]] = r["pieces"]
+        store.free(counts)
+        return out
+
+    def first(k: int, pieces: dict[int, int]) -> list[DataFrame]:
+        """The pairs of one pass; keys that are dealt out in pieces go into the next round, where they are cut into cells."""
         df = rows_of[k](None)
         rows = df.select(*columns) if labels is None else grouped(df).select(*columns, "component")
-        inside = near(rows, nearest, True, f"near{k}")
-        cut = inside.filter("edge is not null").groupBy("edge").count().filter("count > 1").collect()  # one for each range at most
-        # A key of more than two ranges fills a range or more: it goes into the next round, where it is cut into cells.
-        two, more = [r["edge"] for r in cut if r["count"] == 2], [(None, None, r["edge"], None, None) for r in cut if r["count"] > 2]
-        across = [near(rows.filter(F.col("key").isin(two)), nearest, None, f"across{k}")] if two else []
-        return [inside, *across, *([store.spark.createDataFrame(more, _SCHEMA)] if more else [])]
-
-    found = [x for k in range(len(passes)) for x in first(k)]
+        inside = near(rows, nearest, f"near{k}", pieces)
+        return [inside, *([store.spark.createDataFrame([(None, None, key, None) for key in pieces], _SCHEMA)] if pieces else [])]
+
+    found = [x for k, pieces in enumerate(large()) for x in first(k, pieces)]
     for round_no in range(40):
         pairs = store.write(union(found).filter("a is not null").select("a", "b").distinct(), f"pairs{round_no}")
         links = store.write(verify(pairs), f"verified{round_no}")
@@ -275,7 +283,7 @@ def link_buckets(passes: list[Callable[[DataFrame | None], DataFrame]], limit: L
         rows = union(parts)
         rows = store.write(grouped(rows).select(*columns, "component"), f"rows{round_no}")
         nearest = min(GROWTH * nearest, 4 * members)
-        more = near(_celled(rows, members), nearest, False, f"more{round_no}")
+        more = near(_celled(rows, members), nearest, f"more{round_no}")
         store.free(*found, rows, wanted, *[x for x in (before, pairs, links) if x is not None])
         found = [more]
     raise RuntimeError("buckets did not settle")

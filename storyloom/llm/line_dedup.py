@@ -46,6 +46,10 @@ SHORT_WORD, VOTES = 3, (5, 2)
 SEGMENT = 51
 #: Characters of a line beyond which edits are counted over words.
 LONG = 10_000
+#: Pairs of like lengths that are worth comparing together, cells of their tables at a time, and characters of the lines.
+FEW_PAIRS, CELLS, SHORT_LINE = 32, 1 << 17, 4096
+#: Characters of pairs that a task gathers before it compares them.
+HELD = 4 << 20
 #: Blocks that are shuffled together.
 BLOCKS_AT_ONCE = 4
 #: Ids that may be sent to every executor (16 bytes each).
@@ -163,8 +167,8 @@ def _line_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     release_memory()
 
 
-def edits(a: str, b: str) -> int:
-    """Levenshtein distance, by bit vectors in one integer of a bit for each character."""
+def edits(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance, by bit vectors in one integer of a bit for each character; any larger number than ``most`` where it is more than that."""
     low = 0
     for x, y in zip(a, b):
         if x != y:
@@ -185,7 +189,10 @@ def edits(a: str, b: str) -> int:
         places[c] = places.get(c, 0) | 1 << k
     full, top, score = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
     up, down = full, 0  # where the distance rises or falls by one from a character of a to the next
+    # Each character of b lowers the distance by one at most.
+    spare = len(a) + len(b) if most is None else most + len(b)
     for c in b:
+        spare -= 1
         equal = places.get(c, 0)
         steps = (((equal & up) + up) ^ up) | equal | down
         rise, fall = down | (full & ~(steps | up)), up & steps
@@ -193,6 +200,8 @@ def edits(a: str, b: str) -> int:
             score += 1
         elif fall & top:
             score -= 1
+        if score > spare:
+            return score - spare + most
         rise = rise << 1 | 1
         up, down = (fall << 1 | ~(equal | down | rise)) & full, rise & (equal | down) & full
     return score
@@ -219,17 +228,104 @@ def edit_bound(a: list[str], b: list[str]) -> int:
     return cost + sum(map(len, a[i:])) + m - i + sum(map(len, b[j:])) + n - j
 
 
+def within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """Which pairs have a Levenshtein distance of at most ``most``; a text of a is no longer than that of b, and all lengths are alike.
+
+    All pairs go through their tables together, one diagonal i + j = s after another, near the line on which a path of ``most`` edits stays.
+    A cell holds its distance less s: a step to the side keeps it, one along both texts takes 1 from it, or 2 where the characters are equal.
+    """
+    m, n = np.array([*map(len, a)]), np.array([*map(len, b)])
+    d = n - m
+    high, low = (int(x.max() + 1) // 2 * 2 for x in ((most + d) // 2, (most - d) // 2))  # j - i is from -low to high
+    end = m + n
+    x, y = (np.array(texts, np.str_).view(np.uint32).reshape(len(texts), -1).T for texts in (a, b))
+    kind = np.uint16 if max(x.max(), y.max()) < 1 << 16 else np.uint32
+    top, left, right = int(end.max()) // 2 + low // 2 + 3, low // 2 + 1, int(end.max()) // 2 + high // 2 + 3
+    # Character i of a in row top - i, character j of b in row left + j; fillers differ.
+    rows, columns = np.zeros((top + high // 2 + 2, len(a)), kind), np.ones((left + right, len(a)), kind)
+    rows[top - len(x) : top] = x[::-1]
+    columns[left + 1 : left + 1 + len(y)] = np.where(y == 0, 1, y)
+    cells = [np.zeros(((high + low) // 2 + 1 - p, len(a)), np.int16) for p in (0, 1)]  # of even and of odd s
+    off = [np.arange(-low + p, high + 1 - p, 2)[:, None] for p in (0, 1)]
+    at, found = np.arange(len(a)), np.zeros(len(a), bool)
+    for s in range(1, int(end.max()) + 1):
+        p = s & 1
+        own, other = cells[p], cells[1 - p]
+        i, j = (s + low - p) // 2, (s - low + p) // 2
+        own -= 1
+        np.subtract(own, rows[top - i : top - i + len(own)] == columns[left + j : left + j + len(own)], out=own)
+        for mine, beside in ((own, other[:-1]), (own, other[1:])) if p else ((own[1:], other), (own[:-1], other)):
+            np.minimum(mine, beside, out=mine)
+        if s <= high:
+            own[(s + low - p) // 2 :] = 0  # before the first character of a
+        if s <= low:
+            own[: (low - s - p) // 2 + 1] = 0  # before that of b
+        done = np.flatnonzero(end == s)
+        found[at[done]] = own[(d[done] + low - p) // 2, done] + s <= most[done]
+        if s % 64 == 0:  # pairs that can't end near enough go
+            least = np.minimum(*[(cells[k] + np.abs(off[k] - d)).min(0) + s - (k != p) for k in (0, 1)])
+            stay = np.flatnonzero((least <= most) & (end > s))
+            if len(stay) == 0:
+                break
+            if len(stay) < 0.8 * len(at):
+                at, d, end, most = at[stay], d[stay], end[stay], most[stay]
+                rows, columns, *cells = (np.ascontiguousarray(t[:, stay]) for t in (rows, columns, *cells))
+    return found
+
+
+def near_texts(a: list[str], b: list[str], similarity: float) -> np.ndarray:
+    """Which pairs of texts are similar: many pairs of like lengths together, first those with half of the edits allowed; the others one by one."""
+    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b)]
+    m, n = np.array([len(x) for x, _ in pairs], np.int64), np.array([len(y) for _, y in pairs], np.int64)
+    most = ((1 - similarity + 1e-9) * n).astype(np.int64)
+    found = (n == 0) & (m == 0)
+    for share in (2, 1):
+        left = np.flatnonzero(~found & (m > 0) & (n - m <= most // share))
+        left, at = left[np.argsort(n[left], kind="stable")], 0
+        while at < len(left):
+            size = n[left[at]]
+            end = min(int(np.searchsorted(n[left], size + size // 4 + 4, side="right")), at + max(FEW_PAIRS, CELLS // int(size // 4 + 4)))
+            some = left[at:end]
+            x, y = ([pairs[k][side] for k in some] for side in (0, 1))
+            if len(some) >= FEW_PAIRS and size <= SHORT_LINE:
+                found[some] = within(x, y, most[some] // share)
+            elif share == 1:
+                found[some] = [edits(u, v, k) <= k for u, v, k in zip(x, y, most[some].tolist())]
+            at = end
+    return found
+
+
 def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """a, b, two normal forms, two strings of a character for each word -> the pairs that are similar."""
+    held: list[tuple[int, int, str, str]] = []
+    waiting = 0
+
+    def rows(pairs: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def compared() -> pa.RecordBatch:
+        keep = near_texts([r[2] for r in held], [r[3] for r in held], similarity)
+        return rows([held[k] for k in np.flatnonzero(keep)])
+
     for batch in batches:
-        texts = [c.to_pylist() for c in batch.columns[2:]]
-        keep = np.zeros(batch.num_rows, bool)
-        for k, (x, y, wx, wy) in enumerate(zip(*texts)):
+        near = []
+        for a, b, x, y, wx, wy in zip(*[c.to_pylist() for c in batch.columns]):
             if x is None or y is None:
                 x, y = wx, wy
             most = int((1 - similarity + 1e-9) * max(len(x), len(y)))
-            keep[k] = abs(len(x) - len(y)) <= most and (edit_bound(x.split(" "), y.split(" ")) <= most or edits(x, y) <= most)
-        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
+            if abs(len(x) - len(y)) > most:
+                continue
+            if edit_bound(x.split(" "), y.split(" ")) <= most:
+                near.append((a, b))
+            else:  # the few that need the exact distance wait for others of their length
+                held.append((a, b, x, y))
+                waiting += len(x) + len(y)
+        yield rows(near)
+        if waiting >= HELD:
+            yield compared()
+            held, waiting = [], 0
+    if held:
+        yield compared()
     release_memory()
 
 
@@ -239,12 +335,12 @@ def smallest_partner(sizes: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def similar_lines(pairs: DataFrame, lines: DataFrame, texts: DataFrame, similarity: float, store: Store) -> DataFrame:
-    """The pairs (a, b) whose normal forms are similar; only those lines' texts are read."""
+    """The pairs (a, b) whose normal forms are similar; only those lines' texts are read.  texts: one row for each doc_id and th."""
     ids = store.write(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     asked = lines.select("id", "at", "size").join(ids, "id", "left_semi").groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct("at.line", "id", "size")).alias("asked"))
     asked = store.write(asked, "asked")
     held = asked.select("doc_id", "th")
-    rows = texts.join(F.broadcast(held) if held.count() <= BROADCAST_IDS else held, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
+    rows = texts.join(F.broadcast(held) if held.count() <= BROADCAST_IDS else held, ["doc_id", "th"], "left_semi")
     norms = store.write(rows.join(asked, ["doc_id", "th"]).select("text", "asked").mapInArrow(_line_strings, "id long, norm string, words string"), "norms")
     store.settle()
     text = lambda s: norms.select(F.col("id").alias(s), F.col("norm").alias(f"{s}_norm"), F.col("words").alias(f"{s}_words"))
@@ -291,8 +387,11 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
 
     passes = [partial(rows_of, some=keys[k : k + BLOCKS_AT_ONCE]) for k in range(0, blocks, BLOCKS_AT_ONCE)]
     distance = int(DISTANCE * 64 * words64)
+    # Texts are sorted out by their hashes only where some row is there twice.
+    single = texts.groupBy("doc_id", "th").count().filter("count > 1").isEmpty()
+    once = texts if single else texts.dropDuplicates(["doc_id", "th"])
     limit = (partial(smallest_partner, similarity=similarity), lambda low, high: distance)
-    labels = link_buckets(passes, limit, lambda pairs: similar_lines(pairs, lines, texts, similarity, store), store)
+    labels = link_buckets(passes, limit, lambda pairs: similar_lines(pairs, lines, once, similarity, store), store)
     kept = lines.select("id", "at").join(labels, "id", "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("at").alias("at"))
     kept = store.write(kept.groupBy("at.doc_id", "at.th").agg(F.collect_list("at.line").alias("kept")), "kept")
     store.keep_only(kept)
