@@ -21,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import parts
 from .links import components, extended, partitions_for
-from .shared_store import Store, release_memory
-from .wordhash import U64, mix64
+from .shared_store import Store, keep_heap, release_memory
+from .wordhash import U64, list_array, mix64
 
 #: Rows of a key that one task compares with each other.
 MEMBERS = 8192
@@ -36,17 +37,22 @@ TABLE = 1 << 21
 #: Bytes of rows that a task gathers before it compares them.
 HELD = 4 << 20
 #: One id in so many tells how rows are dealt out.
-SAMPLED = 8
+SAMPLED = 64
 #: Rows of a key that always go to one task.
 FEW = 256
 #: Bits of a row's sort key that hold its size; the others hold its bucket.
 SIZE_BITS = 24
+#: Columns of a packed table: id, size, sketch.
+_TABLE = [np.int64, np.int64, U64]
 _FAR = np.iinfo(np.int32).max
 _SCHEMA = "a long, b long, cut long, cut_id long"
 
 #: smallest(sizes) -> the least size of a partner that is not larger; most(sizes, sizes that are not smaller) -> largest distance.
 Limit = tuple[Callable[[np.ndarray], np.ndarray], Callable[[np.ndarray, np.ndarray], np.ndarray]]
 
+#: sketches (a row of 64-bit words each) -> a row for each block: the upper 40 bits of a pass's keys, not negative.
+Buckets = Callable[[np.ndarray], np.ndarray]
+
 
 class Sketches:
     """Rows of 64-bit words; if widths differ they are powers of two, and a sketch folds to half its width by XOR of its halves."""
@@ -61,6 +67,9 @@ class Sketches:
 
     def distance(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Hamming distances of rows; the wider sketch is folded."""
+        if len(self.of) == 1:
+            (rows,), step = self.of.values(), 1 << 15
+            return np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(rows[i[k : k + step]] ^ rows[j[k : k + step]]).sum(1, dtype=np.int64) for k in range(0, len(i), step))])
         out = np.zeros(len(i), np.int64)
         kind = self.widths[i] << 32 | self.widths[j]
         for pair in np.unique(kind):
@@ -194,6 +203,48 @@ def _near_rows(batches: Iterator[pa.RecordBatch], limit: Limit, keep: int, membe
     release_memory()
 
 
+def _sampled(batches: Iterator[pa.RecordBatch], buckets: list[Buckets]) -> Iterator[pa.RecordBatch]:
+    """Packed id, size, sketch -> k, key, count: of each pass the buckets of some ids."""
+    for ids, _, sketch in parts.unpacked(batches, _TABLE):
+        sketch = sketch.reshape(len(ids), -1)[mix64(ids.view(U64)) % U64(SAMPLED) == 0]
+        for k, of in enumerate(buckets):
+            key, count = np.unique(of(sketch), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array(key), pa.array(count)], names=["k", "key", "count"])
+
+
+def _deal(batches: Iterator[pa.RecordBatch], buckets: Buckets, n: int, pieces: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """Packed id, size, sketch -> a row of each bucket, in the parts of the buckets; buckets of ``pieces`` in several parts."""
+    keep_heap()
+    cut = np.array(sorted(pieces), np.int64)
+    into = np.array([pieces[x] for x in cut.tolist()], U64)
+    for ids, size, sketch in parts.unpacked(batches, _TABLE):
+        sketch = sketch.reshape(len(ids), -1)
+        bucket = buckets(sketch)
+        row = np.tile(np.arange(len(ids)), len(bucket))
+        bucket = bucket.ravel()
+        deal = mix64(bucket.view(U64))
+        if len(cut):
+            at = np.minimum(np.searchsorted(cut, bucket), len(cut) - 1)
+            some = np.flatnonzero(cut[at] == bucket)
+            deal[some] = mix64(deal[some] + mix64(ids[row[some]].view(U64)) % into[at[some]])
+        yield parts.packed((deal % U64(n)).astype(np.int32), [bucket, ids[row], size[row], sketch[row]])
+    release_memory()
+
+
+def _near_parts(batches: Iterator[pa.RecordBatch], limit: Limit, keep: int, members: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_deal`` sorted by part -> as ``_near_rows``."""
+
+    def ordered() -> Iterator[pa.RecordBatch]:
+        for bucket, ids, size, sketch in parts.unpacked(batches, [np.int64, np.int64, np.int64, U64]):
+            key = bucket << SIZE_BITS | np.minimum(size, (1 << SIZE_BITS) - 1)
+            order = np.argsort(key)
+            sketch = sketch.reshape(len(ids), -1)[order]
+            yield pa.RecordBatch.from_arrays([pa.array(key[order]), pa.array(ids[order]), pa.array(size[order]), list_array(sketch.view(np.int64).ravel(), np.full(len(ids), sketch.shape[1]))], names=["key", "id", "size", "sketch"])
+
+    keep_heap()
+    yield from _near_rows(ordered(), limit, keep, members)
+
+
 def _celled(rows: DataFrame, members: int) -> DataFrame:
     """key, id, size, sketch, component -> the same with ``whole`` (the key) and the cell's key in ``key``."""
     groups = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
@@ -209,12 +260,14 @@ def _celled(rows: DataFrame, members: int) -> DataFrame:
     return out.select(F.when(F.col("cells") == 1, F.col("key")).otherwise(F.xxhash64("key", "cell.c", "cell.t")).alias("key"), "id", "size", "sketch", "component", "whole")
 
 
-def link_buckets(passes: list[Callable[[DataFrame | None], DataFrame]], limit: Limit, verify: Callable[[DataFrame], DataFrame], store: Store, members: int | None = None, nearest: int = NEAREST, labels: DataFrame | None = None) -> DataFrame:
+def link_buckets(passes: list[Callable[[DataFrame | None], DataFrame]], limit: Limit, verify: Callable[[DataFrame], DataFrame], store: Store, members: int | None = None, nearest: int = NEAREST, labels: DataFrame | None = None, table: tuple[DataFrame, list[Buckets], int] | None = None) -> DataFrame:
     """id, component of every id with a verified link to a near id of one of its keys, or in the groups ``labels``.
 
     passes: functions that give key (a 64-bit hash, of which the upper bits count), id, size, sketch (array<long>), one row for each key and
     id; of all ids, or of those in the table of ids that they are given.  Each pass has keys of its own and is shuffled alone, so the
     disk that shuffles take follows one pass.  limit: see ``Limit``.  verify: distinct pairs (a, b) -> those that link.
+    table: id, size and sketch (all of one width) of all ids, packed (``parts``), functions that give the keys from sketches, and the rows that one of
+    them gives at most; with it and without labels the first round has a pass for each of these and sends many rows at a time.
     """
     members = members or MEMBERS
     n = partitions_for(store.spark.range(0))
@@ -243,13 +296,22 @@ def link_buckets(passes: list[Callable[[DataFrame | None], DataFrame]], limit: L
         return out
 
     columns = ["key", "id", "size", "sketch"]
+    in_parts = table is not None and labels is None
+    if in_parts:
+        all_ids, buckets, most = table
+        n_parts = parts.parts_for(all_ids, most)
 
     def large() -> list[dict[int, int]]:
         """Of each pass the keys that would fill half of a task or more, and their pieces: a few for each task at most."""
-        some = [rows(None).filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select(F.lit(k).alias("k"), "key") for k, rows in enumerate(rows_of)]
-        counts = store.write(union(some).groupBy("k", "key").count(), "sample")
+        if in_parts:
+            some = all_ids.mapInArrow(partial(_sampled, buckets=buckets), "k int, key long, count long")
+            counts = some.groupBy("k", "key").agg(F.sum("count").alias("count"))
+        else:
+            some = [rows(None).filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select(F.lit(k).alias("k"), "key") for k, rows in enumerate(rows_of)]
+            counts = union(some).groupBy("k", "key").count()
+        counts = store.write(counts, "sample")
         totals = counts.groupBy("k").agg(F.greatest(F.sum("count") / (2 * n), F.lit(FEW / SAMPLED)).alias("half"))
-        out: list[dict[int, int]] = [{} for _ in passes]
+        out: list[dict[int, int]] = [{} for _ in (buckets if in_parts else passes)]
         for r in counts.join(F.broadcast(totals), "k").filter("count > half").select("k", "key", F.ceil(F.col("count") / F.col("half")).alias("pieces")).collect():
             out[r["k"]][r["key"]] = r["pieces"]
         store.free(counts)
@@ -257,9 +319,14 @@ def link_buckets(passes: list[Callable[[DataFrame | None], DataFrame]], limit: L
 
     def first(k: int, pieces: dict[int, int]) -> list[DataFrame]:
         """The pairs of one pass; keys that are dealt out in pieces go into the next round, where they are cut into cells."""
-        df = rows_of[k](None)
-        rows = df.select(*columns) if labels is None else grouped(df).select(*columns, "component")
-        inside = near(rows, nearest, f"near{k}", pieces)
+        if in_parts:
+            dealt = all_ids.mapInArrow(partial(_deal, buckets=buckets[k], n=n_parts, pieces=pieces), parts.schema(4))
+            inside = store.write(dealt.repartition(n, "part").sortWithinPartitions("part").mapInArrow(partial(_near_parts, limit=limit, keep=nearest, members=members), _SCHEMA), f"near{k}")
+            store.settle()
+        else:
+            df = rows_of[k](None)
+            rows = df.select(*columns) if labels is None else grouped(df).select(*columns, "component")
+            inside = near(rows, nearest, f"near{k}", pieces)
         return [inside, *([store.spark.createDataFrame([(None, None, key, None) for key in pieces], _SCHEMA)] if pieces else [])]
 
     found = [x for k, pieces in enumerate(large()) for x in first(k, pieces)]
@@ -269,21 +336,21 @@ def link_buckets(passes: list[Callable[[DataFrame | None], DataFrame]], limit: L
         linked = components(links, store) if labels is None else extended(labels, links, store)
         labels, before = store.write(linked, f"labels{round_no}"), labels
         # Of the rows that want another round, only those of keys whose rows are in different groups by now.
-        cut = union(found).filter("cut is not null").select(F.col("cut").alias("key"), F.col("cut_id").alias("id")).distinct()
+        cut = store.write(union(found).filter("cut is not null").select(F.col("cut").alias("key"), F.col("cut_id").alias("id")).distinct(), f"cut{round_no}")
         wanted = cut.join(labels, "id", "left").groupBy("key").agg(F.min(F.coalesce("component", "id")).alias("lo"), F.max(F.coalesce("component", "id")).alias("hi"), F.bool_or(F.col("id").isNull()).alias("whole"))
         wanted = store.write(wanted.filter("whole or lo <> hi").select("key", "whole"), f"wanted{round_no}")
         if wanted.isEmpty():
             return labels
         some = store.write(cut.join(wanted.filter("not whole"), "key", "left_semi"), f"some{round_no}")
         ids = store.write(some.select("id").distinct(), f"ids{round_no}")
-        parts = [rows(ids).join(some, ["key", "id"], "left_semi") for rows in rows_of]
+        again = [rows(ids).join(some, ["key", "id"], "left_semi") for rows in rows_of]
         whole = wanted.filter("whole").select("key")
         if not whole.isEmpty():
-            parts += [rows(None).join(whole, "key", "left_semi") for rows in rows_of]
-        rows = union(parts)
+            again += [rows(None).join(whole, "key", "left_semi") for rows in rows_of]
+        rows = union(again)
         rows = store.write(grouped(rows).select(*columns, "component"), f"rows{round_no}")
         nearest = min(GROWTH * nearest, 4 * members)
         more = near(_celled(rows, members), nearest, f"more{round_no}")
-        store.free(*found, rows, wanted, *[x for x in (before, pairs, links) if x is not None])
+        store.free(*found, rows, wanted, cut, *[x for x in (before, pairs, links) if x is not None])
         found = [more]
     raise RuntimeError("buckets did not settle")

@@ -22,6 +22,7 @@ Ties cannot occur between different lines.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -29,8 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .buckets import link_buckets
-from .shared_store import Store, release_memory
+from . import parts
+from .buckets import SIZE_BITS, link_buckets
+from .links import partitions_for
+from .shared_store import Store, keep_heap, release_memory
 from .wordhash import U64, hash_spans, list_array, mix64, text_chunks
 
 SIMILARITY = 0.8
@@ -55,29 +58,39 @@ BLOCKS_AT_ONCE = 4
 #: Ids that may be sent to every executor (16 bytes each).
 BROADCAST_IDS = 200_000
 _WORDLESS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+_part_of_word = re.compile("[0-9A-Za-z\u0080-\U0010ffff]").search
 _PART = np.ones(256, bool)
 _PART[:128] = [chr(b).isalnum() for b in range(128)]
+#: Of each byte the votes on its bits, a byte for each bit; first those of a longer word, then of a short one.
+_VOTES = np.concatenate([np.unpackbits(np.arange(256, dtype=np.uint8)).view(U64) * U64(v) for v in VOTES])
+#: Bytes of a normal form that are not characters of words as spaces, A-Z as a-z.
+_SPACED = bytes(b + 32 * (65 <= b <= 90) if _PART[b] else 32 for b in range(256))
+
+
+def line_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """First byte of each line; a text that has bytes starts one."""
+    at = np.unique(np.concatenate([offsets, np.flatnonzero(raw == 0x0A) + 1]))
+    return at[: np.searchsorted(at, len(raw))]
 
 
 def line_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of the words, the line of each, first byte of each line, bytes of the words)."""
     n = len(raw)
-    starts_line = np.zeros(n + 1, bool)
-    starts_line[offsets] = True
-    starts_line[1:] |= raw == 0x0A
-    line_at = np.flatnonzero(starts_line[:n])
+    line_at = line_starts(raw, offsets)
     if n == 0:
         return np.zeros(0, U64), np.zeros(0, np.int64), line_at, np.zeros(0, np.int64)
-    inside = _PART[raw]
-    before = np.empty(n, bool)
-    before[0] = False
-    before[1:] = inside[:-1]
-    begin = np.flatnonzero(inside & (~before | starts_line[:n]))
-    after = np.empty(n, bool)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    end = np.flatnonzero(inside & (~after | starts_line[1:])) + 1
-    return hash_spans(raw, begin, end), np.searchsorted(line_at, begin, side="right") - 1, line_at, end - begin
+    inside = np.frombuffer(raw.tobytes().translate(_PART.tobytes()), bool)
+    edges = offsets[offsets < n]
+    first = inside.copy()
+    first[1:] = inside[1:] > inside[:-1]
+    first[edges] = inside[edges]
+    last = inside.copy()
+    last[:-1] = inside[:-1] > inside[1:]
+    edges = edges[edges > 0] - 1
+    last[edges] = inside[edges]
+    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    line = np.repeat(np.arange(len(line_at)), np.diff(np.searchsorted(begin, line_at), append=len(begin)))
+    return hash_spans(raw, begin, end), line, line_at, end - begin
 
 
 def line_features(raw: np.ndarray, offsets: np.ndarray, words64: int) -> tuple[np.ndarray, ...]:
@@ -89,30 +102,36 @@ def line_features(raw: np.ndarray, offsets: np.ndarray, words64: int) -> tuple[n
     first = np.flatnonzero(np.diff(line, prepend=-1))
     count = np.diff(first, append=len(line))
     nth = np.arange(len(line)) - np.repeat(first, count)
-    h = mix64(np.add.reduceat(mix64(words + mix64(nth.astype(U64))), first) + count.astype(U64))
-    characters = np.concatenate([[0], np.cumsum(_PART[raw] & ((raw & 0xC0) != 0x80))])
-    ends = np.append(line_at[1:], len(raw))
-    length = characters[ends[line[first]]] - characters[line_at[line[first]]] + count - 1
-    votes = np.where(size > SHORT_WORD, *VOTES).astype(U64)
-    half = np.add.reduceat(votes, first).astype(np.int64)
-    # A hash becomes 64 bytes of a bit each, eight to an integer, and the integers of up to SEGMENT words are added at once.
-    parts = -(-count // SEGMENT)
-    cuts = np.repeat(first, parts) + SEGMENT * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-    part_of = np.cumsum(parts) - parts
+    h = mix64(np.add.reduceat(mix64(words + mix64(np.arange(count.max()).astype(U64))[nth]), first) + count.astype(U64))
+    length = np.add.reduceat(size, first) + count - 1
+    inner = np.flatnonzero((raw & 0xC0) == 0x80)  # bytes that go on with a character
+    if len(inner):
+        ends = np.append(line_at[1:], len(raw))
+        length -= np.searchsorted(inner, ends[line[first]]) - np.searchsorted(inner, line_at[line[first]])
+    short = size <= SHORT_WORD
+    half = np.add.reduceat(np.where(short, VOTES[1], VOTES[0]), first)
+    # A byte of a hash becomes eight bytes of a bit's votes each, as one integer, and the integers of up to SEGMENT words are added at once.
+    pieces = -(-count // SEGMENT)
+    cuts = np.repeat(first, pieces) + SEGMENT * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    part_of = np.cumsum(pieces) - pieces
     sims = np.empty((len(first), words64), U64)
-    for w in range(words64):
-        hashed = words if w == 0 else mix64(words + U64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        a = 0
-        while a < len(first):  # bounded: some ten thousand words at a time, or one line
-            z = max(a + 1, int(np.searchsorted(first, first[a] + 65_536)))
-            begin, stop = first[a], first[z] if z < len(first) else len(words)
-            p, q = part_of[a], part_of[z] if z < len(first) else len(cuts)
-            bits = np.unpackbits(hashed[begin:stop].view(np.uint8)).view(U64).reshape(-1, 8) * votes[begin:stop, None]
-            ones = np.add.reduceat(bits, cuts[p:q] - begin, axis=0).view(np.uint8)
+    a = 0
+    while a < len(first):  # bounded: some ten thousand words at a time, or one line
+        z = max(a + 1, int(np.searchsorted(first, first[a] + 16_384)))
+        begin, stop = first[a], first[z] if z < len(first) else len(words)
+        p, q = part_of[a], part_of[z] if z < len(first) else len(cuts)
+        table = short[begin:stop] * np.int64(256)
+        ones = np.empty((q - p, 8), U64)
+        for w in range(words64):
+            hashed = words[begin:stop] if w == 0 else mix64(words[begin:stop] + U64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            octets = hashed.view(np.uint8).reshape(-1, 8)
+            for k in range(8):
+                ones[:, k] = np.add.reduceat(_VOTES.take(octets[:, k] + table), cuts[p:q] - begin)
+            votes = ones.view(np.uint8)
             if q - p > z - a:
-                ones = np.add.reduceat(ones, part_of[a:z] - p, axis=0, dtype=np.int64)
-            sims[a:z, w] = np.packbits(2 * ones.astype(np.int64) > half[a:z, None], axis=1).view(U64).ravel()
-            a = z
+                votes = np.add.reduceat(votes, part_of[a:z] - p, axis=0, dtype=np.int64)
+            sims[a:z, w] = np.packbits(2 * votes.astype(np.int64) > half[a:z, None], axis=1).view(U64).ravel()
+        a = z
     text = np.searchsorted(offsets, line_at[line[first]], side="right") - 1
     top = np.searchsorted(line_at, offsets[text], side="left")
     return text, line[first] - top, h, length, sims
@@ -124,33 +143,125 @@ def sketch_shape(lines: int) -> tuple[int, int, int]:
     return bits, math.ceil(BLOCKS * BLOCK_GROWTH ** (bits - BLOCK_BITS)), 64 // bits
 
 
-def _features(batches: Iterator[pa.RecordBatch], words64: int) -> Iterator[pa.RecordBatch]:
+def _line_feeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text -> n: how many lines the rows have, in any number of rows."""
+    for batch in batches:
+        n = sum(int(np.count_nonzero(raw == 0x0A)) for _, _, raw, _ in text_chunks(batch.column(0)))
+        yield pa.RecordBatch.from_arrays([pa.array([n + len(batch)], pa.int64())], names=["n"])
+
+
+def first_of_each(ids: np.ndarray, at: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Of each id the row whose ``at`` (least significant column first) is smallest."""
+    order = np.lexsort((*at, ids))
+    return order[np.flatnonzero(np.diff(ids[order], prepend=~ids[order[:1]]))] if len(order) else order
+
+
+def _features(batches: Iterator[pa.RecordBatch], words64: int, n: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, th, text -> id, doc_id, th, line, size and sketch of the first of equal lines, in parts by id."""
+    keep_heap()
+    held: list[list[np.ndarray]] = []
+    waiting = 0
+
+    def dealt() -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*held)]
+        first = first_of_each(columns[0], (columns[3], columns[2], columns[1]))
+        columns = [c[first] for c in columns]
+        return parts.packed((mix64(columns[0].view(U64)) % U64(n)).astype(np.int32), columns)
+
     for batch in batches:
-        ids, hashes = batch.column(0), batch.column(1)
+        ids, hashes = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         for lo, _, raw, offsets in text_chunks(batch.column(2)):
             text, line, h, length, sims = line_features(raw, offsets, words64)
-            at = pa.array(lo + text)
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(at), hashes.take(at), pa.array(line.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(length), list_array(sims.view(np.int64).ravel(), np.full(len(h), words64))],
-                names=["doc_id", "th", "line", "id", "size", "sketch"],
-            )
+            if len(h):
+                held.append([h.view(np.int64), ids[lo + text], hashes[lo + text], line, length, sims])
+                waiting += sum(c.nbytes for c in held[-1])
+            if waiting >= HELD:
+                yield dealt()
+                held, waiting = [], 0
+    if held:
+        yield dealt()
+    release_memory()
+
+
+#: Columns of a packed table of lines: id, doc_id, th, line, size, sketch.
+_LINE = [np.int64, np.int64, np.int64, np.int64, np.int64, U64]
+
+
+def _first_lines(batches: Iterator[pa.RecordBatch], words64: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_features`` sorted by part -> the first line of each id, packed."""
+    keep_heap()
+    for k, columns in enumerate(parts.unpacked(batches, _LINE)):
+        columns[5] = columns[5].reshape(-1, words64)
+        first = first_of_each(columns[0], (columns[3], columns[2], columns[1]))
+        # Each part stays one; only its rows' number matters from here on.
+        yield parts.packed(np.full(len(first), k, np.int32), [c[first] for c in columns])
     release_memory()
 
 
+def _flat(batches: Iterator[pa.RecordBatch], sketches: bool) -> Iterator[pa.RecordBatch]:
+    """Packed lines -> id, at, size, or id, size, sketch."""
+    for batch in batches:
+        for columns in parts.unpacked(iter([batch]), _LINE if not sketches else [np.int64, np.int64, U64]):
+            ids = pa.array(columns[0])
+            if sketches:
+                values = columns[2].view(np.int64)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(columns[1]), list_array(values, np.full(len(ids), len(values) // len(ids)))], names=["id", "size", "sketch"])
+            else:
+                at = pa.StructArray.from_arrays([pa.array(columns[1]), pa.array(columns[2]), pa.array(columns[3].astype(np.int32))], names=["doc_id", "th", "line"])
+                yield pa.RecordBatch.from_arrays([ids, at, pa.array(columns[4])], names=["id", "at", "size"])
+    release_memory()
+
+
+def _by_component(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """component, doc_id, th, line -> the same, in parts by component."""
+    for batch in batches:
+        columns = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)]
+        yield parts.packed((mix64(columns[0].view(U64)) % U64(n)).astype(np.int32), columns)
+    release_memory()
+
+
+def _first_by_text(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_by_component`` sorted by part -> the first line of each component: doc_id, th, line, in parts by text."""
+    for component, *at in parts.unpacked(batches, [np.int64] * 4):
+        first = first_of_each(component, tuple(reversed(at)))
+        doc_id, th, line = (c[first] for c in at)
+        yield parts.packed((mix64(mix64(doc_id.view(U64)) + th.view(U64)) % U64(n)).astype(np.int32), [doc_id, th, line])
+    release_memory()
+
+
+def _kept_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_first_by_text`` sorted by part -> doc_id, th, kept: the numbers of the lines that a text keeps."""
+    for doc_id, th, line in parts.unpacked(batches, [np.int64] * 3):
+        order = np.lexsort((line, th, doc_id))
+        doc_id, th, line = doc_id[order], th[order], line[order]
+        first = np.flatnonzero(np.append(True, (doc_id[1:] != doc_id[:-1]) | (th[1:] != th[:-1])))
+        yield pa.RecordBatch.from_arrays([pa.array(doc_id[first]), pa.array(th[first]), list_array(line.astype(np.int32), np.diff(first, append=len(line)))], names=["doc_id", "th", "kept"])
+    release_memory()
+
+
+def block_values(sketch: np.ndarray, some: range, bits: int, per_word: int) -> np.ndarray:
+    """A row for each block of ``some``: the block's number and its bits, as 40 bits with a sign."""
+    out = np.empty((len(some), len(sketch)), np.int64)
+    for row, k in zip(out, some):
+        row[:] = (sketch[:, k // per_word] >> U64(k % per_word * bits) & U64((1 << bits) - 1)).view(np.int64) + (k << bits & (1 << 40) - 1)
+    return out << SIZE_BITS >> SIZE_BITS
+
+
 def _line_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """text, asked (line, id, size) -> id, norm, words: each asked line's normal form, and a character for each of its words.
 
     words is there for lines that a line of more than ``LONG`` characters may be similar to, norm for the others.
     Two words share a character with a chance of 1 in 40,000.
     """
+    keep_heap()
     for batch in batches:
         asked = batch.column(1)
         starts, fields = asked.offsets.to_numpy(), asked.values
         lines, ids, sizes = (fields.field(k).to_numpy(zero_copy_only=False) for k in range(3))
         for lo, hi, raw, offsets in text_chunks(batch.column(0)):
-            _, _, line_at, _ = line_words(raw, offsets)
+            line_at = line_starts(raw, offsets)
             ends = np.append(line_at[1:], len(raw))
-            spaced = np.where(_PART[raw], raw + 32 * ((raw >= 65) & (raw <= 90)).astype(np.uint8), 32).astype(np.uint8).tobytes()
+            spaced = raw.tobytes().translate(_SPACED)
             top = np.searchsorted(line_at, offsets[:-1], side="left")
             span = slice(starts[lo], starts[hi])
             at = np.repeat(top, np.diff(starts[lo : hi + 1])) + lines[span]
@@ -337,7 +448,7 @@ def smallest_partner(sizes: np.ndarray, similarity: float) -> np.ndarray:
 def similar_lines(pairs: DataFrame, lines: DataFrame, texts: DataFrame, similarity: float, store: Store) -> DataFrame:
     """The pairs (a, b) whose normal forms are similar; only those lines' texts are read.  texts: one row for each doc_id and th."""
     ids = store.write(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    asked = lines.select("id", "at", "size").join(ids, "id", "left_semi").groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct("at.line", "id", "size")).alias("asked"))
+    asked = lines.select("id", "at", "size").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi").groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct("at.line", "id", "size")).alias("asked"))
     asked = store.write(asked, "asked")
     held = asked.select("doc_id", "th")
     rows = texts.join(F.broadcast(held) if held.count() <= BROADCAST_IDS else held, ["doc_id", "th"], "left_semi")
@@ -355,12 +466,12 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """row, text, kept (line numbers) -> row, text without the removed lines, n_lines, n_removed."""
     for batch in batches:
         texts, lines, removed = [], [], []
-        for text, kept, whole in zip(batch.column(1), batch.column(2), batch.column(3)):
-            text = text.as_py()
-            parts = [] if text is None else text.split("\n")
-            stay = () if whole.as_py() else set(kept.as_py() or ())
-            own = parts if whole.as_py() else [x for k, x in enumerate(parts) if k in stay or not any(c.isascii() and c.isalnum() or c > "\x7f" for c in x)]
-            lines.append(len(parts)), removed.append(len(parts) - len(own))
+        for text, kept, whole in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+            own = rows = [] if text is None else text.split("\n")
+            if not whole:
+                stay = set(kept or ())
+                own = [x for k, x in enumerate(rows) if k in stay or not _part_of_word(x)]
+            lines.append(len(rows)), removed.append(len(rows) - len(own))
             texts.append(None if text is None else "\n".join(own))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=["__row", "__text", "__lines", "__removed"])
     release_memory()
@@ -372,32 +483,42 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     store = Store(spark, "lines")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null and text is not null").withColumn("th", F.xxhash64("text"))
     # An upper bound of the distinct lines sets the shape of the SimHash; it counts line feeds, no words.
-    bits, blocks, per_word = sketch_shape(texts.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 1)
+    most = texts.select("text").mapInArrow(_line_feeds, "n long").agg(F.sum("n")).first()[0]
+    bits, blocks, per_word = sketch_shape(most or 1)
     words64 = -(-blocks // per_word)
-    found = texts.select("doc_id", "th", "text").mapInArrow(partial(_features, words64=words64), "doc_id long, th long, line int, id long, size long, sketch array<long>")
-    lines = store.write(found.groupBy("id").agg(F.min(F.struct("doc_id", "th", "line")).alias("at"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "lines")
+    n, n_parts = partitions_for(docs), parts.parts_for(docs, most or 1)
+    found = texts.select("doc_id", "th", "text").mapInArrow(partial(_features, words64=words64, n=n_parts), parts.schema(6))
+    found = found.repartition(n, "part").sortWithinPartitions("part").mapInArrow(partial(_first_lines, words64=words64), parts.schema(6))
+    all_lines = store.write(found, "lines")
+    sketches = all_lines.select("part", "c0", "c4", "c5")
+    lines = all_lines.mapInArrow(partial(_flat, sketches=False), "id long, at struct<doc_id: long, th: long, line: int>, size long")
     store.settle()
     mask = F.lit((1 << bits) - 1).cast("long")
     block = lambda k: F.shiftrightunsigned(F.element_at("sketch", k // per_word + 1), k % per_word * bits).bitwiseAND(mask)
-    keys = [F.xxhash64(F.lit(k), block(k)) for k in range(blocks)]
+    keys = [F.shiftleft(block(k) + F.lit(k << bits & (1 << 40) - 1).cast("long"), SIZE_BITS) for k in range(blocks)]
 
-    def rows_of(ids: DataFrame | None, some: list) -> DataFrame:
-        own = lines if ids is None else lines.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
-        return own.select(F.explode(F.array(*some)).alias("key"), "id", "size", "sketch")
+    def rows_of(ids: DataFrame | None) -> DataFrame:
+        own = sketches.mapInArrow(partial(_flat, sketches=True), "id long, size long, sketch array<long>")
+        own = own if ids is None else own.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+        return own.select(F.explode(F.array(*keys)).alias("key"), "id", "size", "sketch")
 
-    passes = [partial(rows_of, some=keys[k : k + BLOCKS_AT_ONCE]) for k in range(0, blocks, BLOCKS_AT_ONCE)]
+    some = [range(k, min(k + BLOCKS_AT_ONCE, blocks)) for k in range(0, blocks, BLOCKS_AT_ONCE)]
+    buckets = [partial(block_values, some=x, bits=bits, per_word=per_word) for x in some]
     distance = int(DISTANCE * 64 * words64)
     # Texts are sorted out by their hashes only where some row is there twice.
-    single = texts.groupBy("doc_id", "th").count().filter("count > 1").isEmpty()
-    once = texts if single else texts.dropDuplicates(["doc_id", "th"])
+    twice = lambda rows, *by: not rows.groupBy(*by).count().filter("count > 1").isEmpty()
+    once = texts.dropDuplicates(["doc_id", "th"]) if twice(docs.filter(F.col(id_col).isNotNull()), id_col) and twice(texts, "doc_id", "th") else texts
     limit = (partial(smallest_partner, similarity=similarity), lambda low, high: distance)
-    labels = link_buckets(passes, limit, lambda pairs: similar_lines(pairs, lines, once, similarity, store), store)
-    kept = lines.select("id", "at").join(labels, "id", "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("at").alias("at"))
-    kept = store.write(kept.groupBy("at.doc_id", "at.th").agg(F.collect_list("at.line").alias("kept")), "kept")
+    labels = link_buckets([rows_of], limit, lambda pairs: similar_lines(pairs, lines, once, similarity, store), store, table=(sketches, buckets, BLOCKS_AT_ONCE * (most or 1)))
+    named = lines.select("id", "at").join(labels, "id", "left").select(F.coalesce("component", "id"), "at.doc_id", "at.th", "at.line")
+    dealt = lambda df, step, to: df.mapInArrow(partial(step, n=n_parts), to).repartition(n, "part").sortWithinPartitions("part")
+    first = dealt(dealt(named, _by_component, parts.schema(4)), _first_by_text, parts.schema(3))
+    kept = store.write(first.mapInArrow(_kept_of_texts, "doc_id long, th long, kept array<int>"), "kept")
     store.keep_only(kept)
     store.settle()
     whole = docs.select(F.struct(F.lit(1).alias("__one"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("__row"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    joined = whole.join(kept, (F.col("__id") == F.col("doc_id")) & (F.xxhash64("__text") == F.col("th")), "left").select("__row", "__text", "kept", F.col("__id").isNull().alias("whole"))
+    # The kept lines are the small side: the texts need not be sorted.
+    joined = whole.join(kept.hint("shuffle_hash"), (F.col("__id") == F.col("doc_id")) & (F.xxhash64("__text") == F.col("th")), "left").select("__row", "__text", "kept", F.col("__id").isNull().alias("whole"))
     row_type = whole.schema["__row"].dataType.simpleString()
     out = joined.mapInArrow(_rebuild, f"__row {row_type}, __text string, __lines long, __removed long")
     return out.select(*[(F.col("__text") if c == text_col else F.col("__row").getField(c)).alias(c) for c in docs.columns], "__lines", "__removed")

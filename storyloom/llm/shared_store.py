@@ -12,12 +12,16 @@ import ctypes
 import gc
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..intermediate import shared_folder
 
 
+_settled = False
+
+
 def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Rows go to Python workers in batches of at most about ``size`` bytes, however long texts and sets are."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -27,7 +31,11 @@ def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
 
 def release_memory() -> None:
     """Gives memory that a finished task no longer needs back to the machine; Python workers live on for other tasks."""
+    global _settled
     gc.collect()
+    if not _settled:
+        _settled = True
+        gc.freeze()  # what lives now are modules, mostly; later tasks of this worker need not look through them again
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -35,6 +43,11 @@ def release_memory() -> None:
         pass
 
 
+def keep_heap() -> None:
+    """From now on arrays of up to 30 MB come from the heap that the worker holds, until ``release_memory``: glibc follows the largest block that was freed."""
+    np.empty(30 << 20, np.uint8)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
